@@ -1,0 +1,214 @@
+"""Page text, mention windows, excerpts, countries in texts, snapshots."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from provenir.catalog import demo, query, sql
+from provenir.functions import keys, text as tx, urls
+from provenir.operators import excerpts as ex, lexicon as lx, pages as pg
+from provenir.params import CHROME_ELEMENTS, PLACEHOLDER_LINE, ROLES
+
+P = sql.PAGES
+
+
+def _clean_sql(html: str) -> str:
+    out = html
+    for element in CHROME_ELEMENTS:
+        out = f"regexp_replace({out}, '(?is)<{element}\\b.*?</{element}\\s*>', '', 'g')"
+    bare = sql.decode(f"regexp_replace({out}, {sql.q(sql.TAG)}, chr(10), 'g')")
+    lines = f"string_split_regex({bare}, '\\r\\n|\\r|\\n')"
+    trimmed = f"list_transform({lines}, lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g'))"
+    return f"array_to_string(list_filter({trimmed}, lambda l: l <> ''), chr(10))"
+
+
+_LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '')"
+_UNTR = (
+    f"(len(ls) >= 4 AND len(list_filter(ls, lambda l: regexp_matches(l, {sql.q(PLACEHOLDER_LINE)}))) >= 4 "
+    f"AND len(list_filter(ls, lambda l: regexp_matches(l, {sql.q(PLACEHOLDER_LINE)}))) * 2 >= len(ls))"
+)
+
+
+@query(
+    "clean_text",
+    f"""WITH {P}, c AS (SELECT page_id, {_clean_sql('html')} AS text FROM p)
+SELECT page_id, sha256(text) AS hash, length(text) AS chars,
+  CASE WHEN length(text) < 400 THEN 'too little readable text' END AS thin FROM c""",
+)
+def clean_text(spark, sf):
+    """Readable text of every page, and why it may be too thin."""
+    text = pg.readable_text(F.col("html"))
+    rows = demo.pages(spark, sf).select("page_id", text.alias("text"))
+    return rows.select(
+        "page_id",
+        keys.content_hash(F.col("text")).alias("hash"),
+        F.length("text").cast("long").alias("chars"),
+        tx.thin_reason(F.col("text")).alias("thin"),
+    )
+
+
+@query(
+    "placeholder_text",
+    f"""WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[ .,]+([a-z])', CASE WHEN lang = 'en' THEN '.\\1' ELSE ' \\1' END, 'g') AS text FROM documents),
+l AS (SELECT doc_id, text, {_LINES} AS ls FROM d)
+SELECT doc_id, len(ls) AS lines, {_UNTR} AS untranslated,
+  CASE WHEN length(text) < 400 THEN 'too little readable text' WHEN {_UNTR} THEN 'translation placeholders instead of text' END AS thin FROM l""",
+)
+def placeholder_text(spark, sf):
+    """Texts whose lines are translation keys (spaces of English lines become dots)."""
+    docs = demo.spread(demo.table(spark, sf, "documents"))
+    joined = F.when(F.col("lang") == "en", F.regexp_replace(F.lower("text"), "[ .,]+([a-z])", ".$1")).otherwise(
+        F.regexp_replace(F.lower("text"), "[ .,]+([a-z])", " $1")
+    )
+    text = F.col("text")
+    return docs.select("doc_id", joined.alias("text")).select(
+        "doc_id",
+        F.size(tx.plain_lines(text)).cast("long").alias("lines"),
+        tx.looks_untranslated(text).alias("untranslated"),
+        tx.thin_reason(text).alias("thin"),
+    )
+
+
+TERMS = ["that", "license", "pour", "dans", "sich", "for", "una", "USA"]
+_LONG = [t.lower() for t in TERMS if len(t) > 3]
+_SHORT = [t.upper() for t in TERMS if len(t) <= 3]
+
+
+@query(
+    "mention_windows",
+    f"""WITH t0 AS (SELECT doc_id, length(text) AS n, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS toks FROM documents),
+t1 AS (SELECT doc_id, n, unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM t0),
+t2 AS (SELECT *, sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM t1),
+m AS (SELECT doc_id, n, e - length(tok) AS s, e FROM t2 WHERE e - length(tok) >= least(100, n) AND (lower(tok) IN ({sql.strings(_LONG)}) OR tok IN ({sql.strings(_SHORT)}))),
+w AS (SELECT doc_id, greatest(s - 40, 0) AS s, least(e + 40, n) AS e FROM m UNION ALL SELECT doc_id, 0, least(100, n) FROM t0),
+o AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM w),
+g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e) AS island FROM o)
+SELECT doc_id, min(s)::BIGINT AS s, max(e)::BIGINT AS e FROM g GROUP BY doc_id, island""",
+)
+def mention_windows(spark, sf):
+    """Merged windows around every mention of the terms."""
+    docs = demo.spread(demo.table(spark, sf, "documents")).select("doc_id", "text")
+    text = F.col("text")
+    pattern = ex.mention_pattern(TERMS)
+    head = F.least(F.lit(100), F.length(text)).cast("int")
+    first = F.struct(F.lit(0).alias("s"), head.alias("e"))
+    spans = urls.let(
+        ex.mentions(text, pattern, head),
+        lambda found: ex.merged_windows(found, F.length(text), F.lit(40), first),
+    )
+    return docs.select("doc_id", F.inline(spans)).select(
+        "doc_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e")
+    )
+
+
+@query("excerpt")
+def excerpt(spark, sf):
+    """C11: budgeted excerpts of every document (checked against a plain model in the tests)."""
+    docs = demo.spread(demo.table(spark, sf, "documents")).select("doc_id", "text")
+    cut = ex.excerpt(F.col("text"), ex.mention_pattern(TERMS), 900, 200, 160)
+    return docs.select("doc_id", F.length("text").alias("chars"), cut.alias("excerpt"))
+
+
+@query(
+    "packets",
+    """WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents)
+SELECT source, count(*) AS candidates FROM d WHERE place <= 10 GROUP BY source""",
+)
+def packets(spark, sf):
+    """One decider packet per source, over its ten longest documents (rows carry excerpts)."""
+    from provenir.operators.ranking import top
+
+    docs = demo.spread(demo.table(spark, sf, "documents"))
+    best = top(docs.select("doc_id", "source", "n_chars"), ["source"], [-F.col("n_chars"), F.col("doc_id")], 10)
+    # The text is read for the shortlisted documents only.
+    rows = best.join(docs.select("doc_id", "text"), "doc_id").select(
+        "source", "place",
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"),
+        F.lit("").alias("title"), F.substring_index("text", "\n", 1).alias("text"),
+        F.concat(F.lit("https://x/"), F.col("doc_id").cast("string")).alias("url"),
+        F.lit(None).cast("string").alias("published"),
+        ex.excerpt(F.col("text"), ex.mention_pattern(TERMS), 900, 200, 160).alias("excerpt"),
+    )
+    corridors = docs.select("source").distinct().withColumn(
+        "traveller", F.struct(F.col("source").alias("name"))
+    )
+    return ex.candidate_packets(rows, corridors, ["source"], ROLES).select(
+        "source", F.col("candidates").cast("long").alias("candidates")
+    )
+
+
+_MENTION_SQL = f"""w AS (SELECT * FROM {sql.values([(f'N{i}', i, x) for i, x in enumerate(demo.WORDS)], 'code, seq, word')}),
+t AS (SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))) AS tok FROM documents),
+m AS (SELECT DISTINCT doc_id, lang, code, seq FROM (
+  SELECT doc_id, lang, code, seq FROM t JOIN w ON tok = word
+  UNION ALL SELECT doc_id, lang, code, seq FROM documents JOIN w ON source = 'src' || seq))"""
+
+
+@query(
+    "country_mentions",
+    f"WITH {_MENTION_SQL} SELECT doc_id, code FROM m",
+)
+def country_mentions(spark, sf):
+    """The countries every document refers to, by whole words or path parts."""
+    rows = _documents_with_url(spark, sf)
+    return lx.country_mentions(rows, ["doc_id"], demo.countries(spark, sf)).select("doc_id", "code")
+
+
+@query(
+    "foreign_country",
+    f"""WITH {_MENTION_SQL}
+SELECT doc_id, 'NATION_' || min(seq) AS foreign_name FROM m WHERE code NOT IN ('N24', CASE lang WHEN 'en' THEN 'N0' ELSE 'N5' END) GROUP BY doc_id""",
+)
+def foreign_country(spark, sf):
+    """The first country outside its own corridor a document is about."""
+    rows = _documents_with_url(spark, sf).withColumn(
+        "own", F.when(F.col("lang") == "en", "N0").otherwise("N5")
+    ).withColumn("home", F.lit("N24"))
+    found = lx.foreign_country(rows, ["doc_id"], demo.countries(spark, sf), ["own", "home"])
+    return found.select("doc_id", F.col("foreign").alias("foreign_name"))
+
+
+def _documents_with_url(spark, sf):
+    docs = demo.spread(demo.table(spark, sf, "documents"))
+    return docs.select(
+        "doc_id", "lang", "text",
+        F.concat(F.lit("https://host.example/x-"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
+    )
+
+
+@query(
+    "snapshot_join",
+    """WITH d AS (SELECT doc_id, CASE WHEN lang = 'es' THEN '  ' ELSE text END AS text FROM documents WHERE source <> 'src3'),
+j AS (SELECT coalesce(l.doc_id, d.doc_id) AS source_id, l.doc_id IS NULL AS nm, d.doc_id IS NULL AS nf, trim(text) AS text FROM labels l FULL JOIN d ON d.doc_id = l.doc_id),
+k AS (SELECT *, CASE WHEN nf THEN 'declared but has no text' WHEN nm THEN 'has a text but is not declared' WHEN text = '' THEN 'the text is empty' WHEN length(text) > 5000 THEN 'the text is too long' END AS problem FROM j)
+SELECT source_id, problem, CASE WHEN problem IS NULL THEN sha256(text) END AS hash FROM k""",
+)
+def snapshot_join(spark, sf):
+    """Declared labels against the texts of a snapshot."""
+    from provenir.sources.readers import read_snapshot
+
+    manifest = demo.table(spark, sf, "labels").select(F.col("doc_id").alias("source_id"))
+    docs = demo.table(spark, sf, "documents").filter(F.col("source") != "src3")
+    files = docs.select(
+        F.col("doc_id").alias("source_id"),
+        F.when(F.col("lang") == "es", "  ").otherwise(F.col("text")).alias("content"),
+    )
+    sources, problems = read_snapshot(manifest, files, 5000, F.lit("2024-01-31").cast("timestamp"))
+    return sources.select(
+        "source_id", F.lit(None).cast("string").alias("problem"), F.col("content_hash").alias("hash")
+    ).unionByName(problems.withColumn("hash", F.lit(None).cast("string")))
+
+
+@query(
+    "step_titles",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
+t AS (SELECT doc_id, n, trim(line) AS x FROM l)
+SELECT doc_id, n, coalesce(nullif(trim(rtrim(x, ',;:')), ''), x) AS title FROM t""",
+)
+def step_titles(spark, sf):
+    """Step titles tidied (every line of every document)."""
+    docs = demo.spread(demo.table(spark, sf, "documents"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return lines.select(
+        "doc_id", F.col("n").cast("long").alias("n"), tx.tidy_step_title(F.col("line")).alias("title")
+    )
