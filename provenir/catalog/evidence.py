@@ -12,7 +12,7 @@ from provenir.operators.ranking import first_n
 from provenir.operators.trust import flag_within
 from provenir.params import SETTLED_REFUSALS
 
-EVENTS = """ev AS (SELECT event_id, 'u' || user_id AS url, epoch_us(ts) AS at, event_id AS seq, event_type,
+EVENTS = """ev AS (SELECT event_id, 'u' || user_id AS url, epoch_us(ts) AS "at", event_id AS seq, event_type,
   CASE WHEN event_type = 'view' THEN 'not_modified' WHEN event_type IN ('click', 'purchase') THEN 'stored'
     WHEN event_type = 'signup' THEN CASE WHEN value < 10 THEN 'stored' WHEN value < 15 THEN 'untrusted' ELSE 'disallowed' END
     WHEN value < 6 THEN 'unreachable' WHEN value < 12 THEN 'blocked' ELSE 'unusable' END AS attempt,
@@ -42,14 +42,14 @@ def observations(spark, sf):
 
 
 _FOLD = f"""{EVENTS},
-ok AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY at, seq) AS n FROM ev WHERE attempt IN ('stored', 'not_modified')),
+ok AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY "at", seq) AS n FROM ev WHERE attempt IN ('stored', 'not_modified')),
 chain AS (
-  SELECT url, n, at, seq, attempt, content_hash FROM ok o WHERE attempt = 'stored' AND n = (SELECT min(n) FROM ok i WHERE i.url = o.url AND i.attempt = 'stored')
+  SELECT url, n, "at", seq, attempt, content_hash FROM ok o WHERE attempt = 'stored' AND n = (SELECT min(n) FROM ok i WHERE i.url = o.url AND i.attempt = 'stored')
   UNION ALL
-  SELECT x.url, x.n, x.at, x.seq, x.attempt, x.content_hash FROM (
-    SELECT o.*, row_number() OVER (PARTITION BY o.url ORDER BY o.n) AS k FROM chain c JOIN ok o ON o.url = c.url AND o.n > c.n AND o.at - c.at >= 24 * 3600000000) x WHERE k = 1),
-held AS (SELECT url, at, seq, attempt, content_hash, last_value(CASE WHEN attempt = 'stored' THEN content_hash END IGNORE NULLS) OVER (PARTITION BY url ORDER BY at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held_hash FROM chain),
-st AS (SELECT ev.*, h.at AS h_at, h.held_hash, (ev.at - h.at) / 3.6e9 AS age FROM ev LEFT JOIN LATERAL (SELECT * FROM held WHERE held.url = ev.url AND (held.at < ev.at OR (held.at = ev.at AND held.seq < ev.seq)) ORDER BY at DESC, seq DESC LIMIT 1) h ON true),
+  SELECT x.url, x.n, x."at", x.seq, x.attempt, x.content_hash FROM (
+    SELECT o.*, row_number() OVER (PARTITION BY o.url ORDER BY o.n) AS k FROM chain c JOIN ok o ON o.url = c.url AND o.n > c.n AND o."at" - c."at" >= 24 * 3600000000) x WHERE k = 1),
+held AS (SELECT url, "at", seq, attempt, content_hash, last_value(CASE WHEN attempt = 'stored' THEN content_hash END IGNORE NULLS) OVER (PARTITION BY url ORDER BY "at", seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held_hash FROM chain),
+st AS (SELECT ev.*, h."at" AS h_at, h.held_hash, (ev."at" - h."at") / 3.6e9 AS age FROM ev LEFT JOIN LATERAL (SELECT * FROM held WHERE held.url = ev.url AND (held."at" < ev."at" OR (held."at" = ev."at" AND held.seq < ev.seq)) ORDER BY "at" DESC, seq DESC LIMIT 1) h ON true),
 rs AS (SELECT *, CASE WHEN h_at IS NOT NULL AND age < 24 THEN 'hit' WHEN attempt = 'not_modified' AND h_at IS NOT NULL THEN 'revalidated'
    WHEN attempt = 'stored' THEN 'fetched' WHEN attempt = 'untrusted' THEN 'failure' WHEN h_at IS NOT NULL AND age <= 168 THEN 'stale' ELSE 'failure' END AS result FROM st)"""
 
@@ -58,7 +58,7 @@ rs AS (SELECT *, CASE WHEN h_at IS NOT NULL AND age < 24 THEN 'hit' WHEN attempt
     "cache_fold",
     f"""WITH RECURSIVE {_FOLD}
 SELECT event_id, url, attempt, result, CASE WHEN result = 'failure' THEN CASE WHEN attempt = 'not_modified' THEN 'unreachable' ELSE attempt END WHEN result = 'stale' THEN 'stale' ELSE 'ok' END AS outcome,
-  CASE WHEN result IN ('fetched', 'revalidated') THEN at WHEN result IN ('hit', 'stale') THEN h_at END AS served_at,
+  CASE WHEN result IN ('fetched', 'revalidated') THEN "at" WHEN result IN ('hit', 'stale') THEN h_at END AS served_at,
   CASE WHEN result = 'fetched' THEN content_hash WHEN result <> 'failure' THEN held_hash END AS served_hash,
   round(age, 4) AS age_hours FROM rs""",
 )
@@ -74,7 +74,7 @@ def cache_fold(spark, sf):
 @query(
     "cache_fold_busy",
     f"""WITH RECURSIVE {_FOLD}
-SELECT url, at, seq, attempt, held_hash FROM held""",
+SELECT url, "at", seq, attempt, held_hash FROM held""",
 )
 def cache_fold_busy(spark, sf):
     """The refreshes of every page, all of them by the path for busy pages."""
@@ -85,7 +85,7 @@ def cache_fold_busy(spark, sf):
 @query(
     "content_changes",
     f"""WITH RECURSIVE {_FOLD}
-SELECT url, at, content_hash, coalesce(content_hash <> lag(content_hash) OVER (PARTITION BY url ORDER BY at, seq), false) AS changed FROM held WHERE attempt = 'stored'""",
+SELECT url, "at", content_hash, coalesce(content_hash <> lag(content_hash) OVER (PARTITION BY url ORDER BY "at", seq), false) AS changed FROM held WHERE attempt = 'stored'""",
 )
 def content_changes(spark, sf):
     """Stored pages whose text differs from the one before."""
@@ -96,7 +96,7 @@ def content_changes(spark, sf):
 @query(
     "page_cache",
     f"""WITH RECURSIVE {_FOLD}
-SELECT url, at AS fetched_at, held_hash AS content_hash FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY at DESC, seq DESC) AS k FROM held) WHERE k = 1""",
+SELECT url, "at" AS fetched_at, held_hash AS content_hash FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY "at" DESC, seq DESC) AS k FROM held) WHERE k = 1""",
 )
 def page_cache(spark, sf):
     """A3 A4: the current cache row of every page."""
@@ -105,10 +105,10 @@ def page_cache(spark, sf):
 
 @query(
     "cache_lookup",
-    f"""WITH {EVENTS}, en AS (SELECT url, at, content_hash FROM ev WHERE attempt = 'stored')
-SELECT ev.event_id, en.content_hash AS cached_hash, round(greatest((ev.at - en.at) / 3.6e9, 0), 4) AS age_hours,
-  CASE WHEN en.at IS NULL THEN 'miss' WHEN (ev.at - en.at) / 3.6e9 < 24 THEN 'hit' WHEN (ev.at - en.at) / 3.6e9 <= 168 THEN 'stale' ELSE 'expired' END AS class
-FROM ev ASOF LEFT JOIN en ON ev.url = en.url AND ev.at >= en.at""",
+    f"""WITH {EVENTS}, en AS (SELECT url, "at", content_hash FROM ev WHERE attempt = 'stored')
+SELECT ev.event_id, en.content_hash AS cached_hash, round((ev."at" - en."at") / 3.6e9, 4) AS age_hours,
+  CASE WHEN en."at" IS NULL THEN 'miss' WHEN (ev."at" - en."at") / 3.6e9 < 24 THEN 'hit' WHEN (ev."at" - en."at") / 3.6e9 <= 168 THEN 'stale' ELSE 'expired' END AS class
+FROM ev ASOF LEFT JOIN en ON ev.url = en.url AND ev."at" >= en.at""",
 )
 def cache_lookup(spark, sf):
     """The last stored page at or before every event, by age class."""
@@ -119,7 +119,7 @@ def cache_lookup(spark, sf):
     return joined.withColumn("age", age).select(
         "event_id",
         F.col("held.content_hash").alias("cached_hash"),
-        F.round(F.when(F.col("held").isNotNull(), F.col("age")), 4).alias("age_hours"),
+        F.round("age", 4).alias("age_hours"),
         F.when(F.col("held").isNull(), "miss")
         .when(F.col("age") < 24, "hit")
         .when(F.col("age") <= 168, "stale")
@@ -128,10 +128,10 @@ def cache_lookup(spark, sf):
     )
 
 
-_OUT = f"""{EVENTS}, oc AS (SELECT url, at, seq, CASE WHEN attempt IN ('stored', 'not_modified') THEN 'ok' ELSE attempt END AS outcome,
+_OUT = f"""{EVENTS}, oc AS (SELECT url, "at", seq, CASE WHEN attempt IN ('stored', 'not_modified') THEN 'ok' ELSE attempt END AS outcome,
    attempt || ' at last' AS reason, CASE WHEN attempt = 'blocked' THEN CASE WHEN seq % 2 = 0 THEN 403 ELSE 429 END WHEN attempt = 'stored' THEN 200 END AS status FROM ev),
-la AS (SELECT url, arg_max(outcome, (at, seq)) AS outcome, arg_max(reason, (at, seq)) AS reason, max(at) AS at, arg_max(seq, (at, seq)) AS seq FROM oc GROUP BY url),
-ss AS (SELECT url, arg_max(status, (at, seq)) AS status FROM oc WHERE status IS NOT NULL GROUP BY url),
+la AS (SELECT url, arg_max(outcome, ("at", seq)) AS outcome, arg_max(reason, ("at", seq)) AS reason, max("at") AS "at", arg_max(seq, ("at", seq)) AS seq FROM oc GROUP BY url),
+ss AS (SELECT url, arg_max(status, ("at", seq)) AS status FROM oc WHERE status IS NOT NULL GROUP BY url),
 le AS (SELECT la.*, status FROM la LEFT JOIN ss USING (url))"""
 
 
@@ -153,7 +153,7 @@ def _ledger(spark, sf):
 
 @query(
     "ledger",
-    f"""WITH {_OUT} SELECT url, outcome, status::BIGINT AS status, at, outcome = 'blocked' AND coalesce(status IN (401, 403), false) AS persistent,
+    f"""WITH {_OUT} SELECT url, outcome, status::BIGINT AS status, "at", outcome = 'blocked' AND coalesce(status IN (401, 403), false) AS persistent,
   'u (' || url || ') could not be used: ' || reason AS sentence FROM le""",
 )
 def ledger(spark, sf):
@@ -174,7 +174,7 @@ def ledger(spark, sf):
 @query(
     "failure_rollup",
     f"""WITH {_OUT}, h AS (SELECT *, 'h' || (substring(url, 2)::INT % 20) AS host FROM le WHERE outcome <> 'ok')
-SELECT host, 'unreadable' AS kind, arg_min(reason, (at, seq)) AS reason FROM h WHERE outcome <> 'disallowed' GROUP BY host
+SELECT host, 'unreadable' AS kind, arg_min(reason, ("at", seq)) AS reason FROM h WHERE outcome <> 'disallowed' GROUP BY host
 UNION ALL SELECT DISTINCT host, 'skipped', reason FROM h WHERE outcome = 'disallowed'
 UNION ALL SELECT DISTINCT host, 'inaccessible', '' FROM h WHERE outcome = 'blocked'
 UNION ALL SELECT host, 'refused', url FROM h WHERE outcome = 'blocked' AND status IN (401, 403)""",
@@ -235,10 +235,10 @@ def pacing(spark, sf):
 
 @query(
     "corridor_reuse",
-    """WITH e AS (SELECT event_id, user_id AS k, epoch_us(ts) AS at, event_type FROM events),
-s AS (SELECT k, at, event_id FROM e WHERE event_type = 'purchase'), r AS (SELECT * FROM e WHERE event_type <> 'purchase'),
-j AS (SELECT r.event_id, r.at, s.at AS sat, s.event_id AS stored_id FROM r ASOF LEFT JOIN s ON r.k = s.k AND r.at >= s.at)
-SELECT event_id, stored_id, coalesce((at - sat) / 3.6e9 < 504, false) AS reused, coalesce((at - sat) / 3.6e9 < 24, false) AS policy_reused FROM j""",
+    """WITH e AS (SELECT event_id, user_id AS k, epoch_us(ts) AS "at", event_type FROM events),
+s AS (SELECT k, "at", event_id FROM e WHERE event_type = 'purchase'), r AS (SELECT * FROM e WHERE event_type <> 'purchase'),
+j AS (SELECT r.event_id, r."at", s."at" AS sat, s.event_id AS stored_id FROM r ASOF LEFT JOIN s ON r.k = s.k AND r."at" >= s."at")
+SELECT event_id, stored_id, coalesce(("at" - sat) / 3.6e9 < 504, false) AS reused, coalesce(("at" - sat) / 3.6e9 < 24, false) AS policy_reused FROM j""",
 )
 def corridor_reuse(spark, sf):
     """Requests that reuse a stored corridor (504 h) or a stored policy (24 h)."""
@@ -266,9 +266,14 @@ def newest_runs(spark, sf):
     return fr.newest(rows, ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "outcome")
 
 
-@query("cache_stream")
+@query(
+    "cache_stream",
+    f"""WITH RECURSIVE {_FOLD}
+SELECT event_id, url, attempt, result, CASE WHEN result IN ('fetched', 'revalidated') THEN "at" WHEN result IN ('hit', 'stale') THEN h_at END AS served_at,
+  CASE WHEN result = 'fetched' THEN content_hash WHEN result <> 'failure' THEN held_hash END AS served_hash FROM rs""",
+)
 def cache_stream(spark, sf):
-    """J3 as a stream: the same fold by keyed state (equality with the batch is tested)."""
+    """J3 as a stream: the same fold by keyed state."""
     from provenir.streaming.cache_stream import replay
 
     return replay(spark, observations(spark, sf))

@@ -15,5 +15,7 @@ def content_hash(text: Column) -> Column:
 
 
 def age_hours(since: Column, now: Column) -> Column:
-    """Hours between two timestamps, never negative."""
-    return F.greatest((F.unix_micros(now) - F.unix_micros(since)) / F.lit(3.6e9), F.lit(0.0))
+    """Hours between two timestamps, never negative; null when either is missing."""
+    hours = (F.unix_micros(now) - F.unix_micros(since)) / F.lit(3.6e9)
+    # greatest() skips nulls, which would turn a missing time into age zero.
+    return F.when(hours.isNotNull(), F.greatest(hours, F.lit(0.0)))

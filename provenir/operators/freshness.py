@@ -297,7 +297,7 @@ def reuse(
 ) -> DataFrame:
     """Add ``reused``: a stored answer younger than ``hours`` exists when the request comes."""
     joined = as_of(requests, stored, by, at, tie, "_held", int(hours * HOUR))
-    age = F.greatest((F.col(at) - F.col(f"_held.{at}")) / F.lit(float(HOUR)), F.lit(0.0))
+    age = (F.col(at) - F.col(f"_held.{at}")) / F.lit(float(HOUR))
     return joined.withColumn("age_hours", age).withColumn(
         "reused", F.coalesce(F.col("age_hours") < hours, F.lit(False))
     ).drop("_held")

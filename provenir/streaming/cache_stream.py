@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,10 @@ class CacheFold(StatefulProcessor):
                 result = "stale"
             else:
                 result, served = "failure", (None, None)
-            yield Row(row.event_id, key[0], row.attempt, result, served[0], served[1])
+            yield Row(
+                event_id=row.event_id, url=key[0], attempt=row.attempt, result=result,
+                served_at=served[0], served_hash=served[1],
+            )
         if (at, digest) != before:
             self.state.update((at, digest))
 
@@ -76,52 +80,42 @@ def fold_stream(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for stream files: under the cluster's checkpoint folder, else a test's own."""
+    """Folder for stream files: the cluster's checkpoint folder, else a test's own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp") if named is None else named
+    return named or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
 
 
-def replay(spark: SparkSession, observations: DataFrame, batches: int = 3) -> DataFrame:
-    """Run stored observations through the stream, oldest files first, and read the result."""
-    from uuid import uuid4
+def write_results(results: DataFrame, folder: str, epoch: int) -> None:
+    """Idempotent sink: a repeated micro-batch replaces its own output."""
+    results.write.mode("overwrite").parquet(f"{folder}/batch={epoch}")
 
-    base = f"{shared_folder(spark)}/replay-{uuid4().hex}"
-    rows = observations.select(
-        "event_id", "url", "at", F.col("seq").cast("long").alias("seq"), "attempt", "content_hash"
-    )
-    bounds = rows.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
-    width = max((bounds["hi"] - bounds["lo"]) // batches + 1, 1)
-    part = F.least(F.floor((F.col("at") - bounds["lo"]) / width), F.lit(batches - 1)).cast("int")
-    cut = rows.withColumn("part", part)
-    cut.write.partitionBy("part").parquet(f"{base}/in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    for number in range(batches):
-        # One directory per batch, so that time only moves forward from run to run.
-        source = spark.readStream.schema(INPUT).parquet(f"{base}/in/part={number}")
-        writer = fold_stream(source).writeStream.foreachBatch(
-            lambda df, epoch, n=number: df.write.mode("overwrite").parquet(f"{base}/out/run={n}/batch={epoch}")
-        )
-        del writer
-        break
-    return _run(spark, base, batches)
-
-
-def _run(spark: SparkSession, base: str, batches: int) -> DataFrame:
-    import re
 
-    source = (
-        spark.readStream.schema(INPUT)
-        .option("maxFilesPerTrigger", 1_000)
-        .parquet(*[f"{base}/in"])
-    )
-    del re
+def run_available(spark: SparkSession, source: str, target: str, state: str) -> None:
+    """Fold everything new under ``source`` and stop; state and progress stay under ``state``."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    arriving = spark.readStream.schema(INPUT).parquet(source)
     query = (
-        fold_stream(source)
+        fold_stream(arriving)
         .writeStream.outputMode("update")
-        .option("checkpointLocation", f"{base}/state")
-        .foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{base}/out/batch={epoch}"))
+        .option("checkpointLocation", state)
+        .foreachBatch(lambda df, epoch: write_results(df, target, epoch))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(OUTPUT).parquet(f"{base}/out/batch=*")
+
+
+def replay(spark: SparkSession, observations: DataFrame, slices: int = 3) -> DataFrame:
+    """Feed stored observations to the stream in time slices, and read what it wrote."""
+    base = f"{shared_folder(spark)}/replay-{uuid4().hex}"
+    rows = observations.select(
+        "event_id", "url", "at", F.col("seq").cast("long").alias("seq"), "attempt", "content_hash"
+    )
+    bounds = rows.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
+    width = max((bounds["hi"] - bounds["lo"]) // slices + 1, 1)
+    for number in range(slices):
+        start = bounds["lo"] + number * width
+        slice_ = rows.filter((F.col("at") >= start) & (F.col("at") < start + width))
+        slice_.write.mode("append").parquet(f"{base}/in")
+        run_available(spark, f"{base}/in", f"{base}/out", f"{base}/state")
+    return spark.read.schema(OUTPUT).option("recursiveFileLookup", True).parquet(f"{base}/out")
