@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provenir.functions import urls
 from provenir.params import ROLES, Lexicon
+from provenir.session import cut_lineage, small_table
 
 LANGS = ["de", "en", "es", "fr"]
 DENIED = [
@@ -101,17 +102,20 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
 
     rows = pages(spark, sf)
     lang = lang_of(F.col("url"))
-    return rows.select(
-        lang.alias("query"),
-        lang_seq(lang).alias("query_seq"),
-        F.col("page_id").alias("rank"),
-        "url",
-        page_title(F.col("html")).alias("title"),
+    # Written once: hits are a narrow table that the page markup is read for a single time.
+    return cut_lineage(
+        rows.select(
+            lang.alias("query"),
+            lang_seq(lang).alias("query_seq"),
+            F.col("page_id").alias("rank"),
+            "url",
+            page_title(F.col("html")).alias("title"),
+        )
     )
 
 
 def denylist(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DENIED, "domain string, category string")
+    return small_table(spark, DENIED, "domain string, category string")
 
 
 def countries(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,10 +163,12 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
     from provenir.operators.pages import links_of, page_title
 
     rows = pages(spark, sf)
-    return rows.select(
+    found = rows.select(
         "page_id",
         F.col("url").alias("src_page"),
         page_title(F.col("html")).alias("page_heading"),
         lang_of(F.col("url")).alias("lang"),
         F.inline(links_of(F.col("html"), F.col("url"))),
-    ).withColumn("host", urls.host(F.col("url")))
+    )
+    # Written once, as a crawl would: the joins below read narrow rows, never the markup again.
+    return cut_lineage(found.withColumn("host", urls.host(F.col("url"))))

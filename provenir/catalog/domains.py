@@ -11,7 +11,7 @@ from provenir.operators import roles as rl
 from provenir.operators import trust
 from provenir.operators.large_groups import number_rows
 from provenir.operators.ranking import entry_points, first_of, first_seen
-from provenir.session import cut_lineage
+from provenir.session import cut_lineage, small_table
 from provenir.params import KIND_HINTS, MACHINE_HOST_LABELS, MACHINE_SEGMENTS
 
 P = sql.PAGES
@@ -130,8 +130,8 @@ reg AS (SELECT code, coalesce(trusted, '') AS trusted, coalesce(reviewed, '') AS
 def _registry(spark, sf):
     rows = demo.hits(spark, sf).withColumn("code", F.col("query"))
     rows = rows.withColumn("query", F.substring_index(urls.host(F.col("url")), ".", 1))
-    tlds = spark.createDataFrame(list(demo.TLDS_OF.items()), "code string, tlds array<string>")
-    reviewed = spark.createDataFrame(
+    tlds = small_table(spark, list(demo.TLDS_OF.items()), "code string, tlds array<string>")
+    reviewed = small_table(spark, 
         demo.REVIEWED, "code string, domain string, evidence string, seq int"
     )
     pattern = r"(^|\.)th[a-z]+\.(net|com|org)$"
@@ -292,7 +292,7 @@ SELECT page_id, pos, trusted,
 def crawlable(spark, sf):
     """Links that may be fetched."""
     rows = demo.links(spark, sf)
-    domains = spark.createDataFrame([(d,) for d in demo.TRUSTED], "domain string")
+    domains = small_table(spark, [(d,) for d in demo.TRUSTED], "domain string")
     flagged = trust.flag_within(rows, "host", domains, "trusted")
     return flagged.select(
         "page_id",

@@ -11,6 +11,7 @@ from provenir.operators.large_groups import paced_starts
 from provenir.operators.ranking import first_n
 from provenir.operators.trust import flag_within
 from provenir.params import SETTLED_REFUSALS
+from provenir.session import small_table
 
 EVENTS = """ev AS (SELECT event_id, 'u' || user_id AS url, epoch_us(ts) AS "at", event_id AS seq, event_type,
   CASE WHEN event_type = 'view' THEN 'not_modified' WHEN event_type IN ('click', 'purchase') THEN 'stored'
@@ -212,7 +213,7 @@ def crawl_outcome(spark, sf):
         F.when((kind == "purchase") & (value < 3), "application/json").alias("content_type"),
         F.when((kind == "click") & (value < 1), " ").otherwise("text").alias("body"),
     )
-    trusted = spark.createDataFrame([("ok.net",)], "domain string")
+    trusted = small_table(spark, [("ok.net",)], "domain string")
     hosted = rows.withColumn("host", urls.host(F.col("final_url")))
     flagged = flag_within(hosted, "host", trusted, "landing_trusted")
     return fr.crawl_outcome(flagged).select("event_id", "outcome")

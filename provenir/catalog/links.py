@@ -10,6 +10,7 @@ from provenir.operators import expansion, lexicon as lx, policies as pol
 from provenir.operators import pages as pg
 from provenir.operators.ranking import first_of, host_budget, next_wave
 from provenir.params import LIMITS
+from provenir.session import cut_lineage, small_table
 
 P = sql.PAGES
 
@@ -409,6 +410,7 @@ def forward_chain(spark, sf):
             F.lit("https://c"), (F.col("o_custkey") % 10).cast("string"), F.lit(".shop.net/o/"), key.cast("string")
         ).alias("url"),
     )
+    orders = cut_lineage(orders)
     following = orders.select((key - 1).alias("o_orderkey"), F.col("url").alias("target"))
     away = F.concat(F.lit("https://elsewhere.org/"), key.cast("string"))
     forwards = (
@@ -416,8 +418,8 @@ def forward_chain(spark, sf):
         .join(following, "o_orderkey")
         .select("url", F.when(key % 17 == 0, away).otherwise(F.col("target")).alias("target"))
     )
-    trusted = spark.createDataFrame([("shop.net",)], "domain string")
-    bodies = spark.createDataFrame(
+    trusted = small_table(spark, [("shop.net",)], "domain string")
+    bodies = small_table(spark, 
         [("https://c3.shop.net", 200, 30, "User-agent: *\nDisallow: /")],
         "origin string, status int, bytes long, body string",
     )

@@ -9,7 +9,7 @@ from provenir.functions import text as tx, urls
 from provenir.operators import audit, lexicon as lx, ranking as rk, roles as rl, scoring as sc
 from provenir.operators.trust import within
 from provenir.params import LOAD_BEARING_ROLES, REPORTED_ROLES, ROLES
-from provenir.session import cut_lineage
+from provenir.session import cut_lineage, small_table
 
 LX = demo.LEXICON
 _ROLE = "list_position([" + sql.strings(ROLES) + "], role)"
@@ -199,7 +199,7 @@ def readable_shortlist(spark, sf):
     )
     refused = last.filter(F.col("outcome") == "error")
     blocked = docs.join(refused, "user_id", "left_semi").select("url").distinct()
-    dead = spark.createDataFrame([("src3.org",), ("src7.org",)], "host string")
+    dead = small_table(spark, [("src3.org",), ("src7.org",)], "host string")
     return rk.readable_only(docs, blocked, dead).select("doc_id", "url")
 
 
@@ -236,7 +236,7 @@ def corridor_results(spark, sf):
     """One row per corridor, refused ones included."""
     scores = _combined(spark, sf).withColumn("signals", F.array("role"))
     corridors = scores.select("corridor").distinct()
-    corridors = corridors.unionByName(spark.createDataFrame([("zz",)], "corridor string"))
+    corridors = corridors.unionByName(small_table(spark, [("zz",)], "corridor string"))
     by = ["corridor"]
     won = rl.best_per_role(scores, by, 45.0)
     sources = rl.assign_roles(scores, by, ROLES, 45.0)

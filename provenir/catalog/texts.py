@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from provenir.catalog import demo, query, sql
-from provenir.functions import keys, text as tx, urls
+from provenir.functions import keys, text as tx
 from provenir.operators import excerpts as ex, lexicon as lx, pages as pg
 from provenir.params import CHROME_ELEMENTS, PLACEHOLDER_LINE, ROLES
 
@@ -92,10 +92,7 @@ def mention_windows(spark, sf):
     pattern = ex.mention_pattern(TERMS)
     head = F.least(F.lit(100), F.length(text)).cast("int")
     first = F.struct(F.lit(0).alias("s"), head.alias("e"))
-    spans = urls.let(
-        ex.mentions(text, pattern, head),
-        lambda found: ex.merged_windows(found, F.length(text), F.lit(40), first),
-    )
+    spans = ex.windows(text, pattern, head, F.lit(40), first)
     return docs.select("doc_id", F.inline(spans)).select(
         "doc_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e")
     )

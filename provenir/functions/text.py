@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html.entities
+import json
 import re
 
 from pyspark.sql import Column
@@ -14,6 +15,18 @@ from provenir.params import LIMITS, PLACEHOLDER_LINE
 WORD_EDGE = r"[^\p{L}\p{N}_]"
 
 
+def texts(items: list[str]) -> Column:
+    """An array literal of any length as one expression (folded to a constant by the optimizer)."""
+    if not items:
+        return F.array().cast("array<string>")
+    return F.split(F.lit("\x01".join(items)), "\x01")
+
+
+def rows(items: list[dict], schema: str) -> Column:
+    """An array of structs as one expression (folded to a constant by the optimizer)."""
+    return F.from_json(F.lit(json.dumps(items)), f"array<struct<{schema}>>")
+
+
 def contains_phrase(text: Column, phrase: Column) -> Column:
     return F.contains(F.lower(text), F.lower(phrase))
 
@@ -34,7 +47,7 @@ def matching(text: Column, phrases: list[str]) -> Column:
 
     The vocabulary is a literal, so one scan of the text tests all phrases without a join.
     """
-    listed = F.array(*[F.lit(p.lower()) for p in phrases]).cast("array<string>")
+    listed = texts([p.lower() for p in phrases])
     return let(text, lambda t: F.filter(listed, lambda p: F.contains(t, p)))
 
 
@@ -76,8 +89,7 @@ def decode_entities(text: Column) -> Column:
     """Named (HTML 4 set, taken from the standard library) and numeric character references."""
     known = sorted(html.entities.name2codepoint.items()) + [("apos", 39)]
     named = F.map_from_arrays(
-        F.split(F.lit(" ".join(name for name, _ in known)), " "),
-        F.split(F.lit("\x01".join(chr(point) for _, point in known)), "\x01"),
+        texts([name for name, _ in known]), texts([chr(point) for _, point in known])
     )
 
     def code_point(number: Column) -> Column:

@@ -16,6 +16,10 @@ from provenir.params import (
 
 # RFC 3986 appendix B, groups: scheme, authority (with slashes), authority, path, query.
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+_HOST = (
+    r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*?)\.*(?::[0-9]*)?"
+    r"(?:[/?#].*)?$"
+)
 # Characters a URL path or query carries unescaped, as runs, or one character to be escaped.
 _PIECES = r"(?s)[!$-;=@-_a-z|~]+|."
 
@@ -134,8 +138,7 @@ def canonical_url(url: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Lower-case host without user, port and trailing dots; empty when there is none."""
-    name = F.regexp_replace(F.lower(authority(url)), r"^[^@]*@", "")
-    return F.rtrim(F.regexp_replace(name, r":[0-9]*$", ""), F.lit("."))
+    return F.lower(F.regexp_extract(url, _HOST, 1))
 
 
 def segments(url: Column) -> Column:

@@ -19,78 +19,46 @@ def mention_pattern(terms: list[str]) -> str:
     long_ = sorted({re.escape(t.lower()) for t in cleaned if len(t) > 3})
     short = sorted({re.escape(t.upper()) for t in cleaned if len(t) <= 3})
     options = ([f"(?iu:{'|'.join(long_)})"] if long_ else []) + short
-    return rf"(?U)\b(?:{'|'.join(options)})\b" if options else r"(?!)"
+    if not options:
+        return r"(?!)"
+    # The look-ahead on the first letter spares most positions the costly word-boundary test.
+    first = sorted({re.escape(t[0]) for t in cleaned})
+    return rf"(?U)(?=(?iu:[{''.join(first)}]))\b(?:{'|'.join(options)})\b"
 
 
-def mentions(text: Column, pattern: Column | str, start: Column) -> Column:
-    """Offsets of the mentions at or after ``start``, as an array of (s, e)."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+def _pieces(text: Column, pattern: Column, start: Column) -> Column:
+    """The text from ``start`` on, cut into gap, mention, gap, mention, …, gap.
+
+    One pass marks the mentions and a cheap split cuts at the marks. The character before the
+    start only decides whether a word begins there.
+    """
     before = text.substr(start, F.lit(1))
-    # The character before the start only decides whether a word begins there.
     edge = F.when(start == 0, "").when(before.rlike(r"(?U)\w"), "_").otherwise(" ")
-    tail = F.concat(edge, text.substr(start + 1, F.length(text)))
-    shift = start - F.length(edge)
-
-    def offsets(cut: Column, hits: Column) -> Column:
-        rows = F.arrays_zip(
-            F.slice(cut, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit")
-        )
-        walked = F.aggregate(
-            rows,
-            F.struct(shift.cast("int").alias("at"), F.array().cast(_SPANS).alias("found")),
-            lambda acc, r: F.struct(
-                (acc["at"] + F.length(r["gap"]) + F.length(r["hit"])).cast("int").alias("at"),
-                F.array_append(
-                    acc["found"],
-                    F.struct(
-                        (acc["at"] + F.length(r["gap"])).cast("int").alias("s"),
-                        (acc["at"] + F.length(r["gap"]) + F.length(r["hit"])).cast("int").alias("e"),
-                    ),
-                ).alias("found"),
-            ),
-        )
-        return walked["found"]
-
-    return let(
-        tail,
-        lambda t: let(
-            F.regexp_extract_all(t, pattern, F.lit(0)),
-            lambda hits: let(F.split(t, pattern, -1), lambda cut: offsets(cut, hits)),
-        ),
-    )
-
-
-def merged_windows(found: Column, length: Column, half: Column, first: Column) -> Column:
-    """Spans of ``half`` around every mention, merged where they touch, after the span ``first``."""
-
-    def widen(acc: Column, m: Column) -> Column:
-        s = F.greatest(m["s"] - half, F.lit(0)).cast("int")
-        e = F.least(m["e"] + half, length).cast("int")
-        last = F.element_at(acc, -1)
-        joined = F.array_append(
-            F.slice(acc, F.lit(1), F.size(acc) - 1),
-            F.struct(last["s"].alias("s"), F.greatest(last["e"], e).alias("e")),
-        )
-        return F.when(s <= last["e"], joined).otherwise(
-            F.array_append(acc, F.struct(s.alias("s"), e.alias("e")))
-        )
-
-    return F.aggregate(found, F.array(first).cast(_SPANS), widen)
-
-
-def _total(spans: Column) -> Column:
-    return F.aggregate(spans, F.lit(0), lambda acc, s: acc + s["e"] - s["s"])
-
-
-def _until(found: Column, length: Column, half: Column, first: Column, budget: Column) -> Column:
-    """As ``merged_windows``, taking no further mention once the spans fill the budget.
-
-    The head span alone never stops it: the first mention is always looked at.
+    tail = F.replace(F.concat(edge, text.substr(start + 1, F.length(text))), F.lit("\x01"), F.lit(" "))
+    return F.split(F.regexp_replace(tail, pattern, F.lit("\x01$0\x01")), "\x01")
+
+
+def windows(
+    text: Column,
+    pattern: Column | str,
+    start: Column,
+    half: Column,
+    first: Column,
+    budget: Column | None = None,
+) -> Column:
+    """Spans of ``half`` around every mention from ``start`` on, merged where they touch.
+
+    ``first`` is the span before them. With a budget no further mention is taken once the spans
+    fill it; the first mention is always looked at.
     """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    shift = F.when(start == 0, 0).otherwise(start - 1).cast("int")
 
-    def widen(acc: Column, m: Column) -> Column:
-        s = F.greatest(m["s"] - half, F.lit(0)).cast("int")
-        e = F.least(m["e"] + half, length).cast("int")
+    def step(acc: Column, piece: Column, length: Column) -> Column:
+        at = acc["at"]
+        end_of = (at + F.length(piece)).cast("int")
+        s = F.greatest(at - half, F.lit(0)).cast("int")
+        e = F.least(end_of + half, length).cast("int")
         last = F.element_at(acc["spans"], -1)
         grown = F.greatest(last["e"], e)
         touches = s <= last["e"]
@@ -101,21 +69,36 @@ def _until(found: Column, length: Column, half: Column, first: Column, budget: C
                 F.struct(last["s"].alias("s"), grown.alias("e")),
             ),
         ).otherwise(F.array_append(acc["spans"], F.struct(s.alias("s"), e.alias("e"))))
-        used = acc["used"] + F.when(touches, grown - last["e"]).otherwise(e - s)
-        return F.when(acc["full"], acc).otherwise(
-            F.struct(
-                spans.alias("spans"),
-                used.cast("int").alias("used"),
-                (used >= budget).alias("full"),
-            )
+        used = (acc["used"] + F.when(touches, grown - last["e"]).otherwise(e - s)).cast("int")
+        full = F.lit(False) if budget is None else used >= budget
+        gap = F.struct(
+            end_of.alias("at"), F.lit(True).alias("hit"), acc["used"].alias("used"),
+            acc["full"].alias("full"), acc["spans"].alias("spans"),
+        )
+        mention = F.struct(
+            end_of.alias("at"), F.lit(False).alias("hit"), used.alias("used"),
+            full.alias("full"), spans.alias("spans"),
         )
+        return F.when(acc["full"], acc).when(acc["hit"], mention).otherwise(gap)
 
-    start = F.struct(
-        F.array(first).cast(_SPANS).alias("spans"),
+    begin = F.struct(
+        shift.alias("at"),
+        F.lit(False).alias("hit"),
         (first["e"] - first["s"]).cast("int").alias("used"),
         F.lit(False).alias("full"),
+        F.array(first).cast(_SPANS).alias("spans"),
+    )
+    # The length is bound first: inside the fold it would be counted again at every step.
+    return let(
+        F.length(text),
+        lambda n: F.aggregate(
+            _pieces(text, pattern, start), begin, lambda acc, piece: step(acc, piece, n)
+        )["spans"],
     )
-    return F.aggregate(found, start, widen)["spans"]
+
+
+def _total(spans: Column) -> Column:
+    return F.aggregate(spans, F.lit(0), lambda acc, s: acc + s["e"] - s["s"])
 
 
 def excerpt(text: Column, pattern: Column | str, budget: int, head: int, window: int) -> Column:
@@ -167,19 +150,15 @@ def excerpt(text: Column, pattern: Column | str, budget: int, head: int, window:
         end = F.when(F.element_at(spans, -1)["e"] < length, F.lit(GAP_MARK)).otherwise("")
         return F.concat(F.array_join(F.transform(spans, piece), ""), end)
 
-    def build(t: Column) -> Column:
-        length = F.length(t)
+    def build(t: Column, length: Column) -> Column:
         head_end = F.least(F.lit(max(min(head, budget), 0)), length).cast("int")
         half = F.lit(max(min(window, budget - max(min(head, budget), 0)) // 2, 0))
         first = F.struct(F.lit(0).alias("s"), head_end.alias("e"))
-        spans = let(
-            mentions(t, pattern, head_end),
-            lambda found: _until(found, length, half, first, total),
-        )
+        spans = windows(t, pattern, head_end, half, first, total)
         shaped = let(let(spans, trim), lambda kept: grow(kept, length))
         return F.when(length <= budget, t).otherwise(let(shaped, lambda s: emit(t, s, length)))
 
-    return let(text, build)
+    return let(text, lambda t: let(F.length(t), lambda n: build(t, n)))
 
 
 def candidate_packets(

@@ -8,6 +8,8 @@ written to the checkpoint folder before the next one reads it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,22 +31,27 @@ def expand_links(
     per_host: int = LIMITS.pages_per_host,
     follow: float = LIMITS.follow_score,
     is_document: Column | None = None,
+    judge: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(visited, candidates).
 
-    ``seeds``: by, url, host. ``links``: by, src, url, host, score, seq (already on trusted hosts
-    and not rejected). ``budgets``: by, budget — pages one host may take, else ``per_host``.
-    ``is_document`` marks links that are candidates but are never followed (PDFs).
+    ``seeds``: by, url, host. ``links``: src, url, host, seq, any link columns, and ``by`` unless
+    all groups share one web graph. ``judge`` scores and filters the links met at one level (it
+    adds ``score`` and drops what is rejected or off the trusted hosts), so only links of visited
+    pages are ever scored; without it ``links`` carries ``score``. ``budgets``: by, budget — pages
+    one host may take, else ``per_host``. ``is_document`` marks links that are candidates but are
+    never followed (PDFs).
     """
     keys = [*by, "url"]
-    no_follow = F.lit(False) if is_document is None else is_document
-    edges = links.withColumn("_leaf", no_follow)
+    leaf = F.lit(False) if is_document is None else is_document
+    shared = [c for c in by if c in links.columns]
     visited = None
     candidates = None
     frontier = seeds.select(*keys, "host", F.lit(1000.0).alias("score"))
     for level in range(depth + 1):
-        room = frontier
-        if visited is not None:
+        if visited is None:
+            room = frontier.withColumn("_spent", F.lit(0)).withColumn("_host_spent", F.lit(0))
+        else:
             spent = visited.groupBy(*by).agg(F.count("*").alias("_spent"))
             host_spent = visited.groupBy(*by, "host").agg(F.count("*").alias("_host_spent"))
             room = (
@@ -52,8 +59,6 @@ def expand_links(
                 .join(spent, by, "left")
                 .join(host_spent, [*by, "host"], "left")
             )
-        else:
-            room = room.withColumn("_spent", F.lit(0)).withColumn("_host_spent", F.lit(0))
         limit = F.lit(per_host)
         if budgets is not None:
             room = room.join(budgets.select(*by, "budget"), by, "left")
@@ -71,9 +76,10 @@ def expand_links(
         if level == depth:
             break
         here = visited.filter(F.col("depth") == level).select(*by, F.col("url").alias("src"))
-        found = edges.join(here, [*by, "src"]).select(
-            *keys, "host", "score", "seq", "_leaf", F.lit(level + 1).alias("depth")
-        )
+        met = links.drop("depth").join(here, [*shared, "src"])
+        met = met.withColumn("depth", F.lit(level + 1))
+        met = met if judge is None else judge(met)
+        found = met.withColumn("_leaf", leaf).drop("src")
         best = first_of(
             found if candidates is None else candidates.unionByName(found),
             keys,
@@ -99,38 +105,33 @@ def follow_forwards(
     the crawl policy, before it is followed; a chain still forwarding after the last hop is
     unusable.
     """
-    current = pages.withColumn("final_url", F.col("url")).withColumn("hops", F.lit(0)).withColumn(
-        "outcome", F.lit(None).cast("string")
+    hosted = forwards.withColumn("_host", F.coalesce(urls.host(F.col("target")), F.lit("")))
+    judged = pol.verdicts(flag_within(hosted, "_host", trusted, "_trusted"), policy_table, "target")
+    stop = F.when(~F.col("_trusted"), "untrusted").when(
+        F.col("policy") != "allowed", "disallowed"
+    )
+    # Every target is judged once; the hops are then plain joins on the judged table.
+    chain = cut_lineage(judged.select(F.col("url").alias("final_url"), "target", stop.alias("_stop")))
+    current = (
+        pages.withColumn("final_url", F.col("url"))
+        .withColumn("hops", F.lit(0))
+        .withColumn("outcome", F.lit(None).cast("string"))
     )
-    chain = forwards.select(F.col("url").alias("final_url"), "target")
     columns = current.columns
     for hop in range(hops + 1):
         ahead = current.join(chain, "final_url", "left")
         open_ = F.col("outcome").isNull() & F.col("target").isNotNull()
         if hop == hops:
-            current = ahead.withColumn(
-                "outcome", F.when(open_, "unusable").otherwise(F.col("outcome"))
-            ).select(*columns)
-            break
-        checked = flag_within(
-            ahead.withColumn("_host", F.coalesce(urls.host(F.col("target")), F.lit(""))),
-            "_host", trusted.withColumnRenamed("host", "domain"), "_trusted",
-        )
-        checked = pol.verdicts(
-            checked.withColumn("_target", F.coalesce("target", F.lit(""))), policy_table, "_target"
-        )
-        verdict = F.when(~F.col("_trusted"), "untrusted").when(
-            F.col("policy") != "allowed", "disallowed"
-        )
-        current = (
-            checked.withColumn("_open", open_)
-            .withColumn("_stop", F.when(F.col("_open"), verdict))
-            .withColumn("outcome", F.coalesce("outcome", "_stop"))
-            .withColumn("_go", F.col("_open") & F.col("_stop").isNull())
-            .withColumn("final_url", F.when(F.col("_go"), F.col("target")).otherwise(F.col("final_url")))
-            .withColumn("hops", F.col("hops") + F.col("_go").cast("int"))
-            .select(*columns)
-        )
+            current = ahead.withColumn("outcome", F.when(open_, "unusable").otherwise(F.col("outcome")))
+        else:
+            goes = open_ & F.col("_stop").isNull()
+            current = ahead.select(
+                *[c for c in columns if c not in ("final_url", "hops", "outcome")],
+                F.when(goes, F.col("target")).otherwise(F.col("final_url")).alias("final_url"),
+                (F.col("hops") + goes.cast("int")).alias("hops"),
+                F.when(open_, F.col("_stop")).otherwise(F.col("outcome")).alias("outcome"),
+            )
+        current = current.select(*columns)
     return current.withColumn("outcome", F.coalesce("outcome", F.lit("ok")))
 
 

@@ -10,6 +10,9 @@ from provenir.functions import urls
 from provenir.params import Lexicon
 
 
+MAX_TOKENS = 5_000
+
+
 def country_tokens(countries: DataFrame) -> DataFrame:
     """(code, name, seq, token): sorted distinct lower-case names, synonyms and demonyms."""
     listed = F.concat(F.array("name"), F.col("synonyms"), F.col("demonyms"))
@@ -17,6 +20,24 @@ def country_tokens(countries: DataFrame) -> DataFrame:
     return countries.select("code", "name", "seq", F.explode(tokens).alias("token"))
 
 
+def _phrase_hits(text: Column, phrases: list) -> Column:
+    """Names of several words that stand in the (lower-case) text as whole words."""
+    listed = tx.rows(
+        [{k: r[k] for k in ("token", "code", "name", "seq")} for r in phrases],
+        "token:string,code:string,name:string,seq:int",
+    )
+
+    def bounded(t: Column, r: Column) -> Column:
+        escaped = F.regexp_replace(r["token"], r"([\\.\[\]{}()+?^|$*])", r"\\$1")
+        return F.rlike(
+            t, F.concat(F.lit(f"(^|{tx.WORD_EDGE})"), escaped, F.lit(f"($|{tx.WORD_EDGE})"))
+        )
+
+    return urls.let(
+        text, lambda t: F.filter(listed, lambda r: F.contains(t, r["token"]) & bounded(t, r))
+    )
+
+
 def country_mentions(
     rows: DataFrame,
     keys: list[str],
@@ -28,22 +49,21 @@ def country_mentions(
     """Distinct (keys, code, name, seq) of the countries each row refers to.
 
     A token matches as whole words of the text, as a path segment or as a hyphen part of one, and
-    with ``by_host`` a host label matches too. Every test is an equality on a word: a token of
-    several words joins on its first word and is then confirmed in the text.
+    with ``by_host`` a host label matches too. One-word tokens are joined on the distinct words of
+    the text; the few names of several words are literals tested inside the row.
     """
-    tokens = country_tokens(countries).withColumn("_word", F.get(tx.words(F.col("token")), F.lit(0)))
     named = ["code", "name", "seq"]
-    in_text = rows.select(
-        *keys,
-        F.lower(text).alias("_text"),
-        F.explode(F.array_distinct(tx.words(F.col(text)))).alias("_word"),
-    ).join(tokens.filter(F.col("_word").isNotNull()), "_word")
-    escaped = F.regexp_replace("token", r"([\\.\[\]{}()+?^|$*])", r"\\$1")
-    bounded = F.concat(
-        F.lit(f"(^|{tx.WORD_EDGE})"), escaped, F.lit(f"($|{tx.WORD_EDGE})")
-    )
-    confirmed = (F.col("token") == F.col("_word")) | F.rlike(F.col("_text"), bounded)
-    found = in_text.filter(confirmed).select(*keys, *named)
+    tokens = country_tokens(countries)
+    single = F.col("token") == F.get(tx.words(F.col("token")), F.lit(0))
+    in_text = rows.select(*keys, F.explode(F.array_distinct(tx.words(F.col(text)))).alias("token"))
+    found = in_text.join(tokens.filter(single), "token").select(*keys, *named)
+    phrases = tokens.filter(~F.coalesce(single, F.lit(False))).limit(MAX_TOKENS + 1).collect()
+    if len(phrases) > MAX_TOKENS:
+        raise ValueError(f"countries have at most {MAX_TOKENS} names of several words")
+    if phrases:
+        found = found.unionByName(
+            rows.select(*keys, F.inline(_phrase_hits(F.lower(text), phrases))).select(*keys, *named)
+        )
     if url is not None:
         link = F.col(url)
         parts = F.flatten(
@@ -51,7 +71,7 @@ def country_mentions(
         )
         pieces = rows.select(*keys, F.explode(F.array_distinct(parts)).alias("token"))
         found = found.unionByName(
-            pieces.join(country_tokens(countries), "token").select(*keys, *named)
+            pieces.join(tokens, "token").select(*keys, *named)
         )
         if by_host:
             labels = rows.select(*keys, F.explode(F.split(urls.host(link), r"\.")).alias("label"))
@@ -76,7 +96,7 @@ def foreign_country(
 
 def is_archived(url: Column, tokens: list[str]) -> Column:
     """An archive segment, or a year from 1990 to 2024 as a whole segment."""
-    listed = F.array(*[F.lit(t) for t in tokens]).cast("array<string>")
+    listed = tx.texts(tokens)
     years = F.lit("^(199[0-9]|20[01][0-9]|202[0-4])$")
     return urls.let(
         urls.segments(url),
@@ -86,7 +106,7 @@ def is_archived(url: Column, tokens: list[str]) -> Column:
 
 def is_boilerplate(url: Column, tokens: list[str]) -> Column:
     return F.arrays_overlap(
-        urls.segments(url), F.array(*[F.lit(t) for t in tokens]).cast("array<string>")
+        urls.segments(url), tx.texts(tokens)
     )
 
 
@@ -136,7 +156,7 @@ def reject_links(
 
 def mission_in_path(url: Column, markers: list[str]) -> Column:
     """What follows a mission marker in the path: first segment, then first marker."""
-    prefixes = F.array(*[F.lit(m) for m in markers]).cast("array<string>")
+    prefixes = tx.texts(markers)
 
     def post(segment: Column) -> Column:
         hits = F.filter(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from provenir.functions import urls
 from provenir.params import LIMITS
+from provenir.session import broadcast_if_small, cut_lineage
 
 _RULES = "array<struct<precedence:int,allow:boolean,pattern:string,regex:string>>"
 
@@ -119,7 +120,7 @@ def policies(bodies: DataFrame, agent: str, maximum: int = LIMITS.policy_bytes)
             .alias("rules"),
         )
     )
-    return judged.select("origin", "state", "detail").join(ordered, "origin", "left")
+    return cut_lineage(judged.select("origin", "state", "detail").join(ordered, "origin", "left"))
 
 
 def _matches(path: Column, rule: Column) -> Column:
@@ -134,7 +135,10 @@ def verdicts(rows: DataFrame, table: DataFrame, url: str = "url") -> DataFrame:
     keyed = rows.withColumn("origin", urls.origin(F.col(url))).withColumn(
         "_path", urls.policy_path(F.col(url))
     )
-    joined = keyed.join(table, "origin", "left")
+    bytes_ = F.coalesce(
+        F.aggregate("rules", F.lit(0), lambda acc, r: acc + F.length(r["pattern"]) * 3 + 40), F.lit(0)
+    )
+    joined = keyed.join(broadcast_if_small(table, weight=bytes_), "origin", "left")
     governing = F.get(
         F.filter("rules", lambda r: _matches(F.col("_path"), r)), F.lit(0)
     )

@@ -28,23 +28,33 @@ def _some(items: list[Column]) -> Column:
     return F.array_compact(F.array(*items)) if items else F.array().cast(_TEXTS)
 
 
-def _link_role(role: str, lexicon: Lexicon, ctx: Column) -> Column:
-    """Sum of the weighted phrase hits of one role, in listed order, with their signals."""
+def _terms(lexicon: Lexicon, heaviest_first: bool = False) -> Column:
+    """The vocabulary as a constant: one entry per role with its terms."""
     w = lexicon.weights
-    terms = [(p.lower(), float(x)) for r, p, x in lexicon.terms if r == role]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(p).alias("p"),
-                F.lit(x).alias("w"),
-                F.lit(f"{x:g}").alias("url"),
-                F.lit(f"{x * w.link_text:g}").alias("text"),
-                F.lit(f"{x * w.heading:g}").alias("head"),
-            )
+    entries = []
+    for role in lexicon.roles:
+        terms = [(p.lower(), float(x)) for r, p, x in lexicon.terms if r == role]
+        if heaviest_first:
+            # The listed order decides among equals.
+            terms.sort(key=lambda term: -term[1])
+        rows = [
+            {
+                "p": p, "w": x, "plain": f"{x:g}",
+                "text": f"{x * w.link_text:g}", "head": f"{x * w.heading:g}",
+            }
             for p, x in terms
         ]
+        entries.append({"role": role, "terms": rows})
+    return tx.rows(
+        entries,
+        "role:string,terms:array<struct<p:string,w:double,plain:string,text:string,head:string>>",
     )
 
+
+def _link_base(lexicon: Lexicon, ctx: Column) -> Column:
+    """Per role the sum of its weighted phrase hits, in listed order, with their signals."""
+    w = lexicon.weights
+
     def in_url(t):
         return F.contains(ctx["u"], t["p"])
 
@@ -54,35 +64,32 @@ def _link_role(role: str, lexicon: Lexicon, ctx: Column) -> Column:
     def in_heading(t):
         return (ctx["heading"] != "") & F.contains(ctx["heading"], t["p"])
 
-    hits = F.filter(rows, lambda t: in_url(t) | in_label(t) | in_heading(t))
-    total = lambda found: F.aggregate(
-        found,
-        F.lit(0.0),
-        lambda acc, t: acc
-        + F.when(in_url(t), t["w"]).otherwise(0.0)
-        + F.when(in_label(t), t["w"] * w.link_text)
-        .when(in_heading(t), t["w"] * w.heading)
-        .otherwise(0.0),
-    )
-    reasons = lambda found: F.flatten(
-        F.transform(
-            found,
-            lambda t: F.array_compact(
-                F.array(
-                    F.when(in_url(t), F.concat(F.lit("url:"), t["p"], F.lit("+"), t["url"])),
-                    F.when(in_label(t), F.concat(F.lit("text:"), t["p"], F.lit("+"), t["text"])).when(
-                        in_heading(t), F.concat(F.lit("heading:"), t["p"], F.lit("+"), t["head"])
-                    ),
-                )
-            ),
+    def hits_of(t: Column) -> Column:
+        points = F.when(in_url(t), t["w"]).otherwise(0.0) + F.when(
+            in_label(t), t["w"] * w.link_text
+        ).when(in_heading(t), t["w"] * w.heading).otherwise(0.0)
+        reasons = F.array_compact(
+            F.array(
+                F.when(in_url(t), F.concat(F.lit("url:"), t["p"], F.lit("+"), t["plain"])),
+                F.when(in_label(t), F.concat(F.lit("text:"), t["p"], F.lit("+"), t["text"])).when(
+                    in_heading(t), F.concat(F.lit("heading:"), t["p"], F.lit("+"), t["head"])
+                ),
+            )
         )
+        return F.struct(points.alias("points"), reasons.alias("reasons"))
+
+    def total(entry: Column, hits: Column) -> Column:
+        return F.struct(
+            entry["role"].alias("role"),
+            F.aggregate(hits, F.lit(0.0), lambda acc, h: acc + h["points"]).alias("score"),
+            F.flatten(F.transform(hits, lambda h: h["reasons"])).alias("signals"),
+        )
+
+    scored = F.transform(
+        _terms(lexicon),
+        lambda entry: let(F.transform(entry["terms"], hits_of), lambda hits: total(entry, hits)),
     )
-    return let(
-        hits,
-        lambda found: F.struct(
-            F.lit(role).alias("role"), total(found).alias("score"), reasons(found).alias("signals")
-        ),
-    )
+    return F.filter(scored.cast(_SCORED), lambda r: r["score"] != 0)
 
 
 def _add(rows: Column, roles: list[str], when: Column, points, signal) -> Column:
@@ -122,16 +129,13 @@ def score_links(links: DataFrame, keys: list[str], lexicon: Lexicon) -> DataFram
 
     def first_hit(ctx: Column, phrases: list[str]) -> Column:
         """First phrase in the URL or in the anchor, in listed order."""
-        listed = F.array(*[F.lit(p.lower()) for p in phrases]).cast(_TEXTS)
+        listed = tx.texts([p.lower() for p in phrases])
         found = F.filter(listed, lambda p: F.contains(ctx["u"], p) | F.contains(ctx["anchor"], p))
         return F.get(found, F.lit(0))
 
     def build(ctx: Column) -> Column:
         purpose = F.col("purpose")
-        base = F.filter(
-            F.array(*[_link_role(role, lexicon, ctx) for role in lexicon.roles]).cast(_SCORED),
-            lambda r: r["score"] != 0,
-        )
+        base = _link_base(lexicon, ctx)
         topic = F.contains(ctx["u"], F.lit(lexicon.topic_word)) | F.contains(
             ctx["anchor"], F.lit(lexicon.topic_word)
         )
@@ -163,7 +167,7 @@ def score_links(links: DataFrame, keys: list[str], lexicon: Lexicon) -> DataFram
         form_hit = first_hit(ctx, lexicon.form)
         language_hit = F.get(
             F.filter(
-                F.array(*[F.lit(p) for p in lexicon.language]).cast(_TEXTS),
+                tx.texts([p.lower() for p in lexicon.language]),
                 lambda p: F.contains(ctx["anchor"], p),
             ),
             F.lit(0),
@@ -215,9 +219,8 @@ def score_links(links: DataFrame, keys: list[str], lexicon: Lexicon) -> DataFram
                         F.lit(f"pdf+{w.pdf_checklist:g}"))
 
         topical = let(let(base, with_topic), with_purpose_label)
-        finished = let(topical, lambda rows: let(with_shared(rows), with_mission))
         return let(
-            topical, lambda rows: F.when(F.size(rows) > 0, finished)
+            topical, lambda rows: F.when(F.size(rows) > 0, let(with_shared(rows), with_mission))
         )
 
     return links.select(*keys, F.inline(let(context, build)))
@@ -240,40 +243,36 @@ def score_bodies(pages: DataFrame, keys: list[str], lexicon: Lexicon) -> DataFra
         F.lower("title").alias("title"),
     )
 
-    def strongest(ctx: Column, role: str) -> Column:
-        terms = [(p.lower(), float(x)) for r, p, x in lexicon.terms if r == role]
-        # Heaviest first; the listed order decides among equals.
-        ordered = sorted(terms, key=lambda term: -term[1])
-        listed = F.array(
-            *[F.struct(F.lit(p).alias("p"), F.lit(x).alias("w"), F.lit(f"{x:g}").alias("t")) for p, x in ordered]
-        )
-        hits = F.filter(listed, lambda t: F.contains(ctx["hay"], t["p"]))
-
-        def row(found: Column) -> Column:
-            best = F.get(found, F.lit(0))
-            more = F.size(found) - 1
-            return F.when(
-                F.size(found) > 0,
-                F.struct(
-                    F.lit(role).alias("role"),
-                    best["w"].alias("score"),
-                    F.array_compact(
-                        F.array(
-                            F.concat(F.lit("body:"), best["p"], F.lit("+"), best["t"]),
-                            F.when(more > 0, F.format_string("(%d more phrasings, not added)", more)),
-                        )
-                    ).alias("signals"),
-                ),
+    def strongest(entry: Column, found: Column) -> Column:
+        best = F.get(found, F.lit(0))
+        more = F.size(found) - 1
+        signals = F.array_compact(
+            F.array(
+                F.concat(F.lit("body:"), best["p"], F.lit("+"), best["plain"]),
+                F.when(more > 0, F.format_string("(%d more phrasings, not added)", more)),
             )
+        )
+        return F.when(
+            F.size(found) > 0,
+            F.struct(
+                entry["role"].alias("role"), best["w"].alias("score"), signals.alias("signals")
+            ),
+        )
 
-        return let(hits, row)
+    def base_of(ctx: Column) -> Column:
+        scored = F.transform(
+            _terms(lexicon, heaviest_first=True),
+            lambda entry: let(
+                F.filter(entry["terms"], lambda t: F.contains(ctx["hay"], t["p"])),
+                lambda found: strongest(entry, found),
+            ),
+        )
+        return F.array_compact(scored.cast(_SCORED))
 
     checklist = MISSION_ROLES[0]
 
     def build(ctx: Column) -> Column:
-        base = F.array_compact(
-            F.array(*[strongest(ctx, role) for role in lexicon.roles]).cast(_SCORED)
-        )
+        base = base_of(ctx)
 
         def with_nouns(rows: Column) -> Column:
             def add(named: Column) -> Column:

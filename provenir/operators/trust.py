@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from provenir.functions import hosts, urls
 from provenir.params import GOVERNMENT_HOST, LIMITS
-from provenir.session import cut_lineage
+from provenir.session import broadcast_if_small, cut_lineage
 
 
 def matched_hosts(df: DataFrame, host: str, domains: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -30,24 +30,34 @@ def matched_hosts(df: DataFrame, host: str, domains: DataFrame, by: list[str] =
     return suffixes.join(named, [*by, "_suffix"]).select(*by, host, "domain")
 
 
+def _inside(df: DataFrame, host: str, domains: DataFrame, by: list[str]) -> DataFrame:
+    """The distinct (by, host) inside the domains, written once and broadcast while they are few.
+
+    Hosts are far fewer than rows, so the rows themselves are normally not shuffled at all, and a
+    host that holds a third of them is no hot key.
+    """
+    pairs = matched_hosts(df, host, domains, by).select(*by, host).distinct()
+    return broadcast_if_small(cut_lineage(pairs))
+
+
 def within(df: DataFrame, host: str, domains: DataFrame, by: list[str] = ()) -> DataFrame:
     """Rows whose host is within one of the domains."""
-    pairs = matched_hosts(df, host, domains, by).select(*by, host).distinct()
-    return df.join(pairs, [*by, host], "left_semi")
+    return df.join(_inside(df, host, domains, list(by)), [*by, host], "left_semi")
 
 
 def not_within(df: DataFrame, host: str, domains: DataFrame, by: list[str] = ()) -> DataFrame:
     """Rows whose host is within none of the domains."""
-    pairs = matched_hosts(df, host, domains, by).select(*by, host).distinct()
-    return df.join(pairs, [*by, host], "left_anti")
+    return df.join(_inside(df, host, domains, list(by)), [*by, host], "left_anti")
 
 
 def flag_within(
     df: DataFrame, host: str, domains: DataFrame, name: str, by: list[str] = ()
 ) -> DataFrame:
     """All rows, with a boolean column saying whether the host is within one of the domains."""
-    pairs = matched_hosts(df, host, domains, by).select(*by, host).distinct()
-    return df.join(pairs.withColumn(name, F.lit(True)), [*by, host], "left").withColumn(
+    inside = cut_lineage(
+        matched_hosts(df, host, domains, by).select(*by, host).distinct().withColumn(name, F.lit(True))
+    )
+    return df.join(broadcast_if_small(inside), [*by, host], "left").withColumn(
         name, F.coalesce(F.col(name), F.lit(False))
     )
 

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -32,15 +37,47 @@ def local_session(cpus: int = 8, memory: str = "8g", app: str = "provenir") -> S
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the one the cluster names, else a test's own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(named)
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that lost executors cost no recompute.
+    """Write ``df`` as a table in the shared folder and go on from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session without
-    that setting (a test) gets a folder of its own.
+    Lost executors then cost no recompute of what came before, later reads take only the columns
+    they need, and the planner knows the table's size.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/stage-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(
+    df: DataFrame, rows: int = 500_000, weight: Column | None = None, size: int = 128 << 20
+) -> DataFrame:
+    """``df`` with a broadcast hint when it is counted to be small; otherwise ``df`` as it is.
+
+    ``df`` is a materialised table. Beyond the bound Spark joins it by shuffling, with the skew
+    handling of adaptive execution. ``weight`` estimates the bytes of one row where rows are wide.
+    """
+    cost = F.lit(64) if weight is None else weight + F.lit(64)
+    seen = df.select(cost.alias("cost")).agg(F.count("*").alias("n"), F.sum("cost").alias("b")).first()
+    small = seen["n"] <= rows and (seen["b"] or 0) <= size
+    return F.broadcast(df) if small else df
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A parameter table as a local relation, so that its size is known to the planner."""
+    fields = StructType.fromDDL(schema)
+    names = fields.fieldNames()
+    data = pa.Table.from_pylist(
+        [dict(zip(names, row, strict=True)) for row in rows], schema=to_arrow_schema(fields)
+    )
+    return spark.createDataFrame(data, fields)

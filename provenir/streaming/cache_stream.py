@@ -7,7 +7,6 @@ are folded; across batches they must arrive in order per URL, as a fetcher write
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -17,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from provenir.operators.freshness import HOUR
 from provenir.params import LIMITS
-from provenir.session import STATE_STORE
+from provenir.session import STATE_STORE, shared_folder
 
 INPUT = "event_id long, url string, at long, seq long, attempt string, content_hash string"
 OUTPUT = "event_id long, url string, attempt string, result string, served_at long, served_hash string"
@@ -79,12 +78,6 @@ def fold_stream(
     )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder for stream files: the cluster's checkpoint folder, else a test's own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-
-
 def write_results(results: DataFrame, folder: str, epoch: int) -> None:
     """Idempotent sink: a repeated micro-batch replaces its own output."""
     results.write.mode("overwrite").parquet(f"{folder}/batch={epoch}")
