@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from provenir import schemas
 from provenir.functions import keys
 from provenir.operators.freshness import newest
+from provenir.session import cut_lineage
 
 _RESPONSE = "web struct<results:array<string>>"
 
@@ -38,19 +39,19 @@ def read_search_responses(responses: DataFrame, by: list[str] = ()) -> DataFrame
     )
 
 
-def assert_schema(df: DataFrame, schema: StructType) -> DataFrame:
+def assert_schema(df: DataFrame, schema: str) -> DataFrame:
     """Refuse a table whose columns are not exactly the declared ones."""
-    expected, found = set(schema.fieldNames()), set(df.columns)
+    declared = StructType.fromDDL(schema).fieldNames()
+    expected, found = set(declared), set(df.columns)
     if expected != found:
         raise ValueError(f"unexpected columns {sorted(found - expected)}, missing {sorted(expected - found)}")
-    return df.select(*schema.fieldNames())
+    return df.select(*declared)
 
 
-def read_json_table(spark: SparkSession, path: str, schema: StructType, key: str | None = None) -> DataFrame:
+def read_json_table(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
     """A parameter table from JSON: declared schema, no unreadable rows, unique key."""
-    open_ = StructType(list(schema.fields)).add("_corrupt_record", "string")
-    rows = spark.read.schema(open_).option("mode", "PERMISSIVE").json(path)
-    rows = rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    rows = cut_lineage(rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record"))
     if key is not None:
         twice = rows.groupBy(key).count().filter("count > 1").limit(5).collect()
         if twice:
@@ -70,9 +71,9 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return read_json_table(spark, path, schemas.AUTHORITY_REGISTRY, "code")
 
 
-def read_documents(spark: SparkSession, path: str, schema: StructType, key: str, version: int = 1) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, schema: str, key: str, version: int = 1) -> DataFrame:
     """Stored JSON documents, newest per key. Unreadable or old-schema rows are misses."""
-    open_ = StructType(list(schema.fields)).add("schema_version", "int").add("_corrupt_record", "string")
+    open_ = f"{schema}, schema_version int, _corrupt_record string"
     rows = spark.read.schema(open_).option("mode", "PERMISSIVE").json(path)
     good = rows.filter(F.col("_corrupt_record").isNull() & (F.col("schema_version") == version))
     good = good.drop("_corrupt_record", "schema_version").filter(F.col(key).isNotNull())

@@ -44,7 +44,7 @@ def write_registry(registry: DataFrame, path: str) -> None:
     """
     if registry.limit(REGISTRY_ROWS + 1).count() > REGISTRY_ROWS:
         raise ValueError(f"a registry holds at most {REGISTRY_ROWS} rows")
-    columns = schemas.AUTHORITY_REGISTRY.fieldNames()
+    columns = StructType.fromDDL(schemas.AUTHORITY_REGISTRY).fieldNames()
     registry.select(*columns).orderBy("code").coalesce(1).write.mode("errorifexists").json(path)
 
 
@@ -58,7 +58,7 @@ def append_newest(batch: DataFrame, epoch: int, folder: str, keys: list[str], or
 
 
 def read_newest(
-    spark: SparkSession, folder: str, schema: StructType, keys: list[str], order: list[Column]
+    spark: SparkSession, folder: str, schema: str, keys: list[str], order: list[Column]
 ) -> DataFrame:
-    rows = spark.read.schema(schema).option("basePath", folder).parquet(folder).select(*schema.fieldNames())
+    rows = spark.read.schema(schema).option("basePath", folder).parquet(folder).select(*StructType.fromDDL(schema).fieldNames())
     return newest(rows, keys, order)
