@@ -195,7 +195,8 @@ def coverage(spark, sf):
         F.count_if(F.col("refused").isNotNull() & ~absent).alias("refused_count"),
         F.count_if(F.coalesce(absent, F.lit(False))).alias("absent"),
     ).withColumn("_k", F.lit(1))
-    return answered.withColumn("_k", F.lit(1)).join(counts, "_k").drop("_k")
+    # One row of counts by construction.
+    return answered.withColumn("_k", F.lit(1)).join(F.broadcast(counts), "_k").drop("_k")
 
 
 _CANON_PATH = sql.part("u", 4)

@@ -96,12 +96,13 @@ def links_of(html: Column, base: Column, maximum: int = LIMITS.links_per_page) -
     def first_of_each(rows: Column) -> Column:
         kept = let(
             F.transform(rows, lambda r: r["url"]),
-            lambda listed: F.filter(
-                rows, lambda r, i: F.array_position(listed, r["url"]) == i + 1
+            lambda listed: F.transform(
+                F.slice(F.array_distinct(listed), 1, maximum),
+                lambda u: F.get(rows, (F.array_position(listed, u) - 1).cast("int")),
             ),
         )
         return F.transform(
-            F.slice(kept, 1, maximum),
+            kept,
             lambda r, i: F.struct(
                 r["url"].alias("url"),
                 r["text"].alias("text"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from provenir.functions import hosts, urls
 from provenir.params import GOVERNMENT_HOST, LIMITS
-from provenir.session import broadcast_if_small, cut_lineage
+from provenir.session import cut_lineage
 
 
 def matched_hosts(df: DataFrame, host: str, domains: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -31,13 +31,13 @@ def matched_hosts(df: DataFrame, host: str, domains: DataFrame, by: list[str] =
 
 
 def _inside(df: DataFrame, host: str, domains: DataFrame, by: list[str]) -> DataFrame:
-    """The distinct (by, host) inside the domains, written once and broadcast while they are few.
+    """The distinct (by, host) inside the domains, written once, so that their size is known.
 
     Hosts are far fewer than rows, so the rows themselves are normally not shuffled at all, and a
     host that holds a third of them is no hot key.
     """
     pairs = matched_hosts(df, host, domains, by).select(*by, host).distinct()
-    return broadcast_if_small(cut_lineage(pairs))
+    return cut_lineage(pairs)
 
 
 def within(df: DataFrame, host: str, domains: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -57,7 +57,7 @@ def flag_within(
     inside = cut_lineage(
         matched_hosts(df, host, domains, by).select(*by, host).distinct().withColumn(name, F.lit(True))
     )
-    return df.join(broadcast_if_small(inside), [*by, host], "left").withColumn(
+    return df.join(inside, [*by, host], "left").withColumn(
         name, F.coalesce(F.col(name), F.lit(False))
     )
 
@@ -279,9 +279,9 @@ def name_authority(pages: DataFrame, sources: DataFrame, display: str = "display
         .when(immigration, "immigration_authority")
         .otherwise("foreign_ministry")
     )
+    known = cut_lineage(exact.join(wide, ["slug", "host"], "full"))
     return (
-        pages.join(exact, ["slug", "host"], "left")
-        .join(wide, ["slug", "host"], "left")
+        pages.join(known, ["slug", "host"], "left")
         .withColumn("authority", F.coalesce("_exact.authority", "_wide.authority", plain))
         .withColumn("kind", F.coalesce("_exact.kind", "_wide.kind", kind))
         .drop("_exact", "_wide")

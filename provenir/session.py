@@ -6,8 +6,7 @@ import tempfile
 from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -50,8 +49,10 @@ def shared_folder(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from there.
 
-    Lost executors then cost no recompute of what came before, later reads take only the columns
-    they need, and the planner knows the table's size.
+    Lost executors then cost no recompute of what came before, and later reads take only the
+    columns they need. The planner knows the written table's real size: it is broadcast while that
+    is under ``spark.sql.autoBroadcastJoinThreshold``, and joined by shuffling beyond it, so no
+    join in the library carries an unchecked broadcast hint.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid4().hex}"
@@ -59,20 +60,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(
-    df: DataFrame, rows: int = 500_000, weight: Column | None = None, size: int = 128 << 20
-) -> DataFrame:
-    """``df`` with a broadcast hint when it is counted to be small; otherwise ``df`` as it is.
-
-    ``df`` is a materialised table. Beyond the bound Spark joins it by shuffling, with the skew
-    handling of adaptive execution. ``weight`` estimates the bytes of one row where rows are wide.
-    """
-    cost = F.lit(64) if weight is None else weight + F.lit(64)
-    seen = df.select(cost.alias("cost")).agg(F.count("*").alias("n"), F.sum("cost").alias("b")).first()
-    small = seen["n"] <= rows and (seen["b"] or 0) <= size
-    return F.broadcast(df) if small else df
-
-
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A parameter table as a local relation, so that its size is known to the planner."""
     fields = StructType.fromDDL(schema)

@@ -55,8 +55,9 @@ def resolved(table):
     dead = table([("dead.example",)], "host string")
     countries = table(COUNTRIES, COUNTRY)
     configured = table([("testland", 1, "immigration.gov.example", "Ministry", "foreign_ministry")], "slug string, seq int, host string, authority string, kind string")
+    lexicon = dataclasses.replace(LEX, terms=[*LEX.terms, ("application_route", "temporary visitor", 15.0)])
     limits = dataclasses.replace(LIMITS, role_score=15.0, readable_text=200)
-    return resolve(corridors, domains, hits, pages, ledger, dead, countries, configured, LEX, limits)
+    return resolve(corridors, domains, hits, pages, ledger, dead, countries, configured, lexicon, limits)
 
 
 def test_pages_fill_their_roles(resolved):

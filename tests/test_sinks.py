@@ -25,7 +25,7 @@ def test_cache_round_trip_and_misses(spark, table, tmp_path):
     new = table([("u", "u", WHEN.replace(hour=10), "new", "h2", 200, "e", None)], ddl)
     path = str(tmp_path / "cache")
     writers.write_page_cache(old, new, path)
-    with open(next(iter(tmp_path.glob("cache/part-*.json"))), "a") as handle:
+    with open(f"{path}/extra.json", "w") as handle:
         handle.write('{"url": "broken\n{"url": "w", "fetched_at": "2026-08-13T09:00:00.000Z", "schema_version": 2}\n')
     cache = readers.read_page_cache(spark, path)
     got = {r["url"]: r["content"] for r in cache.collect()}
