@@ -65,6 +65,8 @@ LEXICON = Lexicon(
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    # The tables' zone-less times are UTC.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from provenir.catalog import demo, query
 from provenir.operators import checks as ck
+from provenir.session import cut_lineage
 
 # A plan is an order; its lines are its sources (by part), its steps and its citations.
 _PLAN = """pl AS (SELECT o_orderkey AS plan_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'partial' ELSE 'verified' END AS status,
@@ -224,6 +225,7 @@ def destination_rules(spark, sf):
         line_slug, source,
         F.concat(F.lit("https://www.n"), number, F.lit(".gov/"), F.col("l_partkey").cast("string")).alias("url"),
     )
+    sources = cut_lineage(sources)
     unreadable = supplier.filter(F.col("s_acctbal") < -500).select(
         slug.alias("slug"),
         F.concat(F.lit("https://n"), (F.col("s_suppkey") % 25).cast("string"), F.lit(".gov/x")).alias("url"),
@@ -314,3 +316,71 @@ def finished_plans(spark, sf):
             rejected.select(F.col("entity_id").cast("long").alias("plan_id"), F.lit("rejected").alias("what"), "detail")
         )
     )
+
+
+_FOLDED = """r0 AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R'),
+sr AS (SELECT 's' || l_suppkey AS slug, 'p' || l_partkey AS source_id, 'https://www.n' || (CASE WHEN p_size < 4 THEN 99 ELSE s_nationkey END) || '.gov/' || l_partkey AS url, p_size
+  FROM r0 JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey),
+ds AS (SELECT 's' || s_suppkey AS slug, s_name AS name, s_acctbal < 0 AS unverified, s_nationkey, s_suppkey FROM supplier),
+cl AS (SELECT slug, source_id FROM sr WHERE p_size > 40), de AS (SELECT slug, source_id FROM sr WHERE p_size > 30 AND p_size < 45),
+rq AS (SELECT slug, source_id, 1 AS place FROM cl UNION ALL SELECT slug, source_id, 2 FROM de WHERE (slug, source_id) NOT IN (SELECT slug, source_id FROM cl)),
+pr AS (SELECT 's' || ps.s_suppkey AS slug, 'agent' || p_partkey || '.com' AS domain, 'p' || p_partkey AS appointed_by FROM supplier ps JOIN part ON p_partkey = ps.s_suppkey),
+ap AS (SELECT * FROM pr WHERE (slug, appointed_by) IN (SELECT slug, source_id FROM sr)),
+un AS (SELECT slug, 'https://n' || s_nationkey || '.gov/' || s_suppkey AS url, name || ' authority (n' || s_nationkey || '.gov)' AS authority FROM ds WHERE s_suppkey IN (SELECT user_id FROM events WHERE event_type = 'error')),
+dm AS (SELECT slug, 'n' || s_nationkey || '.gov' AS domain FROM ds)"""
+
+
+@query(
+    "folded_destinations",
+    f"""WITH {_FOLDED}
+SELECT slug, 'required ' || place AS what, source_id AS detail FROM rq
+UNION ALL SELECT slug, 'provider', domain FROM ap
+UNION ALL SELECT slug, 'unreadable', authority FROM un
+UNION ALL SELECT slug, 'source_off_trust', url FROM sr WHERE p_size < 4
+UNION ALL SELECT slug, 'unverified_without_authority', 'no unreadable authority' FROM ds WHERE unverified AND slug NOT IN (SELECT slug FROM un)""",
+)
+def folded_destinations(spark, sf):
+    """K9: corridors folded into destination configurations, which must pass the rules again."""
+    from provenir.plans.fold import check_folded, fold_corridors
+
+    supplier = demo.table(spark, sf, "supplier")
+    part = demo.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    lines = demo.table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "R").select("l_suppkey", "l_partkey").distinct()
+    slug = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    host = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".gov"))
+    number = F.when(F.col("p_size") < 4, "99").otherwise(F.col("s_nationkey").cast("string"))
+    roles = F.array_compact(
+        F.array(
+            F.when(F.col("p_size") > 40, "document_checklist"),
+            F.when((F.col("p_size") > 30) & (F.col("p_size") < 45), "visa_decision"),
+            F.lit("fees"),
+        )
+    )
+    source_id = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    sources = lines.join(part, "l_partkey").join(supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(
+        slug.alias("slug"), source_id.alias("source_id"),
+        F.concat(F.lit("https://www.n"), number, F.lit(".gov/"), F.col("l_partkey").cast("string")).alias("url"),
+        roles.alias("roles"),
+    )
+    destinations = supplier.select(
+        slug.alias("slug"), F.col("s_name").alias("display_name"), (F.col("s_acctbal") < 0).alias("decision_is_unverified")
+    )
+    known = part.select(F.col("l_partkey").alias("s_suppkey"))
+    providers = supplier.join(known, "s_suppkey").select(
+        slug.alias("slug"),
+        F.concat(F.lit("agent"), F.col("s_suppkey").cast("string"), F.lit(".com")).alias("domain"),
+        F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("appointed_by"),
+    )
+    errors = demo.table(spark, sf, "events").filter(F.col("event_type") == "error")
+    refused = supplier.join(errors.select(F.col("user_id").alias("s_suppkey")).distinct(), "s_suppkey").select(
+        slug.alias("slug"), F.concat(F.lit("https://"), host, F.lit("/"), F.col("s_suppkey").cast("string")).alias("url")
+    )
+    folded = fold_corridors(sources, destinations, providers, refused)
+    broken = check_folded(folded, supplier.select(slug.alias("slug"), host.alias("domain")))
+    rule = F.col("rule")
+    return (
+        folded["required"].select("slug", F.concat(F.lit("required "), F.col("place").cast("string")).alias("what"), F.col("source_id").alias("detail"))
+        .unionByName(folded["providers"].select("slug", F.lit("provider").alias("what"), F.col("domain").alias("detail")))
+        .unionByName(folded["unreadable"].select("slug", F.lit("unreadable").alias("what"), F.col("authority").alias("detail")))
+        .unionByName(broken.select(F.col("entity_id").alias("slug"), rule.alias("what"), "detail"))
+    )
