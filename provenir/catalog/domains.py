@@ -173,11 +173,9 @@ j AS (SELECT asked.code, reg.code IS NOT NULL AS known, domains, unconfirmable F
 SELECT code, coalesce(domains, '') AS domains,
   CASE WHEN NOT known THEN 'the country is not in the registry'
     WHEN domains = '' AND unconfirmable <> '' THEN 'no domain could be confirmed; candidates: ' || replace(unconfirmable, ',', ', ')
-    WHEN domains = '' THEN 'no domain of its own government was found' END AS refused,
-  count(*) FILTER (known AND domains <> '') OVER () AS confirmed,
-  count(*) FILTER (known AND domains = '') OVER () AS refused_count,
-  count(*) FILTER (NOT known) OVER () AS absent
-FROM j""",
+    WHEN domains = '' THEN 'no domain of its own government was found' END AS refused
+FROM j
+UNION ALL SELECT 'countries ' || CASE WHEN NOT known THEN 'absent' WHEN domains = '' THEN 'refused' ELSE 'confirmed' END AS code, count(*)::VARCHAR, NULL FROM j GROUP BY 1""",
 )
 def coverage(spark, sf):
     """What the registry can answer for every nation, with counts per class."""
@@ -189,14 +187,15 @@ def coverage(spark, sf):
     answered = trust.destination_domains(asked, _registry(spark, sf)).select(
         "code", F.coalesce(F.array_join("domains", ","), F.lit("")).alias("domains"), "refused"
     )
-    absent = F.col("refused").startswith("the country")
-    counts = answered.agg(
-        F.count_if(F.col("refused").isNull()).alias("confirmed"),
-        F.count_if(F.col("refused").isNotNull() & ~absent).alias("refused_count"),
-        F.count_if(F.coalesce(absent, F.lit(False))).alias("absent"),
-    ).withColumn("_k", F.lit(1))
-    # One row of counts by construction.
-    return answered.withColumn("_k", F.lit(1)).join(F.broadcast(counts), "_k").drop("_k")
+    kind = (
+        F.when(F.col("refused").startswith("the country"), "absent")
+        .when(F.col("refused").isNotNull(), "refused")
+        .otherwise("confirmed")
+    )
+    counts = answered.groupBy(F.concat(F.lit("countries "), kind).alias("code")).agg(
+        F.count("*").cast("string").alias("domains")
+    )
+    return answered.unionByName(counts.withColumn("refused", F.lit(None).cast("string")))
 
 
 _CANON_PATH = sql.part("u", 4)
