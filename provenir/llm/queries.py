@@ -58,3 +58,21 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         F.col("refers_to_id").cast("long").alias("refers_to"),
     )
+
+
+@query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provenir.llm.licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
+@query
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provenir.llm.html_text import extract
+
+    pages = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
