@@ -24,9 +24,10 @@ from provenir.session import shared_folder
 
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
-RANGE_BYTES = 8_000_000
+RANGE_BYTES = 4_000_000
 _READ = 1 << 20
-_HEAD = 1 << 16
+_HEAD = 1 << 14
+_WARC = b"WARC/1."
 
 RECORDS = (
     "path string, record_offset long, record_type string, record_id string, refers_to_id string, uri string, "
@@ -109,59 +110,65 @@ def write_archive(
 
 
 class _File:
-    """Bytes of a file from a place on, read piece by piece."""
+    """A sliding buffer over a file."""
 
     def __init__(self, handle, size: int):
         self.handle, self.size, self.start, self.data = handle, size, 0, b""
 
-    def upto(self, start: int, n: int) -> bytes:
-        """At least ``n`` bytes from ``start``, less at the end of the file."""
-        if start < self.start or start > self.start + len(self.data):
-            self.start, self.data = start, b""
-        while self.start + len(self.data) < min(start + n, self.size):
-            at = self.start + len(self.data)
-            self.handle.seek(at)
+    def hold(self, start: int, n: int) -> int:
+        """Have ``n`` bytes from ``start`` in the buffer, or all up to the end; returns where they begin in it."""
+        have = self.start + len(self.data)
+        if not self.start <= start <= have:
+            self.start = have = start
+            self.data = b""
+        if have < min(start + n, self.size):
             kept = self.data[start - self.start :]
-            self.start, self.data = start, kept + self.handle.read(min(max(_READ, n - len(kept)), self.size - at))
-        return self.data[start - self.start :]
+            self.handle.seek(have)
+            self.start, self.data = start, kept + self.handle.read(min(max(_READ, start + n - have), self.size - have))
+        return start - self.start
+
+    def view(self, start: int, n: int) -> memoryview:
+        at = self.hold(start, n)
+        return memoryview(self.data)[at : at + n]
+
+    def find(self, what: bytes, start: int, end: int) -> int:
+        """The first place of ``what`` in [start, end), -1 without one."""
+        while start < end:
+            n = min(_READ, end + len(what) - 1 - start)
+            at = self.hold(start, n)
+            found = self.data.find(what, at, at + n)
+            if found >= 0:
+                return self.start + found
+            start += max(1, n - len(what) + 1)
+        return -1
 
 
 def _member(file: _File, at: int) -> tuple[bytes, int] | None:
     """The decoded member at ``at`` and where it ends, if it is a WARC record; an empty member gives b""."""
     inflate = zlib.decompressobj(31)
-    pieces, place, checked = [], at, False
+    pieces, head, place, most = [], b"", at, _HEAD
     while not inflate.eof:
-        raw = file.upto(place, _READ)[:_READ]
-        if not raw:
+        raw = file.view(place, most)
+        if not len(raw):
             return None
         try:
-            pieces.append(inflate.decompress(raw, 0 if checked else _HEAD))
-            while not inflate.eof and inflate.unconsumed_tail and (checked or b"".join(pieces).startswith(b"WARC/1.")):
-                checked = True
-                pieces.append(inflate.decompress(inflate.unconsumed_tail))
+            piece = inflate.decompress(raw)
         except zlib.error:
             return None
-        if not checked:
-            head = b"".join(pieces)
-            if head and not head.startswith(b"WARC/1."[: len(head)]):
+        place += len(raw) - len(inflate.unused_data)
+        pieces.append(piece)
+        if len(head) < len(_WARC):
+            head += piece[: len(_WARC)]
+            if head[: len(_WARC)] != _WARC[: len(head)]:
                 return None
-            checked = head.startswith(b"WARC/1.")
-        place += len(raw) - len(inflate.unused_data) - len(inflate.unconsumed_tail)
+        most = _READ
     return b"".join(pieces), place
 
 
 def records_in(file: _File, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """The records that start in [start, end), with their offsets."""
     at = start
-    while at < end:
-        window = file.upto(at, min(_READ, end + len(MAGIC) - 1 - at))[: end + len(MAGIC) - 1 - at]
-        found = window.find(MAGIC)
-        if found < 0:
-            if len(window) <= len(MAGIC):
-                return
-            at += len(window) - len(MAGIC) + 1
-            continue
-        at += found
+    while (at := file.find(MAGIC, at, end)) >= 0:
         member = _member(file, at)
         if member is None:
             at += 1
@@ -201,11 +208,10 @@ def read_archive(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTE
     so the folder must be one that pyarrow's file systems reach.
     """
     files = spark.read.format("binaryFile").load(folder).select("path", "length")
-    ranges = (
-        files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0).cast("long")), F.lit(range_bytes).cast("long"))).alias("start"))
-        .filter("length > 0")
-        .repartition(F.col("path"), F.col("start"))
-    )
+    every = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))
+    ranges = files.filter("length > 0").select("path", "length", F.explode(every).alias("start"))
+    # One task a range, as far as that is a sensible number of tasks.
+    ranges = ranges.repartition(max(1, min(ranges.count(), 20_000)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
