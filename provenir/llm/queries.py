@@ -76,3 +76,13 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provenir.llm.forest import neighbours
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours(vectors, vectors.filter(F.col("vec_id") % 50 == 0)).select(
+        "query_id", "rank", "vec_id", "score"
+    )
