@@ -86,3 +86,13 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(vectors, vectors.filter(F.col("vec_id") % 50 == 0)).select(
         "query_id", "rank", "vec_id", "score"
     )
+
+
+@query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provenir.llm.language import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs)
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
