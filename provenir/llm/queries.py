@@ -96,3 +96,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(docs)
     found = identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provenir.llm.quality import score, trusted_ids
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    found = score(docs, trusted_ids(table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "lang", "perplexity", "threshold", "kept")
