@@ -105,3 +105,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     found = score(docs, trusted_ids(table(spark, sf_dir, "labels")))
     return found.select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
+@query
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provenir.llm.setjoin import join
+
+    return join(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
