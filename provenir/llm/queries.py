@@ -112,3 +112,13 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provenir.llm.setjoin import join
 
     return join(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provenir.llm.decontaminate import matches
+
+    found = matches(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select("doc_id", "item_id", "in_order", "answer", "cosine")
