@@ -122,3 +122,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     )
     return found.select("doc_id", "item_id", "in_order", "answer", "cosine")
+
+
+@query
+def op1_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model is counted on conversations whose id has another remainder than 1; all are formatted."""
+    from provenir.llm.transcripts import as_logs, format_turns, learn
+
+    logs = as_logs(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    model = learn(logs.filter(F.col("conv_id") % 3 != 1))
+    return format_turns(logs.select("conv_id", "turn", "text"), model)
