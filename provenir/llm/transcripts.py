@@ -268,6 +268,8 @@ def format_turns(
 def as_logs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Labelled turns as the pieces of a raw log: each transcript in one house style, some turns without a marker.
 
+    A third of the transcripts have a blank line before such turns only.
+
     Columns are those of ``turns``; only the text changes. The style follows from the transcript's id,
     and which turns lack a marker from the turn's.
     """
@@ -283,5 +285,6 @@ def as_logs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
         .when(style == 3, F.concat(F.lit("**"), short, F.lit(":** ")))
         .otherwise(F.concat(F.lit("<|"), name, F.lit("|>")))
     )
-    marker = F.when(crc(conv, turn) % 4 == 0, F.lit("")).otherwise(marker)
-    return turns.withColumn(text, F.concat(F.lit("\n"), marker, F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    plain = crc(conv, turn) % 4 == 0
+    marker = F.when(plain, F.lit("\n")).when(crc(conv) % 3 == 0, marker).otherwise(F.concat(F.lit("\n"), marker))
+    return turns.withColumn(text, F.concat(marker, F.coalesce(F.col(text).cast("string"), F.lit(""))))
