@@ -7,13 +7,13 @@ import os
 import time
 
 from provenir import catalog
-from provenir.session import local_session
+from provenir.session import clear_stages, local_session
 
 HEADLINE = [
     "domain_evidence", "trust_split", "registry_rows", "canonical_urls", "links", "clean_text", "link_scores",
     "body_scores", "mention_windows", "excerpt", "country_mentions", "role_rank", "shortlist_reserved",
     "assign_roles", "robots_verdict", "expand_links", "forward_chain", "cache_lookup", "cache_fold",
-    "cache_fold_busy", "ledger", "pacing", "plan_status", "integrity", "destination_rules",
+    "cache_fold_busy", "ledger", "plan_status", "integrity", "destination_rules",
 ]
 
 
@@ -30,6 +30,7 @@ def main() -> None:
         start = time.time()
         catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)
+        clear_stages(spark)
     print(
         json.dumps(
             {

@@ -65,20 +65,12 @@ LEXICON = Lexicon(
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    # The tables' zone-less times are UTC.
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give per-row text work every core when the input has fewer splits than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
-
-
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages on hosts whose registrable domain is the site itself."""
-    rows = spread(table(spark, sf, "pages"))
+    rows = table(spark, sf, "pages")
     url = F.regexp_replace("url", r"\.example\.(com|net|org)", ".$1")
     return rows.select("page_id", url.alias("url"), "html")
 
@@ -138,7 +130,7 @@ def countries(spark: SparkSession, sf: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as fetched pages: source is the domain, language the corridor."""
-    d = spread(table(spark, sf, "documents"))
+    d = table(spark, sf, "documents")
     url = F.concat(
         F.lit("https://www."), F.col("source"), F.lit(".org/"), F.col("lang"), F.lit("/"),
         F.col("doc_id").cast("string"),
@@ -149,7 +141,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
         url.alias("url"),
         F.col("lang").alias("corridor"),
         F.concat(F.col("source"), F.lit(".org")).alias("domain"),
-        F.substring(title, 1, 200).alias("title"),
+        title.alias("title"),
         F.col("text").alias("content"),
         "n_chars",
         mapped(F.col("lang"), PURPOSE_OF).alias("purpose"),

@@ -1,4 +1,4 @@
-"""Freshness of evidence: cache lookups, the cache fold, ledgers, pacing, reuse."""
+"""Freshness of evidence: cache lookups, the cache fold, ledgers, reuse."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from provenir.catalog import demo, query, sql
 from provenir.functions import keys, urls
 from provenir.operators import freshness as fr
-from provenir.operators.large_groups import paced_starts
-from provenir.operators.ranking import first_n
 from provenir.operators.trust import flag_within
 from provenir.params import SETTLED_REFUSALS
 from provenir.session import small_table
@@ -219,21 +217,6 @@ def crawl_outcome(spark, sf):
     return fr.crawl_outcome(flagged).select("event_id", "outcome")
 
 
-@query(
-    "pacing",
-    """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)
-SELECT event_id, max(a - i * 7200000000) OVER (PARTITION BY user_id ORDER BY i) + i * 7200000000 AS start_micros, i <= 40 AS granted FROM e""",
-)
-def pacing(spark, sf):
-    """Start times under a per-host delay, and the first claims of every run."""
-    rows = demo.table(spark, sf, "events").select(
-        "event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
-    )
-    paced = paced_starts(rows, ["user_id"], "at", "event_id", 7_200_000_000)
-    order = [F.col("at"), F.col("event_id")]
-    return first_n(paced, ["user_id"], order, 40).select("event_id", "start_micros", "granted")
-
-
 @query(
     "corridor_reuse",
     """WITH e AS (SELECT event_id, user_id AS k, epoch_us(ts) AS "at", event_type FROM events),

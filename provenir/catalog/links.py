@@ -8,7 +8,8 @@ from provenir.catalog import demo, query, sql
 from provenir.functions import text as tx, urls
 from provenir.operators import expansion, lexicon as lx, policies as pol
 from provenir.operators import pages as pg
-from provenir.operators.ranking import first_of, host_budget, next_wave
+from provenir.operators.ranking import first_of, host_budget
+from provenir.operators.trust import own_missions
 from provenir.params import LIMITS
 from provenir.session import cut_lineage, small_table
 
@@ -17,11 +18,22 @@ P = sql.PAGES
 
 @query(
     "links",
-    f"WITH {sql.LINKS} SELECT page_id, pos, url, text, heading FROM lnk",
+    f"WITH {sql.LINKS} SELECT page_id, pos, url, text, heading, count(*) OVER (PARTITION BY page_id) AS found FROM lnk QUALIFY pos < 4",
 )
 def links(spark, sf):
-    """The links of every page in document order."""
-    return pg.extract_links(demo.pages(spark, sf)).select(
+    """The first four links of every page in document order, and how many it has."""
+    return pg.extract_links(demo.pages(spark, sf), maximum=4).select(
+        "page_id", F.col("pos").cast("long").alias("pos"), "url", "text", "heading", F.col("found").cast("long").alias("found")
+    )
+
+
+@query(
+    "all_links",
+    f"WITH {sql.LINKS} SELECT page_id, pos, url, text, heading FROM lnk",
+)
+def all_links(spark, sf):
+    """All links of every page in document order."""
+    return pg.extract_links(demo.pages(spark, sf), maximum=None).select(
         "page_id", F.col("pos").cast("long").alias("pos"), "url", "text", "heading"
     )
 
@@ -206,7 +218,8 @@ flag AS (SELECT c0.*, contains(u, 'th') OR contains(anchor, 'th') AS topic,
   len(list_filter([{sql.strings(_LX.language)}], lambda t: contains(anchor, t))) > 0 AS language,
   regexp_replace(coalesce(segs[-1], ''), '\\.[^.]*$', '') IN ({sql.strings(_LX.index_stems)}) AS idx,
   CASE WHEN list_contains(string_split(host, '.'), 'blog') THEN 'own'
-       WHEN len(list_filter(segs, lambda s: starts_with(s, 'la-') OR starts_with(s, 'la_') OR starts_with(s, 'mission-') OR starts_with(s, 'mission_'))) > 0 THEN 'other' END AS aff
+       WHEN len(list_filter(segs, lambda s: starts_with(s, 'la-') OR starts_with(s, 'la_') OR starts_with(s, 'mission-') OR starts_with(s, 'mission_'))) > 0 THEN 'other'
+       WHEN host IN ('m.ththth.net', 'm.theron.com') OR ends_with(host, '.m.ththth.net') OR ends_with(host, '.m.theron.com') THEN 'own' END AS aff
   FROM c0),
 w1 AS (SELECT page_id, pos, role, score FROM base),
 w2 AS (SELECT flag.page_id, flag.pos, r.role, coalesce(w1.score, 0) AS score, w1.role IS NOT NULL AS present,
@@ -239,7 +252,12 @@ def link_scores_of(spark, sf):
             lx.mission_affinity(F.col("url"), F.array(F.lit("blog")), _LX.mission_markers),
         )
     )
-    return scoring.score_links(ready, keys, _LX)
+    ready = ready.withColumn("slug", F.lit("d")).withColumn("residence", F.lit("R"))
+    if "host" not in ready.columns:
+        ready = ready.withColumn("host", urls.host(F.col("url")))
+    sources = small_table(spark, [("d", "www.m.ththth.net"), ("d", "M.theron.com"), ("e", "m.ththor.net"), ("d", "ththor.net")], "slug string, host string")
+    residences = small_table(spark, [("R", ["M"])], "code string, host_labels array<string>")
+    return scoring.score_links(own_missions(ready, sources, residences, "residence"), keys, _LX)
 
 
 @query(
@@ -259,48 +277,24 @@ def link_signals(spark, sf):
     )
 
 
-_FRONT = f"""{sql.LINKS}, ph AS (SELECT page_id AS pid, {sql.lang('url')} AS corridor, {sql.host('url')} AS phost FROM p),
-fr AS (SELECT DISTINCT ON (corridor, url) corridor, url, {sql.host('url')} AS host, length(text)::DOUBLE AS score, page_id, pos
-  FROM lnk JOIN ph ON pid = page_id ORDER BY corridor, url, length(text) DESC, page_id, pos),
-sp AS (SELECT corridor, phost AS host, count(*) AS pages FROM ph GROUP BY ALL),
-bd AS (SELECT corridor, count(DISTINCT phost) AS seed_hosts, CASE WHEN count(DISTINCT phost) > 1 THEN least(20, greatest(4, 40 // count(DISTINCT phost))) ELSE 20 END AS budget FROM ph GROUP BY ALL)"""
-
-
 @query(
-    "wave_select",
-    f"""WITH {_FRONT},
-op AS (SELECT fr.* FROM fr LEFT JOIN (SELECT sp.* FROM sp JOIN bd USING (corridor) WHERE pages >= budget) full_ USING (corridor, host) WHERE full_.host IS NULL),
-h1 AS (SELECT *, row_number() OVER (PARTITION BY corridor, host ORDER BY -score, url) AS hn FROM op),
-w AS (SELECT *, row_number() OVER (PARTITION BY corridor ORDER BY -score, url) AS wn FROM h1 WHERE hn = 1),
-picked AS (SELECT corridor, url FROM w WHERE wn <= 4)
-SELECT op.corridor, op.url, CASE WHEN picked.url IS NULL THEN 'deferred' ELSE 'wave' END AS state, seed_hosts, budget::BIGINT AS budget
-FROM op LEFT JOIN picked USING (corridor, url) JOIN bd ON bd.corridor = op.corridor""",
+    "host_budgets",
+    f"""WITH {P}, ph AS (SELECT {sql.lang('url')} AS corridor, {sql.host('url')} AS phost FROM p)
+SELECT corridor, count(DISTINCT phost) AS seed_hosts, CASE WHEN count(DISTINCT phost) > 1 THEN least(20, greatest(4, 40 // count(DISTINCT phost))) ELSE 20 END AS budget
+FROM ph GROUP BY corridor""",
 )
-def wave_select(spark, sf):
-    """The next wave of every corridor, and what waits."""
+def host_budgets(spark, sf):
+    """Pages that one host of a corridor may take."""
     pages = demo.pages(spark, sf).select(
         demo.lang_of(F.col("url")).alias("corridor"), urls.host(F.col("url")).alias("host")
     )
-    budgets = host_budget(pages, ["corridor"])
-    spent = pages.groupBy("corridor", "host").agg(F.count("*").alias("pages")).join(budgets, "corridor")
-    rows = demo.links(spark, sf).select(
-        F.col("lang").alias("corridor"), "url", "host",
-        F.length("text").cast("double").alias("score"), "page_id", "pos",
-    )
-    frontier = first_of(rows, ["corridor", "url"], [-F.col("score"), F.col("page_id"), F.col("pos")])
-    order = [-F.col("score"), F.col("url")]
-    wave, deferred = next_wave(frontier, spent, ["corridor"], order)
-    both = wave.select("corridor", "url", F.lit("wave").alias("state")).unionByName(
-        deferred.select("corridor", "url", F.lit("deferred").alias("state"))
-    )
-    return both.join(budgets, "corridor").select(
-        "corridor", "url", "state", F.col("seed_hosts").cast("long").alias("seed_hosts"),
-        F.col("budget").cast("long").alias("budget"),
+    return host_budget(pages, ["corridor"]).select(
+        "corridor", F.col("seed_hosts").cast("long").alias("seed_hosts"), F.col("budget").cast("long").alias("budget")
     )
 
 
-_BODY = """'# policy of page ' || page_id || chr(10) || 'Disallow: /stray' || chr(10) || 'User-agent: ' || CASE WHEN page_id % 3 = 0 THEN 'Demo' ELSE '*' END || chr(10)
- || 'Disallow: /' || hrefs[1] || ' # first' || chr(10) || 'Disallow:' || chr(10) || 'Allow: /*a$' || chr(10)
+_BODY = """'# policy of page ' || page_id || chr(10) || chr(9) || 'Disallow: /stray' || chr(10) || 'User-agent: ' || CASE WHEN page_id % 3 = 0 THEN 'Demo' ELSE '*' END || chr(10)
+ || chr(9) || 'Disallow:' || chr(9) || '/' || hrefs[1] || ' ' || chr(9) || '# first' || chr(10) || 'Disallow:' || chr(10) || 'Allow: /*a$' || chr(10)
  || 'User-Agent: other' || chr(10) || 'User-agent: *' || chr(10) || 'disallow : /th*e' || chr(10) || 'Allow: /the' || chr(10) || 'Disallow: /' || hrefs[2] || '$'"""
 
 
@@ -316,9 +310,9 @@ def _bodies(spark, sf):
     body = F.concat_ws(
         "\n",
         F.concat(F.lit("# policy of page "), F.col("page_id").cast("string")),
-        F.lit("Disallow: /stray"),
+        F.lit("\tDisallow: /stray"),
         F.concat(F.lit("User-agent: "), named),
-        F.concat(F.lit("Disallow: /"), F.get("hrefs", F.lit(0)), F.lit(" # first")),
+        F.concat(F.lit("\tDisallow:\t/"), F.get("hrefs", F.lit(0)), F.lit(" \t# first")),
         F.lit("Disallow:"),
         F.lit("Allow: /*a$"),
         F.lit("User-Agent: other"),
@@ -342,8 +336,8 @@ o1 AS (SELECT DISTINCT ON (origin) * FROM o0 ORDER BY origin, page_id),
 bo AS (SELECT origin, page_id, {_BODY} AS body, CASE WHEN page_id % 7 = 1 THEN 404 WHEN page_id % 11 = 2 THEN 503 ELSE 200 END AS status,
   page_id % 13 = 3 AS huge FROM o1),
 ln0 AS (SELECT origin, unnest(string_split(body, chr(10))) AS raw, unnest(range(len(string_split(body, chr(10))))) AS pos FROM bo),
-ln1 AS (SELECT origin, pos, trim(split_part(raw, '#', 1)) AS t FROM ln0),
-ln2 AS (SELECT origin, pos, lower(trim(split_part(t, ':', 1))) AS field, trim(regexp_replace(t, '^[^:]*:', '')) AS value FROM ln1 WHERE contains(t, ':')),
+ln1 AS (SELECT origin, pos, regexp_replace(split_part(raw, '#', 1), '^\\s+|\\s+$', '', 'g') AS t FROM ln0),
+ln2 AS (SELECT origin, pos, lower(regexp_replace(split_part(t, ':', 1), '^\\s+|\\s+$', '', 'g')) AS field, regexp_replace(regexp_replace(t, '^[^:]*:', ''), '^\\s+|\\s+$', '', 'g') AS value FROM ln1 WHERE contains(t, ':')),
 ln3 AS (SELECT *, CASE WHEN field = 'user-agent' AND lag(field) OVER (PARTITION BY origin ORDER BY pos) IN ('allow', 'disallow') THEN 1 ELSE 0 END AS o FROM ln2 WHERE field IN ('user-agent', 'allow', 'disallow')),
 ln4 AS (SELECT *, sum(o) OVER (PARTITION BY origin ORDER BY pos) AS block FROM ln3),
 ag AS (SELECT DISTINCT origin, block, lower(value) AS agent FROM ln4 WHERE field = 'user-agent'),

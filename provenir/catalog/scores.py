@@ -24,7 +24,7 @@ def _by_purpose(build) -> str:
 
 
 DOCS = f"""d0 AS (SELECT doc_id, 'https://www.' || source || '.org/' || lang || '/' || doc_id AS url, lang AS corridor, source || '.org' AS domain,
-  substring('Page ' || lang || ' ' || split_part(text, chr(10), 1), 1, 200) AS title, text AS content, n_chars, {sql.case('lang', demo.PURPOSE_OF)} AS purpose FROM documents)"""
+  'Page ' || lang || ' ' || split_part(text, chr(10), 1) AS title, text AS content, n_chars, {sql.case('lang', demo.PURPOSE_OF)} AS purpose FROM documents)"""
 _TERMS = sql.values([(r, i, p, w) for i, (r, p, w) in enumerate(LX.terms)], "role, seq, phrase, w")
 BODY = f"""{DOCS},
 d1 AS (SELECT *, lower(title || chr(10) || content) AS hay, lower(title || chr(10) || translate(lower(url), '-_/.+', '     ')) AS identity FROM d0),
@@ -62,7 +62,7 @@ def body_scores(spark, sf):
 )
 def document_nouns(spark, sf):
     """Phrases and words a document names."""
-    docs = demo.spread(demo.table(spark, sf, "documents"))
+    docs = demo.table(spark, sf, "documents")
     text = F.col("text")
     return docs.select(
         "doc_id",
@@ -260,7 +260,7 @@ def corridor_results(spark, sf):
 
 
 _CHOICE = f"""cv AS (SELECT conv_id, turn, CASE WHEN length(text) % 7 = 6 THEN 'unheard_of' ELSE [{sql.strings(ROLES)}][length(text) % 7 + 1] END AS role,
-  CASE WHEN length(text) % 5 = 0 THEN NULL ELSE 'd' || (length(text) % 4) END AS source_id, ' ' || substring(text, 1, 300) || ' ' AS reason FROM conversations),
+  CASE WHEN length(text) % 5 = 0 THEN NULL ELSE 'd' || (length(text) % 4) END AS source_id, chr(9) || ' ' || text || chr(10) AS reason FROM conversations),
 cd AS (SELECT DISTINCT conv_id, 'd' || (turn % 3) AS source_id FROM conversations),
 jj AS (SELECT cv.*, CASE WHEN role = 'unheard_of' THEN 'unknown role' WHEN cv.source_id IS NULL THEN 'refused' WHEN cd.source_id IS NULL THEN 'not a candidate' END AS cause FROM cv LEFT JOIN cd ON cd.conv_id = cv.conv_id AND cd.source_id = cv.source_id),
 vv AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM jj WHERE cause IS NULL)"""
@@ -275,7 +275,7 @@ def _choices(spark, sf):
         F.col("turn").alias("seq"),
         F.get(roles, n % 7).alias("role"),
         F.when(n % 5 != 0, F.concat(F.lit("d"), (n % 4).cast("string"))).alias("source_id"),
-        F.concat(F.lit(" "), F.substring("text", 1, 300), F.lit(" ")).alias("reason"),
+        F.concat(F.lit("\t "), "text", F.lit("\n")).alias("reason"),
     )
     candidates = talk.select(
         "conv_id", F.concat(F.lit("d"), (F.col("turn") % 3).cast("string")).alias("source_id")
@@ -302,7 +302,7 @@ def validate_choices(spark, sf):
 
 @query(
     "sources_from_choices",
-    f"""WITH {_CHOICE}, k AS (SELECT *, 'https://h/2013' || lpad((conv_id % 14)::VARCHAR, 2, '0') || '/' || source_id AS url, substring(trim(reason), 1, 160) AS r FROM vv WHERE k = 1),
+    f"""WITH {_CHOICE}, k AS (SELECT *, 'https://h/2013' || lpad((conv_id % 14)::VARCHAR, 2, '0') || '/' || source_id AS url, substring(regexp_replace(reason, '^\\s+|\\s+$', '', 'g'), 1, 160) AS r FROM vv WHERE k = 1),
 g AS (SELECT conv_id, url, string_agg(role, ',' ORDER BY {_ROLE}) AS roles,
   list_distinct(list(r)) AS rs, list(r ORDER BY {_ROLE}) AS ordered FROM k GROUP BY ALL)
 SELECT conv_id, url, roles, least(6, CASE WHEN conv_id % 14 BETWEEN 1 AND 12 THEN 1 ELSE 0 END + len(list_filter(rs, lambda x: x <> '')))::BIGINT AS signals,

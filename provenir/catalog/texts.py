@@ -56,7 +56,7 @@ SELECT doc_id, len(ls) AS lines, {_UNTR} AS untranslated,
 )
 def placeholder_text(spark, sf):
     """Texts whose lines are translation keys (spaces of English lines become dots)."""
-    docs = demo.spread(demo.table(spark, sf, "documents"))
+    docs = demo.table(spark, sf, "documents")
     joined = F.when(F.col("lang") == "en", F.regexp_replace(F.lower("text"), "[ .,]+([a-z])", ".$1")).otherwise(
         F.regexp_replace(F.lower("text"), "[ .,]+([a-z])", " $1")
     )
@@ -87,7 +87,7 @@ SELECT doc_id, min(s)::BIGINT AS s, max(e)::BIGINT AS e FROM g GROUP BY doc_id,
 )
 def mention_windows(spark, sf):
     """Merged windows around every mention of the terms."""
-    docs = demo.spread(demo.table(spark, sf, "documents")).select("doc_id", "text")
+    docs = demo.table(spark, sf, "documents").select("doc_id", "text")
     text = F.col("text")
     pattern = ex.mention_pattern(TERMS)
     head = F.least(F.lit(100), F.length(text)).cast("int")
@@ -101,7 +101,7 @@ def mention_windows(spark, sf):
 @query("excerpt")
 def excerpt(spark, sf):
     """C11: budgeted excerpts of every document (checked against a plain model in the tests)."""
-    docs = demo.spread(demo.table(spark, sf, "documents")).select("doc_id", "text")
+    docs = demo.table(spark, sf, "documents").select("doc_id", "text")
     cut = ex.excerpt(F.col("text"), ex.mention_pattern(TERMS), 900, 200, 160)
     return docs.select("doc_id", F.length("text").alias("chars"), cut.alias("excerpt"))
 
@@ -115,7 +115,7 @@ def packets(spark, sf):
     """One decider packet per source, over its ten longest documents (rows carry excerpts)."""
     from provenir.operators.ranking import top
 
-    docs = demo.spread(demo.table(spark, sf, "documents"))
+    docs = demo.table(spark, sf, "documents")
     best = top(docs.select("doc_id", "source", "n_chars"), ["source"], [-F.col("n_chars"), F.col("doc_id")], 10)
     # The text is read for the shortlisted documents only.
     rows = best.join(docs.select("doc_id", "text"), "doc_id").select(
@@ -166,7 +166,7 @@ def foreign_country(spark, sf):
 
 
 def _documents_with_url(spark, sf):
-    docs = demo.spread(demo.table(spark, sf, "documents"))
+    docs = demo.table(spark, sf, "documents")
     return docs.select(
         "doc_id", "lang", "text",
         F.concat(F.lit("https://host.example/x-"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
@@ -175,8 +175,8 @@ def _documents_with_url(spark, sf):
 
 @query(
     "snapshot_join",
-    """WITH d AS (SELECT doc_id, CASE WHEN lang = 'es' THEN '  ' ELSE text END AS text FROM documents WHERE source <> 'src3'),
-j AS (SELECT coalesce(l.doc_id, d.doc_id) AS source_id, l.doc_id IS NULL AS nm, d.doc_id IS NULL AS nf, trim(text) AS text FROM labels l FULL JOIN d ON d.doc_id = l.doc_id),
+    """WITH d AS (SELECT doc_id, CASE WHEN lang = 'es' THEN chr(10) || chr(9) || ' ' ELSE chr(9) || text || chr(10) END AS text FROM documents WHERE source <> 'src3'),
+j AS (SELECT coalesce(l.doc_id, d.doc_id) AS source_id, l.doc_id IS NULL AS nm, d.doc_id IS NULL AS nf, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM labels l FULL JOIN d ON d.doc_id = l.doc_id),
 k AS (SELECT *, CASE WHEN nf THEN 'declared but has no text' WHEN nm THEN 'has a text but is not declared' WHEN text = '' THEN 'the text is empty' WHEN length(text) > 5000 THEN 'the text is too long' END AS problem FROM j)
 SELECT source_id, problem, CASE WHEN problem IS NULL THEN sha256(text) END AS hash FROM k""",
 )
@@ -188,7 +188,7 @@ def snapshot_join(spark, sf):
     docs = demo.table(spark, sf, "documents").filter(F.col("source") != "src3")
     files = docs.select(
         F.col("doc_id").alias("source_id"),
-        F.when(F.col("lang") == "es", "  ").otherwise(F.col("text")).alias("content"),
+        F.when(F.col("lang") == "es", "\n\t ").otherwise(F.concat(F.lit("\t"), "text", F.lit("\n"))).alias("content"),
     )
     sources, problems = read_snapshot(manifest, files, 5000, F.lit("2024-01-31").cast("timestamp"))
     return sources.select(
@@ -199,13 +199,13 @@ def snapshot_join(spark, sf):
 @query(
     "step_titles",
     """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
-t AS (SELECT doc_id, n, trim(line) AS x FROM l)
-SELECT doc_id, n, coalesce(nullif(trim(rtrim(x, ',;:')), ''), x) AS title FROM t""",
+t AS (SELECT doc_id, n, regexp_replace(chr(9) || line || ' ' || chr(9), '^\\s+|\\s+$', '', 'g') AS x FROM l)
+SELECT doc_id, n, coalesce(nullif(regexp_replace(rtrim(x, ',;:'), '^\\s+|\\s+$', '', 'g'), ''), x) AS title FROM t""",
 )
 def step_titles(spark, sf):
     """Step titles tidied (every line of every document)."""
-    docs = demo.spread(demo.table(spark, sf, "documents"))
+    docs = demo.table(spark, sf, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     return lines.select(
-        "doc_id", F.col("n").cast("long").alias("n"), tx.tidy_step_title(F.col("line")).alias("title")
+        "doc_id", F.col("n").cast("long").alias("n"), tx.tidy_step_title(F.concat(F.lit("\t"), "line", F.lit(" \t"))).alias("title")
     )

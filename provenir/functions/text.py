@@ -9,7 +9,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from provenir.functions.urls import let
+from provenir.functions.urls import let, strip
 from provenir.params import LIMITS, PLACEHOLDER_LINE
 
 WORD_EDGE = r"[^\p{L}\p{N}_]"
@@ -64,15 +64,18 @@ def slug(text: Column, cut: int = 24, joint: str = "_") -> Column:
     return F.trim(F.substring(cleaned, 1, cut), F.lit(joint))
 
 
-def clean_title(raw: Column, fallback: Column) -> Column:
-    """Drop the site name that follows the first of three separators, when the head can stand."""
+def clean_title(raw: Column, fallback: Column, maximum: int | None = LIMITS.title) -> Column:
+    """Drop the site name that follows the first of three separators, when the head can stand.
+
+    Longer than ``maximum`` characters it is cut; None keeps it whole.
+    """
     title = collapse_spaces(raw)
     marks = ["|", "—", " - "]
     chosen = title
     for mark in reversed(marks):
-        head = F.trim(F.substring_index(title, mark, 1))
+        head = strip(F.substring_index(title, mark, 1))
         chosen = F.when(title.contains(mark) & (F.length(head) >= 8), head).otherwise(chosen)
-    cut = F.substring(chosen, 1, 90)
+    cut = chosen if maximum is None else F.substring(chosen, 1, maximum)
     return F.when(F.coalesce(title, F.lit("")) == "", fallback).otherwise(
         F.when(cut == "", fallback).otherwise(cut)
     )
@@ -80,8 +83,8 @@ def clean_title(raw: Column, fallback: Column) -> Column:
 
 def tidy_step_title(text: Column) -> Column:
     """Trim punctuation that means a sentence was still going."""
-    trimmed = F.trim(text)
-    tidy = F.trim(F.rtrim(trimmed, F.lit(",;:")))
+    trimmed = strip(text)
+    tidy = strip(F.rtrim(trimmed, F.lit(",;:")))
     return F.coalesce(F.nullif(tidy, F.lit("")), trimmed)
 
 
@@ -114,7 +117,7 @@ def decode_entities(text: Column) -> Column:
 def plain_lines(text: Column) -> Column:
     """Trimmed, non-blank lines."""
     return F.filter(
-        F.transform(F.split(text, r"\r\n|\r|\n"), lambda line: F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))),
+        F.transform(F.split(text, r"\r\n|\r|\n"), strip),
         lambda line: line != "",
     )
 

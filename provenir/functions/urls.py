@@ -33,6 +33,11 @@ def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, _SPLIT, group)
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def scheme(url: Column) -> Column:
     return F.lower(_part(url, 1))
 
@@ -133,7 +138,7 @@ def canonical_parts(raw: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """One comparable form of a URL: case, ports, trailing slashes, tracking, order, fragment."""
-    return canonical_parts(parts(strip_invisible(F.trim(url))))
+    return canonical_parts(parts(strip_invisible(strip(url))))
 
 
 def host(url: Column) -> Column:
@@ -202,7 +207,7 @@ def policy_path(url: Column) -> Column:
 
 
 def agent_token(agent: Column) -> Column:
-    token = F.trim(F.substring_index(agent, "/", 1))
+    token = strip(F.substring_index(agent, "/", 1))
     return F.when(token == "", "*").otherwise(token)
 
 

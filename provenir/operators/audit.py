@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.operators.large_groups import GROUP_LIMIT, number_rows
+from provenir.operators.large_groups import number_rows
 
 
 def considered(
@@ -13,7 +13,6 @@ def considered(
     shortlisted: DataFrame,
     fetched: DataFrame,
     by: list[str],
-    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Every candidate with its position (best down, URL) and how far it came.
 
@@ -27,7 +26,7 @@ def considered(
     flagged = flagged.withColumn("shortlisted", F.coalesce("shortlisted", F.lit(False))).withColumn(
         "fetched", F.coalesce("fetched", F.lit(False))
     )
-    return number_rows(flagged, by, [-F.col("best"), F.col("url")], "position", group_limit)
+    return number_rows(flagged, by, [-F.col("best"), F.col("url")], "position")
 
 
 def classify_misses(asks: DataFrame, records: DataFrame, by: list[str]) -> DataFrame:

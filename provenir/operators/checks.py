@@ -172,7 +172,7 @@ def check_destinations(
 def check_registry(entries: DataFrame) -> DataFrame:
     """``entries``: code, list (trusted/reviewed/unconfirmable), domain, evidence."""
     reviewed = entries.filter(F.col("list") == "reviewed")
-    blank = reviewed.filter(F.trim(F.coalesce("evidence", F.lit(""))) == "")
+    blank = reviewed.filter(urls.strip(F.coalesce("evidence", F.lit(""))) == "")
     return together(
         [
             overlaps(entries, "code", "list", "domain", "domain_in_two_lists"),

@@ -7,8 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenir.functions import urls
 from provenir.functions.urls import let
 from provenir.params import GAP_MARK, LIMITS
+from provenir.session import cut_lineage
 
 _SPANS = "array<struct<s:int,e:int>>"
 
@@ -166,10 +168,11 @@ def candidate_packets(
 ) -> DataFrame:
     """One JSON text per corridor for the decider: traveller, roles, candidates without scores.
 
-    ``candidates`` is a shortlist, so a corridor gathers at most its size.
+    ``candidates`` is a shortlist, so a corridor gathers at most its size. A corridor without
+    candidates gets a packet without any; a null value keeps its key.
     """
     title = F.coalesce(
-        F.nullif(F.trim("title"), F.lit("")), F.nullif(F.trim("text"), F.lit("")), F.col("url")
+        F.nullif(urls.strip(F.col("title")), F.lit("")), urls.strip(F.col("text")), F.lit("")
     )
     item = F.struct(
         "place", F.col("source_id").alias("id"), title.alias("title"), "url",
@@ -185,25 +188,44 @@ def candidate_packets(
     )
     packet = F.to_json(
         F.struct(
-            F.col("traveller"), F.array(*[F.lit(r) for r in roles]).alias("roles"), bare.alias("candidates")
-        )
+            F.col("traveller"), F.array(*[F.lit(r) for r in roles]).alias("roles"),
+            F.coalesce(bare, F.array().cast(_CANDIDATES)).alias("candidates"),
+        ),
+        {"ignoreNullFields": "false"},
     )
-    return corridors.join(listed, by).select(*by, F.size("_items").alias("candidates"), packet.alias("packet"))
+    return corridors.join(listed, by, "left").select(*by, F.coalesce(F.size("_items"), F.lit(0)).alias("candidates"), packet.alias("packet"))
+
+
+_CANDIDATES = "array<struct<id:string,title:string,url:string,published:string,excerpt:string>>"
+_SOURCE = ("source_id", "title", "url", "authority", "content")
+
+
+def bare_type(sources: DataFrame) -> str:
+    kinds = dict(sources.dtypes)
+    return "array<struct<" + ",".join(f"{c}:{kinds[c]}" for c in _SOURCE) + ">>"
 
 
 def research_packets(
     sources: DataFrame, requests: DataFrame, by: list[str], maximum: int
 ) -> DataFrame:
-    """One JSON text per request: destination, traveller, sources; null with a reason when too long."""
+    """One JSON text per request: destination, traveller, sources; null with a reason when too long.
+
+    Texts longer than ``maximum`` together are told from their summed lengths and never gathered. A
+    request without sources gets a packet without any.
+    """
+    total = sources.groupBy(*by).agg(F.sum(F.length("content")).alias("_length"))
+    total = cut_lineage(requests.select(*by).join(total, by, "left"))
+    sources = sources.join(total.filter(F.col("_length") <= maximum).select(*by), by, "left_semi")
     item = F.struct("seq", "source_id", "title", "url", "authority", "content")
     listed = sources.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("_items"))
     bare = F.transform(
         "_items",
-        lambda r: F.struct(*[r[c].alias(c) for c in ("source_id", "title", "url", "authority", "content")]),
+        lambda r: F.struct(*[r[c].alias(c) for c in _SOURCE]),
     )
-    text = F.to_json(F.struct("destination", "traveller", bare.alias("sources")))
-    built = requests.join(listed, by).withColumn("_text", text)
-    long_ = F.length("_text") > maximum
+    filled = F.coalesce(bare, F.array().cast(bare_type(sources))).alias("sources")
+    text = F.to_json(F.struct("destination", "traveller", filled), {"ignoreNullFields": "false"})
+    built = requests.join(total, by).join(listed, by, "left").withColumn("_text", text)
+    long_ = (F.coalesce("_length", F.lit(0)) > maximum) | (F.length("_text") > maximum)
     return built.select(
         *by,
         F.when(~long_, F.col("_text")).alias("packet"),

@@ -23,7 +23,7 @@ from provenir.session import cut_lineage
 
 def expand_links(
     seeds: DataFrame,
-    links: DataFrame,
+    links: DataFrame | Callable[[DataFrame], DataFrame],
     by: list[str],
     budgets: DataFrame | None = None,
     depth: int = LIMITS.depth,
@@ -38,13 +38,18 @@ def expand_links(
     ``seeds``: by, url, host. ``links``: src, url, host, seq, any link columns, and ``by`` unless
     all groups share one web graph. ``judge`` scores and filters the links met at one level (it
     adds ``score`` and drops what is rejected or off the trusted hosts), so only links of visited
-    pages are ever scored; without it ``links`` carries ``score``. ``budgets``: by, budget — pages
+    pages are ever scored; without it ``links`` carries ``score``. ``links`` may also be a function
+    that makes the links of the pages (by, src) visited at a level. ``budgets``: by, budget — pages
     one host may take, else ``per_host``. ``is_document`` marks links that are candidates but are
     never followed (PDFs).
     """
     keys = [*by, "url"]
     leaf = F.lit(False) if is_document is None else is_document
-    shared = [c for c in by if c in links.columns]
+    links_at = links if callable(links) else lambda _: links
+    # The largest budget bounds the row numbers, the row's own budget decides.
+    largest = per_host
+    if budgets is not None:
+        largest = max(largest, budgets.agg(F.max("budget")).first()[0] or 0)
     visited = None
     candidates = None
     frontier = seeds.select(*keys, "host", F.lit(1000.0).alias("score"))
@@ -64,8 +69,7 @@ def expand_links(
             room = room.join(budgets.select(*by, "budget"), by, "left")
             limit = F.coalesce("budget", limit)
         order = [-F.col("score"), F.col("url")]
-        # The largest budget bounds the row numbers, the row's own budget decides.
-        fit = top(room, [*by, "host"], order, per_host, "_h").filter(
+        fit = top(room, [*by, "host"], order, largest, "_h").filter(
             F.col("_h") <= limit - F.coalesce("_host_spent", F.lit(0))
         )
         taken = top(fit, by, order, pages, "_p").filter(
@@ -76,7 +80,9 @@ def expand_links(
         if level == depth:
             break
         here = visited.filter(F.col("depth") == level).select(*by, F.col("url").alias("src"))
-        met = links.drop("depth").join(here, [*shared, "src"])
+        level_links = links_at(here).drop("depth")
+        shared = [c for c in by if c in level_links.columns]
+        met = level_links.join(here, [*shared, "src"])
         met = met.withColumn("depth", F.lit(level + 1))
         met = met if judge is None else judge(met)
         found = met.withColumn("_leaf", leaf).drop("src")

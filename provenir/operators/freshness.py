@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provenir.functions.urls import strip
 from provenir.operators.ranking import first_of
 from provenir.params import LIMITS, REFUSALS
 from provenir.session import cut_lineage
@@ -82,11 +83,11 @@ def as_of(
     )
 
 
-def attempt(observations: DataFrame, readable: int = LIMITS.readable_text) -> DataFrame:
+def attempt(observations: DataFrame, page_bytes: int = LIMITS.page_bytes) -> DataFrame:
     """Add ``attempt``: what the request alone says, before any cache is consulted.
 
     ``observations``: policy, error, trusted (boolean), http_status, bytes, machine (boolean),
-    forward (ok or an outcome), thin (reason or null).
+    forward (ok or an outcome), thin (reason or null). A body beyond ``page_bytes`` is unusable.
     """
     status = F.col("http_status")
     ladder = (
@@ -96,7 +97,7 @@ def attempt(observations: DataFrame, readable: int = LIMITS.readable_text) -> Da
         .when(status == 304, "not_modified")
         .when(status.isin(REFUSALS), "blocked")
         .when(status != 200, "unreachable")
-        .when(F.col("bytes") > LIMITS.page_bytes, "unusable")
+        .when(F.col("bytes") > page_bytes, "unusable")
         .when(F.col("machine"), "unusable")
         .when(F.col("forward") != "ok", F.col("forward"))
         .when(F.col("thin").isNotNull(), "unusable")
@@ -192,6 +193,13 @@ def refreshes(
     success = observations.filter(F.col("attempt").isin("stored", "not_modified")).select(
         "url", "at", F.col("seq").cast("long").alias("seq"), "attempt", "content_hash"
     )
+    if ttl <= 0:
+        # Nothing is ever a hit: every success from the first stored page on moves the cache.
+        begun = success.filter(F.col("attempt") == "stored").groupBy("url").agg(F.min(F.struct("at", "seq")).alias("_start"))
+        chain = success.join(begun, "url").filter(F.struct("at", "seq") >= F.col("_start")).drop("_start")
+        held = Window.partitionBy("url").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)
+        stored = F.when(F.col("attempt") == "stored", F.col("content_hash"))
+        return chain.withColumn("held_hash", F.last(stored, ignorenulls=True).over(held))
     sizes = success.groupBy("url").count()
     busy = sizes.filter(F.col("count") > row_limit).select("url")
     if busy.isEmpty():
@@ -220,7 +228,7 @@ def fold_cache(
     moved = refreshes(observations, ttl_hours, row_limit)
     state = moved.select("url", "at", "seq", "held_hash")
     rows = observations.withColumn("seq", F.col("seq").cast("long"))
-    joined = as_of(rows, state, ["url"], "at", "seq", "_held", int(ttl_hours * HOUR), inclusive=False)
+    joined = as_of(rows, state, ["url"], "at", "seq", "_held", max(int(min(ttl_hours, 24) * HOUR), HOUR), inclusive=False)
     held = F.col("_held")
     age = (F.col("at") - held["at"]) / F.lit(float(HOUR))
     return (
@@ -327,9 +335,9 @@ def crawl_outcome(rows: DataFrame) -> DataFrame:
         .when(F.col("landing_policy") != "allowed", "disallowed")
         .when(status.isin(REFUSALS), "blocked")
         .when(status != 200, "unusable")
-        .when(F.col("bytes") > LIMITS.page_bytes, "unusable")
+        .when(F.col("bytes") > page_bytes, "unusable")
         .when(~F.lower(F.coalesce("content_type", F.lit("text/html"))).contains("html"), "unusable")
-        .when(F.trim("body") == "", "unusable")
+        .when(strip(F.col("body")) == "", "unusable")
         .otherwise("ok")
     )
     return rows.withColumn("outcome", ladder)

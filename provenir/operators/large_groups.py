@@ -3,7 +3,7 @@
 A window over one group runs in one task. Where a group can hold a large share of the rows, the
 operators here sort by range instead: Spark's range partitioner splits a large group over many
 partitions, each partition is numbered on its own, and a table with one row per (partition, group)
-carries the running values across. Small groups take the plain window.
+carries the running counts across. Groups of all sizes take this one path.
 """
 
 from __future__ import annotations
@@ -13,14 +13,6 @@ from pyspark.sql import functions as F
 
 from provenir.session import cut_lineage
 
-GROUP_LIMIT = 1_000_000
-
-
-def largest_group(df: DataFrame, group: list[str]) -> int:
-    row = df.groupBy(*group).count().agg(F.max("count").alias("n")).first()
-    return row["n"] or 0
-
-
 def ranged(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     """Sort by range over (group, order) and tag rows with their partition, fixed on disk."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -30,17 +22,8 @@ def ranged(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     )
 
 
-def number_rows(
-    df: DataFrame,
-    group: list[str],
-    order: list[Column],
-    name: str = "position",
-    group_limit: int = GROUP_LIMIT,
-) -> DataFrame:
+def number_rows(df: DataFrame, group: list[str], order: list[Column], name: str = "position") -> DataFrame:
     """``row_number`` over groups of any size. ``order`` ascends and must end in a unique key."""
-    if largest_group(df, group) <= group_limit:
-        window = Window.partitionBy(*group).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("long"))
     sliced = ranged(df, group, order)
     counts = sliced.groupBy(*group, "_slice").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,40 +35,3 @@ def number_rows(
         .withColumn(name, (F.col("_before") + F.col("_in")).cast("long"))
         .drop("_slice", "_in", "_before")
     )
-
-
-def paced_starts(
-    df: DataFrame,
-    group: list[str],
-    arrival_micros: str,
-    tie: str,
-    delay_micros: int,
-    name: str = "start_micros",
-    group_limit: int = GROUP_LIMIT,
-) -> DataFrame:
-    """start = max(arrival, previous start + delay) per group.
-
-    With i the row's index this is max over j<=i of (a_j - j*d) + i*d, a running maximum, which
-    splits over slices like a running count does.
-    """
-    order = [F.col(arrival_micros), F.col(tie)]
-    numbered = number_rows(df, group, order, "_i", group_limit)
-    shifted = numbered.withColumn("_x", F.col(arrival_micros) - F.col("_i") * F.lit(delay_micros))
-    if largest_group(df, group) <= group_limit:
-        window = Window.partitionBy(*group).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-        best = F.max("_x").over(window)
-        return shifted.withColumn(name, best + F.col("_i") * F.lit(delay_micros)).drop("_i", "_x")
-    block = F.floor(F.col("_i") / F.lit(group_limit)).cast("long")
-    blocks = shifted.withColumn("_block", block)
-    peaks = blocks.groupBy(*group, "_block").agg(F.max("_x").alias("_peak"))
-    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = peaks.withColumn("_carry", F.max("_peak").over(before)).drop("_peak")
-    inner = (
-        Window.partitionBy(*group, "_block").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    best = F.greatest(F.col("_carry"), F.max("_x").over(inner))
-    return (
-        blocks.join(carried, [*group, "_block"])
-        .withColumn(name, best + F.col("_i") * F.lit(delay_micros))
-        .drop("_i", "_x", "_block", "_carry")
-    )

@@ -195,4 +195,4 @@ def resolve_country(requests: DataFrame, countries: DataFrame, asked: str = "ask
     )
     listed = countries.select("code", "seq", F.inline(F.concat(alias, synonyms)))
     best = listed.groupBy("alias").agg(F.min_by("code", F.struct("rule", "seq")).alias("code"))
-    return requests.withColumn("alias", F.lower(F.trim(asked))).join(best, "alias", "left").drop("alias")
+    return requests.withColumn("alias", F.lower(urls.strip(asked))).join(best, "alias", "left").drop("alias")

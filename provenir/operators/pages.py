@@ -15,7 +15,7 @@ _ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
 _HREF = r"""(?is)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 _TAG = r"(?s)<!--.*?-->|<[A-Za-z/!?][^>]*>"
 _LINK_TYPE = (
-    "array<struct<url:string,text:string,heading:string,depth:int,discovered_from:string,pos:int>>"
+    "array<struct<url:string,text:string,heading:string,depth:int,discovered_from:string,pos:int,found:int>>"
 )
 
 
@@ -25,11 +25,15 @@ def inner_text(markup: Column) -> Column:
     return tx.collapse_spaces(tx.decode_entities(bare))
 
 
-def page_title(html: Column) -> Column:
-    """First h1 when it has text, else the title element, else empty."""
+def _head(text: Column, length: int | None) -> Column:
+    return text if length is None else F.substring(text, 1, length)
+
+
+def page_title(html: Column, maximum: int | None = LIMITS.page_title) -> Column:
+    """First h1 when it has text, else the title element, else empty; None keeps the whole of it."""
     heading = inner_text(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1))
     title = inner_text(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
-    return F.substring(F.when(heading != "", heading).otherwise(title), 1, LIMITS.page_title)
+    return _head(F.when(heading != "", heading).otherwise(title), maximum)
 
 
 def readable_text(html: Column, maximum: int | None = None) -> Column:
@@ -39,25 +43,31 @@ def readable_text(html: Column, maximum: int | None = None) -> Column:
         kept = F.regexp_replace(kept, rf"(?is)<{element}\b.*?</{element}\s*>", "")
     bare = tx.decode_entities(F.regexp_replace(kept, _TAG, "\n"))
     joined = F.array_join(tx.plain_lines(bare), "\n")
-    return joined if maximum is None else F.trim(F.substring(joined, 1, maximum))
+    return joined if maximum is None else urls.strip(F.substring(joined, 1, maximum))
 
 
 def _href(attributes: Column) -> Column:
     value = F.regexp_extract(attributes, _HREF, 1)
     bare = F.regexp_replace(value, r"""^["']|["']$""", "")
-    return urls.strip_invisible(F.trim(tx.decode_entities(bare)))
+    return urls.strip_invisible(urls.strip(tx.decode_entities(bare)))
 
 
-def links_of(html: Column, base: Column, maximum: int = LIMITS.links_per_page) -> Column:
+def links_of(
+    html: Column,
+    base: Column,
+    maximum: int | None = LIMITS.links_per_page,
+    text_length: int | None = LIMITS.link_text,
+) -> Column:
     """The links of one page in document order, each under the last heading before it.
 
     The page is cut before every heading; within a cut all links share that heading. The first
-    occurrence of a URL stays.
+    occurrence of a URL stays. At most ``maximum`` links, and labels and headings of at most
+    ``text_length`` characters; None takes all. ``found`` counts a page's links before the cut.
     """
     cuts = F.split(html, r"(?i)(?=<h[1-3]\b)")
 
     def of_cut(cut: Column) -> Column:
-        heading = F.substring(inner_text(F.regexp_extract(cut, _HEADING, 1)), 1, LIMITS.link_text)
+        heading = _head(inner_text(F.regexp_extract(cut, _HEADING, 1)), text_length)
         attributes = F.regexp_extract_all(cut, F.lit(_ANCHOR), F.lit(1))
         labels = F.regexp_extract_all(cut, F.lit(_ANCHOR), F.lit(2))
         pairs = F.arrays_zip(attributes.alias("a"), labels.alias("l"))
@@ -88,7 +98,7 @@ def links_of(html: Column, base: Column, maximum: int = LIMITS.links_per_page) -
                     urls.parts(r["target"]),
                     lambda t: urls.canonical_parts(urls.resolve_parts(b, t)),
                 ).alias("url"),
-                F.substring(inner_text(r["label"]), 1, LIMITS.link_text).alias("text"),
+                _head(inner_text(r["label"]), text_length).alias("text"),
                 r["heading"].alias("heading"),
             ),
         )
@@ -96,30 +106,38 @@ def links_of(html: Column, base: Column, maximum: int = LIMITS.links_per_page) -
     def first_of_each(rows: Column) -> Column:
         kept = let(
             F.transform(rows, lambda r: r["url"]),
-            lambda listed: F.transform(
-                F.slice(F.array_distinct(listed), 1, maximum),
-                lambda u: F.get(rows, (F.array_position(listed, u) - 1).cast("int")),
+            lambda listed: let(
+                F.array_distinct(listed),
+                lambda once: F.transform(
+                    once if maximum is None else F.slice(once, 1, maximum),
+                    lambda u: F.struct(
+                        F.get(rows, (F.array_position(listed, u) - 1).cast("int")).alias("row"), F.size(once).alias("found")
+                    ),
+                ),
             ),
         )
         return F.transform(
             kept,
-            lambda r, i: F.struct(
+            lambda k, i: let(k["row"], lambda r: F.struct(
                 r["url"].alias("url"),
                 r["text"].alias("text"),
                 r["heading"].alias("heading"),
                 F.lit(0).alias("depth"),
-                F.substring(base, 1, 2000).alias("discovered_from"),
+                base.alias("discovered_from"),
                 i.cast("int").alias("pos"),
-            ),
+                k["found"].alias("found"),
+            )),
         )
 
     return let(let(urls.parts(base), resolved), first_of_each).cast(_LINK_TYPE)
 
 
-def extract_links(pages: DataFrame, maximum: int = LIMITS.links_per_page) -> DataFrame:
-    """Links table of a pages table (url, html and any key columns)."""
+def extract_links(
+    pages: DataFrame, maximum: int | None = LIMITS.links_per_page, text_length: int | None = LIMITS.link_text
+) -> DataFrame:
+    """Links table of a pages table (url, html and any key columns); ``found``: links of the page before the cut."""
     keys = [name for name in pages.columns if name not in ("html", "url")]
-    links = links_of(F.col("html"), F.col("url"), maximum)
+    links = links_of(F.col("html"), F.col("url"), maximum, text_length)
     return pages.select(
         *keys, F.col("url").alias("src_page"), F.inline(links)
     )
@@ -134,7 +152,7 @@ def forward_target(html: Column, base: Column) -> Column:
     first = F.get(refresh, 0)
     content = F.regexp_extract(first, r"""(?is)\bcontent\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1)
     bare = tx.decode_entities(F.regexp_replace(content, r"""^(["'])(.*)\1$""", "$2"))
-    target = F.trim(F.regexp_extract(bare, r"""(?i)url\s*=\s*['"]?([^'";]+)""", 1))
+    target = urls.strip(F.regexp_extract(bare, r"""(?i)url\s*=\s*['"]?([^'";]+)""", 1))
     return F.when(F.coalesce(target, F.lit("")) != "", urls.resolve(base, target))
 
 

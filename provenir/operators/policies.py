@@ -32,12 +32,12 @@ def policy_lines(bodies: DataFrame) -> DataFrame:
     An agent line that follows a rule line opens a new block.
     """
     lines = bodies.select("origin", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("pos", "raw"))
-    text = F.trim(F.substring_index("raw", "#", 1))
+    text = urls.strip(F.substring_index("raw", "#", 1))
     split = lines.filter(text.contains(":")).select(
         "origin",
         "pos",
-        F.lower(F.trim(F.substring_index(text, ":", 1))).alias("field"),
-        F.trim(F.regexp_replace(text, "^[^:]*:", "")).alias("value"),
+        F.lower(urls.strip(F.substring_index(text, ":", 1))).alias("field"),
+        urls.strip(F.regexp_replace(text, "^[^:]*:", "")).alias("value"),
     )
     known = split.filter(F.col("field").isin("user-agent", "allow", "disallow"))
     order = Window.partitionBy("origin").orderBy("pos")

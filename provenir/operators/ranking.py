@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.functions import hosts, urls
-from provenir.operators.large_groups import GROUP_LIMIT, number_rows
+from provenir.operators.large_groups import number_rows
 from provenir.params import LIMITS
 
 
@@ -34,14 +34,10 @@ def first_seen(hits: DataFrame, by: list[str] = ()) -> DataFrame:
     return first_of(hits, [*by, "url"], [F.col("query_seq"), F.col("rank")])
 
 
-def rank_for_role(
-    scores: DataFrame, by: list[str], name: str = "place", group_limit: int = GROUP_LIMIT
-) -> DataFrame:
+def rank_for_role(scores: DataFrame, by: list[str], name: str = "place") -> DataFrame:
     """Every positive candidate's place within its role: score down, then URL."""
     positive = scores.filter(F.col("score") > 0)
-    return number_rows(
-        positive, [*by, "role"], [-F.col("score"), F.col("url")], name, group_limit
-    )
+    return number_rows(positive, [*by, "role"], [-F.col("score"), F.col("url")], name)
 
 
 def readable_only(candidates: DataFrame, blocked: DataFrame, dead_hosts: DataFrame) -> DataFrame:
@@ -128,25 +124,6 @@ def host_budget(
     return seeds.groupBy(*by).agg(count.alias("seed_hosts"), budget)
 
 
-def next_wave(
-    frontier: DataFrame,
-    spent: DataFrame,
-    by: list[str],
-    order: list[Column],
-    width: int = LIMITS.wave,
-) -> tuple[DataFrame, DataFrame]:
-    """(wave, deferred): best first, one row per host, hosts at their budget dropped.
-
-    ``spent``: by, host, pages, budget. Deferred rows wait, they are not lost.
-    """
-    at_budget = spent.filter(F.col("pages") >= F.col("budget")).select(*by, "host")
-    open_ = frontier.join(at_budget, [*by, "host"], "left_anti")
-    per_host = first_of(open_, [*by, "host"], order)
-    wave = top(per_host, by, order, width, "wave_place")
-    deferred = open_.join(wave.select(*by, "url"), [*by, "url"], "left_anti")
-    return wave, deferred
-
-
 def entry_points(proposals: DataFrame, by: list[str], word: str = "visa") -> DataFrame:
     """Page to enter a domain by: topic in the path, then the shortest URL, then arrival.
 
@@ -170,11 +147,3 @@ def merge_candidates(found: DataFrame, crawled: DataFrame, by: list[str]) -> Dat
     )
     order = [-F.col("best"), F.col("_pref"), F.col("seq")]
     return first_of(both, [*by, "url"], order).drop("_pref")
-
-
-def first_n(
-    claims: DataFrame, by: list[str], order: list[Column], n: int, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
-    """Add ``granted`` to the first n claims of every run."""
-    numbered = number_rows(claims, by, order, "claim", group_limit)
-    return numbered.withColumn("granted", F.col("claim") <= n)

@@ -15,6 +15,11 @@ def role_position(roles: list[str], role: str = "role") -> Column:
     return F.array_position(F.array(*[F.lit(r) for r in roles]), F.col(role))
 
 
+def first(items: Column, n: int | None) -> Column:
+    """The first ``n`` of an array; None takes all."""
+    return items if n is None else F.slice(items, 1, n)
+
+
 def best_per_role(scores: DataFrame, by: list[str], minimum: float = LIMITS.role_score) -> DataFrame:
     """One page per role: the best score of at least the minimum, URL breaking ties."""
     good = scores.filter((F.col("score") >= minimum) & (F.col("score") > 0))
@@ -26,15 +31,16 @@ def assign_roles(
     by: list[str],
     roles: list[str],
     minimum: float = LIMITS.role_score,
-    signals: int = 6,
+    signals: int | None = 6,
 ) -> DataFrame:
-    """(by, url, roles, score, signals): pages that won roles, in role order.
+    """(by, url, roles, score, signals, signals_found): pages that won roles, in role order.
 
-    A page may win several roles; at most one row per role is gathered. ``scores`` carries the
+    ``signals`` are the first so many, None keeps all; ``signals_found`` counts them before the cut. A page may win several roles; at most one row per role is gathered. ``scores`` carries the
     link signals of (by, url, role).
     """
     won = best_per_role(scores, by, minimum).withColumn("_seq", role_position(roles))
     row = F.sort_array(F.collect_list(F.struct("_seq", "role", "signals")))
+    found = F.array_distinct(F.flatten(F.transform("_rows", lambda r: r["signals"])))
     return (
         won.groupBy(*by, "url")
         .agg(row.alias("_rows"), F.max("score").alias("score"))
@@ -43,9 +49,8 @@ def assign_roles(
             "url",
             F.transform("_rows", lambda r: r["role"]).alias("roles"),
             F.round("score", 1).alias("score"),
-            F.slice(
-                F.array_distinct(F.flatten(F.transform("_rows", lambda r: r["signals"]))), 1, signals
-            ).alias("signals"),
+            first(found, signals).alias("signals"),
+            F.size(found).alias("signals_found"),
         )
     )
 
@@ -76,14 +81,14 @@ def validate_choices(
     known = candidates.select(*by, "source_id").distinct().withColumn("_real", F.lit(True))
     judged = choices.join(known, [*by, "source_id"], "left")
     cause = (
-        F.when(~F.col("role").isin(roles), "unknown role")
+        F.when(~F.coalesce(F.col("role").isin(roles), F.lit(False)), "unknown role")
         .when(F.col("source_id").isNull(), "refused")
         .when(F.col("_real").isNull(), "not a candidate")
     )
     judged = judged.withColumn("cause", cause)
     valid = judged.filter(F.col("cause").isNull())
     kept = first_of(
-        valid.select(*by, "role", "seq", "source_id", F.trim("reason").alias("reason")),
+        valid.select(*by, "role", "seq", "source_id", urls.strip(F.col("reason")).alias("reason")),
         [*by, "role"],
         [F.col("seq")],
     )
@@ -98,11 +103,21 @@ def validate_choices(
 
 
 def sources_from_choices(
-    kept: DataFrame, candidates: DataFrame, by: list[str], roles: list[str], signals: int = 6
+    kept: DataFrame,
+    candidates: DataFrame,
+    by: list[str],
+    roles: list[str],
+    signals: int | None = 6,
+    reason_length: int | None = 160,
 ) -> DataFrame:
-    """Pages named by valid decisions, with their cut reasons and the date their path names."""
+    """Pages named by valid decisions, with their reasons and the date their path names.
+
+    Signals beyond ``signals`` and reasons beyond ``reason_length`` characters are cut, None keeps
+    all; ``signals_found`` counts them before the cut.
+    """
     named = kept.join(candidates.select(*by, "source_id", "url"), [*by, "source_id"])
-    row = F.sort_array(F.collect_list(F.struct(role_position(roles).alias("_seq"), "role", F.substring("reason", 1, 160).alias("reason"))))
+    reason = F.col("reason") if reason_length is None else F.substring("reason", 1, reason_length)
+    row = F.sort_array(F.collect_list(F.struct(role_position(roles).alias("_seq"), "role", reason.alias("reason"))))
     published = urls.published_date(F.col("url"))
     dated = F.when(
         published.isNotNull(), F.array(F.concat(F.lit("published in path: "), published))
@@ -117,7 +132,8 @@ def sources_from_choices(
             *by,
             "url",
             F.transform("_rows", lambda r: r["role"]).alias("roles"),
-            F.slice(F.concat(dated, reasons), 1, signals).alias("signals"),
+            first(F.concat(dated, reasons), signals).alias("signals"),
+            F.size(F.concat(dated, reasons)).alias("signals_found"),
         )
     )
 

@@ -122,9 +122,9 @@ def score_links(links: DataFrame, keys: list[str], lexicon: Lexicon) -> DataFram
     url = F.col("url")
     context = F.struct(
         urls.searchable(url).alias("u"),
-        F.lower(F.trim("text")).alias("label"),
-        F.lower(F.trim("heading")).alias("heading"),
-        F.trim(F.concat_ws(" ", F.lower(F.trim("text")), F.lower(F.trim("heading")))).alias("anchor"),
+        F.lower(urls.strip(F.col("text"))).alias("label"),
+        F.lower(urls.strip(F.col("heading"))).alias("heading"),
+        urls.strip(F.concat_ws(" ", F.lower(urls.strip(F.col("text"))), F.lower(urls.strip(F.col("heading"))))).alias("anchor"),
     )
 
     def first_hit(ctx: Column, phrases: list[str]) -> Column:

@@ -289,13 +289,24 @@ def name_authority(pages: DataFrame, sources: DataFrame, display: str = "display
 
 
 def mission_hosts(sources: DataFrame, residences: DataFrame) -> DataFrame:
-    """Hosts of configured sources whose first label (after ``www.``) is one of a country's labels.
+    """Hosts of configured sources, without ``www.``, whose first label is one of a country's labels.
 
     ``sources``: slug, host. ``residences``: code, host_labels.
     """
-    bare = F.regexp_replace("host", r"^www\.", "")
-    labelled = sources.withColumn("label", F.substring_index(bare, ".", 1))
+    bare = F.regexp_replace(F.lower("host"), r"^www\.", "")
+    labelled = sources.withColumn("host", bare).withColumn("label", F.substring_index(bare, ".", 1))
     labels = residences.select("code", F.explode("host_labels").alias("label")).withColumn(
         "label", F.lower("label")
     )
     return labelled.join(labels, "label").select("slug", "code", "host").distinct()
+
+
+def own_missions(rows: DataFrame, sources: DataFrame, residences: DataFrame, residence: str) -> DataFrame:
+    """Rows (slug, host, affinity and the residence's code) with hosts of configured missions as ``own``.
+
+    A host within a configured mission of the row's destination for its residence is the residence's own
+    mission, unless its address names another one.
+    """
+    missions = mission_hosts(sources, residences).select("slug", F.col("code").alias(residence), F.col("host").alias("domain"))
+    flagged = flag_within(rows, "host", missions, "_mission", ["slug", residence])
+    return flagged.withColumn("affinity", F.coalesce("affinity", F.when(F.col("_mission"), "own"))).drop("_mission")

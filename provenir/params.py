@@ -69,11 +69,12 @@ REFUSALS = [401, 403, 429]
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the crawl, the shortlist and the evidence, with their usual values."""
+    """Bounds of the crawl, the shortlist and the evidence. Their usual values are fixed values: results depend on them."""
 
     links_per_page: int = 400
     link_text: int = 300
     page_title: int = 200
+    title: int = 90
     trusted_domains: int = 5
     queries_needed: int = 2
     queries_needed_own: int = 1
@@ -105,7 +106,7 @@ LIMITS = Limits()
 
 @dataclass(frozen=True)
 class Weights:
-    """Additive points of the page scores."""
+    """Additive points of the page scores: fixed values."""
 
     link_text: float = 1.2
     heading: float = 0.5

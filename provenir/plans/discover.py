@@ -15,7 +15,7 @@ from provenir.functions import urls
 from provenir.operators import audit, lexicon as lx, pages as pg, ranking as rk, roles as rl
 from provenir.operators import scoring as sc
 from provenir.operators.expansion import expand_links
-from provenir.operators.trust import name_authority, within
+from provenir.operators.trust import name_authority, own_missions, within
 from provenir.params import LIMITS, LOAD_BEARING_ROLES, Lexicon, Limits
 from provenir.session import cut_lineage
 
@@ -32,15 +32,17 @@ class Resolved:
     visited: DataFrame
 
 
-def _with_context(links: DataFrame, corridors: DataFrame, countries: DataFrame, lexicon: Lexicon) -> DataFrame:
+def _with_context(
+    links: DataFrame, corridors: DataFrame, countries: DataFrame, lexicon: Lexicon, configured: DataFrame
+) -> DataFrame:
     """Corridor columns, nationality flag and mission affinity of candidate links."""
     rows = links.join(
-        corridors.select(*KEY, "purpose", "nationality", "applying_from", "destination_code"), KEY
+        corridors.select(*KEY, "slug", "purpose", "nationality", "applying_from", "destination_code"), KEY
     )
     about = lx.country_mentions(rows, PAGE, countries, by_host=False)
     named = about.select(*PAGE, F.col("code").alias("nationality"), F.lit(True).alias("_about"))
     labels = countries.select(F.col("code").alias("applying_from"), "mission_labels")
-    return (
+    judged = (
         rows.join(named, [*PAGE, "nationality"], "left")
         .join(labels, "applying_from", "left")
         .withColumn("describes_nationality", F.coalesce("_about", F.lit(False)))
@@ -50,11 +52,15 @@ def _with_context(links: DataFrame, corridors: DataFrame, countries: DataFrame,
         )
         .drop("_about", "mission_labels")
     )
+    residences = countries.select("code", F.col("mission_labels").alias("host_labels"))
+    return own_missions(judged, configured.select("slug", "host"), residences, "applying_from").drop("slug")
 
 
-def score_candidates(links: DataFrame, corridors: DataFrame, countries: DataFrame, lexicon: Lexicon) -> DataFrame:
+def score_candidates(
+    links: DataFrame, corridors: DataFrame, countries: DataFrame, lexicon: Lexicon, configured: DataFrame
+) -> DataFrame:
     """Role scores (long) of unique candidate links that are not rejected."""
-    ready = _with_context(links, corridors, countries, lexicon)
+    ready = _with_context(links, corridors, countries, lexicon, configured)
     allowed = ["nationality", "applying_from", "destination_code"]
     judged = lx.reject_links(ready, PAGE, lexicon, countries, allowed)
     return sc.score_links(judged.filter(F.col("rejected").isNull()), PAGE, lexicon)
@@ -79,16 +85,20 @@ def resolve(
     ``configured``: slug, seq, host, authority, kind of hand-configured sources.
     """
     trusted = domains.select(*KEY, "domain")
-    links = pg.extract_links(pages).select(
-        F.col("src_page").alias("src"), "url", "text", "heading", F.col("pos").alias("seq")
-    )
-    links = links.withColumn("host", urls.host(F.col("url"))).withColumn("title", F.lit(None).cast("string"))
+
+    def links(visited: DataFrame) -> DataFrame:
+        """Links of visited pages; the markup of other pages is never parsed."""
+        wanted = pages.join(visited.select(F.col("src").alias("url")).distinct(), "url", "left_semi")
+        found = pg.extract_links(wanted).select(
+            F.col("src_page").alias("src"), "url", "text", "heading", F.col("pos").cast("long").alias("seq")
+        )
+        return found.withColumn("host", urls.host(F.col("url"))).withColumn("title", F.lit(None).cast("string"))
 
     def judge(met: DataFrame) -> DataFrame:
         """Score the links met at one level; keep those on the corridor's domains, not rejected."""
         inside = within(met, "host", trusted, KEY).filter(urls.looks_crawlable(F.col("url")))
         unique = cut_lineage(rk.first_of(inside, PAGE, [F.col("seq"), F.col("src")]))
-        ready = _with_context(unique, corridors, countries, lexicon)
+        ready = _with_context(unique, corridors, countries, lexicon, configured)
         allowed = ["nationality", "applying_from", "destination_code"]
         kept = lx.reject_links(ready, PAGE, lexicon, countries, allowed).filter(
             F.col("rejected").isNull()
@@ -110,10 +120,10 @@ def resolve(
             F.coalesce("title", F.lit("")).alias("text"),
             F.lit("").alias("heading"),
             F.lit(0).alias("depth"),
-            (F.col("query_seq") * 1_000_000 + F.col("rank")).cast("int").alias("seq"),
+            (F.shiftleft(F.col("query_seq").cast("long"), 32) + F.col("rank")).alias("seq"),
         )
     )
-    search_scores = score_candidates(found, corridors, countries, lexicon)
+    search_scores = score_candidates(found, corridors, countries, lexicon, configured)
     search_best = search_scores.groupBy(*PAGE).agg(F.max("score").alias("score"))
     search = found.join(search_best, PAGE, "left").withColumn(
         "score", F.coalesce("score", F.lit(0.0))
@@ -139,7 +149,7 @@ def resolve(
         )
         .drop("_page_title")
     )
-    scores = cut_lineage(score_candidates(merged.drop("best"), corridors, countries, lexicon))
+    scores = cut_lineage(score_candidates(merged.drop("best"), corridors, countries, lexicon, configured))
     open_ = rk.readable_only(merged, ledger.filter(F.col("outcome") == "blocked"), dead_hosts)
     open_scores = scores.join(open_.select(*PAGE), PAGE, "left_semi")
     short = cut_lineage(
@@ -158,7 +168,8 @@ def resolve(
         short.join(texts, "url")
         .filter(F.length("content") >= limits.readable_text)
         .join(corridors.select(*KEY, "purpose", "nationality"), KEY)
-        .join(tokens, "nationality")
+        .join(tokens, "nationality", "left")
+        .withColumn("nationality_tokens", F.coalesce("nationality_tokens", F.array().cast("array<string>")))
         .withColumn("title", F.coalesce("title", F.lit("")))
     )
     read = cut_lineage(read)

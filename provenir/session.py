@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -37,10 +38,13 @@ def local_session(cpus: int = 8, memory: str = "8g", app: str = "provenir") -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the one the cluster names, else a test's own."""
+    """The shared folder for intermediate tables: the one the cluster names.
+
+    Only a session in one process may do without a name, as in tests; it gets a folder of its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)
@@ -48,6 +52,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """Where this application's stage tables are."""
+    return f"{shared_folder(spark)}/stages-{spark.sparkContext.applicationId}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete this application's stage tables. Frames that still read them can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from there.
 
@@ -57,7 +72,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     join in the library carries an unchecked broadcast hint.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid4().hex}"
+    path = f"{stage_folder(spark)}/{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from provenir import schemas
 from provenir.functions import keys
+from provenir.functions.urls import strip
 from provenir.operators.freshness import newest
 from provenir.session import cut_lineage
 
@@ -22,10 +23,10 @@ def read_search_responses(responses: DataFrame, by: list[str] = ()) -> DataFrame
     entries = F.from_json("body", _RESPONSE)["web"]["results"]
     rows = responses.select(*by, "query", "query_seq", F.posexplode(entries).alias("rank", "entry"))
     # Entries stay text until here, so that a URL that is not a string counts as missing.
-    raw = F.get_json_object("entry", "$.url")
-    quoted = F.rlike("entry", F.lit(r'"url"\s*:\s*"'))
+    entry = F.try_parse_json("entry")
+    is_text = F.schema_of_variant(F.try_variant_get(entry, "$.url", "variant")) == "STRING"
     return (
-        rows.withColumn("url", F.when(quoted, raw))
+        rows.withColumn("url", F.when(is_text, F.get_json_object("entry", "$.url")))
         .filter(F.coalesce("url", F.lit("")) != "")
         .select(
             *by,
@@ -107,14 +108,14 @@ def read_snapshot(
     problem = (
         F.when(F.col("_f").isNull(), "declared but has no text")
         .when(F.col("_m").isNull(), "has a text but is not declared")
-        .when(F.trim("content") == "", "the text is empty")
-        .when(F.length(F.trim("content")) > maximum, "the text is too long")
+        .when(strip(F.col("content")) == "", "the text is empty")
+        .when(F.length(strip(F.col("content"))) > maximum, "the text is too long")
     )
     judged = both.withColumn("problem", problem).drop("_m", "_f")
     sources = (
         judged.filter(F.col("problem").isNull())
         .drop("problem")
-        .withColumn("content", F.trim("content"))
+        .withColumn("content", strip(F.col("content")))
         .withColumn("content_hash", keys.content_hash(F.col("content")))
         .withColumn("retrieved_at", captured_at)
     )

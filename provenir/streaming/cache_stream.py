@@ -2,7 +2,8 @@
 
 State per URL is one small row: when the page was last confirmed and the hash it then had. The
 rules are those of the batch fold. Observations of one micro-batch are put in order before they
-are folded; across batches they must arrive in order per URL, as a fetcher writes them.
+are folded. A row older than what its URL's state was last moved by can't be folded any more: it comes
+out as ``late``, without evidence, for the batch fold to answer.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ class CacheFold(StatefulProcessor):
         for row in sorted(rows, key=lambda r: (r.at, r.seq)):
             age = None if at is None else row.at - at
             served = (at, digest)
-            if age is not None and age < self.ttl:
+            if age is not None and age < 0:
+                result, served = "late", (None, None)
+            elif age is not None and age < self.ttl:
                 result = "hit"
             elif row.attempt == "not_modified" and age is not None:
                 result, at = "revalidated", row.at

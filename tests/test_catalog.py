@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from provenir import catalog
 from tools.check import TABLES, rows_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,7 +14,8 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) <= {"excerpt", "link_signals"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) <= {"excerpt", "link_signals"}
+    assert set(catalog.QUERIES) <= set(contract.queries())
 
 
 @pytest.fixture(scope="module")

@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from provenir.operators import audit, ranking as rk
-from provenir.operators.large_groups import number_rows, paced_starts
+from provenir.operators.large_groups import number_rows
 
 CANDIDATE = "corridor string, url string, best double"
 SCORE = "corridor string, url string, role string, score double"
@@ -41,15 +42,6 @@ def test_readable_only(table):
     assert [r["url"] for r in rk.readable_only(rows, blocked, dead).collect()] == ["https://a.org/1"]
 
 
-def test_wave_takes_one_per_host_and_defers_the_rest(table):
-    rows = [("c", f"https://{h}.org/{i}", f"{h}.org", float(10 * i)) for h in "abcdef" for i in range(2)]
-    frontier = table(rows, "by string, url string, host string, score double")
-    spent = table([("c", "f.org", 20, 20)], "by string, host string, pages int, budget int")
-    wave, deferred = rk.next_wave(frontier, spent, ["by"], [-F.col("score"), F.col("url")], 4)
-    assert sorted(r["url"] for r in wave.collect()) == [f"https://{h}.org/1" for h in "abcd"]
-    assert deferred.count() == 6
-
-
 def test_host_budget(table):
     one = table([("c", "a")], "by string, host string")
     many = table([("c", h) for h in "abcd"], "by string, host string")
@@ -69,21 +61,9 @@ def test_large_groups_number_like_a_plain_window(spark):
     rows = [("hot" if random.Random(i).random() < 0.6 else f"g{i % 5}", (i * 7919) % 1000, i) for i in range(2000)]
     df = spark.createDataFrame(rows, "g string, v long, id long")
     order = [F.col("v"), F.col("id")]
-    plain = {(r["id"], r["n"]) for r in number_rows(df, ["g"], order, "n").collect()}
-    split = {(r["id"], r["n"]) for r in number_rows(df, ["g"], order, "n", group_limit=50).collect()}
-    assert plain == split
-
-
-def test_pacing_is_the_sequential_fold_for_any_group_size(spark):
-    generator = random.Random(3)
-    rows = [(f"h{generator.randrange(3)}", generator.randrange(10_000), i) for i in range(600)]
-    expected, last = {}, {}
-    for host, at, i in sorted(rows, key=lambda r: (r[1], r[2])):
-        expected[i] = last[host] = max(at, last.get(host, -10**9) + 37)
-    df = spark.createDataFrame(rows, "host string, at long, id long")
-    for limit in (10_000, 20):
-        got = {r["id"]: r["start_micros"] for r in paced_starts(df, ["host"], "at", "id", 37, group_limit=limit).collect()}
-        assert got == expected
+    window = Window.partitionBy("g").orderBy(*order)
+    plain = {(r["id"], r["n"]) for r in df.withColumn("n", F.row_number().over(window)).collect()}
+    assert {(r["id"], r["n"]) for r in number_rows(df, ["g"], order, "n").collect()} == plain
 
 
 def test_audit(table):

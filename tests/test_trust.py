@@ -121,4 +121,4 @@ def test_authority_names(table):
 def test_mission_hosts(table):
     sources = table([("jp", "www.uk.emb-japan.go.jp"), ("jp", "mofa.go.jp")], "slug string, host string")
     labels = table([("GB", ["UK", "gb"])], "code string, host_labels array<string>")
-    assert [tuple(r) for r in trust.mission_hosts(sources, labels).collect()] == [("jp", "GB", "www.uk.emb-japan.go.jp")]
+    assert [tuple(r) for r in trust.mission_hosts(sources, labels).collect()] == [("jp", "GB", "uk.emb-japan.go.jp")]
