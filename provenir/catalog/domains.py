@@ -368,8 +368,8 @@ SELECT c_custkey, CASE WHEN seg IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY') THEN
  sha256('N' || dest || '/' || coalesce(CASE WHEN seg IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY') THEN 'N' || c_nationkey END || '/', '') || 'N' || c_nationkey || '/tourism') AS key_hash,
  CASE WHEN seg NOT IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY') THEN 'unknown country'
       WHEN dest = c_nationkey THEN 'destination is the own country'
-      WHEN dest < 5 THEN NULL WHEN dest < 20 THEN 'not configured' ELSE 'the country is not in the registry' END AS refused,
- CASE WHEN seg IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY') AND dest <> c_nationkey AND dest < 5 THEN 'configured' END AS resolved_by
+      WHEN dest >= 20 THEN 'the country is not in the registry' END AS refused,
+ CASE WHEN seg IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY') AND dest <> c_nationkey THEN CASE WHEN dest < 5 THEN 'configured' WHEN dest < 20 THEN 'registry' END END AS resolved_by
 FROM r""",
 )
 def corridor_requests(spark, sf):
@@ -391,30 +391,13 @@ def corridor_requests(spark, sf):
     )
     known = lx.resolve_country(rows, countries).withColumnRenamed("code", "nationality")
     number = F.col("seq")
-    configured = countries.filter(number < 5).select(
-        F.col("code").alias("destination"), F.lit("configured").alias("resolved_by")
-    )
-    listed = countries.filter(number < 20).select(
-        F.col("code").alias("destination"), F.lit(True).alias("_listed")
-    )
-    joined = known.join(configured, "destination", "left").join(listed, "destination", "left")
+    configured = countries.filter(number < 5).select(F.col("code").alias("destination"))
+    listed = countries.filter(number < 20).select(F.col("code").alias("destination"))
     key = keys.corridor_key(
         F.col("destination"), F.col("nationality"), F.col("applying_from"), F.lit("tourism")
     )
-    refused = (
-        F.when(F.col("nationality").isNull(), "unknown country")
-        .when(F.col("destination") == F.col("nationality"), "destination is the own country")
-        .when(F.col("resolved_by").isNotNull(), None)
-        .when(F.col("_listed"), "not configured")
-        .otherwise("the country is not in the registry")
-    )
-    return joined.withColumn("refused", refused).select(
-        "c_custkey",
-        "nationality",
-        key.alias("corridor_key"),
-        keys.content_hash(key).alias("key_hash"),
-        "refused",
-        F.when(F.col("refused").isNull(), F.col("resolved_by")).alias("resolved_by"),
+    return lx.resolve_requests(known, configured, listed).select(
+        "c_custkey", "nationality", key.alias("corridor_key"), keys.content_hash(key).alias("key_hash"), "refused", "resolved_by"
     )
 
 

@@ -9,6 +9,7 @@ from provenir.functions import keys, urls
 from provenir.operators import freshness as fr
 from provenir.operators.trust import flag_within
 from provenir.params import SETTLED_REFUSALS
+from provenir.params import LIMITS
 from provenir.session import small_table
 
 EVENTS = """ev AS (SELECT event_id, 'u' || user_id AS url, epoch_us(ts) AS "at", event_id AS seq, event_type,
@@ -217,27 +218,43 @@ def crawl_outcome(spark, sf):
     return fr.crawl_outcome(flagged).select("event_id", "outcome")
 
 
+_REUSE = """WITH e AS (SELECT event_id, user_id AS k, epoch_us(ts) AS "at", event_type FROM events),
+s AS (SELECT k, "at", event_id FROM e WHERE event_type = 'purchase'), r AS (SELECT * FROM e WHERE event_type <> 'purchase'),
+j AS (SELECT r.event_id, r."at", s."at" AS sat, s.event_id AS stored_id FROM r ASOF LEFT JOIN s ON r.k = s.k AND r."at" >= s."at")"""
+
+
+def _asked_and_stored(spark, sf, key):
+    rows = demo.table(spark, sf, "events").select(
+        "event_id", F.col("user_id").alias(key), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type"
+    )
+    stored = rows.filter(F.col("event_type") == "purchase").select(key, "at", "event_id")
+    return rows.filter(F.col("event_type") != "purchase").select("event_id", key, "at"), stored
+
+
 @query(
     "corridor_reuse",
-    """WITH e AS (SELECT event_id, user_id AS k, epoch_us(ts) AS "at", event_type FROM events),
-s AS (SELECT k, "at", event_id FROM e WHERE event_type = 'purchase'), r AS (SELECT * FROM e WHERE event_type <> 'purchase'),
-j AS (SELECT r.event_id, r."at", s."at" AS sat, s.event_id AS stored_id FROM r ASOF LEFT JOIN s ON r.k = s.k AND r."at" >= s."at")
-SELECT event_id, stored_id, coalesce(("at" - sat) / 3.6e9 < 504, false) AS reused, coalesce(("at" - sat) / 3.6e9 < 24, false) AS policy_reused FROM j""",
+    f"""{_REUSE}
+SELECT event_id, stored_id, coalesce(("at" - sat) / 3.6e9 < 504, false) AS reused FROM j""",
 )
 def corridor_reuse(spark, sf):
-    """Requests that reuse a stored corridor (504 h) or a stored policy (24 h)."""
-    rows = demo.table(spark, sf, "events").select(
-        "event_id", F.col("user_id").alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type"
-    )
-    stored = rows.filter(F.col("event_type") == "purchase").select("k", "at", "event_id")
-    asked = rows.filter(F.col("event_type") != "purchase").select("event_id", "k", "at")
-    held = fr.as_of(asked, stored, ["k"], "at", "event_id", "_s", 504 * fr.HOUR)
-    corridor = fr.reuse(asked, stored, ["k"], "at", "event_id", 504.0).select("event_id", "reused")
-    policy = fr.reuse(asked, stored, ["k"], "at", "event_id", 24.0).select(
-        "event_id", F.col("reused").alias("policy_reused")
-    )
-    ids = held.select("event_id", F.col("_s.event_id").alias("stored_id"))
-    return ids.join(corridor, "event_id").join(policy, "event_id")
+    """Requests that reuse a stored corridor (504 h)."""
+    asked, stored = _asked_and_stored(spark, sf, "k")
+    found = fr.reuse(asked, stored, ["k"], "at", "event_id", LIMITS.corridor_hours)
+    return found.select("event_id", F.col("held.event_id").alias("stored_id"), "reused")
+
+
+@query(
+    "policy_reuse",
+    f"""{_REUSE}
+SELECT event_id, stored_id, CASE WHEN ("at" - sat) / 3.6e9 < 24 THEN 'reused' ELSE 'fetch' END AS policy FROM j""",
+)
+def policy_reuse(spark, sf):
+    """Crawl policies looked up within a day of their fetch, per origin."""
+    from provenir.operators import policies as pol
+
+    asked, stored = _asked_and_stored(spark, sf, "origin")
+    found = pol.reusable(asked.withColumnRenamed("event_id", "ask"), stored.withColumnRenamed("event_id", "ask"))
+    return found.select(F.col("ask").alias("event_id"), F.col("held.ask").alias("stored_id"), "policy")
 
 
 @query(

@@ -242,10 +242,8 @@ def corridor_results(spark, sf):
     sources = rl.assign_roles(scores, by, ROLES, 45.0)
     unresolved = rl.unresolved_roles(corridors, won, by)
     refused = demo.table(spark, sf, "events").filter(F.col("event_type") == "error")
-    decisive = scores.filter((F.col("role") == "visa_decision") & (F.col("score") > 0))
-    blocking = decisive.join(
-        refused.select(F.col("user_id").alias("doc_id")).distinct(), "doc_id", "left_semi"
-    ).select("corridor", "url").distinct()
+    settled = scores.join(refused.select(F.col("user_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    blocking = rl.decision_blocking(scores, settled.select("url").distinct(), by, "visa_decision")
     counts = scores.groupBy("corridor").agg(F.count("*").alias("scored"))
     rows = rl.corridor_results(corridors, sources, unresolved, blocking, by, LOAD_BEARING_ROLES, counts)
     outcome = audit.run_outcome(

@@ -301,14 +301,26 @@ def cache_table(moved: DataFrame) -> DataFrame:
 
 
 def reuse(
-    requests: DataFrame, stored: DataFrame, by: list[str], at: str, tie: str, hours: float
+    requests: DataFrame,
+    stored: DataFrame,
+    by: list[str],
+    at: str,
+    tie: str,
+    hours: float | dict[str, float],
+    held: str = "held",
 ) -> DataFrame:
-    """Add ``reused``: a stored answer younger than ``hours`` exists when the request comes."""
-    joined = as_of(requests, stored, by, at, tie, "_held", int(hours * HOUR))
-    age = (F.col(at) - F.col(f"_held.{at}")) / F.lit(float(HOUR))
-    return joined.withColumn("age_hours", age).withColumn(
-        "reused", F.coalesce(F.col("age_hours") < hours, F.lit(False))
-    ).drop("_held")
+    """Add ``held`` (the last stored answer), ``age_hours`` and ``reused``: it is younger than ``hours``.
+
+    ``hours`` may name several flags with a limit each; all are told from one lookup, whose time
+    slices are a day wide whatever the limits.
+    """
+    limits = hours if isinstance(hours, dict) else {"reused": hours}
+    joined = as_of(requests, stored, by, at, tie, held)
+    age = (F.col(at) - F.col(f"{held}.{at}")) / F.lit(float(HOUR))
+    joined = joined.withColumn("age_hours", age)
+    return joined.withColumns(
+        {name: F.coalesce(F.col("age_hours") < limit, F.lit(False)) for name, limit in limits.items()}
+    )
 
 
 def ledger(outcomes: DataFrame, key: str = "url") -> DataFrame:
@@ -322,9 +334,11 @@ def ledger(outcomes: DataFrame, key: str = "url") -> DataFrame:
     )
 
 
-def crawl_outcome(rows: DataFrame) -> DataFrame:
+def crawl_outcome(rows: DataFrame, page_bytes: int = LIMITS.page_bytes) -> DataFrame:
     """Add ``outcome``: how one crawl request ended (the first test that applies).
 
+    A body beyond ``page_bytes`` is unusable.
+
     ``rows``: policy, error, landing_trusted, landing_policy, http_status, bytes, content_type, body.
     """
     status = F.col("http_status")

@@ -196,3 +196,26 @@ def resolve_country(requests: DataFrame, countries: DataFrame, asked: str = "ask
     listed = countries.select("code", "seq", F.inline(F.concat(alias, synonyms)))
     best = listed.groupBy("alias").agg(F.min_by("code", F.struct("rule", "seq")).alias("code"))
     return requests.withColumn("alias", F.lower(urls.strip(asked))).join(best, "alias", "left").drop("alias")
+
+
+def resolve_requests(requests: DataFrame, configured: DataFrame, registry: DataFrame) -> DataFrame:
+    """Add ``resolved_by`` (configured or registry) and ``refused``, the reason when a request can't be resolved.
+
+    ``requests``: destination, nationality (null: unknown). ``configured`` and ``registry``: destination.
+    A configured destination comes first, the registry stands in for the rest.
+    """
+    own = configured.select("destination").distinct().withColumn("_configured", F.lit(True))
+    listed = registry.select("destination").distinct().withColumn("_listed", F.lit(True))
+    found = F.when(F.col("_configured"), "configured").when(F.col("_listed"), "registry")
+    refused = (
+        F.when(F.col("nationality").isNull(), "unknown country")
+        .when(F.col("destination") == F.col("nationality"), "destination is the own country")
+        .when(found.isNull(), "the country is not in the registry")
+    )
+    return (
+        requests.join(own, "destination", "left")
+        .join(listed, "destination", "left")
+        .withColumn("refused", refused)
+        .withColumn("resolved_by", F.when(F.col("refused").isNull(), found))
+        .drop("_configured", "_listed")
+    )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.functions import urls
+from provenir.operators.freshness import reuse
 from provenir.params import LIMITS
 from provenir.session import cut_lineage
 
@@ -123,6 +124,15 @@ def policies(bodies: DataFrame, agent: str, maximum: int = LIMITS.policy_bytes)
     return cut_lineage(judged.select("origin", "state", "detail").join(ordered, "origin", "left"))
 
 
+def reusable(asks: DataFrame, fetched: DataFrame, hours: float = LIMITS.policy_hours) -> DataFrame:
+    """Add ``policy``: reused, or fetch when an origin's last fetched policy is ``hours`` old or there is none.
+
+    ``asks``: origin, at (microseconds), ask. ``fetched``: origin, at, ask. ``held`` is the policy found.
+    """
+    looked = reuse(asks, fetched, ["origin"], "at", "ask", {"_fresh": hours})
+    return looked.withColumn("policy", F.when(F.col("_fresh"), "reused").otherwise("fetch")).drop("_fresh")
+
+
 def _matches(path: Column, rule: Column) -> Column:
     plain = ~F.rlike(rule["pattern"], F.lit(r"[*$]"))
     return F.when(plain, F.startswith(path, rule["pattern"])).otherwise(

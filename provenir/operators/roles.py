@@ -239,3 +239,12 @@ def corridor_results(
             ),
         )
     )
+
+
+def decision_blocking(scores: DataFrame, settled: DataFrame, by: list[str], role: str) -> DataFrame:
+    """(by, url) of candidates for the deciding role whose page is settled as refused.
+
+    ``scores``: by, url, role, score. ``settled``: url.
+    """
+    deciding = scores.filter((F.col("role") == role) & (F.col("score") > 0))
+    return deciding.join(settled.select("url"), "url", "left_semi").select(*by, "url").distinct()

@@ -192,8 +192,7 @@ def resolve(
     named = rl.source_ids(named.withColumn("seq", first_role), KEY, F.col("slug"), "seq")
     unresolved = rl.unresolved_roles(corridors, won, KEY)
     settled = ledger.filter((F.col("outcome") == "blocked") & F.col("status").isin(401, 403))
-    deciding = scores.filter((F.col("role") == lexicon.roles[0]) & (F.col("score") > 0))
-    blocking = deciding.join(settled.select("url"), "url", "left_semi").select(*PAGE).distinct()
+    blocking = rl.decision_blocking(scores, settled, KEY, lexicon.roles[0])
     counts = read.groupBy(*KEY).agg(F.count("*").alias("pages_fetched"))
     rows = rl.corridor_results(
         corridors, named, unresolved, blocking, KEY, LOAD_BEARING_ROLES, counts
