@@ -35,7 +35,7 @@ BLOCK_PASSAGES, BLOCK_WORDS = 2_048, 65_535
 #: Dimensions of the latent space.
 RANK = 256
 #: Terms in more than this share of the passages have no weight.
-COMMON = 0.02
+COMMON = 0.01
 #: Least cosine of a candidate, and least shares of the item and of its answer in order.
 COSINE, ORDERED, ANSWERED = 0.1, 0.6, 0.5
 #: Items of fewer words have to be there whole.
@@ -202,14 +202,14 @@ def _sketch(weights, random):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, omega = weights.value, random.value
+        weighted = omega * weight[:, None].astype(np.float32)
         total = np.zeros(omega.shape, np.float32)
         for batch in batches:
             for _, texts in _texts(batch.column(0)):
                 halves = _halves(texts, weight)
                 if not len(halves.word):
                     continue
-                w = weight[halves.word][:, None].astype(np.float32)
-                seen = _passages(_by_half(halves, omega[halves.word] * w), halves)
+                seen = _passages(_by_half(halves, weighted[halves.word]), halves)
                 # A word is in its half's passage and in that of the half before.
                 both = seen.copy()
                 follows = halves.row[1:] == halves.row[:-1]
@@ -217,7 +217,8 @@ def _sketch(weights, random):
                 order = np.argsort(halves.word, kind="stable")
                 word = halves.word[order]
                 first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-                total[word[first]] += np.add.reduceat(both[halves.of[order]] * w[order], first, axis=0)
+                total[word[first]] += np.add.reduceat(both[halves.of[order]], first, axis=0)
+        total *= weight[:, None].astype(np.float32)
         part = TaskContext.get().partitionId()
         starts = [s for s in range(0, len(total), _CHUNK) if total[s : s + _CHUNK].any()]
         yield pa.RecordBatch.from_arrays(
@@ -251,18 +252,24 @@ def ordered(text: np.ndarray, item: np.ndarray) -> int:
 def _matches(block, weights, latent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weight, (basis, items, norms) = block.value, weights.value, latent.value
+        weighted = basis * weight[:, None].astype(np.float32)
         schema = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         for batch in batches:
             for first, texts in _texts(batch.column(2)):
                 halves = _halves(texts, weight)
                 if not len(halves.word):
                     continue
-                values = basis[halves.word] * weight[halves.word][:, None].astype(np.float32)
-                seen = _passages(_by_half(halves, values), halves)
-                size = np.sqrt(_passages(halves.square[:, None], halves))
-                cosine = (seen @ items) / np.maximum(size * norms, 1e-12)
+                seen = _passages(_by_half(halves, weighted[halves.word]), halves)
+                size = np.sqrt(_passages(halves.square[:, None], halves)).astype(np.float32)
+                # Passages without a weighted word are at a right angle to all items.
+                some = np.zeros(len(size), bool)
+                some[halves.of] = True
+                some[:-1] |= some[1:] & (halves.row[1:] == halves.row[:-1])
+                some = np.flatnonzero(some)
+                cosine = (seen[some] @ items) / np.maximum(size[some] * norms, 1e-12)
                 best: dict[tuple[int, int], tuple] = {}
-                for half, which in zip(*np.nonzero(cosine >= COSINE)):
+                for at, which in zip(*np.nonzero(cosine >= COSINE)):
+                    half = some[at]
                     row, words = int(halves.row[half]), own.words[which]
                     m, start = len(words), int(halves.start[half])
                     low = max(0, start - m)
@@ -274,9 +281,9 @@ def _matches(block, weights, latent):
                     answer = ordered(text, words[m - tail :]) / tail if tail else 1.0
                     if answer < ANSWERED:
                         continue
-                    rank = (found / m, float(cosine[half, which]), -start)
+                    rank = (found / m, float(cosine[at, which]), -start)
                     if rank > best.get((row, which), ((-1.0,),))[0]:
-                        best[row, which] = (rank, (first + row, int(which), low, low + len(text), float(cosine[half, which]), found / m, answer))
+                        best[row, which] = (rank, (first + row, int(which), low, low + len(text), float(cosine[at, which]), found / m, answer))
                 rows = [x for _, x in best.values()]
                 if rows:
                     at, *rest = zip(*rows)
