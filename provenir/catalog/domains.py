@@ -40,10 +40,10 @@ ev0 AS (SELECT domain, count(DISTINCT query) AS corroboration, bool_or(denied) A
   (domain = 'net' OR ends_with(domain, '.net')) AS belongs, {_KIND} AS kind
   FROM ranked GROUP BY domain),
 ev AS (SELECT *, governmental AND belongs AS own_government,
-  CASE WHEN denied THEN 'on the denylist of agencies and non-authoritative sites'
+  CASE WHEN denied THEN 'listed as no authority'
        WHEN corroboration < CASE WHEN governmental AND belongs THEN 1 ELSE 2 END
-       THEN 'appeared in only ' || corroboration || ' of the queries; at least ' ||
-            CASE WHEN governmental AND belongs THEN 1 ELSE 2 END || ' are needed' END AS rejected
+       THEN 'found by ' || corroboration || ' queries where ' ||
+            CASE WHEN governmental AND belongs THEN 1 ELSE 2 END || ' have to agree' END AS rejected
   FROM ev0)"""
 )
 
@@ -348,7 +348,7 @@ SELECT domain, url AS entry_url FROM e WHERE k = 1""",
 def entry_point(spark, sf):
     """Where to enter each domain that is not denied."""
     open_ = _proposals(spark, sf).filter(
-        F.col("rejected").isNull() | ~F.col("rejected").startswith("on the denylist")
+        F.col("rejected").isNull() | ~F.col("rejected").startswith("listed as no")
     )
     return entry_points(open_, [], "en").select("domain", "entry_url")
 

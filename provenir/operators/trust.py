@@ -126,11 +126,11 @@ def propose_domains(
     bar = F.when(F.col("own_government") & F.col("independent"), needed_own).otherwise(needed)
     suffix = hosts.is_bare_suffix(domain)
     few = F.format_string(
-        "appeared in only %d of the queries; at least %d are needed", F.col("corroboration"), bar
+        "found by %d queries where %d have to agree", F.col("corroboration"), bar
     )
-    denied = F.lit("on the denylist of agencies and non-authoritative sites")
+    denied = F.lit("listed as no authority")
     reason = (
-        F.when(suffix & ~F.col("_denied_first"), "a public suffix, which would trust every site beneath it")
+        F.when(suffix & ~F.col("_denied_first"), "no site of its own but a suffix of many")
         .when(F.col("_denied"), denied)
         .when(F.col("corroboration") < bar, few)
     )
