@@ -35,7 +35,11 @@ COUNTERS, CHUNKS = 1 << 20, 64
 #: Bits of the filter over documents whose sets are needed.
 BITS = 1 << 23
 #: Rows from which a region is cut by set size, and pivots of the rounds.
-BANDED, PIVOTS = 16, (1, 8, 64, 512, 4096)
+BANDED, PIVOTS = 16, (1, 16, 256, 4096)
+#: Rows for each pivot from which a region is split into cells.
+WIDE = 256
+#: Bytes of a set's parity bits.
+PARITY = 256
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, words: int) -> list[np.ndarray]:
@@ -146,19 +150,44 @@ def _windows(words: int, num: int, den: int, counters):
     return run
 
 
+def _place(nodes: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The filter's bit of a set and the document that stands for it."""
+    both = nodes.astype(np.int64).view(np.uint64) + names.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mix(both) & np.uint64(BITS - 1)).astype(np.int64)
+
+
+def parity(grams: np.ndarray) -> bytes:
+    """Bits that tell whether an odd number of n-grams fall on them; two sets differ in at least as many as their bits do."""
+    return np.packbits(np.bincount((grams >> np.uint64(20)).astype(np.int64) & (8 * PARITY - 1), minlength=8 * PARITY) & 1).tobytes()
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        place = _place(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32())], ["place"])
+
+
 def _wanted(words: int, bits):
     """(node, set) of the documents that the filter lets through, each set once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, done = bits.value, set()
-        for _, sets in _each(batches, words):
-            nodes, values = [], []
-            for s in sets:
-                if len(s) and (node := _node(s)) not in done and known[node & (BITS - 1)]:
-                    done.add(node)
-                    nodes.append(node)
-                    values.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(values, pa.binary())], ["node", "grams"])
+        for batch in batches:
+            names = batch.column(2).to_numpy()
+            offsets, data = utf8(batch.column(1))
+            for first, last in slices(offsets):
+                nodes, values, sizes, bits_of = [], [], [], []
+                for i, s in enumerate(shingle_sets(offsets[first : last + 1], data, words)):
+                    if len(s) and (node := _node(s)) not in done and known[_place(np.array([node]), names[first + i : first + i + 1])[0]]:
+                        done.add(node)
+                        nodes.append(node)
+                        values.append(s.tobytes())
+                        sizes.append(len(s))
+                        bits_of.append(parity(s))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes, pa.int64()), pa.array(values, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits_of, pa.binary())],
+                    ["node", "grams", "n", "parity"],
+                )
 
     return run
 
@@ -177,8 +206,33 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "both", "either"])
 
 
+def _possible(num: int, den: int):
+    """Pairs whose parity bits leave it open that they link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 10_000):
+                part = batch.slice(first, 10_000)
+                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint64).reshape(-1, PARITY // 8) for c in ("parity_a", "parity_b"))
+                apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+                both = part.column("n_a").to_numpy() + part.column("n_b").to_numpy()
+                keep = pa.array(apart <= both - 2 * -(-num * both // (num + den)))
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
+
+    return run
+
+
+def _sifted(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that may link, told from a few bytes of each set."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(_possible(num, den), "a long, b long")
+
+
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, both, either) of each pair: sizes of intersection and union."""
+    # Each set is moved once for each pair it is second in, and only sets that are in a pair.
+    asked = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    sets = sets.select("node", "grams").join(asked, "node", "left_semi")
     held = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a"
     )
@@ -190,17 +244,29 @@ def _ordered(one: str, other: str) -> list:
 
 
 def _regions(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """(region, node, n) with two nodes at least; large ones by bands of size, each band with the next."""
-    rows = postings.withColumn("rows", F.count("*").over(Window.partitionBy("gram"))).filter("rows > 1")
+    """(region, node, n, pos) of the documents that share an n-gram of their windows with one they could link to.
+
+    The smaller of two linked documents shares one of its first ``n - ceil(2 * num * n / (num + den)) + 1``
+    with the window of the larger. Large regions are cut into bands of size, each band with the next.
+    """
+    early = F.col("pos") <= F.col("n") - F.ceil(2 * num * F.col("n") / (num + den))
+    by_size = Window.partitionBy("gram").orderBy("n")
+    before = F.max(F.when(early, F.col("n"))).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    rows = postings.select("gram", "node", "n", "pos", early.alias("early"), before.alias("smaller"), F.lead("n").over(by_size).alias("larger"))
+    near = (den * F.col("smaller") >= num * F.col("n")) | F.col("early") & (den * F.col("n") >= num * F.col("larger"))
+    rows = rows.filter(near).select("gram", "node", "n", "pos", F.count("*").over(Window.partitionBy("gram")).alias("rows"))
     band = F.floor(F.log("n") / (float(np.log(den / num)) * 1.0001)).cast("long")
     bands = F.when(F.col("rows") > BANDED, F.array(band, band - 1)).otherwise(F.array(F.lit(-2).cast("long")))
-    rows = rows.select("gram", "node", "n", F.explode(bands).alias("band"))
-    # Two regions that a hash makes one are only compared for nothing.
-    return rows.select(F.xxhash64("gram", "band").alias("region"), "node", "n").distinct()
+    rows = rows.select("gram", "node", "n", "pos", F.explode(bands).alias("band"))
+    return rows.select(F.xxhash64("gram", "band").alias("region"), "node", "n", "pos")
 
 
 def _linked(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """All links of the nodes in ``rows`` (region, node, n) as far as they matter for components."""
+    """All links of the nodes in ``rows`` (region, node, n, pos) as far as they matter for components.
+
+    In the region of the first n-gram that two linked documents share, both have it among their first
+    ``n - overlap + 1``, overlap being what their sizes need to link. Pairs are compared in such regions alone.
+    """
     error = 1 - num / den
     links = None
     for turn in range(64):
@@ -218,22 +284,28 @@ def _linked(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             labelled.join(common.filter("kinds > 1"), "region")
             .withColumn("rank", F.row_number().over(order))
             .withColumn("rows", F.count("*").over(Window.partitionBy("region")))
-            .select("region", "node", "n", "label", "rank", "rows")
+            .select("region", "node", "n", "pos", "label", "rank", "rows")
         )
         if live.isEmpty():
             return links
-        split = (F.col("rows") > 4 * pivots) & F.lit(pivots > 1)
-        pivot = live.filter(F.col("rank") <= pivots).select("region", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("plabel"), F.col("rank").alias("prank"))
+        split = (F.col("rows") > WIDE * pivots) & F.lit(pivots > 1)
+        pivot = live.filter(F.col("rank") <= pivots).select("region", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("label").alias("plabel"), F.col("rank").alias("prank"))
         met = live.join(pivot, "region").filter((F.col("rank") > F.col("prank")))
-        near = (den * F.least("n", "pn") >= num * F.greatest("n", "pn")) & (F.col("label") != F.col("plabel"))
+        overlap = F.ceil(num * (F.col("n") + F.col("pn")) / (num + den))
+        near = (F.col("pos") <= F.col("n") - overlap) & (F.col("ppos") <= F.col("pn") - overlap)
+        # Sets of one size that share all are one set.
+        near = near & (F.col("label") != F.col("plabel")) & ~((F.col("n") == F.col("pn")) & (overlap == F.col("n")))
         met = stage(met.filter(split | near).select("region", "node", "pivot", "rank", "rows"))
-        known = stage(_compare(met.select(*_ordered("node", "pivot")).distinct(), sets))
+        pairs = stage(met.select(*_ordered("node", "pivot")).distinct())
+        left = live.filter(F.col("rank") > pivots)
+        # Cells need all distances of their regions.
+        whole = pivots == 1 or left.filter(split).isEmpty()
+        known = stage(_compare(stage(_sifted(pairs, sets, num, den)) if whole else pairs, sets))
         new = known.filter(den * F.col("both") >= num * F.col("either")).select("a", "b")
         links = new if links is None else links.union(new)
-        left = live.filter(F.col("rank") > pivots)
         wide = left.filter(split)
-        if pivots == 1 or wide.isEmpty():
-            rows = left.select("region", "node", "n")
+        if whole:
+            rows = left.select("region", "node", "n", "pos")
             continue
         far = met.filter(split & (F.col("rank") > pivots)).withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot"))
         far = far.join(known, ["a", "b"]).withColumn("d", 1 - F.col("both") / F.col("either"))
@@ -242,8 +314,8 @@ def _linked(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         held = cells.groupBy("region").agg(F.count("*").alias("held"))
         use = wide.groupBy("region").agg(F.first("rows").alias("all")).join(held, "region").filter(F.col("held") <= 2 * F.col("all")).select("region")
         use = stage(use)
-        n = left.select("region", "node", "n")
-        inside = cells.join(use, "region", "left_semi").join(n, ["region", "node"]).select(F.xxhash64("region", "pivot").alias("region"), "node", "n")
+        n = left.select("region", "node", "n", "pos")
+        inside = cells.join(use, "region", "left_semi").join(n, ["region", "node"]).select(F.xxhash64("region", "pivot").alias("region"), "node", "n", "pos")
         rows = stage(inside.union(n.join(use, "region", "left_anti")))
     raise RuntimeError("regions did not end")
 
@@ -271,13 +343,20 @@ def join(
     counters = spark.sparkContext.broadcast(_counters(summary))
     windows = texts.mapInArrow(_windows(words, num, den, counters), "node long, n long, grams array<bigint>")
     once = windows.groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
-    rows = stage(_regions(once.select("node", "n", F.explode("grams").alias("gram")), num, den))
-    buckets = rows.select(F.expr(f"cast(node & {BITS - 1}L as int)").alias("bit")).distinct().toArrow().column(0).to_numpy()
+    rows = stage(_regions(once.select("node", "n", F.posexplode("grams").alias("pos", "gram")), num, den))
+    # The document with the smallest hashed id stands for its set. The filter's size is fixed.
+    name = F.xxhash64("id")
+    alone = members.filter("n > 0").groupBy("node").agg(F.min(name).alias("name"))
+    alone = stage(alone.join(rows.select("node").distinct(), "node", "left_semi"))
     known = np.zeros(BITS, bool)
-    known[buckets] = True
+    for part in alone.mapInArrow(_places, "place int").distinct().toArrow().to_batches():
+        known[part.column(0).to_numpy()] = True
     bits = spark.sparkContext.broadcast(known)
-    held = texts.mapInArrow(_wanted(words, bits), "node long, grams binary")
-    sets = stage(held.groupBy("node").agg(F.first("grams").alias("grams")))
+    sets = stage(texts.withColumn("name", name).mapInArrow(_wanted(words, bits), "node long, grams binary, n long, parity binary"))
+    again = stage(sets.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node"))
+    if not again.isEmpty():
+        once = sets.join(again, "node", "left_semi").dropDuplicates(["node"])
+        sets = stage(sets.join(again, "node", "left_anti").unionByName(once))
     links = _linked(rows, sets, num, den)
     smallest = members.groupBy("node").agg(F.min("id").alias("least"))
     if links is None:

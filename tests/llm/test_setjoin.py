@@ -67,6 +67,7 @@ def test_components_are_those_of_all_pairs(spark, table, prose, rows, words, num
 
 def test_voronoi_rounds_give_the_same(spark, table, prose, rows, monkeypatch):
     monkeypatch.setattr(setjoin, "PIVOTS", (1, 2, 4, 64))
+    monkeypatch.setattr(setjoin, "WIDE", 2)
     docs = corpus(prose)
     got = setjoin.join(table([(*d, "x", 7, 1) for d in docs], SCHEMA), words=3, num=90, den=100)
     assert rows(got, *got.columns) == sorted(brute(docs, 3, 90, 100), key=repr)
