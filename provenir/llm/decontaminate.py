@@ -1,25 +1,25 @@
-"""Benchmark decontamination by latent semantic retrieval.
+"""Benchmark decontamination by word occupancy and longest common subsequences.
 
-Documents are read as passages of words, weighted by TF-IDF over the benchmark's vocabulary. A randomised
-SVD of all passages, the benchmark's own among them, is done in one pass: every task sums its part of
-``A'A`` times a random matrix, the driver only makes the sum orthogonal. Passages whose cosine with a
-benchmark passage in the latent space reaches a floor are candidates. A candidate is a match if the longest
-common subsequence of its words and the item's covers enough of the item and of the item's answer, so an
-edited copy is found and a text of the same words in another order is not.
+A document holds an item if, around one of its passages, the longest common subsequence of its words and
+the item's covers enough of the item and of the item's answer, so an edited copy is found and a text of
+the same words in another order is not. No such subsequence is longer than the number of the item's words
+that occur at all, so that number is counted first: texts are cut into overlapping segments, each of them
+as long as two windows, and a matrix of words by items is summed over a segment's distinct words. Only
+segments that reach the share of the item are compared in order. The bound is exact: it knows no weights,
+no frequencies and no rank, so what is found depends on the text and the item alone.
 
-Texts are tokenized once, into a table of word numbers; the later passes read that.
+Texts are read once for each block of the benchmark, in the task that has them; nothing is shuffled but matches.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +32,14 @@ ITEM_WORDS = 96
 #: The benchmark is taken in blocks of at most so many passages and words: what is broadcast is bounded, and a word's
 #: number has two bytes.
 BLOCK_PASSAGES, BLOCK_WORDS = 2_048, 65_535
-#: Dimensions of the latent space.
-RANK = 256
-#: Terms in more than this share of the passages have no weight.
-COMMON = 0.01
-#: Least cosine of a candidate, and least shares of the item and of its answer in order.
-COSINE, ORDERED, ANSWERED = 0.1, 0.6, 0.5
+#: Least shares of the item and of its answer in order.
+ORDERED, ANSWERED = 0.6, 0.5
 #: Items of fewer words have to be there whole.
 SHORT = 8
-_CHUNK = 256
+#: Items up to these numbers of words are looked for in segments of one length.
+SIZES = (16, 32, 64, ITEM_WORDS)
+#: Bytes gathered at once from the matrix of words by items.
+_GATHERED = 16_000_000
 
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -102,188 +101,135 @@ def _block(found: list[tuple[object, np.ndarray, int]]) -> Block:
     return Block(terms, [(np.searchsorted(terms, w) + 1).astype(np.uint16) for _, w, _ in found], [i for i, _, _ in found], [a for _, _, a in found])
 
 
-def _coded(block):
-    """(id, key, words): each document's word numbers, 0 for words the benchmark lacks; and the task's counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = block.value.terms
-        passages, counts, kind = 0, np.zeros(len(terms) + 1, np.int64), None
-        names = ["id", "key", "words", "term", "passages"]
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            for first, last, hashes, row in words_of(batch.column(2)):
-                at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
-                number = np.where(terms[at] == hashes, at + 1, 0).astype("<u2")
-                size = np.bincount(row, minlength=last - first)
-                edge = np.concatenate([[0], np.cumsum(size)])
-                half = (np.arange(len(number)) - edge[row]) // HALF
-                pieces = -(-size // HALF)
-                passages += int(pieces.sum())
-                # A term counts once in each half passage.
-                base = np.concatenate([[0], np.cumsum(pieces)])[row] + half
-                pair = np.unique(base[number > 0] * np.int64(len(terms) + 1) + number[number > 0])
-                counts += np.bincount(pair % (len(terms) + 1), minlength=len(terms) + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, last - first),
-                        batch.column(1).slice(first, last - first),
-                        pa.array([number[edge[i] : edge[i + 1]].tobytes() for i in range(last - first)], pa.binary()),
-                        pa.nulls(last - first, pa.int32()),
-                        pa.nulls(last - first, pa.int64()),
-                    ],
-                    names,
-                )
-        counts[0] = passages
-        at = np.flatnonzero(counts)
-        if kind is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(at), kind), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names
-            )
-
-    return run
-
-
-class Halves(NamedTuple):
-    """Half passages of some documents: which weighted words they have, and their squared length."""
-
-    row: np.ndarray  # of each half
-    start: np.ndarray  # its first word in the document
-    square: np.ndarray
-    word: np.ndarray  # weighted words, number
-    of: np.ndarray  # the half each stands in
+class Kind(NamedTuple):
+    """Items of about one length: half the segments' length, the items, the words each needs, words by items."""
 
+    half: int
+    which: np.ndarray
+    need: np.ndarray
+    count: np.ndarray
 
-def _halves(texts: list[np.ndarray], weight: np.ndarray) -> Halves:
-    size = np.array([len(t) for t in texts])
-    pieces = -(-size // HALF)
-    base = np.concatenate([[0], np.cumsum(pieces)])
-    number = np.concatenate(texts) if texts else np.zeros(0, np.uint16)
-    row = np.repeat(np.arange(len(texts)), size)
-    place = np.arange(len(number)) - np.concatenate([[0], np.cumsum(size)])[row]
-    half = base[row] + place // HALF
-    square = np.bincount(half, (weight[number] ** 2), minlength=base[-1])
-    some = np.flatnonzero((weight[number] > 0) & (number > 0))
-    return Halves(np.repeat(np.arange(len(texts)), pieces), (np.arange(base[-1]) - np.repeat(base[:-1], pieces)) * HALF, square, number[some], half[some])
 
-
-def _passages(of_half: np.ndarray, halves: Halves) -> np.ndarray:
-    """Sums over each half and the one after it in the same document."""
-    out = of_half.copy()
-    if len(out) > 1:
-        follows = halves.row[1:] == halves.row[:-1]
-        out[:-1][follows] += of_half[1:][follows]
-    return out
-
-
-def _by_half(halves: Halves, values: np.ndarray) -> np.ndarray:
-    """``values`` (by weighted word) summed up by half."""
-    out = np.zeros((len(halves.row), values.shape[1]), np.float32)
-    if len(values):
-        first = np.flatnonzero(np.concatenate([[True], halves.of[1:] != halves.of[:-1]]))
-        out[halves.of[first]] = np.add.reduceat(values, first, axis=0)
+def _kinds(block: Block) -> list[Kind]:
+    size = np.array([len(w) for w in block.words])
+    out = []
+    for low, high in zip((0, *SIZES), SIZES):
+        which = np.flatnonzero((size > low) & (size <= high))
+        if len(which):
+            count = np.zeros((len(block.terms) + 1, len(which)), np.uint8)
+            for k, i in enumerate(which):
+                np.add.at(count[:, k], block.words[i], 1)
+            out.append(Kind(2 * HALF + 2 * high, which, np.array([_need(int(m)) for m in size[which]], np.uint8), count))
     return out
 
 
-def _texts(column: pa.Array, most: int = 200_000) -> Iterator[tuple[int, list[np.ndarray]]]:
-    first, held, out = 0, 0, []
-    for i, x in enumerate(column):
-        own = np.frombuffer(x.as_buffer(), "<u2")
-        if out and held + len(own) > most:
-            yield first, out
-            first, held, out = i, 0, []
-        out.append(own)
-        held += len(own)
-    if out:
-        yield first, out
-
-
-def _sketch(weights, random):
-    """The task's part of A'A times the random matrix, in pieces of ``_CHUNK`` terms."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, omega = weights.value, random.value
-        weighted = omega * weight[:, None].astype(np.float32)
-        total = np.zeros(omega.shape, np.float32)
-        for batch in batches:
-            for _, texts in _texts(batch.column(0)):
-                halves = _halves(texts, weight)
-                if not len(halves.word):
-                    continue
-                seen = _passages(_by_half(halves, weighted[halves.word]), halves)
-                # A word is in its half's passage and in that of the half before.
-                both = seen.copy()
-                follows = halves.row[1:] == halves.row[:-1]
-                both[1:][follows] += seen[:-1][follows]
-                order = np.argsort(halves.word, kind="stable")
-                word = halves.word[order]
-                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-                total[word[first]] += np.add.reduceat(both[halves.of[order]], first, axis=0)
-        total *= weight[:, None].astype(np.float32)
-        part = TaskContext.get().partitionId()
-        starts = [s for s in range(0, len(total), _CHUNK) if total[s : s + _CHUNK].any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(starts, pa.int64()), pa.array([part] * len(starts), pa.int64()), pa.array([total[s : s + _CHUNK].tobytes() for s in starts], pa.binary())],
-            ["chunk", "part", "sum"],
-        )
+def _need(words: int) -> int:
+    return words if words < SHORT else math.ceil(ORDERED * words)
 
-    return run
 
+def _segments(number: np.ndarray, edge: np.ndarray, kinds: list[Kind]) -> Iterator[tuple[int, int, int, int]]:
+    """(row, first word, end, item) of the segments that have enough of the item's words, in any order.
 
-def _added(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in rows["sum"])
-    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "sum": [total.astype(np.float32).tobytes()]})
+    Segments of two halves start at every half, so every window of at most a half lies in one of them.
+    """
+    at = np.flatnonzero(number)
+    if not len(at):
+        return
+    word = number[at]
+    row = np.searchsorted(edge, at, side="right") - 1
+    place = at - edge[row]
+    # Where the word stood last in the same document; -1 if nowhere.
+    order = np.lexsort((at, word, row))
+    same = (word[order][1:] == word[order][:-1]) & (row[order][1:] == row[order][:-1])
+    before = np.full(len(at), -1)
+    before[order[1:][same]] = place[order[:-1][same]]
+    for kind in kinds:
+        for shift in (0, kind.half):
+            start = (place - shift) // (2 * kind.half) * (2 * kind.half) + shift
+            new = np.flatnonzero((before < start) & (place >= shift))
+            if not len(new):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], (start[new][1:] != start[new][:-1]) | (row[new][1:] != row[new][:-1])]))
+            ends = np.append(first[1:], len(new))
+            most = max(_GATHERED // len(kind.which), 1)
+            k = 0
+            while k < len(first):
+                last = max(int(np.searchsorted(ends, first[k] + most, side="right")), k + 1)
+                part = new[first[k] : ends[last - 1]]
+                total = np.add.reduceat(kind.count[word[part]], first[k:last] - first[k], axis=0, dtype=np.uint8)
+                for i, j in zip(*np.nonzero(total >= kind.need)):
+                    one = new[first[k + i]]
+                    yield int(row[one]), int(start[one]), int(start[one]) + 2 * kind.half, int(kind.which[j])
+                k = last
+
+
+def _places(item: np.ndarray) -> dict[int, int]:
+    places: dict[int, int] = {}
+    for i, w in enumerate(item.tolist()):
+        places[w] = places.get(w, 0) | 1 << i
+    return places
 
 
 def ordered(text: np.ndarray, item: np.ndarray) -> int:
     """Length of the longest common subsequence, a bit for each word of ``item``."""
-    places: dict[int, int] = {}
-    for i, w in enumerate(item.tolist()):
-        places[w] = places.get(w, 0) | 1 << i
-    full = (1 << len(item)) - 1
+    return _ordered(text.tolist(), _places(item), len(item))
+
+
+def _ordered(text: list[int], places: dict[int, int], size: int) -> int:
+    full = (1 << size) - 1
     row = full
-    for w in text.tolist():
+    for w in text:
         here = places.get(w)
         if here:
             met = row & here
             row = ((row + met) | (row - met)) & full
-    return len(item) - row.bit_count()
+    return size - row.bit_count()
+
 
+def cosine(passage: np.ndarray, item: np.ndarray) -> float:
+    """Of the numbers of words; words that the benchmark lacks (0) count as different ones."""
+    known, n = np.unique(passage[passage > 0], return_counts=True)
+    own, m = np.unique(item, return_counts=True)
+    _, a, b = np.intersect1d(known, own, assume_unique=True, return_indices=True)
+    square = int((n**2).sum()) + int((passage == 0).sum())
+    return float((n[a] * m[b]).sum() / np.sqrt(float(square) * float((m**2).sum()))) if square else 0.0
 
-def _matches(block, weights, latent):
+
+def _matches(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, weight, (basis, items, norms) = block.value, weights.value, latent.value
-        weighted = basis * weight[:, None].astype(np.float32)
+        own = block.value
+        kinds = _kinds(own)
+        places = [_places(w) for w in own.words]
+        tails = [_places(w[len(w) - tail :]) for w, tail in zip(own.words, own.answers)]
         schema = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         for batch in batches:
-            for first, texts in _texts(batch.column(2)):
-                halves = _halves(texts, weight)
-                if not len(halves.word):
-                    continue
-                seen = _passages(_by_half(halves, weighted[halves.word]), halves)
-                size = np.sqrt(_passages(halves.square[:, None], halves)).astype(np.float32)
-                # Passages without a weighted word are at a right angle to all items.
-                some = np.zeros(len(size), bool)
-                some[halves.of] = True
-                some[:-1] |= some[1:] & (halves.row[1:] == halves.row[:-1])
-                some = np.flatnonzero(some)
-                cosine = (seen[some] @ items) / np.maximum(size[some] * norms, 1e-12)
+            for first, last, hashes, row in words_of(batch.column(2)):
+                at = np.minimum(np.searchsorted(own.terms, hashes), len(own.terms) - 1)
+                number = np.where(own.terms[at] == hashes, at + 1, 0).astype(np.uint16)
+                edge = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=last - first))])
                 best: dict[tuple[int, int], tuple] = {}
-                for at, which in zip(*np.nonzero(cosine >= COSINE)):
-                    half = some[at]
-                    row, words = int(halves.row[half]), own.words[which]
-                    m, start = len(words), int(halves.start[half])
-                    low = max(0, start - m)
-                    text = texts[row][low : start + 2 * HALF + m]
-                    found = ordered(text, words)
-                    if found < (m if m < SHORT else ORDERED * m):
+                for doc, begin, end, which in _segments(number, edge, kinds):
+                    words = own.words[which]
+                    m, need = len(words), _need(len(words))
+                    text = number[edge[doc] : edge[doc + 1]]
+                    if _ordered(text[begin:end].tolist(), places[which], m) < need:
                         continue
-                    tail = own.answers[which]
-                    answer = ordered(text, words[m - tail :]) / tail if tail else 1.0
-                    if answer < ANSWERED:
-                        continue
-                    rank = (found / m, float(cosine[at, which]), -start)
-                    if rank > best.get((row, which), ((-1.0,),))[0]:
-                        best[row, which] = (rank, (first + row, int(which), low, low + len(text), float(cosine[at, which]), found / m, answer))
+                    for start in range(-(-begin // HALF) * HALF, min(end, len(text)), HALF):
+                        low, high = max(0, start - m), min(len(text), start + 2 * HALF + m)
+                        if low < begin or high > end:
+                            continue
+                        here = text[low:high].tolist()
+                        found = _ordered(here, places[which], m)
+                        if found < need:
+                            continue
+                        tail = own.answers[which]
+                        answer = _ordered(here, tails[which], tail) / tail if tail else 1.0
+                        if answer < ANSWERED:
+                            continue
+                        near = cosine(text[start : start + 2 * HALF], words)
+                        rank = (found / m, near, -start)
+                        if rank > best.get((doc, which), ((-1.0,),))[0]:
+                            best[doc, which] = (rank, (first + doc, which, low, high, near, found / m, answer))
                 rows = [x for _, x in best.values()]
                 if rows:
                     at, *rest = zip(*rows)
@@ -305,42 +251,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _search(docs: DataFrame, block: Block, kind: str) -> DataFrame:
-    spark = docs.sparkSession
-    context = spark.sparkContext
-    sent = context.broadcast(block)
-    coded = stage(docs.mapInArrow(_coded(sent), f"id {kind}, key long, words binary, term int, passages long"))
-    counts = coded.filter(F.col("term").isNotNull()).groupBy("term").agg(F.sum("passages").alias("n")).toArrow()
-    n = np.zeros(len(block.terms) + 1, np.int64)
-    n[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
-    passages, seen = max(int(n[0]), 1), np.maximum(n, 1)
-    # Number 0, a word of documents only, has the weight of the rarest.
-    weight = np.log((passages + 1) / seen)
-    weight[0] = np.log(passages + 1)
-    weight[1:][n[1:] > max(COMMON * passages, 20)] = 0
-    weights = context.broadcast(weight)
-    rows = np.concatenate([np.full(len(w), i) for i, w in enumerate(block.words)])
-    words = np.concatenate(block.words)
-    rank = min(RANK, len(block.terms))
-    omega = np.random.default_rng(7).standard_normal((len(weight), rank)).astype(np.float32)
-    random = context.broadcast(omega)
-    texts = coded.filter(F.col("term").isNull())
-    parts = texts.select("words").mapInArrow(_sketch(weights, random), "chunk long, part long, sum binary")
-    some = parts.groupBy("chunk", (F.col("part") % 64).alias("some")).applyInPandas(_added, "chunk long, sum binary")
-    total = np.zeros(omega.shape, np.float64)
-    for r in some.groupBy("chunk").applyInPandas(_added, "chunk long, sum binary").collect():
-        own = np.frombuffer(bytes(r["sum"]), np.float32).reshape(-1, rank)
-        total[r["chunk"] : r["chunk"] + len(own)] = own
-    own = np.zeros((len(block.words), rank))
-    np.add.at(own, rows, omega[words] * weight[words][:, None])
-    # A benchmark passage counts as much as all documents' passages, so its own direction comes first.
-    np.add.at(total, words, passages * own[rows] * weight[words][:, None])
-    basis = np.linalg.qr(total)[0].astype(np.float32)
-    items = np.zeros((len(block.words), rank))
-    np.add.at(items, rows, basis[words] * weight[words][:, None])
-    norms = np.sqrt(np.bincount(rows, weight[words] ** 2, minlength=len(block.words)))
-    latent = context.broadcast((basis, np.ascontiguousarray(items.T.astype(np.float32)), np.maximum(norms, 1e-6).astype(np.float32)))
-    return texts.select("id", "key", "words").mapInArrow(
-        _matches(sent, weights, latent),
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+    return docs.mapInArrow(
+        _matches(sent),
         f"id {kind}, key long, passage int, first_word long, end_word long, cosine double, in_order double, answer double",
     )
 

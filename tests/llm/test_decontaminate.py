@@ -82,3 +82,15 @@ def test_empty_tables(spark, table, corpus):
     assert matches(table([], DOCS), table(items, ITEMS)).collect() == []
     assert matches(table(docs[:5], DOCS), table([], ITEMS)).collect() == []
     assert remove(table(docs[:5], DOCS), table([], ITEMS)).count() == 5
+
+
+def test_items_of_frequent_words_and_of_many_copies(spark, table, prose, rows):
+    rng = random.Random(5)
+    frequent = ["of", "the", "and", "to", "in", "for"]
+    item = " ".join(rng.choice(frequent) for _ in range(24))
+    copied = prose(7001, 40)
+    docs = [(i, f"{prose(i, 60)} {copied} {prose(90 + i, 60)}", "x", 1) for i in range(30)]
+    docs += [(100 + i, " ".join(f"{rng.choice(frequent)} {w}" if k % 5 == 0 else w for k, w in enumerate(prose(200 + i, 120).split())), "x", 1) for i in range(60)]
+    docs.append((500, f"{prose(300, 70)} {item} {prose(301, 70)}", "x", 1))
+    got = matches(table(docs, DOCS), table([(1, copied, 0), (2, item, 0)], ITEMS))
+    assert rows(got, "doc_id", "item_id") == sorted([(i, 1) for i in range(30)] + [(500, 2)], key=repr)
