@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from provenir.llm import decontaminate
@@ -94,3 +95,33 @@ def test_items_of_frequent_words_and_of_many_copies(spark, table, prose, rows):
     docs.append((500, f"{prose(300, 70)} {item} {prose(301, 70)}", "x", 1))
     got = matches(table(docs, DOCS), table([(1, copied, 0), (2, item, 0)], ITEMS))
     assert rows(got, "doc_id", "item_id") == sorted([(i, 1) for i in range(30)] + [(500, 2)], key=repr)
+
+
+def test_a_thousand_items_against_plain_subsequences(spark, table, prose, rows):
+    rng = random.Random(6)
+    items = [(i, prose(10_000 + i, rng.randint(9, 45)), 0) for i in range(1_100)]
+    docs = []
+    for i, (_, text, _) in enumerate(items[:150]):
+        words = text.split()
+        for k in range(len(words)):
+            if rng.random() < (i % 6) / 10:  # from verbatim copies to those half replaced
+                words[k] = f"other{k}"
+        at = prose(i, 90).split()
+        docs.append((i, " ".join([*at[: i % 80], *words, *at[i % 80 :]]), "x", 1))
+    numbers: dict[bytes, int] = {}
+    number = lambda text: np.array([numbers.setdefault(h.tobytes(), len(numbers)) for _, _, hashes, _ in decontaminate.words_of(pa.array([text])) for h in hashes], np.int64)
+    texts, known = [number(d[1]) for d in docs], [number(x[1]) for x in items]
+    ends = [len(number(decontaminate._answer(x[1]))) for x in items]
+    want = []
+    for d, text in enumerate(texts):
+        for i, item in enumerate(known):
+            m = len(item)
+            if np.isin(item, text).sum() < 0.6 * m:
+                continue
+            for start in range(0, len(text), 32):
+                here = text[max(0, start - m) : start + 64 + m]
+                if ordered(here, item) >= 0.6 * m and ordered(here, item[m - ends[i] :]) >= 0.5 * ends[i]:
+                    want.append((d, i))
+                    break
+    got = matches(table(docs, DOCS), table([(i, t, 0) for i, t, _ in items], ITEMS))
+    assert rows(got, "doc_id", "item_id") == sorted(want, key=repr) and len(want) > 100
