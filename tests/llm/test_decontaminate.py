@@ -125,3 +125,18 @@ def test_a_thousand_items_against_plain_subsequences(spark, table, prose, rows):
                     break
     got = matches(table(docs, DOCS), table([(i, t, 0) for i, t, _ in items], ITEMS))
     assert rows(got, "doc_id", "item_id") == sorted(want, key=repr) and len(want) > 100
+
+
+def test_a_larger_corpus_changes_no_match(spark, table, prose, rows):
+    rng = random.Random(7)
+    items = [(i, prose(20_000 + i, 16), 0) for i in range(20)]
+    docs = []
+    for i, text, _ in items:
+        words = text.split()
+        for k in rng.sample(range(10), 6):  # about 60 %, the answer whole
+            words[k] = f"other{k}"
+        docs.append((i, " ".join([f"a{k}" for k in range(64)] + words + [f"b{k}" for k in range(64)]), "x", 1))
+    more = [(1_000 + i, " ".join(f"z{i}x{k}" for k in range(6_400)), "x", 1) for i in range(200)]
+    columns = ("doc_id", "item_id", "cosine", "in_order", "answer")
+    few, many = (rows(matches(table(d, DOCS), table(items, ITEMS)), *columns) for d in (docs, docs + more))
+    assert few == many and len(few) > 15
