@@ -4,8 +4,9 @@ The standard library's parser streams a page's events. Block elements end lines;
 text, its tags, its link text and the container it stands in. Lines in menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments never count as content. The
 ratio of text to tags over the other lines is smoothed with a Gaussian, and a threshold splits them
-into content and rest. The content region is the innermost container that holds nearly all text of
-the content lines: all its lines are the main text, short ones included.
+into content and rest. The content region is the innermost container that holds all content lines: all
+its lines are the main text, short ones included, and so are headings directly before it. Where articles
+hold nearly all text of the content lines, only the lines in articles count as content.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ BOILERPLATE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split()
 )
 ARTICLE = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _P_ENDERS = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
     "main menu nav ol p pre section table ul".split()
@@ -50,7 +52,7 @@ _NAME = re.compile(r"[^a-z0-9]+")
 SIGMA = 1.5
 #: Share of the mean ratio that a content line's smoothed ratio reaches.
 THRESHOLD = 0.5
-#: Share of the content lines' text that the region holds.
+#: Share of the content lines' text from which articles are the page's main part.
 HELD = 0.8
 #: Share of link text from which a line outside an article is a menu.
 LINKED = 0.6
@@ -77,6 +79,7 @@ class Line(NamedTuple):
     boilerplate: bool
     path: tuple[int, ...]
     in_article: bool
+    heading: bool
 
 
 class Lines(HTMLParser):
@@ -96,7 +99,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         if text:
             path = tuple(n for tag, _, n in self.stack if tag not in INLINE)
-            self.out.append(Line(text, max(self.tags, 1), self.linked, self.skip > 0, path, self.article > 0))
+            self.out.append(Line(text, max(self.tags, 1), self.linked, self.skip > 0, path, self.article > 0, any(tag in HEADINGS for tag, _, _ in self.stack)))
             self.tags = 0
         self.text, self.linked = [], 0
 
@@ -188,21 +191,25 @@ def main_text(html: str | None) -> str:
     size = np.array([len(x.text) for x in lines], float)
     ratio = smooth(size / np.array([x.tags for x in lines]))
     content = np.flatnonzero(ratio >= THRESHOLD * ratio.mean())
-    # Text of content lines under each container; a line's own block is none.
-    held: dict[int, float] = {}
-    for k in content:
+    inside = np.array([k for k in content if lines[k].in_article], int)
+    main = len(inside) and size[inside].sum() >= HELD * size[content].sum()
+    # Containers of all content lines; a line's own block is none.
+    held: set[int] | None = None
+    for k in inside if main else content:
         path = lines[k].path
-        for node in path if path and path[-1] in page.outer else path[:-1]:
-            held[node] = held.get(node, 0.0) + size[k]
-    enough = {node for node, n in held.items() if n >= HELD * size[content].sum()}
-    if not enough:
+        own = set(path if path and path[-1] in page.outer else path[:-1])
+        held = own if held is None else held & own
+    if not held:
         return "\n".join(x.text for x in lines)
     # Numbers grow from the outside in. An article around the region is the region.
-    region = max(enough)
+    region = max(held)
     path = next(x.path for x in lines if region in x.path)
     around = [node for node in path[: path.index(region) + 1] if node in page.articles]
     region = around[-1] if around else region
-    return "\n".join(x.text for x in lines if region in x.path)
+    begin = first = next(k for k, x in enumerate(lines) if region in x.path)
+    while not main and first and lines[first - 1].heading:
+        first -= 1
+    return "\n".join(x.text for k, x in enumerate(lines) if region in x.path or first <= k < begin)
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -46,3 +46,15 @@ def test_rows_keep_their_other_columns(spark, table, rows):
     want = [(i, CASES.get(h, h), n) for i, h, _, n in data]
     assert rows(got, "page_id", "text", "tags") == sorted(want, key=repr)
     assert extract(table([], "page_id long, html string, text string, tags int")).collect() == []
+
+
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_sibling_blocks_and_headings_outside_articles_stay(tag):
+    many, few = f"<p>{LONG}</p>" * 6, f"<p>{LONG} Last.</p>"
+    html = f"<body><div class=content><{tag}>{many}</{tag}><{tag}>{few}</{tag}></div><footer>f</footer></body>"
+    assert main_text(html) == "\n".join([LONG] * 6 + [f"{LONG} Last."])
+    assert main_text(f"<body><h1>Title</h1><{tag}>{many}</{tag}></body>") == "\n".join(["Title"] + [LONG] * 6)
+
+
+def test_all_articles_stay():
+    assert main_text(f"<body><article>{f'<p>{LONG}</p>' * 6}</article><article><p>{LONG} Last.</article></body>").endswith("Last.")
