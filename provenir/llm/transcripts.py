@@ -3,9 +3,10 @@
 A transcript is a run of pieces of text. Each line is seen as a symbol: the kind of speaker marker it
 starts with and what it looks like. States are a role's first or further line; a model counted from
 labelled transcripts is decoded by Viterbi. Best paths compose like matrix products over (max, +), so a
-long transcript is cut into segments: every segment gives the matrix of its best paths, the small
-matrices of a transcript tell the states at the cuts, and every segment is then decoded between those.
-No task holds a whole transcript.
+transcript is cut into segments by its pieces' positions: every segment gives the matrix of its best
+paths, matrices are multiplied in levels of ``FAN``, the states at the cuts are told down the levels
+again, and every segment is then decoded between those. No group has more than ``SEGMENT`` pieces or
+``FAN`` matrices, whatever the ids and numbers of the pieces.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.llm.common import stage
+from provenir.operators.large_groups import number_rows
 
 ROLES = ("system", "user", "assistant")
 #: A role's first line, a role's further lines; the last state stands before the first line.
@@ -28,6 +30,8 @@ STATES = 2 * len(ROLES) + 1
 START = STATES - 1
 #: Pieces of a segment.
 SEGMENT = 64
+#: Segments, or groups of them, that are taken together at each level.
+FAN = 64
 
 _NAMES = {
     "system": "system|instructions?|context|note",
@@ -185,6 +189,27 @@ def learn(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     return model_of(steps, shows)
 
 
+_NAME = ["unnamed", "named"]
+
+
+def _parent() -> Column:
+    return F.floor(F.col("segment") / FAN).cast("long")
+
+
+def _last_before(cut: DataFrame) -> DataFrame:
+    """``cut`` (transcript, segment, began) with ``before``, the last ``began`` of an earlier segment."""
+    cut = stage(cut)
+    if (cut.agg(F.max("segment")).first()[0] or 0) < FAN:
+        earlier = Window.partitionBy(*_NAME).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+        return cut.withColumn("before", F.last("began", True).over(earlier))
+    order = F.when(F.col("began").isNotNull(), F.col("segment"))
+    above = _last_before(cut.groupBy(*_NAME, _parent().alias("segment")).agg(F.max_by("began", order).alias("began")))
+    above = above.select(*_NAME, F.col("segment").alias("parent"), F.col("before").alias("above"))
+    earlier = Window.partitionBy(*_NAME, "parent").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    own = cut.withColumn("parent", _parent()).withColumn("before", F.last("began", True).over(earlier))
+    return own.join(above, [*_NAME, "parent"]).withColumn("before", F.coalesce("before", "above")).drop("parent", "above")
+
+
 def format_turns(
     pieces: DataFrame, model: Model, conv: str = "conv_id", piece: str = "turn", text: str = "text"
 ) -> DataFrame:
@@ -202,32 +227,51 @@ def format_turns(
     sent = pieces.sparkSession.sparkContext.broadcast(model)
     kinds = [pieces.schema[c].dataType.simpleString() for c in (conv, piece)]
     coded = _coded(pieces, conv, piece, text).filter(F.size("symbols") > 0)
-    coded = stage(coded.withColumn("segment", F.coalesce(F.floor(F.col("piece") / SEGMENT).cast("long"), F.lit(-(1 << 62)))))
+    coded = stage(
+        coded.withColumns({"unnamed": F.col("conv").isNull(), "named": F.coalesce(F.col("conv").cast("string"), F.lit("")), "row": F.monotonically_increasing_id()})
+    )
+    coded = number_rows(coded, _NAME, [F.col("piece"), F.col("lines"), F.col("row")])
+    coded = stage(coded.withColumn("segment", F.floor((F.col("position") - 1) / SEGMENT).cast("long")))
+    name = "unnamed boolean, named string, segment long"
 
     def matrix(key, rows):
         return [(*key, best_paths(sent.value, [s for r in rows for s in r["symbols"]]).ravel().tolist())]
 
-    matrices = stage(
-        _in_groups(coded.select("conv", "segment", "piece", "lines", "symbols"), ["conv", "segment"], ["piece", "lines"], matrix, f"conv {kinds[0]}, segment long, paths array<double>")
-    )
+    def product(key, rows):
+        out = np.array(rows[0]["paths"]).reshape(STATES, STATES)
+        for r in rows[1:]:
+            out = (out[:, :, None] + np.array(r["paths"]).reshape(STATES, STATES)[None]).max(axis=1)
+        return [(*key, out.ravel().tolist())]
 
     def bounds(key, rows):
         here = np.full(STATES, -np.inf)
-        here[START] = 0.0
+        here[rows[0]["enter"]] = 0.0
         ways = []
         for r in rows:
             way = here[:, None] + np.array(r["paths"], float).reshape(STATES, STATES)
             ways.append(way.argmax(axis=0))
             here = way.max(axis=0)
-        state, out = int(here.argmax()), []
+        state, out = int(here.argmax()) if rows[0]["leave"] is None else rows[0]["leave"], []
         for r, way in zip(reversed(rows), reversed(ways)):
-            out.append((*key, r["segment"], int(way[state]), state))
+            out.append((*key[:-1], r["segment"], int(way[state]), state))
             state = int(way[state])
         return out
 
-    cuts = _in_groups(matrices, ["conv"], ["segment"], bounds, f"conv {kinds[0]}, segment long, enter int, leave int")
-    cuts = stage(cuts).select(F.col("conv").alias("c"), F.col("segment").alias("s"), "enter", "leave")
-    held = coded.join(cuts, F.col("conv").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s"))).drop("c", "s")
+    own = [*_NAME, "segment"]
+    levels = [stage(_in_groups(coded.select(*own, "position", "symbols"), own, ["position"], matrix, f"{name}, paths array<double>"))]
+    while (levels[-1].agg(F.max("segment")).first()[0] or 0) >= FAN:
+        below = levels[-1].select(*_NAME, _parent().alias("parent"), "segment", "paths")
+        levels.append(stage(_in_groups(below, [*_NAME, "parent"], ["segment"], product, f"{name}, paths array<double>")))
+    cuts = None
+    for level in reversed(levels):
+        level = level.withColumn("parent", _parent())
+        if cuts is None:
+            level = level.withColumns({"enter": F.lit(START), "leave": F.lit(None).cast("int")})
+        else:
+            level = level.join(cuts.withColumnRenamed("segment", "parent"), [*_NAME, "parent"])
+        level = level.select(*_NAME, "parent", "segment", "paths", "enter", "leave")
+        cuts = stage(_in_groups(level, [*_NAME, "parent"], ["segment"], bounds, f"{name}, enter int, leave int"))
+    held = coded.drop("row").join(cuts, own)
 
     def parts(key, rows):
         where = [(r["piece"], i, line) for r in rows for i, line in enumerate(r["lines"])]
@@ -236,24 +280,18 @@ def format_turns(
         for state, (at, i, line) in zip(states, where):
             if state % 2 == 0 or not out:
                 first = state % 2 == 0
-                out.append([*key, len(out), first, at if first else None, i if first else None, ROLES[state // 2], []])
+                out.append([*key, rows[0]["conv"], len(out), first, at if first else None, i if first else None, ROLES[state // 2], []])
             # A marker may stand alone on its line.
             out[-1][-1] += [line] if line else []
         return [(*x[:-1], "\n".join(x[-1]), len(x[-1])) for x in out]
 
-    schema = f"conv {kinds[0]}, segment long, part int, begins boolean, start_piece {kinds[1]}, start_line int, role string, text string, n_lines int"
-    found = stage(_in_groups(held, ["conv", "segment"], ["piece", "lines"], parts, schema))
+    schema = f"{name}, conv {kinds[0]}, part int, begins boolean, start_piece {kinds[1]}, start_line int, role string, text string, n_lines int"
+    found = stage(_in_groups(held, own, ["position"], parts, schema))
     # A turn that goes on in a segment began in the last segment before it that has a beginning.
     place = F.struct("start_piece", "start_line", F.col("segment").alias("of"), "part")
-    last = found.filter("begins").groupBy("conv", "segment").agg(F.max_by(place, "part").alias("began"))
-    cut = found.groupBy("conv", "segment").agg(F.max((~F.col("begins")).cast("int")).alias("goes_on"))
-    same = lambda a, b: a["conv"].eqNullSafe(b["conv"]) & (a["segment"] == b["segment"])
-    cut = cut.join(last, same(cut, last), "left").select(cut["conv"], cut["segment"], "began")
-    earlier = Window.partitionBy("conv").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    cut = stage(cut.select(F.col("conv").alias("c"), F.col("segment").alias("s"), F.last("began", True).over(earlier).alias("before")))
-    turns = found.join(cut, F.col("conv").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s"))).withColumn(
-        "turn", F.when(F.col("begins"), place).otherwise(F.col("before"))
-    )
+    cut = found.groupBy(*own).agg(F.max_by(F.when(F.col("begins"), place), F.when(F.col("begins"), F.col("part"))).alias("began"))
+    cut = stage(_last_before(cut).select(*own, "before"))
+    turns = found.join(cut, own).withColumn("turn", F.when(F.col("begins"), place).otherwise(F.col("before")))
     piece_of = F.struct("segment", "part", "text")
     turns = turns.groupBy("conv", "turn", "role").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n_lines") > 0, piece_of))), lambda x: x["text"]), "\n").alias("text"),

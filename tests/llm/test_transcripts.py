@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from provenir.llm import transcripts
 from provenir.llm.transcripts import ROLES, START, STATES, SYMBOLS, as_logs, best_paths, decode, format_turns, learn, lines_of, model_of
@@ -85,3 +86,30 @@ def test_defined_results_of_odd_pieces(spark, table, turns):
     assert [(c, x) for c, _, text in got[2:] for x in text.split("\n")] == [(3, "same")] * 2
     assert format_turns(table([], TURNS), model).collect() == []
     assert learn(table([], TURNS)).step.shape == (STATES, STATES) and ROLES[0] == "system"
+
+
+def test_no_group_grows_with_a_transcript(spark, table, turns, monkeypatch):
+    model = learn(as_logs(table(turns, TURNS)))
+    say = lambda i: f"{('User: ', 'Assistant: ', '')[i % 3]}words {i:03}{'?' * (i % 2)}"
+    null = [(None, None, None, say(i), 1, "") for i in range(45)]
+    same = [(5, 1, None, say(7), 1, "")] * 30
+    apart = [(6, 1000 * i, None, say(i), 1, "") for i in range(20)]
+    sizes, real = [], transcripts._in_groups
+
+    def watched(df, keys, *rest):
+        sizes.append(df.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return real(df, keys, *rest)
+
+    monkeypatch.setattr(transcripts, "_in_groups", watched)
+    monkeypatch.setattr(transcripts, "SEGMENT", 2)
+    monkeypatch.setattr(transcripts, "FAN", 3, raising=False)
+    got = format_turns(table(null + same + apart, TURNS), model).collect()
+    assert max(sizes) <= 3
+    for conv, rows in ((None, null), (5, same), (6, apart)):
+        found = [x for r in sorted(rows, key=lambda r: (r[1] or 0, [x for _, x in lines_of(r[3])])) for x in lines_of(r[3])]
+        want, states = [], decode(model, [s for s, _ in found], START)
+        for state, (_, line) in zip(states, found):
+            if state % 2 == 0:
+                want.append((ROLES[state // 2], []))
+            want[-1][1].append(line)
+        assert sorted((r["role"], r["text"]) for r in got if r["conv_id"] == conv) == sorted((r, "\n".join(x)) for r, x in want)
