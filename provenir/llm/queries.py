@@ -132,3 +132,11 @@ def op1_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = as_logs(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     model = learn(logs.filter(F.col("conv_id") % 3 != 1))
     return format_turns(logs.select("conv_id", "turn", "text"), model)
+
+
+@query
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provenir.llm.kd_search import top_k
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
