@@ -140,3 +140,10 @@ def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provenir.llm.spelling import group
+
+    return group(table(spark, sf_dir, "documents").select("doc_id", "text"))
