@@ -73,14 +73,13 @@ def _inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
 
-def word_hashes(data: np.ndarray, separator: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash and start of each word of ``data``; ``ends`` are text ends, which also end words.
+def word_spans(data: np.ndarray, separator: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and stop of each word of ``data``; ``ends`` are text ends, which also end words.
 
-    Words are the runs of bytes outside ``separator``. The hash of a word is a polynomial of its
-    bytes, mixed with its length: a function of its bytes alone.
+    Words are the runs of bytes outside ``separator``.
     """
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = ~separator[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
@@ -89,7 +88,13 @@ def word_hashes(data: np.ndarray, separator: np.ndarray, ends: np.ndarray) -> tu
     stop = inside.copy()
     stop[:-1] &= ~inside[1:]
     stop[heads - 1] = inside[heads - 1]
-    starts, stops = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    return np.flatnonzero(begin), np.flatnonzero(stop) + 1
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span: a polynomial of its bytes, mixed with its length."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
     powers = _powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers, out=total[1:])
@@ -97,7 +102,13 @@ def word_hashes(data: np.ndarray, separator: np.ndarray, ends: np.ndarray) -> tu
     inverse[0] = 1
     inverse = np.multiply.accumulate(inverse)
     value = (total[stops] - total[starts]) * inverse[starts]
-    return mix(value + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts
+    return mix(value + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_hashes(data: np.ndarray, separator: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of ``data``: a function of the word's bytes alone."""
+    starts, stops = word_spans(data, separator, ends)
+    return span_hashes(data, starts, stops), starts
 
 
 def space_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

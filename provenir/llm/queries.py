@@ -147,3 +147,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provenir.llm.spelling import group
 
     return group(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provenir.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
