@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenir.functions import urls
+from provenir.operators.vocabulary import Vocabulary
 from provenir.params import ROLES, Lexicon
+from provenir.schemas import LEXICON_LISTS, LEXICON_TERMS
 from provenir.session import cut_lineage, small_table
 
 LANGS = ["de", "en", "es", "fr"]
@@ -64,6 +66,29 @@ LEXICON = Lexicon(
 )
 
 
+def vocabulary(spark: SparkSession, sf: str) -> Vocabulary:
+    """``LEXICON`` as tables, among two filler phrases for every part, as a large vocabulary would be."""
+    names = {
+        "off_scope": LEXICON.off_scope, "hard_off_scope": LEXICON.hard_off_scope, "form": LEXICON.form,
+        "language": LEXICON.language, "index_stem": LEXICON.index_stems, "archive": LEXICON.archive,
+        "boilerplate": LEXICON.boilerplate, "document_noun": LEXICON.document_nouns,
+    } | {f"purpose:{k}": v for k, v in LEXICON.purposes.items()}
+    lists = [(name, i, token) for name, tokens in names.items() for i, token in enumerate(tokens)]
+    terms = [(role, ROLES.index(role), i, phrase, weight) for i, (role, phrase, weight) in enumerate(LEXICON.terms)]
+    parts = table(spark, sf, "part").select(
+        F.concat(F.lit("part number "), F.col("p_partkey").cast("string"), F.lit(" of the list")).alias("phrase"),
+        (F.col("p_partkey") + len(terms)).cast("int").alias("seq"),
+    )
+    return Vocabulary(
+        small_table(spark, terms, LEXICON_TERMS).unionByName(
+            parts.select(F.lit("fees").alias("role"), F.lit(3).alias("role_seq"), F.col("seq").alias("term_seq"), "phrase", F.lit(50.0).alias("weight"))
+        ),
+        small_table(spark, lists, LEXICON_LISTS).unionByName(parts.select(F.lit("form").alias("list"), "seq", F.col("phrase").alias("token"))),
+        topic_word=LEXICON.topic_word,
+        mission_markers=LEXICON.mission_markers,
+    )
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -168,9 +168,7 @@ _HARD = "CASE " + " ".join(
 ) + " END"
 
 
-@query(
-    "reject_cascade",
-    f"""WITH {_LINK_ROWS},
+_REJECTED = f"""WITH {_LINK_ROWS},
 a AS (SELECT *, lower(text || ' ' || heading || ' ' || u) AS hay FROM lp),
 b AS (SELECT *, len(list_filter(segs, lambda x: regexp_matches(x, '^[0-9]{{4}}$') AND x >= '1990' AND x <= '2024')) > 0
     OR list_has_any(segs, [{sql.strings(_LX.archive)}]) AS archived,
@@ -180,17 +178,28 @@ f AS (SELECT page_id, pos, arg_min(lm.name, lm.seq) AS foreign_name FROM lm JOIN
 SELECT page_id, pos, CASE WHEN archived THEN 'archived' WHEN furniture THEN 'site furniture'
   WHEN hard IS NOT NULL THEN 'for another audience: ' || hard
   WHEN foreign_name IS NOT NULL THEN 'about another country: ' || foreign_name END AS rejected
-FROM b LEFT JOIN f USING (page_id, pos)""",
-)
-def reject_cascade(spark, sf):
-    """Every link with its reject reason, if it has one."""
-    rows = _link_rows(spark, sf)
+FROM b LEFT JOIN f USING (page_id, pos)"""
+
+
+def _rejected(spark, sf, lexicon):
     judged = lx.reject_links(
-        rows, ["page_id", "pos"], _LX, demo.countries(spark, sf), ["nationality", "applying_from"]
+        _link_rows(spark, sf), ["page_id", "pos"], lexicon, demo.countries(spark, sf), ["nationality", "applying_from"]
     )
     return judged.select("page_id", "pos", "rejected")
 
 
+@query("reject_cascade", _REJECTED)
+def reject_cascade(spark, sf):
+    """Every link with its reject reason, if it has one."""
+    return _rejected(spark, sf, _LX)
+
+
+@query("reject_cascade_tables", _REJECTED)
+def reject_cascade_tables(spark, sf):
+    """The same reasons from a vocabulary in tables."""
+    return _rejected(spark, sf, demo.vocabulary(spark, sf))
+
+
 _TERMS = sql.values([(r, i, p, w) for i, (r, p, w) in enumerate(_LX.terms)], "role, seq, phrase, w")
 
 
@@ -237,7 +246,7 @@ fin AS (SELECT page_id, pos, flag.url, flag.text, w3.role, s2
   FROM w3 JOIN flag USING (page_id, pos) WHERE kept)"""
 
 
-def link_scores_of(spark, sf):
+def link_scores_of(spark, sf, lexicon=_LX):
     from provenir.operators import scoring
 
     rows = _link_rows(spark, sf)
@@ -257,7 +266,7 @@ def link_scores_of(spark, sf):
         ready = ready.withColumn("host", urls.host(F.col("url")))
     sources = small_table(spark, [("d", "www.m.ththth.net"), ("d", "M.theron.com"), ("e", "m.ththor.net"), ("d", "ththor.net")], "slug string, host string")
     residences = small_table(spark, [("R", ["M"])], "code string, host_labels array<string>")
-    return scoring.score_links(own_missions(ready, sources, residences, "residence"), keys, _LX)
+    return scoring.score_links(own_missions(ready, sources, residences, "residence"), keys, lexicon)
 
 
 @query(
@@ -269,6 +278,16 @@ def link_scores(spark, sf):
     return link_scores_of(spark, sf).select("page_id", "pos", "role", F.round("score", 4).alias("score"))
 
 
+@query(
+    "link_scores_tables",
+    f"WITH {_LINK_SCORE} SELECT page_id, pos, role, round(score, 4) AS score FROM fin",
+)
+def link_scores_tables(spark, sf):
+    """The same scores from a vocabulary in tables, found by its n-gram index."""
+    scored = link_scores_of(spark, sf, demo.vocabulary(spark, sf))
+    return scored.select("page_id", "pos", "role", F.round("score", 4).alias("score"))
+
+
 @query("link_signals")
 def link_signals(spark, sf):
     """the signals behind every link score (vectors are tested on fixtures)."""

@@ -55,6 +55,13 @@ def body_scores(spark, sf):
     return scored.select("doc_id", "role", F.round("score", 4).alias("score"))
 
 
+@query("body_scores_tables", f"WITH {BODY} SELECT doc_id, role, round(score, 4) AS score FROM body")
+def body_scores_tables(spark, sf):
+    """The same scores from a vocabulary in tables, found by its n-gram index."""
+    scored = sc.score_bodies(demo.documents(spark, sf), ["doc_id"], demo.vocabulary(spark, sf))
+    return scored.select("doc_id", "role", F.round("score", 4).alias("score"))
+
+
 @query(
     "document_nouns",
     f"""SELECT doc_id, array_to_string(list_filter([{sql.strings(LX.document_nouns)}], lambda t: contains(lower(text), t)), ',') AS nouns,

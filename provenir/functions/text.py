@@ -42,16 +42,16 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def matching(text: Column, phrases: list[str]) -> Column:
+def matching(text: Column, phrases: list[str] | Column) -> Column:
     """The listed phrases the (already lower-case) text contains, in listed order.
 
-    The vocabulary is a literal, so one scan of the text tests all phrases without a join.
+    A list becomes a literal; a column holds the lower-case phrases of its row.
     """
-    listed = texts([p.lower() for p in phrases])
+    listed = phrases if isinstance(phrases, Column) else texts([p.lower() for p in phrases])
     return let(text, lambda t: F.filter(listed, lambda p: F.contains(t, p)))
 
 
-def first_matching(text: Column, phrases: list[str]) -> Column:
+def first_matching(text: Column, phrases: list[str] | Column) -> Column:
     return F.get(matching(text, phrases), F.lit(0))
 
 

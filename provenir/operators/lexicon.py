@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from provenir.functions import text as tx
 from provenir.functions import urls
+from provenir.operators.vocabulary import HELD, Vocabulary, attach, link_probes
 from provenir.params import Lexicon
 
-
-MAX_TOKENS = 5_000
-
-
 def country_tokens(countries: DataFrame) -> DataFrame:
     """(code, name, seq, token): sorted distinct lower-case names, synonyms and demonyms."""
     listed = F.concat(F.array("name"), F.col("synonyms"), F.col("demonyms"))
@@ -20,22 +17,20 @@ def country_tokens(countries: DataFrame) -> DataFrame:
     return countries.select("code", "name", "seq", F.explode(tokens).alias("token"))
 
 
-def _phrase_hits(text: Column, phrases: list) -> Column:
-    """Names of several words that stand in the (lower-case) text as whole words."""
-    listed = tx.rows(
-        [{k: r[k] for k in ("token", "code", "name", "seq")} for r in phrases],
-        "token:string,code:string,name:string,seq:int",
-    )
+def _long_names(tokens: DataFrame) -> DataFrame:
+    """Names of several words under that of their words which fewest of them have: (word, name)."""
+    each = tokens.select("token", F.explode(F.array_distinct(tx.words(F.col("token")))).alias("word")).distinct()
+    counts = each.groupBy("word").agg(F.count("*").alias("_n"))
+    best = F.min_by("word", F.struct("_n", -F.length("word"), "word")).alias("word")
+    rarest = each.join(counts, "word").groupBy("token").agg(best)
+    return tokens.join(rarest, "token").select("word", F.struct("token", "code", "name", "seq").alias("long"))
 
-    def bounded(t: Column, r: Column) -> Column:
-        escaped = F.regexp_replace(r["token"], r"([\\.\[\]{}()+?^|$*])", r"\\$1")
-        return F.rlike(
-            t, F.concat(F.lit(f"(^|{tx.WORD_EDGE})"), escaped, F.lit(f"($|{tx.WORD_EDGE})"))
-        )
 
-    return urls.let(
-        text, lambda t: F.filter(listed, lambda r: F.contains(t, r["token"]) & bounded(t, r))
-    )
+def _as_words(text: Column, token: Column) -> Column:
+    """The token stands in the (lower-case) text as whole words."""
+    escaped = F.regexp_replace(token, r"([\\.\[\]{}()+?^|$*])", r"\\$1")
+    whole = F.concat(F.lit(f"(^|{tx.WORD_EDGE})"), escaped, F.lit(f"($|{tx.WORD_EDGE})"))
+    return F.contains(text, token) & F.rlike(text, whole)
 
 
 def country_mentions(
@@ -50,20 +45,20 @@ def country_mentions(
 
     A token matches as whole words of the text, as a path segment or as a hyphen part of one, and
     with ``by_host`` a host label matches too. One-word tokens are joined on the distinct words of
-    the text; the few names of several words are literals tested inside the row.
+    the text. Names of several words are joined on their rarest word and verified in the row, however
+    many there are; a name without a word names nothing.
     """
     named = ["code", "name", "seq"]
     tokens = country_tokens(countries)
     single = F.col("token") == F.get(tx.words(F.col("token")), F.lit(0))
     in_text = rows.select(*keys, F.explode(F.array_distinct(tx.words(F.col(text)))).alias("token"))
     found = in_text.join(tokens.filter(single), "token").select(*keys, *named)
-    phrases = tokens.filter(~F.coalesce(single, F.lit(False))).limit(MAX_TOKENS + 1).collect()
-    if len(phrases) > MAX_TOKENS:
-        raise ValueError(f"countries have at most {MAX_TOKENS} names of several words")
-    if phrases:
-        found = found.unionByName(
-            rows.select(*keys, F.inline(_phrase_hits(F.lower(text), phrases))).select(*keys, *named)
-        )
+    longer = _long_names(tokens.filter(~F.coalesce(single, F.lit(False))))
+    met = in_text.join(longer, in_text["token"] == longer["word"]).groupBy(*keys).agg(F.collect_set("long").alias("_long"))
+    texts = rows.select(*keys, F.lower(text).alias("_text")).join(met, keys)
+    found = found.unionByName(
+        texts.select(*keys, F.inline(F.filter("_long", lambda n: _as_words(F.col("_text"), n["token"])))).select(*keys, *named)
+    )
     if url is not None:
         link = F.col(url)
         parts = F.flatten(
@@ -94,9 +89,8 @@ def foreign_country(
     return outside.groupBy(*keys).agg(F.min_by("name", "seq").alias("foreign"))
 
 
-def is_archived(url: Column, tokens: list[str]) -> Column:
+def is_archived(url: Column, listed: Column) -> Column:
     """An archive segment, or a year from 1990 to 2024 as a whole segment."""
-    listed = tx.texts(tokens)
     years = F.lit("^(199[0-9]|20[01][0-9]|202[0-4])$")
     return urls.let(
         urls.segments(url),
@@ -104,42 +98,32 @@ def is_archived(url: Column, tokens: list[str]) -> Column:
     )
 
 
-def is_boilerplate(url: Column, tokens: list[str]) -> Column:
-    return F.arrays_overlap(
-        urls.segments(url), tx.texts(tokens)
-    )
+def is_boilerplate(url: Column, listed: Column) -> Column:
+    return F.arrays_overlap(urls.segments(url), listed)
 
 
-def per_purpose(purpose: Column, lexicon: Lexicon, build) -> Column:
-    """Pick the expression built for the row's own purpose; ``build(None)`` for an unknown one."""
-    chosen = build("")
-    for name in lexicon.purposes:
-        chosen = F.when(purpose == name, build(name)).otherwise(chosen)
-    return chosen
-
-
-def wrong_audience(text: Column, heading: Column, url: Column, purpose: Column, lexicon: Lexicon) -> Column:
-    """The first hard off-scope term, outside the own purpose, that the link carries."""
-    haystack = F.lower(F.concat_ws(" ", text, heading, urls.searchable(url)))
-    return per_purpose(
-        purpose, lexicon, lambda p: tx.first_matching(haystack, lexicon.hard_off_scope_for(p))
-    )
+def wrong_audience(text: Column, heading: Column, url: Column, listed: Column) -> Column:
+    """The first of the listed terms that the link carries."""
+    return tx.first_matching(F.lower(F.concat_ws(" ", text, heading, urls.searchable(url))), listed)
 
 
 def reject_links(
-    links: DataFrame, keys: list[str], lexicon: Lexicon, countries: DataFrame, allowed: list[str]
+    links: DataFrame, keys: list[str], lexicon: Lexicon | Vocabulary, countries: DataFrame, allowed: list[str]
 ) -> DataFrame:
     """Add ``rejected``: the first reason that applies, null for a link to keep.
 
+    Hard off-scope terms that are the purpose's own don't reject.
+
     The country test is the only one that joins, and it sees only what the cheaper tests left.
     """
     url = F.col("url")
+    links, phrases = attach(links, keys, lexicon, link_probes())
     cheap = F.coalesce(
-        F.when(is_archived(url, lexicon.archive), "archived"),
-        F.when(is_boilerplate(url, lexicon.boilerplate), "site furniture"),
+        F.when(is_archived(url, phrases.tokens("archive")), "archived"),
+        F.when(is_boilerplate(url, phrases.tokens("boilerplate")), "site furniture"),
         F.concat(
             F.lit("for another audience: "),
-            wrong_audience(F.col("text"), F.col("heading"), url, F.col("purpose"), lexicon),
+            wrong_audience(F.col("text"), F.col("heading"), url, phrases.hard_off(F.col("purpose"))),
         ),
     )
     judged = links.withColumn("_cheap", cheap)
@@ -150,7 +134,7 @@ def reject_links(
             "rejected",
             F.coalesce("_cheap", F.concat(F.lit("about another country: "), F.col("foreign"))),
         )
-        .drop("_cheap", "foreign")
+        .drop("_cheap", "foreign", HELD)
     )
 
 

@@ -1,7 +1,8 @@
 """Role scores of links and page texts.
 
-Scores of one row are computed inside the row from the literal vocabulary and come out long: one
-row per (keys, role) with its score and the signals that made it.
+Scores of one row are computed inside the row from the phrases of the vocabulary and come out long: one
+row per (keys, role) with its score and the signals that made it. The vocabulary is a ``Lexicon``, whose
+phrases are constants, or a ``Vocabulary`` of tables, whose phrases in a row are found by an index.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from provenir.functions import text as tx
 from provenir.functions import urls
 from provenir.functions.urls import let
-from provenir.operators.lexicon import per_purpose
-from provenir.params import MISSION_ROLES, Lexicon
+from provenir.operators.vocabulary import Constant, Held, Vocabulary, attach, link_probes
+from provenir.params import MISSION_ROLES, Lexicon, Weights
 
 _SCORED = "array<struct<role:string,score:double,signals:array<string>>>"
 _TEXTS = "array<string>"
@@ -28,32 +29,8 @@ def _some(items: list[Column]) -> Column:
     return F.array_compact(F.array(*items)) if items else F.array().cast(_TEXTS)
 
 
-def _terms(lexicon: Lexicon, heaviest_first: bool = False) -> Column:
-    """The vocabulary as a constant: one entry per role with its terms."""
-    w = lexicon.weights
-    entries = []
-    for role in lexicon.roles:
-        terms = [(p.lower(), float(x)) for r, p, x in lexicon.terms if r == role]
-        if heaviest_first:
-            # The listed order decides among equals.
-            terms.sort(key=lambda term: -term[1])
-        rows = [
-            {
-                "p": p, "w": x, "plain": f"{x:g}",
-                "text": f"{x * w.link_text:g}", "head": f"{x * w.heading:g}",
-            }
-            for p, x in terms
-        ]
-        entries.append({"role": role, "terms": rows})
-    return tx.rows(
-        entries,
-        "role:string,terms:array<struct<p:string,w:double,plain:string,text:string,head:string>>",
-    )
-
-
-def _link_base(lexicon: Lexicon, ctx: Column) -> Column:
+def _link_base(phrases: Constant | Held, w: Weights, ctx: Column) -> Column:
     """Per role the sum of its weighted phrase hits, in listed order, with their signals."""
-    w = lexicon.weights
 
     def in_url(t):
         return F.contains(ctx["u"], t["p"])
@@ -86,7 +63,7 @@ def _link_base(lexicon: Lexicon, ctx: Column) -> Column:
         )
 
     scored = F.transform(
-        _terms(lexicon),
+        phrases.terms(),
         lambda entry: let(F.transform(entry["terms"], hits_of), lambda hits: total(entry, hits)),
     )
     return F.filter(scored.cast(_SCORED), lambda r: r["score"] != 0)
@@ -112,7 +89,7 @@ def _single(role: str, score: float, signal: Column) -> Column:
     )
 
 
-def score_links(links: DataFrame, keys: list[str], lexicon: Lexicon) -> DataFrame:
+def score_links(links: DataFrame, keys: list[str], lexicon: Lexicon | Vocabulary) -> DataFrame:
     """Score every link for every role.
 
     ``links``: keys, url, text, heading, depth, purpose, nationality, describes_nationality
@@ -120,6 +97,7 @@ def score_links(links: DataFrame, keys: list[str], lexicon: Lexicon) -> DataFram
     """
     w = lexicon.weights
     url = F.col("url")
+    links, phrases = attach(links, keys, lexicon, link_probes())
     context = F.struct(
         urls.searchable(url).alias("u"),
         F.lower(urls.strip(F.col("text"))).alias("label"),
@@ -127,15 +105,14 @@ def score_links(links: DataFrame, keys: list[str], lexicon: Lexicon) -> DataFram
         urls.strip(F.concat_ws(" ", F.lower(urls.strip(F.col("text"))), F.lower(urls.strip(F.col("heading"))))).alias("anchor"),
     )
 
-    def first_hit(ctx: Column, phrases: list[str]) -> Column:
+    def first_hit(ctx: Column, listed: Column) -> Column:
         """First phrase in the URL or in the anchor, in listed order."""
-        listed = tx.texts([p.lower() for p in phrases])
         found = F.filter(listed, lambda p: F.contains(ctx["u"], p) | F.contains(ctx["anchor"], p))
         return F.get(found, F.lit(0))
 
     def build(ctx: Column) -> Column:
         purpose = F.col("purpose")
-        base = _link_base(lexicon, ctx)
+        base = _link_base(phrases, w, ctx)
         topic = F.contains(ctx["u"], F.lit(lexicon.topic_word)) | F.contains(
             ctx["anchor"], F.lit(lexicon.topic_word)
         )
@@ -148,12 +125,7 @@ def score_links(links: DataFrame, keys: list[str], lexicon: Lexicon) -> DataFram
                 _add(rows, [decision], topic, w.base_topic, topic_signal)
             )
 
-        label_hit = per_purpose(
-            purpose,
-            lexicon,
-            lambda p: (ctx["label"] != "")
-            & (F.size(tx.matching(ctx["label"], lexicon.own_terms(p))) > 0),
-        )
+        label_hit = (ctx["label"] != "") & (F.size(tx.matching(ctx["label"], phrases.own(purpose))) > 0)
 
         def with_purpose_label(rows: Column) -> Column:
             signal = F.concat(F.lit("purpose-label:"), purpose, F.lit(f"+{w.base_purpose:g}"))
@@ -162,16 +134,10 @@ def score_links(links: DataFrame, keys: list[str], lexicon: Lexicon) -> DataFram
             absent = F.filter(fresh, lambda r: ~F.array_contains(have, r["role"]))
             return F.when(label_hit, F.concat(rows, absent)).otherwise(rows)
 
-        own_hit = per_purpose(purpose, lexicon, lambda p: first_hit(ctx, lexicon.own_terms(p)))
-        off_hit = per_purpose(purpose, lexicon, lambda p: first_hit(ctx, lexicon.off_scope_for(p)))
-        form_hit = first_hit(ctx, lexicon.form)
-        language_hit = F.get(
-            F.filter(
-                tx.texts([p.lower() for p in lexicon.language]),
-                lambda p: F.contains(ctx["anchor"], p),
-            ),
-            F.lit(0),
-        )
+        own_hit = first_hit(ctx, phrases.own(purpose))
+        off_hit = first_hit(ctx, phrases.off(purpose))
+        form_hit = first_hit(ctx, phrases.phrases("form"))
+        language_hit = tx.first_matching(ctx["anchor"], phrases.phrases("language"))
         parts = urls.segments(url)
         last = F.coalesce(F.element_at(F.concat(F.array(F.lit("")), parts), -1), F.lit(""))
         stem = F.regexp_replace(last, r"\.[^.]*$", "")
@@ -187,7 +153,7 @@ def score_links(links: DataFrame, keys: list[str], lexicon: Lexicon) -> DataFram
              F.concat(F.lit("form:"), form_hit, F.lit(f"{w.form:g}"))),
             (language_hit.isNotNull(), F.lit(w.language),
              F.concat(F.lit("translation:"), language_hit, F.lit(f"{w.language:g}"))),
-            (stem.isin(lexicon.index_stems) if lexicon.index_stems else F.lit(False),
+            (F.array_contains(phrases.tokens("index_stem"), stem),
              F.lit(w.index_page), F.lit(f"section-index{w.index_page:g}")),
             (F.size(parts) <= 4, F.lit(w.shallow), F.lit(f"shallow+{w.shallow:g}")),
             (depth > 0, depth * F.lit(w.depth),
@@ -231,12 +197,13 @@ def document_nouns(haystack: Column, lexicon: Lexicon) -> Column:
     return tx.matching(haystack, lexicon.document_nouns)
 
 
-def score_bodies(pages: DataFrame, keys: list[str], lexicon: Lexicon) -> DataFrame:
+def score_bodies(pages: DataFrame, keys: list[str], lexicon: Lexicon | Vocabulary) -> DataFrame:
     """Score every page text for every role.
 
     ``pages``: keys, url, title, content, purpose, nationality, nationality_tokens.
     """
     w = lexicon.weights
+    pages, phrases = attach(pages, keys, lexicon, [F.lower(F.concat_ws("\n", "title", "content"))])
     context = F.struct(
         F.lower(F.concat_ws("\n", "title", "content")).alias("hay"),
         F.lower(F.concat_ws("\n", F.col("title"), urls.searchable(F.col("url")))).alias("identity"),
@@ -261,7 +228,7 @@ def score_bodies(pages: DataFrame, keys: list[str], lexicon: Lexicon) -> DataFra
 
     def base_of(ctx: Column) -> Column:
         scored = F.transform(
-            _terms(lexicon, heaviest_first=True),
+            phrases.terms(heaviest_first=True),
             lambda entry: let(
                 F.filter(entry["terms"], lambda t: F.contains(ctx["hay"], t["p"])),
                 lambda found: strongest(entry, found),
@@ -290,16 +257,12 @@ def score_bodies(pages: DataFrame, keys: list[str], lexicon: Lexicon) -> DataFra
                     _add(rows, [checklist], enough, bonus, signal)
                 )
 
-            return let(document_nouns(ctx["hay"], lexicon), add)
+            return let(tx.matching(ctx["hay"], phrases.phrases("document_noun")), add)
 
         purpose = F.col("purpose")
         written_for = F.exists("nationality_tokens", lambda t: F.contains(ctx["identity"], F.lower(t)))
-        own = per_purpose(
-            purpose, lexicon, lambda p: F.size(tx.matching(ctx["hay"], lexicon.own_terms(p))) > 0
-        )
-        off = per_purpose(
-            purpose, lexicon, lambda p: tx.first_matching(ctx["title"], lexicon.off_scope_for(p))
-        )
+        own = F.size(tx.matching(ctx["hay"], phrases.own(purpose))) > 0
+        off = tx.first_matching(ctx["title"], phrases.off(purpose))
         shared = [
             (written_for, w.nationality,
              F.concat(F.lit("body-nationality:"), F.col("nationality"), F.lit(f"+{w.nationality:g}"))),

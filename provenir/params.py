@@ -133,10 +133,10 @@ class Weights:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """One vocabulary. Terms are (role, phrase, weight) in listed order.
+    """A short vocabulary in code. Terms are (role, phrase, weight) in listed order.
 
-    ``from_tables`` builds it from the parameter tables; the phrases become literals of the
-    scoring expressions, so their number is checked (``MAX_PHRASES``).
+    Its phrases become literals of the scoring expressions. A vocabulary in tables, of any size, is a
+    ``vocabulary.Vocabulary``; scoring takes either.
     """
 
     terms: list[tuple[str, str, float]]
@@ -154,8 +154,6 @@ class Lexicon:
     roles: list[str] = field(default_factory=lambda: list(ROLES))
     weights: Weights = Weights()
 
-    MAX_PHRASES = 2_000
-
     def own_terms(self, purpose: str) -> list[str]:
         return self.purposes.get(purpose, [])
 
@@ -167,31 +165,3 @@ class Lexicon:
     def hard_off_scope_for(self, purpose: str) -> list[str]:
         own = {term.lower() for term in self.own_terms(purpose)}
         return [term for term in self.hard_off_scope if term.lower() not in own]
-
-    @classmethod
-    def from_tables(cls, terms, lists, weights: Weights = Weights(), topic_word: str = "visa"):
-        """Build from ``lexicon_terms`` and ``lexicon_lists`` tables (both bounded, checked)."""
-        term_rows = terms.orderBy("role_seq", "term_seq").limit(cls.MAX_PHRASES + 1).collect()
-        list_rows = lists.orderBy("list", "seq").limit(cls.MAX_PHRASES + 1).collect()
-        if max(len(term_rows), len(list_rows)) > cls.MAX_PHRASES:
-            raise ValueError(f"a lexicon holds at most {cls.MAX_PHRASES} phrases")
-        named: dict[str, list[str]] = {}
-        for row in list_rows:
-            named.setdefault(row["list"], []).append(row["token"])
-        purposes = {k.split(":", 1)[1]: v for k, v in named.items() if k.startswith("purpose:")}
-        return cls(
-            terms=[(r["role"], r["phrase"], r["weight"]) for r in term_rows],
-            topic_word=topic_word,
-            purposes=purposes,
-            off_scope=named.get("off_scope", []),
-            hard_off_scope=named.get("hard_off_scope", []),
-            form=named.get("form", []),
-            language=named.get("language", []),
-            index_stems=named.get("index_stem", []),
-            archive=named.get("archive", []),
-            boilerplate=named.get("boilerplate", []),
-            mission_markers=named.get("mission_marker", []),
-            document_nouns=named.get("document_noun", []),
-            roles=list(dict.fromkeys(r["role"] for r in term_rows)),
-            weights=weights,
-        )

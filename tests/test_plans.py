@@ -116,11 +116,3 @@ def test_expansion_respects_budgets_and_levels(table):
     assert {r["url"] for r in few.collect()} == {"s", "doc.pdf"}
     tight, _ = expansion.expand_links(seeds, links, ["k"], per_host=3, is_document=F.col("url").endswith(".pdf"))
     assert {r["url"] for r in tight.collect()} == {"s", "a", "b"}
-
-
-def test_lexicon_from_tables(table):
-    terms = table([("fees", 2, 1, "fee", 5.0), ("visa_decision", 1, 1, "visa", 9.0)], "role string, role_seq int, term_seq int, phrase string, weight double")
-    lists = table([("archive", 1, "old"), ("purpose:tourism", 1, "tourist"), ("off_scope", 1, "Student"), ("off_scope", 2, "tourist")], "list string, seq int, token string")
-    lexicon = Lexicon.from_tables(terms, lists)
-    assert lexicon.terms == [("visa_decision", "visa", 9.0), ("fees", "fee", 5.0)]
-    assert lexicon.off_scope_for("tourism") == ["Student"] and lexicon.archive == ["old"]
