@@ -1,7 +1,9 @@
 """Crawl policies (RFC 9309): bodies to rules, and the verdict for a URL.
 
-A policy body is bounded (``LIMITS.policy_bytes``), so one origin's rules may travel as one array;
-the URLs of an origin may not, they only meet that array in a join on the origin.
+A policy body is bounded (``LIMITS.policy_bytes``), so one origin's rules may be one array at rest. URLs
+never meet that array. Every rule begins with literal characters; the distinct paths of an origin are cut
+into the prefixes whose lengths its rules have, and meet the rules in an equality join on origin and
+prefix. Wildcards are verified on what was met. Origins of very many paths are dealt over salts.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from provenir.operators.freshness import reuse
 from provenir.params import LIMITS
 from provenir.session import cut_lineage
 
+#: Distinct paths of one origin that share a salt.
+HOT = 100_000
 _RULES = "array<struct<precedence:int,allow:boolean,pattern:string,regex:string>>"
 
 
@@ -133,30 +137,54 @@ def reusable(asks: DataFrame, fetched: DataFrame, hours: float = LIMITS.policy_h
     return looked.withColumn("policy", F.when(F.col("_fresh"), "reused").otherwise("fetch")).drop("_fresh")
 
 
-def _matches(path: Column, rule: Column) -> Column:
-    plain = ~F.rlike(rule["pattern"], F.lit(r"[*$]"))
-    return F.when(plain, F.startswith(path, rule["pattern"])).otherwise(
-        F.rlike(path, rule["regex"])
-    )
+def literal_prefix(pattern: Column) -> Column:
+    """What a matching path begins with: the pattern before its first ``*`` or its closing ``$``."""
+    return F.regexp_replace(F.substring_index(pattern, "*", 1), r"\$$", "")
+
 
+def governing(paths: DataFrame, table: DataFrame, hot: int = HOT) -> DataFrame:
+    """(origin, _path, policy, detail) of each distinct path whose origin has a policy.
 
-def verdicts(rows: DataFrame, table: DataFrame, url: str = "url") -> DataFrame:
-    """Add ``policy``: allowed, disallowed or unreadable; an origin without a row is allowed."""
-    keyed = rows.withColumn("origin", urls.origin(F.col(url))).withColumn(
-        "_path", urls.policy_path(F.col(url))
+    ``paths``: origin, _path. ``table`` as made by ``policies``. ``hot``: paths of an origin in one salt.
+    """
+    sizes = paths.groupBy("origin").agg(F.ceil(F.count("*") / hot).cast("int").alias("_salts"))
+    large = sizes.filter("_salts > 1")
+    salted = paths.join(large, "origin", "left").withColumn(
+        "_salt", F.coalesce(F.pmod(F.xxhash64("_path"), F.col("_salts")).cast("int"), F.lit(0))
     )
-    joined = keyed.join(table, "origin", "left")
-    governing = F.get(
-        F.filter("rules", lambda r: _matches(F.col("_path"), r)), F.lit(0)
+    policy = table.join(large, "origin", "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
     )
+    rules = policy.filter(F.col("state") == "rules").select("origin", "_salt", F.inline("rules")).withColumn("_prefix", literal_prefix(F.col("pattern")))
+    lengths = rules.groupBy("origin", "_salt").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))
+    asked = salted.select("origin", "_salt", "_path").join(lengths, ["origin", "_salt"])
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_path"))
+    asked = asked.select("origin", "_salt", "_path", F.explode(fitting).alias("_n"))
+    asked = asked.select("origin", "_salt", "_path", F.substring("_path", F.lit(1), F.col("_n")).alias("_prefix"))
+    met = asked.join(rules, ["origin", "_salt", "_prefix"])
+    matched = met.filter((F.col("pattern") == F.col("_prefix")) | F.rlike("_path", F.col("regex")))
+    best = matched.groupBy("origin", "_path").agg(F.min(F.struct("precedence", (~F.col("allow")).alias("_denied"))).alias("_best"))
+    judged = salted.join(policy.select("origin", "_salt", "state", "detail"), ["origin", "_salt"]).join(best, ["origin", "_path"], "left")
     verdict = (
         F.when(F.col("state") == "closed", "unreadable")
-        .when(F.col("state") == "rules", F.when(governing["allow"], "allowed").when(
-            governing["allow"].isNull(), "allowed"
-        ).otherwise("disallowed"))
+        .when((F.col("state") == "rules") & F.col("_best._denied"), "disallowed")
         .otherwise("allowed")
     )
-    return joined.withColumn("policy", verdict).drop("_path", "state", "rules")
+    return judged.select("origin", "_path", verdict.alias("policy"), "detail")
+
+
+def verdicts(rows: DataFrame, table: DataFrame, url: str = "url", hot: int = HOT) -> DataFrame:
+    """Add ``origin``, ``detail`` and ``policy``: allowed, disallowed or unreadable.
+
+    The longest matching rule decides, an allowing one among equals; an origin without a row is allowed.
+    """
+    keyed = rows.withColumn("origin", urls.origin(F.col(url))).withColumn("_path", urls.policy_path(F.col(url)))
+    judged = governing(keyed.select("origin", "_path").distinct(), table, hot)
+    return (
+        keyed.join(judged, ["origin", "_path"], "left")
+        .withColumn("policy", F.coalesce("policy", F.lit("allowed")))
+        .drop("_path")
+    )
 
 
 def policy_reason(policy: Column, detail: Column) -> Column:

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from provenir.operators import policies as pol
 
@@ -44,3 +48,64 @@ def test_statuses(table):
     got = {r["url"][8]: (r["policy"], r["detail"]) for r in pol.verdicts(rows, pol.policies(bodies, "Any")).collect()}
     assert [got[x][0] for x in "abcdef"] == ["allowed"] * 3 + ["unreadable"] * 2 + ["allowed"]
     assert got["d"][1] == "answered HTTP 503"
+
+
+def plain_verdict(rules, path):
+    """The longest matching rule decides, an allowing one among equals."""
+    found = []
+    for allow, pattern in rules:
+        anchored = pattern.endswith("$")
+        regex = ".*".join(re.escape(p) for p in (pattern[:-1] if anchored else pattern).split("*")) + ("$" if anchored else "")
+        if re.match(regex, path, re.S):
+            found.append((-len(pattern), not allow))
+    return "disallowed" if found and min(found)[1] else "allowed"
+
+
+@pytest.mark.parametrize("hot", [100_000, 7])
+def test_prefix_index_equals_plain_matching(table, hot):
+    rng = random.Random(4)
+    parts = ["a", "b", "ab", "é", "x.y", "*", "$", "(c)", "?q=1"]
+    policies, rows = {}, []
+    for origin in range(6):
+        rules = [(rng.random() < 0.4, "/" + "/".join(rng.choices(parts, k=rng.randint(0, 3))) + rng.choice(["", "*", "$", "/"])) for _ in range(12)]
+        policies[f"https://o{origin}"] = rules + [(False, "*.pdf$"), (rng.random() < 0.5, "/")][: origin % 3]
+    for _ in range(600):
+        # The first origin has most of the URLs.
+        origin = "https://o0" if rng.random() < 0.6 else f"https://o{rng.randint(0, 7)}"
+        path = "".join("/" + p for p in rng.choices(parts[:5] + ["z", "d.pdf"], k=rng.randint(0, 4)))
+        rows.append((origin + path + rng.choice(["", "/", "?q=1"]),))
+    bodies = table(
+        [(o, 200, 10, "User-agent: *\n" + "\n".join(f"{'Allow' if a else 'Disallow'}: {p}" for a, p in r)) for o, r in policies.items()],
+        "origin string, status int, bytes long, body string",
+    )
+    frame = table(rows + [(None,)], "url string")
+    out = pol.verdicts(frame, pol.policies(bodies, "Any"), hot=hot).collect()
+    assert len(out) == len(rows) + 1
+    seen = set()
+    for r in out:
+        split = re.match(r"(https://o\d)([^?]*)(\?.*)?$", r["url"] or "")
+        if split is None:
+            assert r["url"] is None and r["policy"] == "allowed"
+            continue
+        path = (split[2] or "/") + (split[3] or "")
+        assert r["policy"] == plain_verdict(policies.get(split[1], []), path), r["url"]
+        seen.add(r["policy"])
+    assert seen == {"allowed", "disallowed"}
+
+
+def test_urls_of_a_hot_origin_are_spread(spark, table):
+    bodies = table([("https://h", 200, 10, "User-agent: *\nDisallow: /\nAllow: /p1")], "origin string, status int, bytes long, body string")
+    rows = spark.range(4_000).selectExpr("concat('https://h/p', id) as url")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        out = pol.verdicts(rows, pol.policies(bodies, "Any"), hot=200)
+        assert "rules" not in out.columns
+        parts = out.select(F.spark_partition_id().alias("p"), "policy").groupBy("p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert len(parts) == 8 and max(r["count"] for r in parts) < 1_000
