@@ -1,17 +1,25 @@
-"""The cache fold as a stateful stream.
+"""The cache fold as a stream in event time.
 
-State per URL is one small row: when the page was last confirmed and the hash it then had. The
-rules are those of the batch fold. Observations of one micro-batch are put in order before they
-are folded. A row older than what its URL's state was last moved by can't be folded any more: it comes
-out as ``late``, without evidence, for the batch fold to answer.
+What the cache makes of an observation depends on all earlier ones of its URL, so an observation waits in
+the URL's state until the watermark has passed it. Then everything that can still arrive is later, and the
+waiting ones are folded in order: the results are those of the batch fold, in whatever order observations
+came within the allowed lateness. Event-time timers wake a URL when its earliest waiting observation is due.
+
+State per URL is the waiting observations, bounded by the lateness, and one row: when the page was last
+confirmed and the hash it then had. That row expires ``forget_hours`` after it was last moved. An
+observation that comes later than the lateness is dropped by the watermark; ``unanswered`` finds these
+for the batch fold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,43 +29,108 @@ from provenir.session import STATE_STORE, shared_folder
 
 INPUT = "event_id long, url string, at long, seq long, attempt string, content_hash string"
 OUTPUT = "event_id long, url string, attempt string, result string, served_at long, served_hash string"
+#: An observation that only moves the watermark on.
+TICK = "tick"
+FORGET_HOURS = 4 * LIMITS.stale_hours
+_WAITING = ["at", "seq", "event_id", "attempt", "hash"]
+
+
+def fold_in_order(rows: pd.DataFrame, held: tuple[int, str | None] | None, ttl: int, ceiling: int) -> tuple[pd.DataFrame, tuple[int, str | None] | None]:
+    """What becomes of ``rows`` (one URL's, in order) after ``held`` (at, hash), and what is held then."""
+    at, tried = rows["at"].to_numpy(np.int64), rows["attempt"].to_numpy(object)
+    stored = tried == "stored"
+    success = np.flatnonzero(stored | (tried == "not_modified"))
+    moves, place = [], None
+    if held is None:
+        place = int(np.argmax(stored)) if stored.any() else None
+    elif len(success):
+        place = int(success[i]) if (i := np.searchsorted(at[success], held[0] + ttl)) < len(success) else None
+    while place is not None:
+        moves.append(place)
+        i = max(np.searchsorted(at[success], at[place] + ttl), np.searchsorted(success, place, side="right"))
+        place = int(success[i]) if i < len(success) else None
+    # State 0 is what was held before, state k what the k-th move left.
+    state = np.searchsorted(np.array(moves, np.int64), np.arange(len(rows)), side="right")
+    moved_at = np.array([held[0] if held else 0] + [at[m] for m in moves], np.int64)
+    hashes = [held[1] if held else None]
+    for m in moves:
+        hashes.append(rows["hash"].iat[m] if stored[m] else hashes[-1])
+    mine = np.zeros(len(rows), bool)
+    mine[moves] = True
+    known = (state > 0) | (held is not None)
+    age = at - moved_at[state]
+    result = np.where(
+        mine,
+        np.where(stored, "fetched", "revalidated"),
+        np.where(known & (age < ttl), "hit", np.where(known & (tried != "untrusted") & (age <= ceiling), "stale", "failure")),
+    )
+    served = result != "failure"
+    out = pd.DataFrame(
+        {
+            "event_id": rows["event_id"].to_numpy(),
+            "attempt": tried,
+            "result": result,
+            "served_at": pd.array(np.where(served, moved_at[state], 0), dtype="Int64"),
+            "served_hash": [hashes[s] if ok else None for s, ok in zip(state, served)],
+        }
+    )
+    out.loc[~served, "served_at"] = pd.NA
+    return out, (int(moved_at[-1]), hashes[-1]) if moves or held else None
 
 
 class CacheFold(StatefulProcessor):
-    def __init__(self, ttl_hours: float, ceiling_hours: float):
-        self.ttl = int(ttl_hours * HOUR)
-        self.ceiling = int(ceiling_hours * HOUR)
+    def __init__(self, ttl_hours: float, ceiling_hours: float, forget_hours: float):
+        self.ttl, self.ceiling = int(ttl_hours * HOUR), int(ceiling_hours * HOUR)
+        self.forget = int(forget_hours * HOUR)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("held", "at long, hash string")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.state.get() if self.state.exists() else None
-        at, digest = (held[0], held[1]) if held is not None else (None, None)
-        before = (at, digest)
-        for row in sorted(rows, key=lambda r: (r.at, r.seq)):
-            age = None if at is None else row.at - at
-            served = (at, digest)
-            if age is not None and age < 0:
-                result, served = "late", (None, None)
-            elif age is not None and age < self.ttl:
-                result = "hit"
-            elif row.attempt == "not_modified" and age is not None:
-                result, at = "revalidated", row.at
-                served = (at, digest)
-            elif row.attempt == "stored":
-                result, at, digest = "fetched", row.at, row.content_hash
-                served = (at, digest)
-            elif row.attempt != "untrusted" and age is not None and age <= self.ceiling:
-                result = "stale"
+        self.handle = handle
+        self.held = handle.getValueState("held", "at long, hash string")
+        self.waiting = handle.getListState("waiting", "at long, seq long, event_id long, attempt string, hash string")
+        self.due = handle.getValueState("due", "at long")
+
+    def _wake(self, at: int) -> None:
+        """Ask to be called when the watermark has passed the microsecond ``at``."""
+        self.handle.registerTimer(-(-at // 1000) + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for frame in rows:
+            frame = frame[frame["attempt"] != TICK].astype(object)
+            if len(frame):
+                frame = frame.where(frame.notna(), None)
+                self.waiting.appendList([tuple(r) for r in frame[["at", "seq", "event_id", "attempt", "content_hash"]].itertuples(index=False)])
+                first = int(frame["at"].min())
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None and (not self.due.exists() or earliest < self.due.get()[0]):
+            self.due.update((earliest,))
+            self._wake(earliest)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = tuple(self.held.get()) if self.held.exists() else None
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = sorted(((r[0], r[1], r[2]), r) for r in waiting if r[0] <= passed)
+        later = [tuple(r) for r in waiting if r[0] > passed]
+        if ready:
+            out, now = fold_in_order(pd.DataFrame([r for _, r in ready], columns=_WAITING), held, self.ttl, self.ceiling)
+            out.insert(1, "url", key[0])
+            if now != held:
+                self.held.update(now)
+                self._wake(now[0] + self.forget)
+            held = now
+            if later:
+                self.waiting.put(later)
+                earliest = min(r[0] for r in later)
+                self.due.update((earliest,))
+                self._wake(earliest)
             else:
-                result, served = "failure", (None, None)
-            yield Row(
-                event_id=row.event_id, url=key[0], attempt=row.attempt, result=result,
-                served_at=served[0], served_hash=served[1],
-            )
-        if (at, digest) != before:
-            self.state.update((at, digest))
+                self.waiting.clear()
+                self.due.clear()
+            yield out
+        if held is not None and not later and held[0] + self.forget <= passed:
+            self.held.clear()
 
     def close(self) -> None:
         pass
@@ -67,32 +140,46 @@ def fold_stream(
     observations: DataFrame,
     ttl_hours: float = LIMITS.fresh_hours,
     ceiling_hours: float = LIMITS.stale_hours,
+    lateness_hours: float = LIMITS.fresh_hours,
+    forget_hours: float = FORGET_HOURS,
 ) -> DataFrame:
-    """Streaming DataFrame of observations → streaming DataFrame of results."""
+    """Streaming DataFrame of observations → streaming DataFrame of results, each once, when it is settled.
+
+    A page not confirmed for ``forget_hours`` is forgotten; it must be at least ``ceiling_hours``, beyond
+    which a copy serves no more. A ``not_modified`` after that finds nothing to confirm.
+    """
+    if forget_hours < ceiling_hours:
+        raise ValueError("a copy can't be forgotten before its ceiling")
     return (
-        observations.select("event_id", "url", "at", "seq", "attempt", "content_hash")
+        observations.select("event_id", "url", "at", "seq", "attempt", "content_hash", F.timestamp_micros("at").alias("ts"))
+        .withWatermark("ts", f"{int(timedelta(hours=lateness_hours).total_seconds())} seconds")
         .groupBy("url")
-        .transformWithState(
-            statefulProcessor=CacheFold(ttl_hours, ceiling_hours),
+        .transformWithStateInPandas(
+            statefulProcessor=CacheFold(ttl_hours, ceiling_hours, forget_hours),
             outputStructType=OUTPUT,
-            outputMode="Update",
-            timeMode="None",
+            outputMode="Append",
+            timeMode="EventTime",
         )
     )
 
 
+def unanswered(observations: DataFrame, results: DataFrame) -> DataFrame:
+    """The observations that came too late for the stream, or still wait."""
+    return observations.join(results.select("event_id"), "event_id", "left_anti")
+
+
 def write_results(results: DataFrame, folder: str, epoch: int) -> None:
     """Idempotent sink: a repeated micro-batch replaces its own output."""
     results.write.mode("overwrite").parquet(f"{folder}/batch={epoch}")
 
 
-def run_available(spark: SparkSession, source: str, target: str, state: str) -> None:
+def run_available(spark: SparkSession, source: str, target: str, state: str, **hours: float) -> None:
     """Fold everything new under ``source`` and stop; state and progress stay under ``state``."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     arriving = spark.readStream.schema(INPUT).parquet(source)
     query = (
-        fold_stream(arriving)
-        .writeStream.outputMode("update")
+        fold_stream(arriving, **hours)
+        .writeStream.outputMode("append")
         .option("checkpointLocation", state)
         .foreachBatch(lambda df, epoch: write_results(df, target, epoch))
         .trigger(availableNow=True)
@@ -101,17 +188,25 @@ def run_available(spark: SparkSession, source: str, target: str, state: str) ->
     query.awaitTermination()
 
 
-def replay(spark: SparkSession, observations: DataFrame, slices: int = 3) -> DataFrame:
-    """Feed stored observations to the stream in time slices, and read what it wrote."""
+def replay(spark: SparkSession, observations: DataFrame, slices: int = 3, lateness_hours: float = LIMITS.fresh_hours, **hours: float) -> DataFrame:
+    """Feed stored observations to the stream out of order, each late by less than the lateness, and read what it wrote."""
     base = f"{shared_folder(spark)}/replay-{uuid4().hex}"
+    lateness = int(lateness_hours * HOUR)
+    late = F.pmod(F.xxhash64("event_id"), F.lit(max(lateness, 1)))
     rows = observations.select(
-        "event_id", "url", "at", F.col("seq").cast("long").alias("seq"), "attempt", "content_hash"
+        "event_id", "url", "at", F.col("seq").cast("long").alias("seq"), "attempt", "content_hash", (F.col("at") + late).alias("arrival")
     )
-    bounds = rows.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
+    bounds = rows.agg(F.min("arrival").alias("lo"), F.max("arrival").alias("hi")).first()
+    if bounds["lo"] is None:
+        return spark.createDataFrame([], OUTPUT)
     width = max((bounds["hi"] - bounds["lo"]) // slices + 1, 1)
-    for number in range(slices):
+    end = spark.range(1).select(
+        F.lit(None).cast("long").alias("event_id"), F.lit(TICK).alias("url"), F.lit(bounds["hi"] + lateness + HOUR).alias("at"),
+        F.lit(0).cast("long").alias("seq"), F.lit(TICK).alias("attempt"), F.lit(None).cast("string").alias("content_hash"),
+    )
+    for number in range(slices + 1):
         start = bounds["lo"] + number * width
-        slice_ = rows.filter((F.col("at") >= start) & (F.col("at") < start + width))
-        slice_.write.mode("append").parquet(f"{base}/in")
-        run_available(spark, f"{base}/in", f"{base}/out", f"{base}/state")
+        arriving = end if number == slices else rows.filter((F.col("arrival") >= start) & (F.col("arrival") < start + width)).drop("arrival")
+        arriving.write.mode("append").parquet(f"{base}/in")
+        run_available(spark, f"{base}/in", f"{base}/out", f"{base}/state", lateness_hours=lateness_hours, **hours)
     return spark.read.schema(OUTPUT).option("recursiveFileLookup", True).parquet(f"{base}/out")

@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from provenir.operators import freshness as fr
-from provenir.streaming.cache_stream import replay
+from provenir.streaming.cache_stream import OUTPUT, fold_in_order, replay, run_available, unanswered
 from provenir.streaming.newest_stream import keep_newest
 
 HOUR = fr.HOUR
@@ -110,12 +111,51 @@ def test_fold_by_both_paths_is_the_sequential_fold(table, row_limit):
     assert {r["event_id"]: (r["result"], r["served_at"], r["served_hash"]) for r in got} == _fold(rows)
 
 
-def test_stream_is_the_batch(spark, table):
+def test_stream_out_of_order_is_the_batch(spark, table):
     rows = _random_events(200, 400, 9)
-    got = replay(spark, table(rows, SCHEMA)).collect()
+    got = replay(spark, table(rows, SCHEMA), lateness_hours=30.0).collect()
+    assert len(got) == len(rows)
     assert {r["event_id"]: (r["result"], r["served_at"], r["served_hash"]) for r in got} == _fold(rows)
 
 
+@pytest.mark.parametrize("ttl, ceiling", [(24, 168), (0, 10), (5, 5)])
+def test_folding_in_pieces_is_the_sequential_fold(ttl, ceiling):
+    for seed in range(20):
+        rows = [(e, "u", at, s, k, d) for e, _, at, s, k, d in _random_events(60, 200, seed)]
+        frame = pd.DataFrame([(r[2], r[3], r[0], r[4], r[5]) for r in rows], columns=["at", "seq", "event_id", "attempt", "hash"]).sort_values(["at", "seq"])
+        held, out = None, {}
+        cuts = sorted(random.Random(seed).sample(range(61), 3))
+        for first, last in zip([0, *cuts], [*cuts, 60]):
+            if last > first:
+                found, held = fold_in_order(frame.iloc[first:last].reset_index(drop=True), held, ttl * HOUR, ceiling * HOUR)
+                for r in found.itertuples():
+                    out[r.event_id] = (r.result, None if pd.isna(r.served_at) else int(r.served_at), r.served_hash)
+        assert out == _fold(rows, ttl * HOUR, ceiling * HOUR)
+
+
+def test_stream_forgets_and_drops_what_is_too_late(spark, table, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    hours = {"ttl_hours": 24.0, "ceiling_hours": 48.0, "lateness_hours": 10.0, "forget_hours": 100.0}
+    day = 24 * HOUR
+    batches = [
+        [(1, "a", 0, 1, "stored", "x"), (2, "b", 0, 2, "stored", "y"), (3, "t", 2 * day, 3, "tick", None)],
+        # 4 is later than the watermark allows, 5 confirms after 60 hours, 6 keeps "a" alive.
+        [(4, "a", HOUR, 4, "blocked", None), (5, "a", 60 * HOUR, 5, "not_modified", None), (6, "t", 5 * day, 6, "tick", None)],
+        [(7, "b", 5 * day, 7, "not_modified", None), (8, "a", 5 * day, 8, "not_modified", None), (9, "t", 9 * day, 9, "tick", None)],
+    ]
+    batches = [[(e, u, at + 365 * day, *rest) for e, u, at, *rest in rows] for rows in batches]
+    for rows in batches:
+        table(rows, SCHEMA).write.mode("append").parquet(source)
+        run_available(spark, source, target, state, **hours)
+    results = spark.read.option("recursiveFileLookup", True).schema(OUTPUT).parquet(target)
+    got = {r["event_id"]: (r["result"], r["served_hash"]) for r in results.collect()}
+    assert got == {1: ("fetched", "x"), 2: ("fetched", "y"), 5: ("revalidated", "x"), 7: ("failure", None), 8: ("revalidated", "x")}
+    asked = table([r for rows in batches for r in rows if r[4] != "tick"], SCHEMA)
+    assert [r["event_id"] for r in unanswered(asked, results).collect()] == [4]
+    with pytest.raises(ValueError):
+        run_available(spark, source, target, state, ceiling_hours=9.0, forget_hours=8.0)
+
+
 def test_changes_and_newest(table):
     rows = table([(0, "u", 0, 0, "stored", "a"), (1, "u", 30 * HOUR, 1, "stored", "a"), (2, "u", 60 * HOUR, 2, "stored", "b")], SCHEMA)
     moved = fr.refreshes(rows)
