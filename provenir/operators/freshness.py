@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.functions.urls import strip
+from provenir.operators.large_groups import carry_last
 from provenir.operators.ranking import first_of
 from provenir.params import LIMITS, REFUSALS
 from provenir.session import cut_lineage
@@ -32,55 +33,23 @@ def as_of(
     at: str,
     tie: str,
     name: str,
-    width: int = 24 * HOUR,
     inclusive: bool = True,
 ) -> DataFrame:
     """Add ``name``: the last entry of the key at or before the probe, as a struct.
 
-    ``at`` is in microseconds and ``tie`` orders rows of one instant. Keys are split into time
-    slices; the last entry of earlier slices is carried over by a table with one row per slice, so
-    a busy key is spread over its slices.
+    ``at`` is in microseconds and ``tie`` orders rows of one instant. Probes and entries are sorted
+    together by range, so a busy key is spread over as many tasks as its rows take; what a slice begins
+    with comes from a table with one row per slice and key. ``by`` columns are not null.
     """
-    rest = [c for c in entries.columns if c not in by]
-    slice_ = F.floor(F.col(at) / F.lit(width)).cast("long")
-    held = entries.select(*by, slice_.alias("_slice"), F.struct(*rest).alias("_entry"))
-    last = held.groupBy(*by, "_slice").agg(
-        F.max_by("_entry", F.struct(f"_entry.{at}", f"_entry.{tie}")).alias("_last")
-    )
-    asked = probes.withColumn("_slice", slice_)
-    slices = (
-        asked.select(*by, "_slice")
-        .distinct()
-        .withColumn("_last", F.lit(None).cast(last.schema["_last"].dataType))
-        .unionByName(last)
-        .groupBy(*by, "_slice")
-        .agg(F.max("_last").alias("_last"))
-    )
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slices.withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).drop("_last")
-    columns = probes.columns
-    entry_type = held.schema["_entry"].dataType
-    mixed = asked.select(
-        *by, "_slice", F.col(at).alias("_at"), F.col(tie).alias("_tie"),
-        F.lit(1 if inclusive else 0).alias("_side"), F.struct(*columns).alias("_probe"),
-        F.lit(None).cast(entry_type).alias("_entry"),
-    ).unionByName(
-        held.select(
-            *by, "_slice", F.col(f"_entry.{at}").alias("_at"), F.col(f"_entry.{tie}").alias("_tie"),
-            F.lit(0 if inclusive else 1).alias("_side"), "_entry",
-        ),
-        allowMissingColumns=True,
-    )
-    order = Window.partitionBy(*by, "_slice").orderBy("_at", "_tie", "_side")
-    here = F.last("_entry", ignorenulls=True).over(
-        order.rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        mixed.withColumn("_here", here)
-        .filter(F.col("_probe").isNotNull())
-        .join(carried, [*by, "_slice"], "left")
-        .select("_probe.*", F.coalesce("_here", "_carry").alias(name))
+    held = F.struct(*[c for c in entries.columns if c not in by])
+    place = [F.col(at).alias("_at"), F.col(tie).alias("_tie")]
+    mixed = probes.select(*by, *place, F.lit(1 if inclusive else 0).alias("_side"), F.struct(*probes.columns).alias("_probe"))
+    mixed = mixed.unionByName(
+        entries.select(*by, *place, F.lit(0 if inclusive else 1).alias("_side"), held.alias("_entry")), allowMissingColumns=True
     )
+    order = [F.col("_at"), F.col("_tie"), F.col("_side")]
+    found = carry_last(mixed, by, order, "_entry", "_found")
+    return found.filter(F.col("_probe").isNotNull()).select("_probe.*", F.col("_found").alias(name))
 
 
 def attempt(observations: DataFrame, page_bytes: int = LIMITS.page_bytes) -> DataFrame:
@@ -133,38 +102,11 @@ def _follow_pointers(success: DataFrame, ttl: int) -> DataFrame:
     )
     alive = success.join(start, "url").filter(F.struct("at", "seq") >= F.col("_start"))
     nodes = cut_lineage(first_of(alive.drop("_start"), ["url", "at"], [F.col("seq")]))
-    width = max(ttl // 24, 1)
-    slice_of = lambda c: F.floor(c / F.lit(width)).cast("long")
-
-    # The first node of the probe's own slice at or after the probe, else of the next slice.
-    due = nodes.select("url", "at", (F.col("at") + F.lit(ttl)).alias("_pos"))
-    due = due.withColumn("_slice", slice_of(F.col("_pos")))
-    known = nodes.select("url", F.col("at").alias("_node")).withColumn("_slice", slice_of(F.col("_node")))
-    firsts = known.groupBy("url", "_slice").agg(F.min("_node").alias("_first"))
-    slices = (
-        due.select("url", "_slice")
-        .distinct()
-        .withColumn("_first", F.lit(None).cast("long"))
-        .unionByName(firsts)
-        .groupBy("url", "_slice")
-        .agg(F.min("_first").alias("_first"))
-    )
-    after = Window.partitionBy("url").orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
-    later = slices.withColumn("_later", F.first("_first", ignorenulls=True).over(after)).drop("_first")
-    mixed = due.withColumn("_node", F.lit(None).cast("long")).unionByName(
-        known.withColumn("_pos", F.col("_node")), allowMissingColumns=True
-    )
-    onward = (
-        Window.partitionBy("url", "_slice")
-        .orderBy("_pos", F.col("at").isNull())
-        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    )
-    jumps = (
-        mixed.withColumn("_here", F.min("_node").over(onward))
-        .filter(F.col("at").isNotNull())
-        .join(later, ["url", "_slice"], "left")
-        .select("url", "at", F.coalesce("_here", "_later").alias("to"))
-        .filter(F.col("to").isNotNull())
+    # With time running backwards, the next observation a TTL on is the last one before.
+    back = nodes.select("url", (-F.col("at")).alias("_t"), F.lit(0).alias("_k"), F.col("at").alias("_node"))
+    due = nodes.select("url", (-(F.col("at") + F.lit(ttl))).alias("_t"), F.lit(0).alias("_k"), "at")
+    jumps = as_of(due, back, ["url"], "_t", "_k", "_next").filter(F.col("_next").isNotNull()).select(
+        "url", "at", F.col("_next._node").alias("to")
     )
     span = nodes.agg((F.max("at") - F.min("at")).alias("s")).first()["s"] or 0
     rounds = max(1, math.ceil(math.log2(span / ttl + 2)))
@@ -228,7 +170,7 @@ def fold_cache(
     moved = refreshes(observations, ttl_hours, row_limit)
     state = moved.select("url", "at", "seq", "held_hash")
     rows = observations.withColumn("seq", F.col("seq").cast("long"))
-    joined = as_of(rows, state, ["url"], "at", "seq", "_held", max(int(min(ttl_hours, 24) * HOUR), HOUR), inclusive=False)
+    joined = as_of(rows, state, ["url"], "at", "seq", "_held", inclusive=False)
     held = F.col("_held")
     age = (F.col("at") - held["at"]) / F.lit(float(HOUR))
     return (
@@ -311,8 +253,7 @@ def reuse(
 ) -> DataFrame:
     """Add ``held`` (the last stored answer), ``age_hours`` and ``reused``: it is younger than ``hours``.
 
-    ``hours`` may name several flags with a limit each; all are told from one lookup, whose time
-    slices are a day wide whatever the limits.
+    ``hours`` may name several flags with a limit each; all are told from one lookup.
     """
     limits = hours if isinstance(hours, dict) else {"reused": hours}
     joined = as_of(requests, stored, by, at, tie, held)

@@ -22,6 +22,28 @@ def ranged(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     )
 
 
+def carry_last(df: DataFrame, group: list[str], order: list[Column], value: str, name: str) -> DataFrame:
+    """Add ``name``: the last non-null ``value`` of the group up to the row itself, in groups of any size.
+
+    ``order`` ascends; group columns are not null. Slices hold equal numbers of rows wherever the range
+    partitioner finds bounds, so a busy group is spread over as many tasks as its share of the rows.
+    """
+    sliced = ranged(df, group, order)
+    held = sliced.filter(F.col(value).isNotNull())
+    ends = held.groupBy(*group, "_slice").agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    # One row per (group, slice): at most the groups and the partitions together.
+    slices = sliced.select(*group, "_slice").distinct().join(ends, [*group, "_slice"], "left")
+    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.withColumn("_carry", F.last("_end", ignorenulls=True).over(earlier)).filter("_carry is not null")
+    inner = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        sliced.withColumn("_here", F.last(value, ignorenulls=True).over(inner))
+        .join(carried.select(*group, "_slice", "_carry"), [*group, "_slice"], "left")
+        .withColumn(name, F.coalesce("_here", "_carry"))
+        .drop("_slice", "_here", "_carry")
+    )
+
+
 def number_rows(df: DataFrame, group: list[str], order: list[Column], name: str = "position") -> DataFrame:
     """``row_number`` over groups of any size. ``order`` ascends and must end in a unique key."""
     sliced = ranged(df, group, order)

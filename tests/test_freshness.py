@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provenir.operators import freshness as fr
+from provenir.operators.large_groups import ranged
 from provenir.streaming.cache_stream import OUTPUT, fold_in_order, replay, run_available, unanswered
 from provenir.streaming.newest_stream import keep_newest
 
@@ -166,10 +167,31 @@ def test_changes_and_newest(table):
 def test_as_of_crosses_slices(table):
     entries = table([("k", 10, 1, "a"), ("k", 500, 2, "b")], "k string, at long, seq long, v string")
     probes = table([("k", 5, 0), ("k", 10, 1), ("k", 499, 9), ("k", 9_999, 0), ("z", 1, 0)], "k string, at long, seq long")
-    got = {(r["k"], r["at"]): r["e"] and r["e"]["v"] for r in fr.as_of(probes, entries, ["k"], "at", "seq", "e", width=100).collect()}
+    got = {(r["k"], r["at"]): r["e"] and r["e"]["v"] for r in fr.as_of(probes, entries, ["k"], "at", "seq", "e").collect()}
     assert got == {("k", 5): None, ("k", 10): "a", ("k", 499): "a", ("k", 9_999): "b", ("z", 1): None}
 
 
+def test_a_busy_key_is_spread_over_slices(spark, table):
+    rng = random.Random(8)
+    keys = ["hot"] * 6 + ["a", "b", "c", "d"]
+    stored = [(rng.choice(keys), rng.randrange(2_000), i, f"v{i}") for i in range(400)]
+    asked = [(rng.choice(keys + ["none"]), rng.randrange(2_000), i) for i in range(1_500)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "10")
+    try:
+        entries, probes = table(stored, "k string, at long, id long, v string"), table(asked, "k string, at long, id long")
+        got = fr.as_of(probes, entries, ["k"], "at", "id", "e").collect()
+        slices = ranged(probes.withColumn("z", F.lit(1)), ["k"], [F.col("at"), F.col("id")])
+        sizes = {r["_slice"]: r["count"] for r in slices.filter("k = 'hot'").groupBy("_slice").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(sizes) >= 4 and max(sizes.values()) < 400
+    assert len(got) == len(asked)
+    for r in got:
+        best = max(((a, i, v) for k, a, i, v in stored if k == r["k"] and (a, i) <= (r["at"], r["id"])), default=None)
+        assert (r["e"] and r["e"]["v"]) == (best and best[2])
+
+
 def test_reuse_needs_a_stored_answer(table):
     stored = table([("k", 0, 1)], "k string, at long, id long")
     asked = table([("k", 100 * HOUR, 2), ("k", 504 * HOUR, 3), ("z", HOUR, 4)], "k string, at long, id long")
