@@ -79,7 +79,9 @@ def read_documents(spark: SparkSession, path: str, schema: str, key: str, versio
     good = rows.filter(F.col("_corrupt_record").isNull() & (F.col("schema_version") == version))
     good = good.drop("_corrupt_record", "schema_version").filter(F.col(key).isNotNull())
     stamp = next(c for c in ("fetched_at", "resolved_at", "recorded_at") if c in good.columns)
-    return newest(good.filter(F.col(stamp).isNotNull()), [key], [F.col(stamp)])
+    # Of equal stamps the whole row decides, so that a key's answer never depends on the files' order.
+    rest = [F.col(c) for c in good.columns if c not in (key, stamp)]
+    return newest(good.filter(F.col(stamp).isNotNull()), [key], [F.col(stamp), *rest])
 
 
 def read_page_cache(spark: SparkSession, path: str) -> DataFrame:

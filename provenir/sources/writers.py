@@ -19,7 +19,7 @@ def merge_newest(current: DataFrame | None, fresh: DataFrame, keys: list[str], o
 
 
 def write_page_cache(current: DataFrame | None, fresh: DataFrame, path: str) -> None:
-    """Write the cache of the next generation to a new path; readers of the old one are untouched."""
+    """Write a whole cache as JSON documents to a new path, as an export. Updates go to a ``keyed_store``."""
     merged = merge_newest(current, fresh, ["url"], [F.col("fetched_at"), F.col("content_hash")])
     merged.withColumn("schema_version", F.lit(1)).write.mode("errorifexists").json(path)
 
@@ -31,9 +31,13 @@ def write_corridors(current: DataFrame | None, fresh: DataFrame, path: str) -> N
 
 
 def write_recall_records(records: DataFrame, path: str) -> None:
-    """Candidates of the newest run per corridor, long, refused runs included."""
-    newest_run = records.groupBy("corridor_key").agg(F.max("recorded_at").alias("recorded_at"))
-    kept = records.join(newest_run, ["corridor_key", "recorded_at"], "left_semi")
+    """Candidates of the newest run per corridor, long, refused runs included.
+
+    Runs of one stamp are told apart by ``run_id``, where the records carry one; the largest stays.
+    """
+    run = ["recorded_at", *(["run_id"] if "run_id" in records.columns else [])]
+    newest_run = records.groupBy("corridor_key").agg(F.max(F.struct(*run)).alias("_run")).select("corridor_key", "_run.*")
+    kept = records.join(newest_run, ["corridor_key", *run], "left_semi")
     kept.write.mode("errorifexists").parquet(path)
 
 

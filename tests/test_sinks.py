@@ -41,6 +41,19 @@ def test_corridor_store(spark, table, tmp_path):
     assert readers.read_corridors(spark, str(tmp_path / "c")).first()["unresolved_roles"] == ["fees"]
 
 
+def test_equal_stamps_are_settled_by_the_row(spark, table, tmp_path):
+    rows = [("u", "u", WHEN, c, f"h{c}", 200, None, None) for c in ("b", "d", "a", "c")]
+    table(rows, schemas.PAGE_CACHE).withColumn("schema_version", F.lit(1)).repartition(4).write.json(str(tmp_path / "c"))
+    assert readers.read_page_cache(spark, str(tmp_path / "c")).first()["content"] == "d"
+
+
+def test_two_runs_of_one_stamp(spark, table, tmp_path):
+    schema = "corridor_key string, recorded_at timestamp, run_id string, url string"
+    rows = table([("k", WHEN, "r1", "old"), ("k", WHEN, "r2", "n1"), ("k", WHEN, "r2", "n2"), ("j", WHEN, "r1", "j")], schema)
+    writers.write_recall_records(rows, str(tmp_path / "r"))
+    assert {r["url"] for r in spark.read.parquet(str(tmp_path / "r")).collect()} == {"n1", "n2", "j"}
+
+
 def test_registry_keeps_trust_order(spark, table, tmp_path):
     ddl = schemas.AUTHORITY_REGISTRY
     rows = table([("VN", "V", ["z.gov.vn", "a.gov.vn"], [{"domain": "r.vn", "evidence": "e"}], []), ("GB", "G", ["x.gov.uk"], [], ["y.uk"])], ddl)
