@@ -27,5 +27,6 @@ def load() -> None:
         integrity,
         links,
         scores,
+        stores,
         texts,
     )

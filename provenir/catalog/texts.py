@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from provenir.catalog import demo, query, sql
 from provenir.functions import keys, text as tx
 from provenir.operators import excerpts as ex, lexicon as lx, pages as pg
-from provenir.params import CHROME_ELEMENTS, PLACEHOLDER_LINE, ROLES
+from provenir.params import GAP_MARK, CHROME_ELEMENTS, PLACEHOLDER_LINE, ROLES
 
 P = sql.PAGES
 
@@ -98,21 +98,47 @@ def mention_windows(spark, sf):
     )
 
 
-@query("excerpt")
+# The head, then windows until the budget is full; cut to it; what is left reads on from each span in turn.
+_EXCERPT = f"""t0 AS (SELECT doc_id, text, length(text) AS n, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS toks FROM documents),
+t1 AS (SELECT doc_id, n, unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM t0),
+t2 AS (SELECT *, sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM t1),
+m AS (SELECT doc_id, greatest(e - length(tok) - 80, 0) AS s, least(e + 80, n) AS e, i FROM t2
+  WHERE e - length(tok) >= least(200, n) AND (lower(tok) IN ({sql.strings(_LONG)}) OR tok IN ({sql.strings(_SHORT)}))),
+m1 AS (SELECT *, greatest(200, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS pm FROM m),
+m2 AS (SELECT *, greatest(pm, e) - CASE WHEN s <= pm THEN pm ELSE s END AS inc FROM m1),
+m3 AS (SELECT *, 200 + coalesce(sum(inc) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM m2),
+w AS (SELECT doc_id, s, e FROM m3 WHERE used < 900 UNION ALL SELECT doc_id, 0, least(200, n) FROM t0),
+o AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM w),
+g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e) AS island FROM o),
+i0 AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM g GROUP BY doc_id, island),
+i1 AS (SELECT *, coalesce(sum(e - s) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM i0),
+i2 AS (SELECT doc_id, s, least(e, s + 900 - before) AS e FROM i1 WHERE before < 900),
+i3 AS (SELECT i2.*, n, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY s), n) - e AS gap, 900 - sum(e - s) OVER (PARTITION BY doc_id) AS spare FROM i2 JOIN t0 USING (doc_id)),
+i4 AS (SELECT *, e + greatest(0, least(gap, spare - coalesce(sum(gap) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS e2 FROM i3),
+i5 AS (SELECT *, coalesce(lag(e2) OVER (PARTITION BY doc_id ORDER BY s), 0) AS last FROM i4),
+x0 AS (SELECT doc_id, string_agg(CASE WHEN s > last THEN {sql.q(GAP_MARK)} ELSE '' END || substr(text, (s + 1)::BIGINT, (e2 - s)::BIGINT), '' ORDER BY s) || CASE WHEN max(e2) < max(i5.n) THEN {sql.q(GAP_MARK)} ELSE '' END AS cut
+  FROM i5 JOIN t0 USING (doc_id) GROUP BY doc_id),
+xc AS (SELECT t0.doc_id, n, CASE WHEN n <= 900 THEN text ELSE cut END AS excerpt FROM t0 LEFT JOIN x0 USING (doc_id))"""
+
+
+@query("excerpt", f"WITH {_EXCERPT} SELECT doc_id, n AS chars, excerpt FROM xc")
 def excerpt(spark, sf):
-    """C11: budgeted excerpts of every document (checked against a plain model in the tests)."""
+    """C11: budgeted excerpts of every document."""
     docs = demo.table(spark, sf, "documents").select("doc_id", "text")
     cut = ex.excerpt(F.col("text"), ex.mention_pattern(TERMS), 900, 200, 160)
-    return docs.select("doc_id", F.length("text").alias("chars"), cut.alias("excerpt"))
+    return docs.select("doc_id", F.length("text").cast("long").alias("chars"), cut.alias("excerpt"))
 
 
 @query(
     "packets",
-    """WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents)
-SELECT source, count(*) AS candidates FROM d WHERE place <= 10 GROUP BY source""",
+    f"""WITH {_EXCERPT}, d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents),
+k AS (SELECT source, place, {{'place': place, 'id': 'd' || d.doc_id, 'title': trim(split_part(text, chr(10), 1)), 'url': 'https://x/' || d.doc_id, 'excerpt': excerpt}} AS item
+  FROM d JOIN xc USING (doc_id) WHERE place <= 10)
+SELECT source, count(*) AS candidates, to_json({{'traveller': {{'name': source}}, 'roles': [{sql.strings(ROLES)}], 'candidates': list_transform(list(item ORDER BY place),
+  lambda i: {{'id': i.id, 'title': i.title, 'url': i.url, 'published': NULL::VARCHAR, 'excerpt': i.excerpt}})}})::VARCHAR AS packet FROM k GROUP BY source""",
 )
 def packets(spark, sf):
-    """One decider packet per source, over its ten longest documents (rows carry excerpts)."""
+    """One decider packet per source, over its ten longest documents, as text."""
     from provenir.operators.ranking import top
 
     docs = demo.table(spark, sf, "documents")
@@ -130,7 +156,7 @@ def packets(spark, sf):
         "traveller", F.struct(F.col("source").alias("name"))
     )
     return ex.candidate_packets(rows, corridors, ["source"], ROLES).select(
-        "source", F.col("candidates").cast("long").alias("candidates")
+        "source", F.col("candidates").cast("long").alias("candidates"), "packet"
     )
 
 
