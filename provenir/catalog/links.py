@@ -402,6 +402,14 @@ pl AS (SELECT 'https://c3.shop.net' AS origin),
 t AS (SELECT f.url, target, CASE WHEN NOT contains(target, '.shop.net/') THEN 'untrusted' WHEN starts_with(target, 'https://c3.shop.net/') THEN 'disallowed' END AS stop FROM f)"""
 
 
+def _shop(spark):
+    """Trusted domains, and crawl policies of which one forbids its whole origin."""
+    bodies = small_table(
+        spark, [("https://c3.shop.net", 200, 30, "User-agent: *\nDisallow: /")], "origin string, status int, bytes long, body string"
+    )
+    return small_table(spark, [("shop.net",)], "domain string"), pol.policies(bodies, "Demo")
+
+
 @query(
     "forward_chain",
     f"""WITH {_FW},
@@ -431,12 +439,7 @@ def forward_chain(spark, sf):
         .join(following, "o_orderkey")
         .select("url", F.when(key % 17 == 0, away).otherwise(F.col("target")).alias("target"))
     )
-    trusted = small_table(spark, [("shop.net",)], "domain string")
-    bodies = small_table(spark, 
-        [("https://c3.shop.net", 200, 30, "User-agent: *\nDisallow: /")],
-        "origin string, status int, bytes long, body string",
-    )
-    table = pol.policies(bodies, "Demo")
+    trusted, table = _shop(spark)
     followed = expansion.follow_forwards(orders.select("o_orderkey", "url"), forwards, trusted, table)
     landed = expansion.check_landings(followed, trusted, table)
     return landed.select(
@@ -469,16 +472,15 @@ g{n} AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY -score, url) A
 v{n} AS (SELECT brand, url, host FROM g{n} WHERE pn <= 12 - spent)"""
 
 
-@query(
-    "expand_links",
-    f"""WITH {_EDGES},
+_EXPANSION = f"""{_EDGES},
 sd AS (SELECT p_brand AS brand, 'P' || k AS url, host, row_number() OVER (PARTITION BY p_brand ORDER BY k) AS rn FROM pt),
-v0 AS (SELECT brand, url, host FROM sd WHERE rn <= 2), {_level(1)}, {_level(2)}
-SELECT brand, url, 'visited' AS what, 0::BIGINT AS depth FROM v0 UNION ALL SELECT brand, url, 'visited', 1 FROM v1 UNION ALL SELECT brand, url, 'visited', 2 FROM v2
-UNION ALL SELECT brand, url, 'candidate', depth FROM c2""",
-)
-def expand_links(spark, sf):
-    """Two levels of expansion from two seeds per brand over the part graph."""
+v0 AS (SELECT brand, url, host FROM sd WHERE rn <= 2), {_level(1)}, {_level(2)}"""
+
+
+def _expansion(spark, sf, judged: bool = False):
+    """Two levels of expansion from two seeds per brand over the part graph; scores come with the links or from a judge."""
+    from provenir.operators.ranking import top
+
     part = demo.table(spark, sf, "part").select(
         F.col("p_partkey").alias("k"), F.col("p_type").alias("host"),
         (F.col("p_retailprice") / 100).alias("score"), F.col("p_brand").alias("brand"),
@@ -491,14 +493,67 @@ def expand_links(spark, sf):
     edges = pairs.join(part.drop("brand"), "k").join(owner, "src_key").select(
         "brand", "src", "url", "host", "score", F.col("k").alias("seq")
     )
-    from provenir.operators.ranking import top
-
     seeds = top(part, ["brand"], [F.col("k")], 2)
-    visited, candidates = expansion.expand_links(
-        seeds, edges, ["brand"], pages=12, per_host=8, is_document=F.col("url").endswith("7")
+    scores = part.select("url", "score")
+    return expansion.expand(
+        seeds, edges.drop("score") if judged else edges, ["brand"], pages=12, per_host=8, is_document=F.col("url").endswith("7"),
+        judge=(lambda met: met.join(scores, "url")) if judged else None,
     )
-    return visited.select(
+
+
+_EXPANDED = f"""WITH {_EXPANSION}
+SELECT brand, url, 'visited' AS what, 0::BIGINT AS depth FROM v0 UNION ALL SELECT brand, url, 'visited', 1 FROM v1 UNION ALL SELECT brand, url, 'visited', 2 FROM v2
+UNION ALL SELECT brand, url, 'candidate', depth FROM c2"""
+
+
+def _expanded(found):
+    return found.visited.select(
         "brand", "url", F.lit("visited").alias("what"), F.col("depth").cast("long").alias("depth")
     ).unionByName(
-        candidates.select("brand", "url", F.lit("candidate").alias("what"), F.col("depth").cast("long").alias("depth"))
+        found.candidates.select("brand", "url", F.lit("candidate").alias("what"), F.col("depth").cast("long").alias("depth"))
+    )
+
+
+@query("expand_links", _EXPANDED)
+def expand_links(spark, sf):
+    """What expansion visited and met."""
+    return _expanded(_expansion(spark, sf))
+
+
+@query("expand_judged", _EXPANDED)
+def expand_judged(spark, sf):
+    """The same, scored by a judge of the caller's."""
+    return _expanded(_expansion(spark, sf, judged=True))
+
+
+@query(
+    "expansion_ledger",
+    f"""WITH {_EXPANSION}, vs AS (SELECT brand, url FROM v0 UNION ALL SELECT brand, url FROM v1 UNION ALL SELECT brand, url FROM v2)
+SELECT c2.brand, c2.url, CASE WHEN leaf THEN 'document' WHEN score < 10 THEN 'score' WHEN g2.url IS NOT NULL THEN 'page budget' ELSE 'host budget' END AS reason
+FROM c2 ANTI JOIN vs USING (brand, url) LEFT JOIN (SELECT brand, url FROM g2) g2 ON g2.brand = c2.brand AND g2.url = c2.url
+UNION ALL SELECT brand, url, 'depth' FROM v2""",
+)
+def expansion_ledger(spark, sf):
+    """What expansion did not follow, and why."""
+    return _expansion(spark, sf).left_out.select("brand", "url", "reason")
+
+
+@query(
+    "landings",
+    """WITH r AS (SELECT o_orderkey, 'https://c' || (o_custkey % 10) || '.shop.net/o/' || o_orderkey AS url,
+  CASE o_orderkey % 5 WHEN 0 THEN 'https://elsewhere.org/' || o_orderkey WHEN 1 THEN 'https://c3.shop.net/away' WHEN 2 THEN 'https://c4.shop.net/home' END AS away FROM orders),
+l AS (SELECT *, coalesce(away, url) AS final_url FROM r)
+SELECT o_orderkey, CASE WHEN NOT contains(final_url, '.shop.net/') THEN 'untrusted' WHEN final_url <> url AND contains(final_url, 'https://c3.') THEN 'disallowed' ELSE 'ok' END AS landing FROM l""",
+)
+def landings(spark, sf):
+    """Where requests ended: off the trusted domains, on a page that may not be read, or well."""
+    key = F.col("o_orderkey")
+    url = F.concat(F.lit("https://c"), (F.col("o_custkey") % 10).cast("string"), F.lit(".shop.net/o/"), key.cast("string"))
+    away = (
+        F.when(key % 5 == 0, F.concat(F.lit("https://elsewhere.org/"), key.cast("string")))
+        .when(key % 5 == 1, "https://c3.shop.net/away")
+        .when(key % 5 == 2, "https://c4.shop.net/home")
     )
+    rows = demo.table(spark, sf, "orders").select("o_orderkey", url.alias("url"), F.coalesce(away, url).alias("final_url"))
+    trusted, table = _shop(spark)
+    return expansion.check_landings(rows, trusted, table).select("o_orderkey", "landing")

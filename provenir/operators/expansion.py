@@ -1,4 +1,4 @@
-"""Bounded link expansion and forward chains.
+"""Bounded link expansion with a ledger of what was left out, and forward chains.
 
 The expansion is level-synchronous: one join per level over the links table, with the page and host
 budgets taken by row numbers. A URL is visited at its smallest depth; its candidate row is the best
@@ -9,6 +9,7 @@ written to the checkpoint folder before the next one reads it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,23 @@ from provenir.params import LIMITS
 from provenir.session import cut_lineage
 
 
-def expand_links(
+class Expansion(NamedTuple):
+    """``left_out``: by, url, reason (document, score, host budget, page budget, depth).
+
+    A page visited at the last level is in it for ``depth``: its links were not looked at.
+    """
+
+    visited: DataFrame
+    candidates: DataFrame
+    left_out: DataFrame
+
+
+def expand_links(*args, **options) -> tuple[DataFrame, DataFrame]:
+    """The visited pages and the candidates of ``expand``."""
+    return expand(*args, **options)[:2]
+
+
+def expand(
     seeds: DataFrame,
     links: DataFrame | Callable[[DataFrame], DataFrame],
     by: list[str],
@@ -32,9 +49,8 @@ def expand_links(
     follow: float = LIMITS.follow_score,
     is_document: Column | None = None,
     judge: Callable[[DataFrame], DataFrame] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(visited, candidates).
-
+) -> Expansion:
+    """
     ``seeds``: by, url, host. ``links``: src, url, host, seq, any link columns, and ``by`` unless
     all groups share one web graph. ``judge`` scores and filters the links met at one level (it
     adds ``score`` and drops what is rejected or off the trusted hosts), so only links of visited
@@ -95,7 +111,20 @@ def expand_links(
         frontier = candidates.filter((F.col("score") >= follow) & ~F.col("_leaf")).select(
             *keys, "host", "score"
         )
-    return visited, candidates.drop("_leaf")
+    if candidates is None:
+        candidates = seeds.limit(0).withColumn("_leaf", F.lit(False)).withColumn("score", F.lit(0.0))
+    # What passed its host's budget at the last level and was still not taken fell to the page budget.
+    fitting = fit.select(*keys, F.lit(True).alias("_fits"))
+    reason = (
+        F.when(F.col("_leaf"), "document")
+        .when(F.coalesce(F.col("score") < follow, F.lit(True)), "score")
+        .when(F.col("_fits"), "page budget")
+        .otherwise("host budget")
+    )
+    left_out = (
+        candidates.join(visited.select(*keys), keys, "left_anti").join(fitting, keys, "left").select(*keys, reason.alias("reason"))
+    ).unionByName(visited.filter(F.col("depth") == depth).select(*keys, F.lit("depth").alias("reason")))
+    return Expansion(visited, candidates.drop("_leaf"), left_out)
 
 
 def follow_forwards(
@@ -107,38 +136,42 @@ def follow_forwards(
 ) -> DataFrame:
     """Follow meta-refresh forwards; add ``final_url``, ``hops`` and ``outcome``.
 
-    ``forwards``: url, target. Each target is checked against the trusted domains, then against
-    the crawl policy, before it is followed; a chain still forwarding after the last hop is
-    unusable.
+    ``forwards``: url, target, one row per forwarding page. Each target is checked against the trusted
+    domains, then against the crawl policy, before it is followed; a chain still forwarding after the
+    last hop, a circle included, is unusable. Pages that don't forward are joined once, to the ends.
     """
-    hosted = forwards.withColumn("_host", F.coalesce(urls.host(F.col("target")), F.lit("")))
+    # Only pages that forward take part below; each distinct target is judged once.
+    targets = forwards.select("target").distinct()
+    hosted = targets.withColumn("_host", F.coalesce(urls.host(F.col("target")), F.lit("")))
     judged = pol.verdicts(flag_within(hosted, "_host", trusted, "_trusted"), policy_table, "target")
     stop = F.when(~F.col("_trusted"), "untrusted").when(
         F.col("policy") != "allowed", "disallowed"
     )
-    # Every target is judged once; the hops are then plain joins on the judged table.
-    chain = cut_lineage(judged.select(F.col("url").alias("final_url"), "target", stop.alias("_stop")))
-    current = (
-        pages.withColumn("final_url", F.col("url"))
-        .withColumn("hops", F.lit(0))
-        .withColumn("outcome", F.lit(None).cast("string"))
+    judged = judged.select("target", stop.alias("_stop"))
+    chain = cut_lineage(forwards.join(judged, "target").select(F.col("url").alias("final_url"), "target", "_stop"))
+    current = chain.select(
+        F.col("final_url").alias("url"), "final_url", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("outcome")
     )
-    columns = current.columns
     for hop in range(hops + 1):
         ahead = current.join(chain, "final_url", "left")
         open_ = F.col("outcome").isNull() & F.col("target").isNotNull()
         if hop == hops:
-            current = ahead.withColumn("outcome", F.when(open_, "unusable").otherwise(F.col("outcome")))
+            current = ahead.select("url", "final_url", "hops", F.when(open_, "unusable").otherwise(F.col("outcome")).alias("outcome"))
         else:
             goes = open_ & F.col("_stop").isNull()
             current = ahead.select(
-                *[c for c in columns if c not in ("final_url", "hops", "outcome")],
+                "url",
                 F.when(goes, F.col("target")).otherwise(F.col("final_url")).alias("final_url"),
                 (F.col("hops") + goes.cast("int")).alias("hops"),
                 F.when(open_, F.col("_stop")).otherwise(F.col("outcome")).alias("outcome"),
             )
-        current = current.select(*columns)
-    return current.withColumn("outcome", F.coalesce("outcome", F.lit("ok")))
+    ended = cut_lineage(current)
+    return (
+        pages.join(ended, "url", "left")
+        .withColumn("final_url", F.coalesce("final_url", "url"))
+        .withColumn("hops", F.coalesce("hops", F.lit(0)))
+        .withColumn("outcome", F.coalesce("outcome", F.lit("ok")))
+    )
 
 
 def check_landings(rows: DataFrame, trusted: DataFrame, policy_table: DataFrame) -> DataFrame:

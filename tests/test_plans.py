@@ -116,3 +116,30 @@ def test_expansion_respects_budgets_and_levels(table):
     assert {r["url"] for r in few.collect()} == {"s", "doc.pdf"}
     tight, _ = expansion.expand_links(seeds, links, ["k"], per_host=3, is_document=F.col("url").endswith(".pdf"))
     assert {r["url"] for r in tight.collect()} == {"s", "a", "b"}
+
+
+def test_what_was_not_followed_has_a_reason(table):
+    links = table(
+        [("s", "a", "h", 1, 40.0), ("s", "b", "h", 2, 30.0), ("s", "c", "h", 3, 20.0), ("s", "low", "h", 4, 5.0), ("s", "doc.pdf", "h", 5, 50.0),
+         ("s", "e", "g", 6, 35.0), ("a", "f", "g", 7, 15.0)],
+        "src string, url string, host string, seq int, score double",
+    )
+    seeds = table([("c", "s", "h")], "k string, url string, host string")
+    options = {"is_document": F.col("url").endswith(".pdf")}
+    reasons = lambda found: {r["url"]: r["reason"] for r in found.left_out.collect()}
+    found = expansion.expand(seeds, links, ["k"], per_host=3, **options)
+    assert reasons(found) == {"doc.pdf": "document", "low": "score", "c": "host budget", "f": "depth"}
+    few = expansion.expand(seeds, links, ["k"], pages=3, depth=1, **options)
+    assert {r["url"] for r in few.visited.collect()} == {"s", "a", "e"}
+    assert reasons(few) == {"doc.pdf": "document", "low": "score", "b": "page budget", "c": "page budget", "a": "depth", "e": "depth"}
+    none = expansion.expand(seeds, links.limit(0), ["k"], depth=0)
+    assert reasons(none) == {"s": "depth"}
+
+
+def test_forwards_in_circles_and_duplicates(table):
+    pages = table([(i, u) for i, u in enumerate(["https://a.net/1", "https://a.net/2", "https://a.net/3", "https://a.net/1", "https://a.net/9"])], "id int, url string")
+    forwards = table([("https://a.net/1", "https://a.net/2"), ("https://a.net/2", "https://a.net/1"), ("https://a.net/3", "https://b.org/")], "url string, target string")
+    policies = table([], "origin string, state string, detail string, rules array<struct<precedence:int,allow:boolean,pattern:string,regex:string>>")
+    got = expansion.follow_forwards(pages, forwards, table([("a.net",)], "domain string"), policies)
+    rows = {r["id"]: (r["final_url"][-1], r["hops"], r["outcome"]) for r in got.collect()}
+    assert rows == {0: ("1", 2, "unusable"), 3: ("1", 2, "unusable"), 1: ("2", 2, "unusable"), 2: ("3", 0, "untrusted"), 4: ("9", 0, "ok")}
