@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenir.operators.large_groups import number_rows
+from provenir.operators.vocabulary import grams, post
+from provenir.session import cut_lineage
 
 
 def considered(
@@ -32,15 +34,22 @@ def considered(
 def classify_misses(asks: DataFrame, records: DataFrame, by: list[str]) -> DataFrame:
     """Per (by, fragment): never seen, ranked out, shortlisted but not read, or fetched.
 
-    Asks are few; they meet the records of their own corridor only. The furthest stage counts.
+    The furthest stage of the records whose URL holds the fragment counts. Fragments are posted under
+    their rarest character n-gram, the n-grams of the URLs meet the postings of their own corridor, and
+    what was met is verified: the work follows the URLs and the matches, not asks times records. An
+    empty fragment is in every URL; asks repeated stay repeated.
     """
     stage = F.when(F.col("fetched"), 3).when(F.col("shortlisted"), 2).otherwise(1)
-    found = (
-        records.join(asks, by)
-        .filter(F.contains(F.col("url"), F.col("fragment")))
-        .groupBy(*by, "fragment")
-        .agg(F.max(stage).alias("_stage"), F.count("*").alias("matches"))
-    )
+    staged = records.select(*by, "url", stage.alias("_at"))
+    furthest = [F.max("_at").alias("_stage"), F.count("*").alias("matches")]
+    wanted = asks.select(*by, "fragment").distinct()
+    postings = cut_lineage(post(wanted.filter("fragment <> ''").withColumnRenamed("fragment", "phrase")))
+    sizes = sorted(r[0] for r in postings.select(F.length("gram")).distinct().collect())
+    every = F.array_distinct(F.concat(F.array().cast("array<string>"), *[grams(F.col("url"), m) for m in sizes]))
+    met = staged.select("*", F.explode(every).alias("gram")).join(postings, [*by, "gram"])
+    found = met.filter(F.contains("url", F.col("phrase"))).groupBy(*by, F.col("phrase").alias("fragment")).agg(*furthest)
+    anywhere = staged.filter("url is not null").groupBy(*by).agg(*furthest).join(wanted.filter("fragment = ''"), by)
+    found = found.unionByName(anywhere.select(*found.columns))
     label = (
         F.when(F.col("_stage") == 3, "fetched")
         .when(F.col("_stage") == 2, "shortlisted, not read")

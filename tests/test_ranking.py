@@ -75,3 +75,16 @@ def test_audit(table):
     asks = table([("c", f) for f in ("/a", "/b", "/c", "/d")], "corridor string, fragment string")
     got = {r["fragment"]: r["verdict"] for r in audit.classify_misses(asks, rows, ["corridor"]).collect()}
     assert got == {"/a": "fetched", "/b": "shortlisted, not read", "/c": "ranked out", "/d": "never seen"}
+
+
+def test_misses_by_index_are_those_by_scanning(table):
+    rng = random.Random(2)
+    url = lambda: "https://" + "".join(rng.choices("abé/.-", k=rng.randint(0, 12)))
+    records = [(rng.choice("kj"), url(), rng.random() < 0.3, rng.random() < 0.1) for _ in range(300)] + [("k", None, True, True)]
+    asks = [(rng.choice("kjz"), "".join(rng.choices("abé/.", k=rng.randint(0, 6)))) for _ in range(80)] + [("k", None), ("k", "ab"), ("k", "ab")]
+    got = audit.classify_misses(table(asks, "k string, fragment string"), table(records, "k string, url string, shortlisted boolean, fetched boolean"), ["k"])
+    want = []
+    for k, fragment in asks:
+        stages = [3 if f else 2 if s else 1 for kk, u, s, f in records if kk == k and u is not None and fragment is not None and fragment in u]
+        want.append((k, fragment, ["never seen", "ranked out", "shortlisted, not read", "fetched"][max(stages, default=0)], len(stages)))
+    assert sorted(map(str, want)) == sorted(str((r["k"], r["fragment"], r["verdict"], r["matches"])) for r in got.collect())
