@@ -288,9 +288,37 @@ def link_scores_tables(spark, sf):
     return scored.select("page_id", "pos", "role", F.round("score", 4).alias("score"))
 
 
-@query("link_signals")
+_SIGNED = sql.values(
+    [(r, i, p, f"{w:g}", f"{w * 1.2:g}", f"{w * 0.5:g}") for i, (r, p, w) in enumerate(_LX.terms)], "role, seq, phrase, plain, txt, hd"
+)
+
+
+def _first_hit(items, texts: str = "contains(u, t) OR contains(anchor, t)") -> str:
+    return f"list_filter([{sql.strings(i.lower() for i in items)}]::VARCHAR[], lambda t: {texts})[1]"
+
+
+_LINK_SIGNALS = f"""{_LINK_SCORE},
+sv AS (SELECT * FROM {_SIGNED}),
+sb AS (SELECT page_id, pos, role, string_agg(concat_ws('; ', CASE WHEN contains(u, phrase) THEN 'url:' || phrase || '+' || plain END,
+    CASE WHEN label <> '' AND contains(label, phrase) THEN 'text:' || phrase || '+' || txt WHEN head <> '' AND contains(head, phrase) THEN 'heading:' || phrase || '+' || hd END), '; ' ORDER BY seq) AS base
+  FROM c0 CROSS JOIN sv WHERE contains(u, phrase) OR contains(label, phrase) OR contains(head, phrase) GROUP BY ALL),
+sf0 AS (SELECT flag.*, {" ".join(["CASE"] + [f"WHEN purpose = '{p}' THEN {_first_hit(_LX.off_scope_for(p))}" for p in _LX.purposes] + ["END"])} AS off_hit,
+  {_first_hit(_LX.form)} AS form_hit, {_first_hit(_LX.language, 'contains(anchor, t)')} AS language_hit FROM flag),
+sg AS (SELECT page_id, pos, w3.role, concat_ws('; ', CASE WHEN present THEN base END,
+  CASE WHEN w3.role = 'visa_decision' AND w3.topic AND (present OR NOT any_role) THEN 'mentions-th+6' END,
+  CASE WHEN w3.role IN ('document_checklist', 'application_route') AND NOT present AND w3.plabel THEN 'purpose-label:' || purpose || '+18' END,
+  CASE WHEN nat THEN 'nationality:' || nationality || '+40' END, CASE WHEN own THEN 'purpose:' || purpose || '+20' END,
+  CASE WHEN off THEN 'off-scope:' || off_hit || '-30' END, CASE WHEN form THEN 'form:' || form_hit || '-35' END,
+  CASE WHEN language THEN 'translation:' || language_hit || '-25' END, CASE WHEN idx THEN 'section-index-18' END,
+  CASE WHEN len(segs) <= 4 THEN 'shallow+8' END, CASE WHEN depth > 0 THEN 'depth' || depth || (depth * -10) END,
+  CASE WHEN w3.role IN ('document_checklist', 'application_route') THEN CASE aff WHEN 'own' THEN 'mission+30' WHEN 'other' THEN 'other-mission-45' END END,
+  CASE WHEN w3.role = 'document_checklist' AND ends_with(lower(url), '.pdf') THEN 'pdf+10' END) AS signals
+  FROM w3 JOIN sf0 USING (page_id, pos) LEFT JOIN sb USING (page_id, pos, role) WHERE kept)"""
+
+
+@query("link_signals", f"WITH {_LINK_SIGNALS} SELECT page_id, pos, role, signals FROM sg")
 def link_signals(spark, sf):
-    """the signals behind every link score (vectors are tested on fixtures)."""
+    """the signals behind every link score, in order."""
     return link_scores_of(spark, sf).select(
         "page_id", "pos", "role", F.array_join("signals", "; ").alias("signals")
     )
