@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from provenir import schemas
 from provenir.catalog import demo, query, sql
 from provenir.functions import hosts, keys, text as tx, urls
 from provenir.operators import lexicon as lx
@@ -166,6 +167,32 @@ def registry_rows(spark, sf):
     )
 
 
+@query(
+    "registry_build",
+    f"""WITH {_BY_LANG}
+SELECT code, CASE WHEN code = 'de' THEN 'old.example' ELSE domains END AS domains, CASE WHEN code = 'de' THEN '' ELSE unconfirmable END AS unconfirmable,
+  CASE WHEN code = 'de' THEN '' ELSE reviewed END AS reviewed FROM reg WHERE code <> 'es'""",
+)
+def registry_build(spark, sf):
+    """The entry point from search hits to the merged registry; one country is held, one failed."""
+    from provenir.plans.registry import build_registry
+
+    rows = demo.hits(spark, sf).withColumn("code", F.col("query"))
+    rows = rows.withColumn("query", F.substring_index(urls.host(F.col("url")), ".", 1))
+    countries = small_table(spark, [(c, c.upper(), t) for c, t in demo.TLDS_OF.items()], "code string, name string, tlds array<string>")
+    reviewed = small_table(spark, demo.REVIEWED, "code string, domain string, evidence string, seq int")
+    held = small_table(spark, [("de", "DE", ["old.example"], [], [])], schemas.AUTHORITY_REGISTRY)
+    failed = small_table(spark, [("es",)], "code string")
+    pattern = r"(^|\.)th[a-z]+\.(net|com|org)$"
+    registry, _ = build_registry(rows, countries, held, reviewed, demo.denylist(spark), failed, government=pattern)
+    return registry.select(
+        "code",
+        F.array_join(trust.effective_domains(), ",").alias("domains"),
+        F.array_join("unconfirmable", ",").alias("unconfirmable"),
+        F.array_join(F.transform("reviewed", lambda r: r["domain"]), ",").alias("reviewed"),
+    )
+
+
 @query(
     "coverage",
     f"""WITH {_BY_LANG}, asked AS (SELECT n_nationkey, CASE WHEN n_nationkey < 4 THEN ['de','en','es','fr'][n_nationkey + 1] ELSE 'n' || n_nationkey END AS code FROM nation),

