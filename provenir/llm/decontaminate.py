@@ -300,4 +300,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     found = _found(docs, benchmark, id_col, text_col, item_col, item_text_col)
     keys = stage(found.select(F.col("key").alias("_key")).distinct())
     key = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
-    return docs.join(keys, key == F.col("_key"), "left_anti")
+    return docs.join(keys, key == keys["_key"], "left_anti")

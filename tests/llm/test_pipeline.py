@@ -104,3 +104,20 @@ def test_packing_and_the_whole_run(spark, table, world):
 @pytest.mark.parametrize("stage", [n for n, _ in corpus_pipeline.STAGES])
 def test_empty_documents(spark, table, world, stage):
     assert run(spark, stage, [], table, world[0]) == []
+
+
+NAMES = "n nats middle limit of rows kept score lang_pred perplexity threshold name component_id n_shingles _key key id node gram item a b label".split()
+
+
+@pytest.mark.parametrize("stage", ["quality", "language", "near_copies", "benchmark"])
+def test_columns_of_any_name_go_through(spark, table, world, stage):
+    folder, rows, _ = world
+    plain = run(spark, stage, rows, table, folder)
+    wide = table([(*r, *[f"{c}{i}" for c in NAMES]) for i, r in enumerate(rows)], f"{DOCS}, " + ", ".join(f"{c} string" for c in NAMES))
+    out = dict(corpus_pipeline.STAGES)[stage](spark, wide, folder)
+    assert out.columns == wide.columns
+    found = [tuple(r) for r in out.collect()]
+    assert Counter(r[:5] for r in found) == Counter(plain)
+    for r in found:
+        place = {v[len(c) :] for c, v in zip(NAMES, r[5:])}
+        assert len(place) == 1 and rows[int(place.pop())] == r[:5]
