@@ -15,7 +15,7 @@ from provenir.session import cut_lineage
 stage = cut_lineage
 
 #: UTF-8 bytes handled at once by the array code, so that its scratch arrays stay small.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,8 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         last = min(max(last, first + 1), rows)
         yield first, last
         first = last
+    # What the slices took goes back, as workers are kept for other stages.
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

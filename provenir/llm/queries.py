@@ -12,6 +12,8 @@ from provenir.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Bytes of a batch that goes to Python, or comes from it; a single larger row is a batch of its own.
+ARROW_BYTES = 8 << 20
 
 
 def tokenizer_path() -> str:
@@ -22,8 +24,12 @@ def tokenizer_path() -> str:
 
 
 def ready(spark: SparkSession) -> None:
-    """Let executors import this repository where the cluster has not put it on their path."""
+    """Let executors import this repository where the cluster has not put it on their path.
+
+    Batches between Spark and Python are kept to ``ARROW_BYTES``, also of long texts and large sets.
+    """
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
