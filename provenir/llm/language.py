@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from provenir.llm.common import stage
 
-#: The fit's sample: texts of each language, languages, letters of a text, landmarks of each language.
-SAMPLE_TEXTS, LANGUAGES, SAMPLE_LETTERS, LANDMARKS = 300, 64, 4_096, 32
+#: The fit's sample: blocks of text of each language, and characters of a block. Any block of a text may be taken.
+SAMPLE_BLOCKS, SAMPLE_CHARACTERS = 300, 4_096
+#: Landmarks of each language, at least and at most, and of all together as far as the least allows.
+FEWEST, LANDMARKS, ALL_LANDMARKS = 4, 32, 2_048
 ORDERS = (1, 2, 3, 4)
 #: Places of the hashed n-gram table of each order.
 PLACES = (512, 2_048, 4_096, 8_192)
@@ -80,18 +82,22 @@ def kernel(table: np.ndarray, landmarks: np.ndarray, sizes: np.ndarray) -> np.nd
 
 
 def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression in the span of the first ``landmarks`` texts of each language."""
-    points = [letters(x)[:SAMPLE_LETTERS] for x in texts]
-    kept = [i for i, p in enumerate(points) if len(p) and languages[i] is not None]
+    """Kernel ridge regression in the span of the first texts of each language, ``landmarks`` at most."""
+    points = [letters(x) for x in texts]
+    kept = [i for i, p in enumerate(points) if (p != 32).any() and languages[i] is not None]
     names = sorted({languages[i] for i in kept})
     if not names:
         return Model([], np.zeros((_WIDTH, 0), np.float32), np.zeros(0), np.zeros((0, 0)))
-    label = np.array([names.index(languages[i]) for i in kept])
-    table = spectra([points[i] for i in kept])
-    nth = np.array([np.count_nonzero(label[:i] == x) for i, x in enumerate(label)])
-    chosen = table[nth < landmarks]
+    landmarks = min(landmarks, max(FEWEST, ALL_LANDMARKS // len(names)))
+    label = np.searchsorted(names, [languages[i] for i in kept])
+    order = np.argsort(label, kind="stable")
+    nth = np.empty(len(label), np.int64)
+    nth[order] = np.arange(len(label)) - np.searchsorted(label[order], label[order])
+    chosen = spectra([points[i] for i, n in zip(kept, nth) if n < landmarks])
     sizes = np.maximum(chosen.sum(axis=1), 1)
-    cross = kernel(table, chosen.T, sizes).astype(np.float64)
+    # The sample's table is made and multiplied piece by piece.
+    pieces = [kept[at : at + AT_ONCE] for at in range(0, len(kept), AT_ONCE)]
+    cross = np.vstack([kernel(spectra([points[i] for i in piece]), chosen.T, sizes) for piece in pieces]).astype(np.float64)
     inner = kernel(chosen, chosen.T, sizes).astype(np.float64)
     # Nyström features, then ridge on +1/-1 targets; languages weigh alike however many texts they have.
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
@@ -142,19 +148,20 @@ def held_out(id_col: str) -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on at most ``SAMPLE_TEXTS`` texts of each of the ``LANGUAGES`` commonest languages.
+    """Fit on at most ``SAMPLE_BLOCKS`` blocks of the texts of each language, however many there are.
 
-    Only documents that aren't held out and have a text and a language; those with the smallest hashes
-    of their texts are taken.
+    Only documents that aren't held out and have a text and a language teach. Their whole texts are cut
+    into blocks, and the distinct blocks with the smallest hashes are taken.
     """
-    usable = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.col(text_col) != "") & ~held_out(id_col))
-    usable = usable.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
-    languages = [r["lang"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    usable = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{SAMPLE_CHARACTERS}}}"), F.lit(0))
+    blocks = usable.select(F.col(lang_col).cast("string").alias("lang"), F.explode(pieces).alias("text"))
+    blocks = blocks.filter(F.rlike("text", F.lit(r"\p{IsAlphabetic}"))).withColumn("hash", F.xxhash64("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
     # First which hashes, then their texts: only the sample's texts are moved.
-    wanted = stage(usable.select("lang", "hash").distinct().withColumn("nth", nth).filter(F.col("nth") <= SAMPLE_TEXTS).filter(F.col("lang").isin(languages)).select("lang", "hash"))
-    sample = usable.join(F.broadcast(wanted), ["lang", "hash"]).select("lang", "hash", F.substring("text", 1, 2 * SAMPLE_LETTERS).alias("text"))
-    rows = sorted({(r["lang"], r["hash"], r["text"]) for r in sample.dropDuplicates(["lang", "hash"]).collect()})
+    wanted = stage(blocks.select("lang", "hash").distinct().withColumn("nth", nth).filter(F.col("nth") <= SAMPLE_BLOCKS).select("lang", "hash"))
+    rows = blocks.join(wanted, ["lang", "hash"]).dropDuplicates(["lang", "hash"]).collect()
+    rows = sorted((r["lang"], r["hash"], r["text"]) for r in rows)
     return fit([r[2] for r in rows], [r[0] for r in rows])
 
 

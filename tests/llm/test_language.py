@@ -63,3 +63,41 @@ def test_letters_of_a_text():
 def test_empty_table(spark, table):
     frame = table([], "doc_id long, text string, lang string")
     assert language.identify(frame, language.learn(frame)).collect() == []
+
+
+def test_every_language_teaches(spark, table):
+    """Seventy languages of their own syllables: all can be predicted."""
+    rng = random.Random(7)
+    stems = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(70 * 5)]
+    rows = []
+    for lang in range(70):
+        own = stems[5 * lang : 5 * lang + 5]
+        for i in range(9):
+            rows.append((1_000 * lang + i, " ".join("".join(rng.choices(own, k=2)) for _ in range(40)), f"l{lang:02}"))
+    frame = table(rows, "doc_id long, text string, lang string")
+    model = language.learn(frame)
+    assert len(model.languages) == 70 and len(model.sizes) <= language.ALL_LANDMARKS
+    got = language.identify(frame, model).filter(language.held_out("doc_id")).collect()
+    assert len(got) > 100 and sum(r["lang_pred"] == r["lang"] for r in got) > 0.97 * len(got)
+
+
+def test_any_part_of_a_text_teaches(spark, table):
+    junk = "1234 !? " * 2_000
+    rows = [(i, junk + text_of(lang, i) + junk, lang) for i, lang in enumerate(list(ENDINGS) * 12)]
+    model = language.learn(table(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(ENDINGS)
+    assert [language.predict(model, [text_of(lang, 99)])[0][0] for lang in ENDINGS] == list(ENDINGS)
+
+
+def test_ridge_is_that_of_plain_normal_equations():
+    texts = [text_of(lang, i, 8) for i in range(12) for lang in ENDINGS]
+    names = list(ENDINGS) * 12
+    model = language.fit(texts, names, landmarks=100)
+    table = language.spectra([language.letters(t) for t in texts]).astype(np.float64)
+    size = np.sqrt(table.sum(axis=1))
+    gram = (table @ table.T) / size[:, None] / size[None, :]
+    target = np.where(np.array(names)[:, None] == np.array(model.languages), 1.0, -1.0)
+    plain = gram @ np.linalg.solve(gram + language.RIDGE * len(texts) * np.eye(len(texts)), target)
+    # All texts are landmarks, so the features span the kernel.
+    got = language.kernel(table.astype(np.float32), model.landmarks, model.sizes) @ model.weights
+    assert np.allclose(got, plain, atol=1e-3)
