@@ -17,6 +17,15 @@ HEADLINE = [
 ]
 
 
+#: Rows of which table a query goes through, for the rates.
+RATED = {
+    "links": "pages", "clean_text": "pages", "canonical_urls": "pages", "link_scores": "pages", "domain_evidence": "pages",
+    "body_scores": "documents", "mention_windows": "documents", "excerpt": "documents", "country_mentions": "documents",
+    "shortlist_reserved": "documents", "cache_lookup": "events", "cache_fold": "events", "cache_fold_busy": "events",
+    "forward_chain": "orders", "plan_status": "lineitem", "integrity": "lineitem",
+}
+
+
 def split_tables(spark, folder: str, cpus: int) -> str:
     """The tables with text as several files each, as a large table would lie: one file is one split."""
     target = f"{stage_folder(spark)}-bench"
@@ -38,6 +47,7 @@ def main() -> None:
     sf = folder.rstrip("/").rsplit("sf", 1)[-1]
     folder = split_tables(spark, folder, cpus)
     times: dict[str, float] = {}
+    rows = {name: spark.read.parquet(f"{folder}/{name}.parquet").count() for name in sorted(set(RATED.values()))}
     for name in chosen.split(",") if chosen else HEADLINE:
         start = time.time()
         catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
@@ -50,6 +60,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "rows_per_sec": {name: round(rows[RATED[name]] / t) for name, t in times.items() if name in RATED},
                 "sf": sf,
             }
         )
