@@ -23,7 +23,9 @@ from provenir.llm.common import slices, stage, utf8
 
 CAPACITY = 1024
 #: Distinct words whose ids one Python worker remembers; beyond that it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+#: Bytes of text tokenized at once; new words are learned once each time.
+_AT_ONCE = 2_000_000
 _JOINED = 20_000
 
 
@@ -179,7 +181,7 @@ def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             offsets, data = utf8(batch.column(1))
-            for first, last in slices(offsets):
+            for first, last in slices(offsets, _AT_ONCE):
                 texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(first, last)]
                 rows, starts, lengths, crcs, totals, ids = [], [], [], [], [], []
                 for row, own in enumerate(words.ids(texts)):
