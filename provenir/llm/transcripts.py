@@ -165,7 +165,8 @@ def _coded(pieces: DataFrame, conv: str, piece: str, text: str, role: str | None
 def learn(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> Model:
     """Counts over labelled transcripts whose pieces are turns numbered one by one.
 
-    Turns of other roles than ``ROLES``, of null ids or numbers, and without lines are not counted.
+    Turns of other roles than ``ROLES``, of null ids or numbers, and without lines are not counted. Repeated
+    rows count once for what follows what.
     """
     coded = _coded(turns.filter(F.col(conv).isNotNull() & F.col(turn).isNotNull()), conv, turn, text, role)
     known = {r: i for i, r in enumerate(ROLES)}
@@ -183,7 +184,9 @@ def learn(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
         steps[2 * r["of"], 2 * r["of"] + 1] = r["second"]
         steps[2 * r["of"] + 1, 2 * r["of"] + 1] = r["further"]
     before = size.select("conv", (F.col("piece") + 1).alias("piece"), (2 * F.col("of") + (F.col("n") > 1).cast("int")).alias("last"))
-    follows = size.join(before, ["conv", "piece"], "left").groupBy(F.coalesce("last", F.lit(START)).alias("last"), "of").agg(F.count("*").alias("n"))
+    # A turn that stands there several times is followed, and follows, once: nothing grows with repeated rows.
+    each = size.select("conv", "piece", "of").distinct()
+    follows = each.join(before.distinct(), ["conv", "piece"], "left").groupBy(F.coalesce("last", F.lit(START)).alias("last"), "of").agg(F.count("*").alias("n"))
     for r in follows.collect():
         steps[r["last"], 2 * r["of"]] = r["n"]
     return model_of(steps, shows)

@@ -113,3 +113,14 @@ def test_no_group_grows_with_a_transcript(spark, table, turns, monkeypatch):
                 want.append((ROLES[state // 2], []))
             want[-1][1].append(line)
         assert sorted((r["role"], r["text"]) for r in got if r["conv_id"] == conv) == sorted((r, "\n".join(x)) for r, x in want)
+
+
+def test_repeated_turns_do_not_multiply(spark, table, turns):
+    logs = table([(1, 1, "user", "User: hello there", 1, ""), (1, 2, "assistant", "Assistant: well\nyes", 1, "")], TURNS)
+    many = logs.crossJoin(spark.range(50_000)).select(logs.columns)
+    once, often = learn(logs), learn(many)
+    # What follows what is counted once; a repeated turn's own lines are counted as often as they stand there.
+    user, assistant = 2 * ROLES.index("user"), 2 * ROLES.index("assistant")
+    assert np.isclose(often.step[START, user], once.step[START, user])
+    assert np.isclose(often.step[user, assistant], once.step[user, assistant])
+    assert often.step[assistant, assistant + 1] > once.step[assistant, assistant + 1]
