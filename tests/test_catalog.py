@@ -39,6 +39,6 @@ def test_entry(spark):
     assert contract.entry(spark).limit(1).count() == 1
 
 
-@pytest.mark.parametrize("name", ["url_features"])
+@pytest.mark.parametrize("name", ["url_features", "placeholder_text"])
 def test_more_queries_match_their_sql(spark, duck, name):
     test_query_matches_its_sql(spark, duck, name)

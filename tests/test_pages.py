@@ -2,7 +2,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from provenir.functions import text as tx
 from provenir.operators import pages as pg
+from provenir.params import PLACEHOLDER_LINE
 
 PAGE = """<html><head><title>Tab &amp; title</title><script>var t="</p>";</script></head><body>
 <nav><a href="/home">Home</a></nav><h1>Visa <b>info</b></h1>
@@ -56,3 +58,13 @@ def test_content_types(table):
     df = table([("application/JSON; x", "https://a/b"), ("text/html", "https://a/b.PDF"), ("application/pdf", "https://a/b")], "c string, u string")
     got = [(r[0], r[1]) for r in df.select(pg.is_machine_readable(F.col("c")), pg.is_pdf_response(F.col("c"), F.col("u"))).collect()]
     assert got == [(True, False), (False, True), (False, True)]
+
+
+def test_placeholder_lines_of_any_length(table):
+    lines = ["a.b", "a--", "a-.b", "a._b", "a.b.", "aB", "aBc0D", "a", "A.b", "a.é", "a-b-.c", "a0_b.c-d", "aB.c"]
+    df = table([(line,) for line in lines], "line string")
+    marked = df.select("line", F.rlike("line", F.lit(PLACEHOLDER_LINE)).alias("want"), tx.is_placeholder_line(F.col("line")).alias("got"))
+    assert [r["line"] for r in marked.collect() if r["want"] != r["got"]] == []
+    # The pattern with its repeated groups overflows the stack on these.
+    long = "\n".join([".".join(["wort"] * 20_000), "a" + "Wort" * 20_000] * 2)
+    assert table([(long,)], "text string").select(tx.looks_untranslated(F.col("text"))).first()[0]
