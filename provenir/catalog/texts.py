@@ -16,7 +16,7 @@ def _clean_sql(html: str) -> str:
     out = html
     for element in CHROME_ELEMENTS:
         out = f"regexp_replace({out}, '(?is)<{element}\\b.*?</{element}\\s*>', '', 'g')"
-    bare = sql.decode(f"regexp_replace({out}, {sql.q(sql.TAG)}, chr(10), 'g')")
+    bare = sql.decode_all(f"regexp_replace({out}, {sql.q(sql.TAG)}, chr(10), 'g')")
     lines = f"string_split_regex({bare}, '\\r\\n|\\r|\\n')"
     trimmed = f"list_transform({lines}, lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g'))"
     return f"array_to_string(list_filter({trimmed}, lambda l: l <> ''), chr(10))"
@@ -31,9 +31,9 @@ _UNTR = (
 
 @query(
     "clean_text",
-    f"""WITH {P}, c AS (SELECT page_id, {_clean_sql('html')} AS text FROM p)
+    f"""WITH {P}, c AS (SELECT page_id, {_clean_sql('html')} AS text FROM p), l AS (SELECT *, string_split(text, chr(10)) AS ls FROM c)
 SELECT page_id, sha256(text) AS hash, length(text) AS chars,
-  CASE WHEN length(text) < 400 THEN 'too little readable text' END AS thin FROM c""",
+  CASE WHEN length(text) < 400 THEN 'too little readable text' WHEN {_UNTR} THEN 'translation placeholders instead of text' END AS thin FROM l""",
 )
 def clean_text(spark, sf):
     """Readable text of every page, and why it may be too thin."""

@@ -42,3 +42,21 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", ["url_features", "placeholder_text"])
 def test_more_queries_match_their_sql(spark, duck, name):
     test_query_matches_its_sql(spark, duck, name)
+
+
+@pytest.mark.parametrize("name", ["clean_text", "domain_evidence", "titles"])
+def test_odd_character_references_match_their_sql(spark, tmp_path, name):
+    odd = ["a&amp", "b&amp;c", "&lt;x&gt", "&#65;&#66", "&#x43;&#x1F600;", "&#0;&#xD800;&#9999999;", "&Alpha;&nosuch;&am", "&copy1; &apos;", "x&;y&&z"]
+    con = duckdb.connect()
+    rows = [
+        (i, f"https://the{i % 3}.example.net/{lang}/{i}", f"<html><title>{x}</title><body><h1>{x}</h1><a href=\"/p{i}\">to {x}</a><p>{x}<p>{x}</body>")
+        for i, (x, lang) in enumerate((x, lang) for x in odd for lang in ("en", "de"))
+    ]
+    rows.append((99, "https://the.example.net/en/99", "<p>" + "<p>".join(f"{'part' * 20}.{'name' * 20}.a{i}" for i in range(6))))
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    con.execute(f"COPY pages TO '{tmp_path}/pages.parquet'")
+    df = contract.queries()[name](spark, str(tmp_path))
+    result = con.execute(contract.oracle_sql()[name])
+    columns = [d[0] for d in result.description]
+    assert rows_of(df.columns, df.collect()) == rows_of(columns, result.fetchall())
