@@ -60,3 +60,11 @@ def test_odd_character_references_match_their_sql(spark, tmp_path, name):
     result = con.execute(contract.oracle_sql()[name])
     columns = [d[0] for d in result.description]
     assert rows_of(df.columns, df.collect()) == rows_of(columns, result.fetchall())
+
+
+def test_body_scores_cover_every_document(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    scored = contract.queries()["body_scores"](spark, FOLDER).select("doc_id").distinct()
+    every = contract.queries()["body_scores_tables"](spark, FOLDER).select("doc_id").distinct()
+    assert docs.select("source").distinct().count() > 1
+    assert sorted(r[0] for r in scored.collect()) == sorted(r[0] for r in every.collect())
