@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from provenir.operators import ranking as rk, trust
+from provenir.operators import ranking as rk, trust, vocabulary as vc
 
 FOLDER = "/root/testdata/sf0.001"
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "PythonUDF")
@@ -37,3 +37,13 @@ def test_trust_flag_does_not_shuffle_the_rows(spark, table):
 def test_scan_reads_only_what_is_needed(spark):
     plan = plan_of(contract.queries()["newest_runs"](spark, FOLDER))
     assert "props" not in plan and "value" not in plan.split("ReadSchema")[-1]
+
+
+def test_exploded_pieces_are_not_broadcast(spark, table):
+    pieces = spark.range(10).select("id", F.explode(F.array(*[F.lit(f"g{i}") for i in range(50)])).alias("gram"))
+    listed = spark.range(100_000).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("gram"), F.repeat(F.lit("x"), 900).alias("entry"))
+    plan = plan_of(vc.met_with(pieces, listed, "gram"))
+    assert "BuildLeft" not in plan and vc.met_with(pieces, listed, "gram").count() == 500
+    phrases = table([(f"phrase {i}",) for i in range(30)], "phrase string")
+    plan = plan_of(vc.post(phrases))
+    assert "BuildLeft" not in plan and plan.count("SortMergeJoin [phrase") == 1
