@@ -9,6 +9,10 @@ State per URL is the waiting observations, bounded by the lateness, and one row:
 confirmed and the hash it then had. That row expires ``forget_hours`` after it was last moved. An
 observation that comes later than the lateness is dropped by the watermark; ``unanswered`` finds these
 for the batch fold.
+
+URLs are kept by buckets of their hash: state is read and written, and timers are set, once a bucket and
+not once a URL, and the URLs of a bucket are folded together. ``buckets`` is fixed when a stream begins, as
+the number of state partitions is; a bucket should have some ten thousand observations within the lateness.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -32,37 +38,70 @@ OUTPUT = "event_id long, url string, attempt string, result string, served_at lo
 #: An observation that only moves the watermark on.
 TICK = "tick"
 FORGET_HOURS = 4 * LIMITS.stale_hours
-_WAITING = ["at", "seq", "event_id", "attempt", "hash"]
+_WAITING = pa.schema([("url", pa.string()), ("at", pa.int64()), ("seq", pa.int64()), ("event_id", pa.int64()), ("attempt", pa.string()), ("hash", pa.string())])
+_HELD = pa.schema([("url", pa.string()), ("at", pa.int64()), ("hash", pa.string())])
+#: Buckets of a stream, and observations that a replay puts into a bucket.
+BUCKETS, IN_BUCKET = 512, 20_000
 
 
-def fold_in_order(rows: pd.DataFrame, held: tuple[int, str | None] | None, ttl: int, ceiling: int) -> tuple[pd.DataFrame, tuple[int, str | None] | None]:
-    """What becomes of ``rows`` (one URL's, in order) after ``held`` (at, hash), and what is held then."""
-    at, tried = rows["at"].to_numpy(np.int64), rows["attempt"].to_numpy(object)
-    stored = tried == "stored"
+def _nexts(group: np.ndarray, at: np.ndarray, asked_group: np.ndarray, asked_at: np.ndarray) -> np.ndarray:
+    """How many of the entries (group, at), which are in order, come before each asked one."""
+    groups, times = np.concatenate([group, asked_group]), np.concatenate([at, asked_at])
+    entry = np.arange(len(groups)) < len(group)
+    order = np.lexsort([entry, times, groups])
+    before = np.cumsum(entry[order])
+    out = np.empty(len(groups), np.int64)
+    out[order] = before
+    return out[len(group) :]
+
+
+def fold_groups(
+    group: np.ndarray, at: np.ndarray, tried: np.ndarray, hashes: np.ndarray, known: np.ndarray, held_at: np.ndarray, held_hash: np.ndarray, ttl: int, ceiling: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(result, moved at, hash, moved) of rows that stand in order of their group, number 0 and up, and of time.
+
+    ``known``, ``held_at`` and ``held_hash`` say what each group held before. All groups follow their chains
+    of refreshes together, a step at a time.
+    """
+    stored, row = tried == "stored", np.arange(len(group))
     success = np.flatnonzero(stored | (tried == "not_modified"))
-    moves, place = [], None
-    if held is None:
-        place = int(np.argmax(stored)) if stored.any() else None
-    elif len(success):
-        place = int(success[i]) if (i := np.searchsorted(at[success], held[0] + ttl)) < len(success) else None
-    while place is not None:
-        moves.append(place)
-        i = max(np.searchsorted(at[success], at[place] + ttl), np.searchsorted(success, place, side="right"))
-        place = int(success[i]) if i < len(success) else None
-    # State 0 is what was held before, state k what the k-th move left.
-    state = np.searchsorted(np.array(moves, np.int64), np.arange(len(rows)), side="right")
-    moved_at = np.array([held[0] if held else 0] + [at[m] for m in moves], np.int64)
-    hashes = [held[1] if held else None]
-    for m in moves:
-        hashes.append(rows["hash"].iat[m] if stored[m] else hashes[-1])
-    mine = np.zeros(len(rows), bool)
-    mine[moves] = True
-    known = (state > 0) | (held is not None)
-    age = at - moved_at[state]
+    of, when = group[success], at[success]
+    after = np.maximum(_nexts(of, when, of, when + ttl), np.arange(len(success)) + 1)
+    # A group that holds nothing begins with its first stored page, another with the first success past its time.
+    holding = np.flatnonzero(known)
+    first = _nexts(of, when, holding, held_at[holding] + ttl)
+    first = first[(first < len(success)) & (of[np.minimum(first, max(len(success) - 1, 0))] == holding)] if len(success) else first[:0]
+    fresh = np.flatnonzero(stored[success] & ~known[of])
+    fresh = fresh[np.unique(of[fresh], return_index=True)[1]]
+    place = np.concatenate([first, fresh])
+    moved = np.zeros(len(group), bool)
+    while len(place):
+        moved[success[place]] = True
+        ahead = after[place]
+        inside = ahead < len(success)
+        place, ahead = place[inside], ahead[inside]
+        place = ahead[of[ahead] == of[place]]
+    start = np.searchsorted(group, group)
+    last = np.maximum.accumulate(np.where(moved, row, -1))
+    own = last >= start
+    moved_at = np.where(own, at[last], held_at[group])
+    last = np.maximum.accumulate(np.where(moved & stored, row, -1))
+    digest = np.where(last >= start, hashes[last], held_hash[group])
+    age, held = at - moved_at, own | known[group]
     result = np.where(
-        mine,
+        moved,
         np.where(stored, "fetched", "revalidated"),
-        np.where(known & (age < ttl), "hit", np.where(known & (tried != "untrusted") & (age <= ceiling), "stale", "failure")),
+        np.where(held & (age < ttl), "hit", np.where(held & (tried != "untrusted") & (age <= ceiling), "stale", "failure")),
+    )
+    return result, moved_at, digest, held
+
+
+def fold_in_order(rows: pd.DataFrame, held: tuple[int, str | None] | None, ttl: int, ceiling: int) -> tuple[pd.DataFrame, tuple[int, str | None] | None]:
+    """What becomes of ``rows`` (one URL's, in order) after ``held`` (at, hash), and what is held then."""
+    tried = rows["attempt"].to_numpy(object)
+    before = np.array([held is not None]), np.array([held[0] if held else 0], np.int64), np.array([held[1] if held else None], object)
+    result, moved_at, digest, known = fold_groups(
+        np.zeros(len(rows), np.int64), rows["at"].to_numpy(np.int64), tried, rows["hash"].to_numpy(object), *before, ttl, ceiling
     )
     served = result != "failure"
     out = pd.DataFrame(
@@ -70,67 +109,112 @@ def fold_in_order(rows: pd.DataFrame, held: tuple[int, str | None] | None, ttl:
             "event_id": rows["event_id"].to_numpy(),
             "attempt": tried,
             "result": result,
-            "served_at": pd.array(np.where(served, moved_at[state], 0), dtype="Int64"),
-            "served_hash": [hashes[s] if ok else None for s, ok in zip(state, served)],
+            "served_at": pd.array(np.where(served, moved_at, 0), dtype="Int64"),
+            "served_hash": np.where(served, digest, None),
         }
     )
     out.loc[~served, "served_at"] = pd.NA
-    return out, (int(moved_at[-1]), hashes[-1]) if moves or held else None
+    return out, (int(moved_at[-1]), digest[-1]) if known[-1] else None
+
+
+def _packed(table: pa.Table) -> tuple[bytes]:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _unpacked(value) -> pa.Table:
+    return pa.ipc.open_stream(bytes(value[0])).read_all()
 
 
 class CacheFold(StatefulProcessor):
+    """Folds the URLs of one bucket; rows are kept in state as Arrow tables, so no call is made for a row or a URL."""
+
     def __init__(self, ttl_hours: float, ceiling_hours: float, forget_hours: float):
         self.ttl, self.ceiling = int(ttl_hours * HOUR), int(ceiling_hours * HOUR)
         self.forget = int(forget_hours * HOUR)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "at long, hash string")
-        self.waiting = handle.getListState("waiting", "at long, seq long, event_id long, attempt string, hash string")
+        self.held = handle.getValueState("held", "rows binary")
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.due = handle.getValueState("due", "at long")
 
     def _wake(self, at: int) -> None:
         """Ask to be called when the watermark has passed the microsecond ``at``."""
+        self.due.update((at,))
         self.handle.registerTimer(-(-at // 1000) + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         earliest = None
         for frame in rows:
-            frame = frame[frame["attempt"] != TICK].astype(object)
+            frame = frame[frame["attempt"] != TICK]
             if len(frame):
-                frame = frame.where(frame.notna(), None)
-                self.waiting.appendList([tuple(r) for r in frame[["at", "seq", "event_id", "attempt", "content_hash"]].itertuples(index=False)])
+                arrived = pa.Table.from_pandas(frame.rename(columns={"content_hash": "hash"})[_WAITING.names], _WAITING, preserve_index=False)
+                self.waiting.appendValue(_packed(arrived.replace_schema_metadata()))
                 first = int(frame["at"].min())
                 earliest = first if earliest is None else min(earliest, first)
         if earliest is not None and (not self.due.exists() or earliest < self.due.get()[0]):
-            self.due.update((earliest,))
             self._wake(earliest)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = tuple(self.held.get()) if self.held.exists() else None
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
-        ready = sorted(((r[0], r[1], r[2]), r) for r in waiting if r[0] <= passed)
-        later = [tuple(r) for r in waiting if r[0] > passed]
-        if ready:
-            out, now = fold_in_order(pd.DataFrame([r for _, r in ready], columns=_WAITING), held, self.ttl, self.ceiling)
-            out.insert(1, "url", key[0])
-            if now != held:
-                self.held.update(now)
-                self._wake(now[0] + self.forget)
-            held = now
-            if later:
-                self.waiting.put(later)
-                earliest = min(r[0] for r in later)
-                self.due.update((earliest,))
-                self._wake(earliest)
+        if not self.due.exists() or self.due.get()[0] > passed:
+            return
+        held = _unpacked(self.held.get()) if self.held.exists() else _HELD.empty_table()
+        waiting = [_unpacked(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        rows = pa.concat_tables([_WAITING.empty_table(), *waiting])
+        due = pc.less_equal(rows["at"], passed)
+        ready, later = rows.filter(due), rows.filter(pc.invert(due))
+        if len(ready):
+            out, held = self._fold(ready.sort_by([(c, "ascending") for c in ("url", "at", "seq", "event_id")]), held)
+            if len(later):
+                self.waiting.put([_packed(later)])
             else:
                 self.waiting.clear()
-                self.due.clear()
-            yield out
-        if held is not None and not later and held[0] + self.forget <= passed:
+        forgotten = pc.less_equal(pc.add(held["at"], self.forget), passed)
+        keep = held.filter(pc.invert(pc.and_(forgotten, pc.invert(pc.is_in(held["url"], value_set=later["url"])))))
+        if len(keep):
+            self.held.update(_packed(keep))
+        else:
             self.held.clear()
+        # A page past its time that still has rows waiting is looked at again with them.
+        expiry = pc.add(held.filter(pc.invert(forgotten))["at"], self.forget)
+        wakes = [x for x in (pc.min(later["at"]).as_py(), pc.min(expiry).as_py()) if x is not None]
+        if wakes:
+            self._wake(min(wakes))
+        else:
+            self.due.clear()
+        if len(ready):
+            yield out
+
+    def _fold(self, ready: pa.Table, held: pa.Table) -> tuple[pd.DataFrame, pa.Table]:
+        """The results of ``ready``, which is in order, and what all URLs hold then."""
+        named = pc.run_end_encode(ready["url"].combine_chunks()) if len(ready) else None
+        urls, ends = named.values, named.run_ends.to_numpy()
+        group = np.repeat(np.arange(len(urls)), np.diff(ends, prepend=0))
+        at, tried = ready["at"].to_numpy(), ready["attempt"].to_numpy().astype(object)
+        place = pc.index_in(urls, value_set=held["url"].combine_chunks())
+        known, place = place.is_valid().to_numpy(zero_copy_only=False), place.fill_null(0).to_numpy()
+        held_at, held_hash = np.zeros(len(urls), np.int64), np.full(len(urls), None, object)
+        held_at[known] = held["at"].to_numpy()[place[known]]
+        held_hash[known] = held["hash"].to_numpy().astype(object)[place[known]]
+        hashes = ready["hash"].to_numpy().astype(object)
+        result, moved_at, digest, holds = fold_groups(group, at, tried, hashes, known, held_at, held_hash, self.ttl, self.ceiling)
+        served = result != "failure"
+        out = pa.table(
+            {
+                "event_id": ready["event_id"], "url": ready["url"], "attempt": ready["attempt"], "result": pa.array(result, pa.string()),
+                "served_at": pa.array(moved_at, mask=~served), "served_hash": pa.array(np.where(served, digest, None), pa.string()),
+            }
+        ).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+        last = ends - 1
+        last = last[holds[last]]
+        now = pa.table([ready["url"].take(pa.array(last)), pa.array(moved_at[last]), pa.array(digest[last], pa.string())], schema=_HELD)
+        others = held.filter(pc.invert(pc.is_in(held["url"], value_set=urls)))
+        return out, pa.concat_tables([others, now]).combine_chunks()
 
     def close(self) -> None:
         pass
@@ -142,6 +226,7 @@ def fold_stream(
     ceiling_hours: float = LIMITS.stale_hours,
     lateness_hours: float = LIMITS.fresh_hours,
     forget_hours: float = FORGET_HOURS,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Streaming DataFrame of observations → streaming DataFrame of results, each once, when it is settled.
 
@@ -151,9 +236,9 @@ def fold_stream(
     if forget_hours < ceiling_hours:
         raise ValueError("a copy can't be forgotten before its ceiling")
     return (
-        observations.select("event_id", "url", "at", "seq", "attempt", "content_hash", F.timestamp_micros("at").alias("ts"))
+        observations.select("event_id", "url", "at", "seq", "attempt", "content_hash", F.timestamp_micros("at").alias("ts"), F.pmod(F.xxhash64("url"), F.lit(buckets)).alias("bucket"))
         .withWatermark("ts", f"{int(timedelta(hours=lateness_hours).total_seconds())} seconds")
-        .groupBy("url")
+        .groupBy("bucket")
         .transformWithStateInPandas(
             statefulProcessor=CacheFold(ttl_hours, ceiling_hours, forget_hours),
             outputStructType=OUTPUT,
@@ -173,12 +258,12 @@ def write_results(results: DataFrame, folder: str, epoch: int) -> None:
     results.write.mode("overwrite").parquet(f"{folder}/batch={epoch}")
 
 
-def run_available(spark: SparkSession, source: str, target: str, state: str, **hours: float) -> None:
-    """Fold everything new under ``source`` and stop; state and progress stay under ``state``."""
+def run_available(spark: SparkSession, source: str, target: str, state: str, **options: float) -> None:
+    """Fold everything new under ``source`` and stop; state and progress stay under ``state``. ``options`` are those of ``fold_stream``."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     arriving = spark.readStream.schema(INPUT).parquet(source)
     query = (
-        fold_stream(arriving, **hours)
+        fold_stream(arriving, **options)
         .writeStream.outputMode("append")
         .option("checkpointLocation", state)
         .foreachBatch(lambda df, epoch: write_results(df, target, epoch))
@@ -196,9 +281,10 @@ def replay(spark: SparkSession, observations: DataFrame, slices: int = 3, latene
     rows = observations.select(
         "event_id", "url", "at", F.col("seq").cast("long").alias("seq"), "attempt", "content_hash", (F.col("at") + late).alias("arrival")
     )
-    bounds = rows.agg(F.min("arrival").alias("lo"), F.max("arrival").alias("hi")).first()
+    bounds = rows.agg(F.min("arrival").alias("lo"), F.max("arrival").alias("hi"), F.count("*").alias("n")).first()
     if bounds["lo"] is None:
         return spark.createDataFrame([], OUTPUT)
+    buckets = max(16, -(-bounds["n"] // IN_BUCKET))
     width = max((bounds["hi"] - bounds["lo"]) // slices + 1, 1)
     end = spark.range(1).select(
         F.lit(None).cast("long").alias("event_id"), F.lit(TICK).alias("url"), F.lit(bounds["hi"] + lateness + HOUR).alias("at"),
@@ -208,5 +294,5 @@ def replay(spark: SparkSession, observations: DataFrame, slices: int = 3, latene
         start = bounds["lo"] + number * width
         arriving = end if number == slices else rows.filter((F.col("arrival") >= start) & (F.col("arrival") < start + width)).drop("arrival")
         arriving.write.mode("append").parquet(f"{base}/in")
-        run_available(spark, f"{base}/in", f"{base}/out", f"{base}/state", lateness_hours=lateness_hours, **hours)
+        run_available(spark, f"{base}/in", f"{base}/out", f"{base}/state", lateness_hours=lateness_hours, buckets=buckets, **hours)
     return spark.read.schema(OUTPUT).option("recursiveFileLookup", True).parquet(f"{base}/out")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from provenir.operators import freshness as fr
 from provenir.operators.large_groups import ranged
-from provenir.streaming.cache_stream import OUTPUT, fold_in_order, replay, run_available, unanswered
+from provenir.streaming.cache_stream import OUTPUT, CacheFold, fold_in_order, replay, run_available, unanswered
 from provenir.streaming.newest_stream import keep_newest
 
 HOUR = fr.HOUR
@@ -157,6 +157,64 @@ def test_stream_forgets_and_drops_what_is_too_late(spark, table, tmp_path):
         run_available(spark, source, target, state, ceiling_hours=9.0, forget_hours=8.0)
 
 
+class _State:
+    """A state variable in memory that counts the calls made."""
+
+    calls = 0
+
+    def __init__(self):
+        self.values = []
+
+    def __getattr__(self, name):
+        type(self).calls += 1
+        return {
+            "exists": lambda: bool(self.values), "get": lambda: self.values[0] if self.single else iter(list(self.values)),
+            "update": lambda v: self.__dict__.update(values=[v]), "put": lambda v: self.__dict__.update(values=list(v)),
+            "appendValue": lambda v: self.values.append(v), "appendList": lambda v: self.values.extend(v), "clear": lambda: self.values.clear(),
+        }[name]
+
+
+class _Handle:
+    def getValueState(self, *_):
+        state = _State()
+        state.single = True
+        return state
+
+    def getListState(self, *_):
+        state = _State()
+        state.single = False
+        return state
+
+    def registerTimer(self, at):
+        _State.calls += 1
+
+
+class _Clock:
+    def __init__(self, hours):
+        self.hours = hours
+
+    def getCurrentWatermarkInMs(self):
+        return int(self.hours * HOUR) // 1000
+
+
+def test_state_is_read_and_written_by_buckets_of_urls():
+    generator = random.Random(3)
+    rows = [(e, f"u{generator.randrange(400)}", at, seq, kind, digest) for e, _, at, seq, kind, digest in _random_events(4_000, 400, 11)]
+    frame = pd.DataFrame(rows, columns=["event_id", "url", "at", "seq", "attempt", "content_hash"])
+    fold, got = CacheFold(24.0, 168.0, 1000.0), []
+    fold.init(_Handle())
+    _State.calls = 0
+    for since, until in ((0, 100), (100, 250), (250, 401)):
+        now = frame[(frame["at"] < until * HOUR) & (frame["at"] >= since * HOUR)]
+        fold.handleInputRows((7,), iter([now.sample(frac=1, random_state=1)]), _Clock(until))
+        got += list(fold.handleExpiredTimer((7,), _Clock(until - 10), None))
+    got += list(fold.handleExpiredTimer((7,), _Clock(401), None))
+    plain = lambda x, kind: None if pd.isna(x) else kind(x)
+    assert {r.event_id: (r.result, plain(r.served_at, int), plain(r.served_hash, str)) for r in pd.concat(got).itertuples()} == _fold(rows)
+    # A few calls each time, and not some for each of 400 URLs.
+    assert _State.calls < 60
+
+
 def test_changes_and_newest(table):
     rows = table([(0, "u", 0, 0, "stored", "a"), (1, "u", 30 * HOUR, 1, "stored", "a"), (2, "u", 60 * HOUR, 2, "stored", "b")], SCHEMA)
     moved = fr.refreshes(rows)
