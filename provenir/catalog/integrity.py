@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from provenir.catalog import demo, query
 from provenir.operators import checks as ck
+from provenir.operators.large_groups import dealt
 from provenir.session import cut_lineage
 
 # A plan is an order; its lines are its sources (by part), its steps and its citations.
@@ -144,25 +145,28 @@ UNION ALL SELECT st.plan_id::VARCHAR, 'route_link_without_location', 'step ' ||
 def integrity(spark, sf):
     """K4 K5 K6 K7: rule violations of every plan."""
     lines = _lines(spark, sf)
+    rows = lines.count()
     plans, sources, failures = _plans(spark, sf), _sources(lines), _failures(lines)
     part = demo.table(spark, sf, "part").withColumnRenamed("p_partkey", "source_id")
     quantity, source = F.col("l_quantity"), F.col("source_id")
-    steps = lines.join(part, "source_id").select(
+    steps = dealt(lines, rows, "source_id").join(dealt(part, rows, "source_id"), "source_id").select(
         "plan_id", F.col("l_linenumber").alias("step_no"), F.col("p_name").alias("title"),
         F.col("p_type").alias("action"), F.when(quantity < 3, "no").otherwise(F.col("p_brand")).alias("timing"),
         F.when(quantity < 20, "source").when(quantity < 35, "application_route").otherwise("none").alias("link_target"),
         F.when((quantity < 10) | (quantity > 48), source).when(quantity < 18, source + 1).alias("link_source_id"),
         "source_id",
     )
+    # Every rule on steps reads them; they are joined and written once.
+    steps = cut_lineage(steps)
     cited = lines.filter(F.col("l_returnflag").isin("N", "R"))
     required = lines.filter(F.col("l_tax") > 0.05)
     questions = lines.filter(F.col("l_discount") > 0.07)
     return ck.together(
         [
-            ck.check_statuses(plans, sources, failures),
-            ck.check_checklist(plans, required, questions),
-            ck.check_citations(cited, sources),
-            ck.check_steps(plans, steps.drop("source_id"), steps.select("plan_id", "step_no", "source_id").distinct()),
+            ck.check_statuses(plans, sources, failures, rows),
+            ck.check_checklist(plans, required, questions, rows),
+            ck.check_citations(cited, sources, rows),
+            ck.check_steps(plans, steps.drop("source_id"), steps.select("plan_id", "step_no", "source_id"), rows),
         ]
     )
 

@@ -1,7 +1,8 @@
 """Integrity checks: every rule yields violation rows (entity_id, rule, detail).
 
 Plans, destinations and registries are checked in long form (one row per citation, source, step,
-domain), so that no rule gathers a plan's or a registry's children into one row.
+domain), so that no rule gathers a plan's or a registry's children into one row. ``rows`` is the number of
+rows of the largest of a check's tables, if known: the tables are then dealt over as many tasks as that needs.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenir.functions import hosts, urls
+from provenir.operators.large_groups import dealt
 from provenir.operators.trust import matched_hosts
 from provenir.params import LIMITS
 
@@ -43,11 +45,11 @@ def overlaps(rows: DataFrame, entity: str, kind: str, key: str, rule: str) -> Da
     return violations(both, entity, rule, F.col(key))
 
 
-def check_statuses(plans: DataFrame, sources: DataFrame, failures: DataFrame) -> DataFrame:
+def check_statuses(plans: DataFrame, sources: DataFrame, failures: DataFrame, rows: int = 0) -> DataFrame:
     """A verified plan has no unavailable and no stale source."""
     verified = plans.filter(F.col("status") == "verified").select("plan_id")
-    failed = verified.join(failures.select("plan_id").distinct(), "plan_id", "left_semi")
-    stale = sources.filter("is_stale").select("plan_id").distinct()
+    failed = verified.join(dealt(failures.select("plan_id"), rows, "plan_id").distinct(), "plan_id", "left_semi")
+    stale = dealt(sources.filter("is_stale").select("plan_id"), rows, "plan_id").distinct()
     old = verified.join(stale, "plan_id", "left_semi")
     return together(
         [
@@ -57,11 +59,11 @@ def check_statuses(plans: DataFrame, sources: DataFrame, failures: DataFrame) ->
     )
 
 
-def check_checklist(plans: DataFrame, requirements: DataFrame, questions: DataFrame) -> DataFrame:
+def check_checklist(plans: DataFrame, requirements: DataFrame, questions: DataFrame, rows: int = 0) -> DataFrame:
     """Without a checklist source: no requirements, and at least one open question."""
     bare = plans.filter(~F.col("has_checklist")).select("plan_id")
-    listed = bare.join(requirements.select("plan_id").distinct(), "plan_id", "left_semi")
-    silent = bare.join(questions.select("plan_id").distinct(), "plan_id", "left_anti")
+    listed = bare.join(dealt(requirements.select("plan_id"), rows, "plan_id").distinct(), "plan_id", "left_semi")
+    silent = bare.join(dealt(questions.select("plan_id"), rows, "plan_id").distinct(), "plan_id", "left_anti")
     return together(
         [
             violations(listed, "plan_id", "requirements_without_checklist", "requirement"),
@@ -70,10 +72,12 @@ def check_checklist(plans: DataFrame, requirements: DataFrame, questions: DataFr
     )
 
 
-def check_citations(citations: DataFrame, sources: DataFrame) -> DataFrame:
+def check_citations(citations: DataFrame, sources: DataFrame, rows: int = 0) -> DataFrame:
     """Every cited id is a known source of the plan, and source ids are unique in it."""
-    cited = citations.select("plan_id", "source_id").distinct()
-    unknown = cited.join(sources.select("plan_id", "source_id"), ["plan_id", "source_id"], "left_anti")
+    key = ["plan_id", "source_id"]
+    sources = dealt(sources.select(*key), rows, *key)
+    cited = dealt(citations.select(*key), rows, *key).distinct()
+    unknown = cited.join(sources, key, "left_anti")
     return together(
         [
             violations(unknown, "plan_id", "unknown_citation", F.col("source_id")),
@@ -82,9 +86,9 @@ def check_citations(citations: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def check_steps(plans: DataFrame, steps: DataFrame, step_citations: DataFrame) -> DataFrame:
+def check_steps(plans: DataFrame, steps: DataFrame, step_citations: DataFrame, rows: int = 0) -> DataFrame:
     """Steps: four to eight, lengths, consistent links, and a place for route links."""
-    counts = steps.groupBy("plan_id").agg(F.count("*").alias("_n"))
+    counts = dealt(steps.select("plan_id"), rows, "plan_id").groupBy("plan_id").agg(F.count("*").alias("_n"))
     counted = plans.select("plan_id", "has_location").join(counts, "plan_id", "left")
     number = F.coalesce("_n", F.lit(0))
     wrong_count = counted.filter(~number.between(4, 8))
@@ -97,15 +101,13 @@ def check_steps(plans: DataFrame, steps: DataFrame, step_citations: DataFrame) -
     to_source = steps.filter(F.col("link_target") == "source")
     missing = to_source.filter(F.col("link_source_id").isNull())
     named = to_source.filter(F.col("link_source_id").isNotNull())
-    uncited = named.join(
-        step_citations.select("plan_id", "step_no", F.col("source_id").alias("link_source_id")),
-        ["plan_id", "step_no", "link_source_id"],
-        "left_anti",
-    )
+    key = ["plan_id", "step_no", "link_source_id"]
+    known = step_citations.select("plan_id", "step_no", F.col("source_id").alias("link_source_id"))
+    uncited = named.join(dealt(known, rows, *key).distinct(), key, "left_anti")
     stray = steps.filter((F.col("link_target") != "source") & F.col("link_source_id").isNotNull())
     routed = steps.filter(F.col("link_target") == "application_route")
     nowhere = routed.join(
-        plans.filter(~F.col("has_location")).select("plan_id"), "plan_id", "left_semi"
+        dealt(plans.filter(~F.col("has_location")).select("plan_id"), rows, "plan_id"), "plan_id", "left_semi"
     )
     return together(
         [
@@ -129,15 +131,18 @@ def check_destinations(
     domains: DataFrame,
     providers: DataFrame,
     unreadable: DataFrame,
+    rows: int = 0,
 ) -> DataFrame:
     """Destination rules. All tables carry ``slug``; sources and unreadable carry ``url``."""
     key = ["slug", "source_id"]
-    known = sources.select(*key)
+    known = dealt(sources.select(*key), rows, *key)
+    checklist = dealt(checklist, rows, *key)
     trusted = domains.select("slug", "domain").unionByName(providers.select("slug", "domain"))
 
-    def off_trust(rows: DataFrame) -> DataFrame:
-        hosted = rows.withColumn("host", urls.host(F.col("url")))
-        inside = matched_hosts(hosted, "host", trusted, ["slug"]).select("slug", "host").distinct()
+    def off_trust(pages: DataFrame) -> DataFrame:
+        hosted = pages.withColumn("host", urls.host(F.col("url")))
+        inside = matched_hosts(hosted, "host", trusted, ["slug"]).select("slug", "host")
+        inside = dealt(inside, rows, "slug", "host").distinct()
         return hosted.join(inside, ["slug", "host"], "left_anti")
 
     route = F.col("route_type")

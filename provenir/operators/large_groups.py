@@ -13,6 +13,23 @@ from pyspark.sql import functions as F
 
 from provenir.session import cut_lineage
 
+#: Rows that a task sorts or groups at once, and tasks from which rows are dealt.
+IN_TASK, LEAST_TASKS = 250_000, 8
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Deal ``df`` over tasks by ``keys``, in as many as ``rows`` rows need.
+
+    The number of shuffle partitions is fixed, and small ones are put together by their packed bytes, so
+    without this a task's share grows with the table. What is grouped by the keys, or joined on all of them
+    with a frame dealt so, is dealt alike. Tables of few ``rows`` are left to Spark.
+    """
+    tasks = -(-rows // IN_TASK)
+    if tasks <= LEAST_TASKS:
+        return df
+    return df.repartition(max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def ranged(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     """Sort by range over (group, order) and tag rows with their partition, fixed on disk."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

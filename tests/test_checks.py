@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from provenir import schemas
 from provenir.operators import checks as ck
+from provenir.operators import large_groups
 from provenir.plans.grade import check_plans, grade
 
 WHEN = datetime(2026, 8, 13, 9)
@@ -101,3 +102,18 @@ def test_missing_sources_say_why(table):
     failures = table([("p", "s1", "T", "A", "it failed")], "plan_id string, source_id string, title string, authority string, detail string")
     rows = ck.missing_sources(required, fetched, failures, ["plan_id"]).orderBy("seq").collect()
     assert [r["reason"] for r in rows] == ["T (A) could not be used: it failed", "The required source s2 was not retrieved."]
+
+
+def test_tables_of_many_rows_are_dealt_over_as_many_tasks_as_they_need(spark, table, monkeypatch):
+    monkeypatch.setattr(large_groups, "IN_TASK", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cited = table([(p, p % 7 + d) for p in range(60) for d in (0, 0, 1)], "plan_id long, source_id long")
+        sources = table([(p, p % 7) for p in range(60)], "plan_id long, source_id long")
+        few, many = ck.check_citations(cited, sources), ck.check_citations(cited, sources, rows=180)
+        assert sorted(many.collect()) == sorted(few.collect()) and many.count() == 60
+        # A task holds ten rows, whatever the number of shuffle partitions.
+        assert [many.rdd.getNumPartitions(), large_groups.dealt(cited, 180, "plan_id").rdd.getNumPartitions()] == [36, 18]
+        assert large_groups.dealt(cited, 80, "plan_id") is cited
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
