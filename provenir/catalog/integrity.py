@@ -241,7 +241,7 @@ def destination_rules(spark, sf):
     )
     checklist = lines.filter(F.col("l_discount") == 0.1).select(line_slug, source)
     required = lines.filter(F.col("l_tax") == 0.08).select(line_slug, source).distinct()
-    return ck.check_destinations(destinations, sources, checklist, required, domains, providers, unreadable)
+    return ck.check_destinations(destinations, sources, checklist, required, domains, providers, unreadable, sources.count())
 
 
 @query(
@@ -349,7 +349,10 @@ def folded_destinations(spark, sf):
 
     supplier = demo.table(spark, sf, "supplier")
     part = demo.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-    lines = demo.table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "R").select("l_suppkey", "l_partkey").distinct()
+    lines = demo.table(spark, sf, "lineitem")
+    rows = lines.count()
+    # Dealt by part, they are made distinct and meet the parts without another shuffle.
+    lines = dealt(lines.filter(F.col("l_returnflag") == "R").select("l_suppkey", "l_partkey"), rows, "l_partkey").distinct()
     slug = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
     host = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".gov"))
     number = F.when(F.col("p_size") < 4, "99").otherwise(F.col("s_nationkey").cast("string"))
@@ -361,7 +364,7 @@ def folded_destinations(spark, sf):
         )
     )
     source_id = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
-    sources = lines.join(part, "l_partkey").join(supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(
+    sources = lines.join(dealt(part, rows, "l_partkey"), "l_partkey").join(supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(
         slug.alias("slug"), source_id.alias("source_id"),
         F.concat(F.lit("https://www.n"), number, F.lit(".gov/"), F.col("l_partkey").cast("string")).alias("url"),
         roles.alias("roles"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provenir.functions import urls
 from provenir.operators import checks as ck
+from provenir.operators.large_groups import dealt
 from provenir.params import LOAD_BEARING_ROLES
 from provenir.session import cut_lineage
 
@@ -25,16 +26,16 @@ def fold_corridors(
     key = ["slug", "source_id"]
     # Every rule reads the sources; they are written once.
     sources = cut_lineage(sources)
+    rows = sources.count()
     by_role = sources.select(*key, F.explode("roles").alias("role"))
-    checklist = by_role.filter(F.col("role") == CHECKLIST).select(*key).distinct()
-    deciding = by_role.filter(F.col("role").isin(LOAD_BEARING_ROLES)).select(*key).distinct()
+    checklist = dealt(by_role.filter(F.col("role") == CHECKLIST).select(*key), rows, *key).distinct()
+    deciding = dealt(by_role.filter(F.col("role").isin(LOAD_BEARING_ROLES)).select(*key), rows, *key).distinct()
     # Checklist pages come first, then the deciding pages that are not among them.
     required = checklist.withColumn("place", F.lit(1)).unionByName(
         deciding.join(checklist, key, "left_anti").withColumn("place", F.lit(2))
     )
-    appointed = providers.join(
-        sources.select("slug", F.col("source_id").alias("appointed_by")), ["slug", "appointed_by"], "left_semi"
-    )
+    named = sources.select("slug", F.col("source_id").alias("appointed_by"))
+    appointed = providers.join(dealt(named, rows, "slug", "appointed_by"), ["slug", "appointed_by"], "left_semi")
     host = urls.host(F.col("url"))
     unreadable = refused.join(destinations.select("slug", "display_name"), "slug").select(
         "slug",
@@ -60,5 +61,5 @@ def check_folded(folded: dict[str, DataFrame], domains: DataFrame) -> DataFrame:
     )
     return ck.check_destinations(
         routes, folded["sources"], folded["checklist"], folded["required"], domains,
-        folded["providers"], folded["unreadable"],
+        folded["providers"], folded["unreadable"], folded["sources"].count(),
     )

@@ -117,3 +117,26 @@ def test_tables_of_many_rows_are_dealt_over_as_many_tasks_as_they_need(spark, ta
         assert large_groups.dealt(cited, 80, "plan_id") is cited
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_folded_corridors_of_many_sources_are_dealt(table, monkeypatch):
+    from provenir.plans.fold import check_folded, fold_corridors
+
+    sources = table(
+        [(f"s{i % 3}", f"p{i}", f"https://www.n{i % 4}.gov/{i}", ["document_checklist"] if i % 2 else ["visa_decision", "fees"]) for i in range(120)],
+        "slug string, source_id string, url string, roles array<string>",
+    )
+    destinations = table([(f"s{i}", f"Land {i}", i == 0) for i in range(3)], "slug string, display_name string, decision_is_unverified boolean")
+    providers = table([("s0", "agent.com", "p3"), ("s1", "agent.org", "gone")], "slug string, domain string, appointed_by string")
+    refused = table([("s1", "https://n1.gov/x")], "slug string, url string")
+    domains = table([(f"s{i}", f"n{j}.gov") for i in range(3) for j in range(3)], "slug string, domain string")
+
+    def run():
+        folded = fold_corridors(sources, destinations, providers, refused)
+        return folded, [sorted(x.collect()) for x in (folded["required"], folded["providers"], check_folded(folded, domains))]
+
+    few = run()[1]
+    monkeypatch.setattr(large_groups, "IN_TASK", 10)
+    folded, many = run()
+    assert many == few and [len(x) for x in many] == [120, 1, 31]
+    assert folded["checklist"].rdd.getNumPartitions() == 12
