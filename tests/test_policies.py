@@ -109,3 +109,20 @@ def test_urls_of_a_hot_origin_are_spread(spark, table):
         spark.conf.set("spark.sql.adaptive.enabled", before[1])
         spark.conf.set("spark.sql.shuffle.partitions", "2")
     assert len(parts) == 8 and max(r["count"] for r in parts) < 1_000
+
+
+def test_only_paths_whose_origin_has_a_policy_are_asked(table, monkeypatch):
+    asked, governing = [], pol.governing
+
+    def watch(paths, *rest):
+        asked.extend(r["origin"] for r in paths.collect())
+        return governing(paths, *rest)
+
+    monkeypatch.setattr(pol, "governing", watch)
+    bodies = table([("https://a.gov", 200, 9, "User-agent: *\nDisallow: /private/")], "origin string, status int, bytes long, body string")
+    rows = table([(u,) for u in ("https://a.gov/private/x", "https://a.gov/x", "https://a.gov/x", "https://b.gov/private/x", None)], "url string")
+    got = sorted((r["url"] or "", r["policy"]) for r in pol.verdicts(rows, pol.policies(bodies, "A")).collect())
+    assert got == [
+        ("", "allowed"), ("https://a.gov/private/x", "disallowed"), ("https://a.gov/x", "allowed"), ("https://a.gov/x", "allowed"), ("https://b.gov/private/x", "allowed"),
+    ]
+    assert asked == ["https://a.gov", "https://a.gov"]
