@@ -13,7 +13,9 @@ each distinct set takes part. Space is cut twice:
   more than twice its rows stays whole, and only loses its pivots. Rounds take more pivots each, until
   every region has one document or one component left.
 
-Documents of one component need no comparison, so a region of near copies ends after one pivot.
+Pivots are the documents that have fewest n-grams ahead of the region's: such ones are closest to what a
+group of near copies has in common. Documents of one component need no comparison, so a region of near
+copies around such a centre ends after one pivot, whatever its size.
 """
 
 from __future__ import annotations
@@ -276,10 +278,11 @@ def _linked(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         else:
             labels = components(links)
             labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        # A region's commonest component comes last among its pivots; regions of one component are done.
+        # A region's commonest component comes last among its pivots, and what is far from its centre after what
+        # is near; regions of one component are done.
         share = labelled.groupBy("region", "label").agg(F.count("*").alias("m"))
         common = share.groupBy("region").agg(F.max_by("label", F.struct("m", "label")).alias("common"), F.count("*").alias("kinds"))
-        order = Window.partitionBy("region").orderBy(F.col("label") == F.col("common"), F.xxhash64("node", F.lit(turn)))
+        order = Window.partitionBy("region").orderBy(F.col("label") == F.col("common"), "pos", F.xxhash64("node", F.lit(turn)))
         live = stage(
             labelled.join(common.filter("kinds > 1"), "region")
             .withColumn("rank", F.row_number().over(order))

@@ -73,6 +73,22 @@ def test_voronoi_rounds_give_the_same(spark, table, prose, rows, monkeypatch):
     assert rows(got, *got.columns) == sorted(brute(docs, 3, 90, 100), key=repr)
 
 
+def test_pairs_of_a_large_group_of_near_copies_grow_with_its_size(spark, table, rows, monkeypatch):
+    rng = random.Random(8)
+    base = [f"word{i}" for i in range(150)]
+    docs = [(i, " ".join(base)) for i in (500, 501)]
+    for i in range(300):  # two of them link only if they have at most two new words together
+        own = list(base)
+        for k in rng.sample(range(150), rng.choice([1, 2, 2, 2])):
+            own[k] = f"new{i}x{k}"
+        docs.append((i, " ".join(own)))
+    met, sifted = [], setjoin._sifted
+    monkeypatch.setattr(setjoin, "_sifted", lambda pairs, *more: met.append(pairs.count()) or sifted(pairs, *more))
+    got = setjoin.join(table([(*d, "x", 7, 1) for d in docs], SCHEMA), words=3, num=90, den=100)
+    assert rows(got, *got.columns) == sorted(brute(docs, 3, 90, 100), key=repr)
+    assert sum(met) <= 3 * len(docs)
+
+
 def test_empty_table(spark, table):
     assert setjoin.join(table([], SCHEMA)).collect() == []
 
