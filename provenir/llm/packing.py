@@ -22,13 +22,36 @@ from pyspark.sql import functions as F
 from provenir.llm.common import slices, stage, utf8
 
 CAPACITY = 1024
-#: Distinct words whose ids one Python worker remembers; beyond that it starts anew.
+#: Distinct words whose ids one Python worker remembers; beyond that it keeps the half used most often.
 REMEMBERED = 300_000
 #: Bytes of text tokenized at once; new words are learned once each time.
 _AT_ONCE = 2_000_000
 _JOINED = 20_000
 
 
+class _Entries(dict):
+    """Numbers of words; one that is looked up first gets the next number, which both kinds of words share."""
+
+    peer: _Entries
+
+    def __init__(self, first: int):
+        self.next, self.new = first, []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = self.next
+        self.next = self.peer.next = number + 1
+        self.new.append((word, number))
+        return number
+
+
+def _is_odd(word: bytes) -> bool:
+    """Whether a word is empty, or begins or ends with white space, so that its text is tokenized whole."""
+    if word and 0x20 < word[0] < 0x7F and 0x20 < word[-1] < 0x7F:
+        return False
+    t = word.decode()
+    return not t or t[0].isspace() or t[-1].isspace()
+
+
 class WordIds:
     """Ids of whole texts, each distinct word tokenized once.
 
@@ -49,58 +72,84 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        # Entry 0 stands for "tokenize the text whole", entry 1 for a newline.
+        # Entry 0 is a newline.
         newline = self._plain("\n")
-        self.spaced, self.bare = {}, {}
-        self.start, self.length = np.array([0, 0]), np.array([0, len(newline)])
-        self.pool = newline
+        self.spaced, self.bare = _Entries(1), _Entries(1)
+        self.spaced.peer, self.bare.peer = self.bare, self.spaced
+        self.start, self.length, self.pool = np.array([0]), np.array([len(newline)]), newline
+        self.odd, self.used = np.zeros(1, bool), np.zeros(1, np.int64)
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, words: list[bytes], known: dict[bytes, int], spaced: bool) -> None:
-        odd = [w for w in words if (t := w.decode())[:1].isspace() or t[-1:].isspace() or not t]
-        known.update(dict.fromkeys(odd, 0))
-        words = [w for w in words if w not in known]
-        for k in range(0, len(words), _JOINED):
-            part = words[k : k + _JOINED]
+    def forget(self) -> None:
+        """Keep the words used most often, half of those remembered at most."""
+        every = np.argsort(-self.used[1:], kind="stable")[: REMEMBERED // 2] + 1
+        keep = np.sort(every[self.used[every] > 1])
+        place = np.zeros(len(self.used), np.int64)
+        place[keep] = np.arange(1, len(keep) + 1)
+        for known in (self.spaced, self.bare):
+            words = [(w, n) for w, k in known.items() if (n := int(place[k]))]
+            known.clear()
+            known.update(words)
+        self.spaced.next = self.bare.next = len(keep) + 1
+        keep = np.concatenate([[0], keep])
+        start, length = self.start[keep], self.length[keep]
+        ends = np.cumsum(length)
+        self.pool = self.pool[np.repeat(start - ends + length, length) + np.arange(ends[-1])]
+        self.start, self.length, self.odd, self.used = ends - length, length, self.odd[keep], self.used[keep] // 2
+
+    def _learn(self, known: _Entries, spaced: bool) -> None:
+        """Ids of the words that ``known`` met since, each under its number."""
+        new, known.new = known.new, []
+        odd = [_is_odd(w) for w, _ in new]
+        places = np.array([k for _, k in new], np.int64)
+        self.odd[places] = odd
+        plain = [x for x, o in zip(new, odd) if not o]
+        for k in range(0, len(plain), _JOINED):
+            part = [w for w, _ in plain[k : k + _JOINED]]
+            place = np.array([n for _, n in plain[k : k + _JOINED]])
             text = b" " + b" ".join(part) if spaced else b"\n".join(part)
             ids = self._plain(text.decode())
             ends = np.cumsum(self.width[ids])
-            sizes = np.array([len(w) for w in part]) + 1
+            sizes = np.fromiter(map(len, part), np.int64, len(part)) + 1
             last = np.cumsum(sizes) - (0 if spaced else 1)
             first = last - sizes + (0 if spaced else 1)
             a, b = np.searchsorted(ends - self.width[ids], first), np.searchsorted(ends, last) + 1
-            known.update(zip(part, range(len(self.start), len(self.start) + len(part))))
-            self.start = np.concatenate([self.start, a + len(self.pool)])
-            self.length = np.concatenate([self.length, b - a])
+            self.start[place] = a + len(self.pool)
+            self.length[place] = b - a
             self.pool = np.concatenate([self.pool, ids])
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.spaced) + len(self.bare) > REMEMBERED:
-            self.clear()
-        cut = [[line.split(b" ") for line in t.split(b"\n")] for t in texts]
-        new = set(chain.from_iterable(line[1:] for lines in cut for line in lines))
-        self._learn(list(new - self.spaced.keys()), self.spaced, True)
-        new = {line[0] for lines in cut for line in lines}
-        self._learn(list(new - self.bare.keys()), self.bare, False)
+            self.forget()
+        # A look-up numbers a word that is not known.
+        after, head = self.spaced.__getitem__, self.bare.__getitem__
         entries, counts = [], []
-        for lines in cut:
+        for t in texts:
             own: list[int] = []
-            for line in lines:
-                own.append(self.bare[line[0]])
-                own.extend(map(self.spaced.__getitem__, line[1:]))
-                own.append(1)
+            for line in t.split(b"\n"):
+                words = line.split(b" ")
+                own.append(head(words[0]))
+                own.extend(map(after, words[1:]))
+                own.append(0)
             own.pop()
-            entries.append(own)
+            entries.append(np.array(own, np.int64))
             counts.append(len(own))
-        entry = np.fromiter(chain.from_iterable(entries), np.int64, sum(counts))
+        more = self.spaced.next - len(self.start)
+        zeros = np.zeros(more, np.int64)
+        self.start, self.length = np.concatenate([self.start, zeros]), np.concatenate([self.length, zeros])
+        self.odd, self.used = np.concatenate([self.odd, zeros.astype(bool)]), np.concatenate([self.used, zeros])
+        self._learn(self.spaced, True)
+        self._learn(self.bare, False)
+        entry = np.concatenate(entries) if entries else np.zeros(0, np.int64)
+        self.used += np.bincount(entry, minlength=len(self.used))
         length = self.length[entry]
         ends = np.cumsum(length)
         flat = self.pool[np.repeat(self.start[entry] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
-        edges = np.concatenate([[0], np.cumsum(counts)])
+        edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         at = np.concatenate([[0], ends])[edges]
-        whole = np.add.reduceat(entry == 0, edges[:-1]) > 0 if len(counts) else []
+        whole = np.add.reduceat(self.odd[entry], edges[:-1], dtype=np.int64) > 0 if len(counts) else []
         return [
             (self._plain(t.decode()) if t and whole[k] else flat[at[k] : at[k + 1]]) for k, t in enumerate(texts)
         ]

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from provenir.llm import packing
 from provenir.llm.packing import CapacityTree, WordIds, best_fit, pack
 from provenir.llm.queries import tokenizer_path
 
@@ -26,6 +27,18 @@ def test_ids_are_the_tokenizers(prose):
             assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_words_used_often_are_tokenized_once(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    words, asked = WordIds(tokenizer_path()), []
+    plain = words._plain
+    words._plain = lambda text: asked.append(text) or plain(text)
+    for k in range(6):
+        text = " ".join(["first", *["often"] * 5, *(f"rare{k}x{i}" for i in range(30))])
+        assert words.ids([text.encode()])[0].tolist() == plain(text).tolist()
+        assert len(words.spaced) + len(words.bare) <= 50 + 32
+    assert sum("often" in text for text in asked) == 1
+
+
 def test_tightest_open_window():
     rng = random.Random(1)
     tree, open_ = CapacityTree(100), [0] * 101
