@@ -102,3 +102,21 @@ def test_long_country_names_are_joined(table):
     )
     got = {(r["id"], r["code"]) for r in lx.country_mentions(rows, ["id"], countries, url=None).collect()}
     assert got == {(0, "PG"), (0, "GN"), (2, "CI")}
+
+
+def test_few_phrases_are_met_where_many_share_each_n_gram(spark, table, monkeypatch):
+    terms = spark.range(100_000, 150_000).select(
+        F.lit(ROLES[0]).alias("role"), F.lit(0).alias("role_seq"), F.col("id").cast("int").alias("term_seq"),
+        F.concat(F.lit("rule "), F.col("id").cast("string"), F.lit(" applies")).alias("phrase"), F.lit(10.0).alias("weight"),
+    )
+    vocabulary = vc.Vocabulary(terms, table([("form", 1, "fee"), ("form", 2, "ß[x"), ("form", 3, "list-👍 form")], LEXICON_LISTS))
+    text = "rule 123456 applies, call 1234 or 3456; 👍 list-👍 form ß[x fee"
+    met = vocabulary.postings.select("gram", "tail", F.concat("gram", "tail").alias("pair"), "entry.phrase")
+    met = met.filter(F.contains(F.lit(text), F.col("pair")))
+    assert met.count() <= 15 and met.filter(F.contains(F.lit(text), F.col("phrase"))).count() == 4
+    for most in (500, 2):
+        monkeypatch.setattr(vc, "LISTED", most)
+        vocabulary.__dict__.pop("patterns", None)
+        rows, held = vc.attach(table([(1, text), (2, None)], "id int, text string"), ["id"], vocabulary, [F.lower("text")])
+        got = {r["id"]: sorted(x["phrase"] for x in r[vc.HELD]) for r in rows.collect()}
+        assert got == {1: ["fee", "list-👍 form", "rule 123456 applies", "ß[x"], 2: []}
