@@ -81,3 +81,35 @@ def test_search_opens_the_nearest_branches_first():
         opened = forest.search(trees, row, 3.0)
         assert len(set(opened)) == len(opened) == sum((t["low"] < 0).sum() for t in trees)
         assert {(t, int(forest.leaves(tree, row[None])[0])) for t, tree in enumerate(trees)} <= set(opened[:9])
+
+
+def test_cells_return_k_rows_a_query_and_change_nothing(spark, table, monkeypatch):
+    monkeypatch.setattr(forest, "LEAST", 200)
+    rng = np.random.default_rng(8)
+    rows = [(i % 950, x) for i, x in enumerate(rng.standard_normal((1000, 8)).tolist())]
+    frame = table([(*r, 1, "x") for r in rows], SCHEMA)
+    asked = frame.filter("vec_id % 9 = 0 and vec_id > 60")
+    sizes, results = [], []
+    for cell, block in ((65_536, 4_096), (90, 20)):
+        monkeypatch.setattr(forest, "CELL", cell)
+        monkeypatch.setattr(forest, "BLOCK", block)
+        got = forest.neighbours(frame, asked, leaf=16)
+        plan = got._jdf.queryExecution().toString()
+        # Found rows carry a number of their query, not its vector.
+        assert "FlatMapCoGroupsInArrow" in plan and "query#" in plan and "binary" not in plan
+        results.append(sorted(map(tuple, got.collect())))
+        sizes.append(len(results[-1]))
+    assert results[0] == results[1] and sizes[0] == 5 * asked.select("vec_id").distinct().count()
+
+
+def test_an_id_of_many_vectors_does_not_fill_the_places():
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((300, 4))
+    x = v[0]
+    ids = [[7] if i < 100 else [i] for i in range(300)]
+    v[:100] = x + 1e-3 * v[:100]
+    size = np.linalg.norm(v, axis=1)
+    got = forest.nearest(v @ x / size, x, 1, v, ids, 5)
+    cosine = v @ x / size / np.linalg.norm(x)
+    want = sorted([(-cosine[:100].max(), 7), *((-cosine[i], i) for i in range(100, 300))])[:5]
+    assert [a for _, a in got] == [a for _, a in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
