@@ -10,6 +10,7 @@ by a matrix product; a text's score is the mean over its blocks, so whole texts
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -42,14 +43,18 @@ class Model(NamedTuple):
     weights: np.ndarray  # landmark by language
 
 
+@cache
+def _is_letter() -> np.ndarray:
+    """Of each code point."""
+    return np.array([chr(p).isalpha() for p in range(0x110000)])
+
+
 def letters(text: str) -> np.ndarray:
     """Code points of the lower-cased text, every run of other characters one space."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(points):
         return points
-    top = np.unique(points)
-    keep = np.array([chr(p).isalpha() for p in top])
-    alpha = keep[np.searchsorted(top, points)]
+    alpha = _is_letter()[points]
     points = np.where(alpha, points, 32)
     first = np.ones(len(points), bool)
     first[1:] = alpha[1:] | alpha[:-1]

@@ -57,7 +57,8 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, words: int) -> list[np.n
     out = []
     for i in range(len(ends)):
         if n[i] >= words:
-            out.append(np.unique(gram[first[i] : first[i + 1] - words + 1]))
+            own = np.sort(gram[first[i] : first[i + 1] - words + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         elif n[i]:
             whole = np.zeros(1, np.uint64)
             for h in hashes[first[i] : first[i + 1]]:
@@ -68,11 +69,16 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, words: int) -> list[np.n
     return out
 
 
-def _node(grams: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    h = mix(grams * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(len(grams)))
-    value = np.add.reduce(h) ^ mix(np.bitwise_xor.reduce(h)[None])[0]
-    return int(mix(value[None])[0].view(np.int64))
+def nodes_of(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit name of each set, all at once; that of an empty set means nothing."""
+    sizes = np.array([len(s) for s in sets])
+    full = np.flatnonzero(sizes)
+    out = np.zeros(len(sets), np.int64)
+    if len(full):
+        begin = (np.cumsum(sizes) - sizes)[full]
+        h = mix(np.concatenate(sets) * np.uint64(0xC2B2AE3D27D4EB4F) + np.repeat(sizes, sizes).astype(np.uint64))
+        out[full] = mix(np.add.reduceat(h, begin) ^ mix(np.bitwise_xor.reduceat(h, begin))).view(np.int64)
+    return out
 
 
 def _each(batches: Iterator[pa.RecordBatch], words: int):
@@ -93,8 +99,9 @@ def _summary(words: int):
             kind = ids.type
             every = np.concatenate(sets) & np.uint64(COUNTERS - 1)
             seen += np.bincount(every.astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            sizes = np.array([len(s) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(sets), pa.binary())],
+                [ids, pa.array(sizes), pa.array(nodes_of(sets), mask=sizes == 0), pa.nulls(len(sets), pa.binary())],
                 ["id", "n", "node", "counters"],
             )
         if seen.any():
@@ -135,13 +142,13 @@ def _windows(words: int, num: int, den: int, counters):
         seen = counters.value
         for _, sets in _each(batches, words):
             nodes, sizes, firsts = [], [], []
-            for s in sets:
+            for s, node in zip(sets, nodes_of(sets).tolist()):
                 if not len(s):
                     continue
                 count = np.minimum(seen[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], (1 << 24) - 1).astype(np.uint64)
                 keep = len(s) - -(-num * len(s) // den) + 1
                 order = np.argsort((count << np.uint64(40)) | (s >> np.uint64(24)), kind="stable")[:keep]
-                nodes.append(_node(s))
+                nodes.append(node)
                 sizes.append(len(s))
                 firsts.append(s[order].view(np.int64))
             edges = np.concatenate([[0], np.cumsum([len(f) for f in firsts])])
@@ -152,10 +159,9 @@ def _windows(words: int, num: int, den: int, counters):
     return run
 
 
-def _place(nodes: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """The filter's bit of a set and the document that stands for it."""
-    both = nodes.astype(np.int64).view(np.uint64) + names.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mix(both) & np.uint64(BITS - 1)).astype(np.int64)
+def _place(names: np.ndarray) -> np.ndarray:
+    """The filter's bit of a document that stands for its set."""
+    return (mix(names.astype(np.int64).view(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)
 
 
 def parity(grams: np.ndarray) -> bytes:
@@ -165,7 +171,7 @@ def parity(grams: np.ndarray) -> bytes:
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        place = _place(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        place = _place(batch.column(0).to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32())], ["place"])
 
 
@@ -175,12 +181,14 @@ def _wanted(words: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, done = bits.value, set()
         for batch in batches:
-            names = batch.column(2).to_numpy()
+            # Only these are read; others have no part in a comparison.
+            batch = batch.filter(pa.array(known[_place(batch.column(2).to_numpy())]))
             offsets, data = utf8(batch.column(1))
             for first, last in slices(offsets):
                 nodes, values, sizes, bits_of = [], [], [], []
-                for i, s in enumerate(shingle_sets(offsets[first : last + 1], data, words)):
-                    if len(s) and (node := _node(s)) not in done and known[_place(np.array([node]), names[first + i : first + i + 1])[0]]:
+                sets = shingle_sets(offsets[first : last + 1], data, words)
+                for s, node in zip(sets, nodes_of(sets).tolist()):
+                    if len(s) and node not in done:
                         done.add(node)
                         nodes.append(node)
                         values.append(s.tobytes())
@@ -352,7 +360,7 @@ def join(
     alone = members.filter("n > 0").groupBy("node").agg(F.min(name).alias("name"))
     alone = stage(alone.join(rows.select("node").distinct(), "node", "left_semi"))
     known = np.zeros(BITS, bool)
-    for part in alone.mapInArrow(_places, "place int").distinct().toArrow().to_batches():
+    for part in alone.select("name").mapInArrow(_places, "place int").distinct().toArrow().to_batches():
         known[part.column(0).to_numpy()] = True
     bits = spark.sparkContext.broadcast(known)
     sets = stage(texts.withColumn("name", name).mapInArrow(_wanted(words, bits), "node long, grams binary, n long, parity binary"))

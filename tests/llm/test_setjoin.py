@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from provenir.llm import setjoin
@@ -107,3 +108,25 @@ def test_components_of_a_chain_and_a_star(spark, table, rows):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7)]
     got = rows(components(table(links, "a long, b long")), "node", "component")
     assert got == sorted([(i, 1) for i in range(1, 41)] + [(100 + i, 100) for i in range(20)], key=repr)
+
+
+def test_only_documents_of_the_filter_are_read(monkeypatch):
+    read = []
+    real = setjoin.shingle_sets
+    monkeypatch.setattr(setjoin, "shingle_sets", lambda offsets, data, words: read.append(len(offsets) - 1) or real(offsets, data, words))
+    ids, texts = pa.array(range(50)), pa.array([f"a b c d {i}" for i in range(50)])
+    known = np.zeros(setjoin.BITS, bool)
+    known[setjoin._place(np.array([3, 8]))] = True
+
+    class Sent:
+        value = known
+
+    batch = pa.RecordBatch.from_arrays([ids, texts, ids], ["id", "text", "name"])
+    got = [n for part in setjoin._wanted(5, Sent)(iter([batch])) for n in part.column("node").to_pylist()]
+    assert sum(read) == 2 and len(got) == 2
+
+
+def test_names_of_sets_are_those_of_each_alone():
+    sets = [np.arange(n, dtype=np.uint64) for n in (3, 0, 1, 0, 7)] + [np.zeros(0, np.uint64)]
+    names = setjoin.nodes_of(sets)
+    assert all(names[i] == setjoin.nodes_of([s])[0] for i, s in enumerate(sets)) and len(set(names[[0, 2, 4]].tolist())) == 3
